@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import kd_sharding, near_dedup, packing, pivot_search, substring_dedup
+from . import kd_sharding, language_crf, line_dedup, near_dedup, packing, pivot_search, secret_scan, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +18,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), width=13)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
@@ -31,6 +37,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_read(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.identify_language(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.top_k(_read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
@@ -42,8 +56,11 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op3_line_dedup": op3_line_dedup,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_secret_scan": op6_secret_scan,
+        "op7_language_id": op7_language_id,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_kd_sharding": op10_kd_sharding,
     }
@@ -61,6 +78,22 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BI
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+#: The rule by brute definition: equal words, or one word inserted, deleted or replaced (8 words at least).
+OP3_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, pos, line, list_filter(regexp_split_to_array(lower(line), '[ \t\x0B\f\r]+'), lambda x: x <> '') AS w FROM l),
+f AS (SELECT w, min((doc_id, pos)) AS pl, len(w) AS n FROM w WHERE len(w) > 0 GROUP BY w),
+v AS (SELECT w, pl, n, i, list_concat(list_slice(w, 1, i - 1), list_slice(w, i + 1, n)) AS k FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 8)),
+near AS (SELECT v.w FROM v JOIN (SELECT k, i, min(pl) AS m FROM v GROUP BY k, i) s USING (k, i) WHERE s.m < v.pl
+         UNION SELECT v.w FROM v JOIN f ON v.k = f.w WHERE f.n >= 8 AND f.pl < v.pl
+         UNION SELECT f.w FROM v JOIN f ON v.k = f.w WHERE f.n >= 8 AND v.pl < f.pl),
+j AS (SELECT w.doc_id, w.pos, w.line, len(w.w) > 0 AND ((w.doc_id, w.pos) > f.pl OR near.w IS NOT NULL) AS gone
+      FROM w LEFT JOIN f ON w.w = f.w LEFT JOIN near ON w.w = near.w)
+SELECT d.doc_id, count(j.pos)::BIGINT AS n_lines, count(j.pos) FILTER (WHERE gone)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(j.line, chr(10) ORDER BY j.pos) FILTER (WHERE NOT coalesce(gone, false)), '')) AS kept_sha256
+FROM documents d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id
+"""
+
 OP9_SQL = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -73,5 +106,6 @@ FROM s QUALIFY rank <= 5
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1_SQL,
+        "op3_line_dedup": OP3_SQL,
         "op9_exact_top_k": OP9_SQL,
     }
