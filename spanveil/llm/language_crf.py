@@ -272,22 +272,23 @@ def label_shares(field: Field, body: np.ndarray, rows: np.ndarray) -> np.ndarray
     return np.divide(shares, whole, out=np.zeros_like(shares), where=whole > 0)
 
 
-_OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-
-
 def _predict(field: Field):
+    """Append lang_pred and score to batches whose last two columns are __text and __lettered."""
+
     def predict(batches):
         for batch in batches:
-            ids, some = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-            for first, end, body, rows in pieces(batch.column(1), 2_000_000):
+            names = batch.schema.names
+            some = batch.column("__lettered").to_numpy(zero_copy_only=False)
+            for first, end, body, rows in pieces(batch.column("__text"), 2_000_000):
                 shares = label_shares(field, body, rows)
                 best = shares.argmax(1)
                 score = shares[np.arange(len(best)), best]
                 bare = shares.sum(1) == 0  # letters that no word of the field can hold: the first label, unsure
                 score = np.where(bare, 1.0 / len(field.labels), np.clip(score, 0, 1))
                 there = some[first:end]
-                names = np.where(there, np.array(field.labels, object)[best], "und")
-                yield pa.record_batch([ids.slice(first, end - first), pa.array(names, pa.string()), pa.array(np.where(there, score, 0.0))], schema=_OUT_ARROW)
+                pred = np.where(there, np.array(field.labels, object)[best], "und")
+                own = [batch.column(n).slice(first, end - first) for n in names[:-2]]
+                yield pa.record_batch([*own, pa.array(pred, pa.string()), pa.array(np.where(there, score, 0.0))], names=[*names[:-2], "lang_pred", "score"])
 
     return predict
 
@@ -309,6 +310,22 @@ def fit_on(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field | None:
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
+def with_language(docs: DataFrame, model: Field | None = None) -> DataFrame:
+    """``docs`` with held_out, lang_pred and score (see identify_language); columns of these names are replaced."""
+    others = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
+    docs = docs.select(*others)
+    if model is None and "lang" in others:
+        model = fit_on(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out")
+    if model is None:
+        return docs.select("*", held, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    text = F.col("text").cast("string")
+    source = docs.select("*", text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__lettered"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    out = source.mapInArrow(_predict(model), f"{kinds}, lang_pred string, score double")
+    return out.select(*others, held, "lang_pred", "score")
+
+
 def identify_language(docs: DataFrame, model: Field | None = None) -> DataFrame:
     """Predict the language of every whole text.
 
@@ -317,11 +334,5 @@ def identify_language(docs: DataFrame, model: Field | None = None) -> DataFrame:
     ``und`` where the text is null or has no letter) and score (the share of that label among the text's words; 0 for
     ``und``). Without labelled rows every text is ``und``. Repeated rows are predicted alike; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col("lang").cast("string").alias("lang")] if "lang" in docs.columns else [F.lit(None).cast("string").alias("lang")]))
-    model = model or fit_on(rows)
-    held = F.coalesce(fold() == 2, F.lit(False))
-    if model is None:
-        return rows.select("doc_id", held.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    source = rows.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    out = source.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    model = model or (fit_on(docs) if "lang" in docs.columns else None)
+    return with_language(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model).drop("text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_sharding, language_crf, line_dedup, near_dedup, packing, pivot_search, secret_scan, substring_dedup
+from . import chat_format, decontamination, kd_sharding, language_crf, line_dedup, near_dedup, packing, pivot_search, secret_scan, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), width=13)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -45,6 +49,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.identify_language(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(_read(spark, sf_dir, "conversations"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.top_k(_read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
@@ -53,16 +61,25 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard_by_tree(_read(spark, sf_dir, "documents"), shards=40)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_decontamination": op2_decontamination,
         "op3_line_dedup": op3_line_dedup,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_secret_scan": op6_secret_scan,
         "op7_language_id": op7_language_id,
+        "op8_chat_formatting": op8_chat_formatting,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_kd_sharding": op10_kd_sharding,
+        "pipeline": pipeline,
     }
 
 
