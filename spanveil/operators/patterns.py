@@ -236,7 +236,8 @@ def detect(docs: DataFrame, entities: Iterable[str] | None = None, specs: Iterab
 
 def exploded(docs: DataFrame, column: str = "spans") -> DataFrame:
     """One row per span: doc_id, start, end, type, score."""
-    return docs.select("doc_id", F.explode(column).alias("s")).select("doc_id", "s.start", "s.end", "s.type", "s.score")
+    rows = docs.select("doc_id", F.explode_outer(column).alias("s")).select("doc_id", "s.start", "s.end", "s.type", "s.score")
+    return rows.where("start is not null")
 
 
 def with_external_spans(docs: DataFrame, model: DataFrame, labels: dict[str, str], low: dict[str, float] | None = None) -> DataFrame:

@@ -54,6 +54,8 @@ def anonymize(
     out = out.withColumn("__spread", names.trim_spans(v, F.col("__spread")))
     out = out.withColumn("__spread", names.clip_institutions(v, F.col("__spread")))
     out = fuse_spans(out.withColumn("spans", F.concat("spans", "__spread")), text)
+    # A filter on entities must not be pushed through the steps above, which would write them all into one expression.
+    out = out.withColumn("entities", F.when(F.rand() >= 0, F.col("entities")))
     return apply_masks(out, policy).drop("__view", "__rx", "__spread", "spans")
 
 
@@ -64,6 +66,12 @@ def anonymize_safe(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     return anonymize(judged.where("reason is null").drop("reason"), **options), judged.where("reason is not null")
 
 
+def entity_rows(anonymized: DataFrame) -> DataFrame:
+    """One row per entity: doc_id, type, text, start, end, score."""
+    rows = anonymized.select("doc_id", F.explode_outer("entities").alias("e"))
+    return rows.select("doc_id", "e.type", "e.text", "e.start", "e.end", "e.score").where("type is not null")
+
+
 def batch_summary(ok: DataFrame, failed: DataFrame) -> DataFrame:
     """A-17: how many documents were processed and how many failed, by reason."""
     rows = ok.select(F.lit("processed").alias("outcome")).unionByName(failed.select(F.concat(F.lit("failed: "), "reason").alias("outcome")))
