@@ -23,30 +23,38 @@ LEAST = 8
 BROADCAST_ROWS = 1_000_000
 
 
-def _line_words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[ \t\x0B\f\r]+"), lambda w: w != "")
+_BLANK = " \t\x0b\f\r"
+
+
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(_BLANK))
+
+
+def _plain(bare: Column) -> Column:
+    """A line without outer blanks in lower case, its words parted by one space."""
+    odd = bare.contains("  ")
+    for c in _BLANK[1:]:
+        odd = odd | bare.contains(c)
+    return F.when(odd, F.regexp_replace(F.lower(bare), r"[ \t\x0B\f\r]+", " ")).otherwise(F.lower(bare))
 
 
 def _ends(n: Column) -> Column:
-    """How many leading or trailing words two lines share at least, when the shorter has n words: by classes of n."""
-    out = F.when(n < 12, 4)
-    for k in range(20):
-        out = out.when(n < 24 << k, 6 << k)
-    return out.otherwise(6 << 20)
+    """How many leading or trailing words two lines share at least, when the shorter has n words: by doubling classes of n."""
+    return F.when(n < 12, 4).otherwise(F.lit(6) * F.pow(F.lit(2), F.floor(F.log2(n / 12)))).cast("int")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """One row per line with words: doc, pos, n, two hashes of its words, and hashes of its ends."""
     rows = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.select("doc", "pos", _line_words(F.col("line")).alias("w")).where(F.size("w") > 0)
-    rows = rows.withColumn("n", F.size("w"))
-    lead = lambda m: F.xxhash64(F.lit(0), _ends(m), F.slice("w", F.lit(1), _ends(m)))
-    trail = lambda m: F.xxhash64(F.lit(1), _ends(m), F.slice("w", F.col("n") + 1 - _ends(m), _ends(m)))
+    rows = rows.select("doc", "pos", _bare(F.col("line")).alias("line")).where("line <> ''")
+    rows = rows.select("doc", "pos", _plain(F.col("line")).alias("s"))
+    rows = rows.withColumn("n", F.length("s") - F.length(F.replace("s", F.lit(" "), F.lit(""))) + 1)
+    rows = rows.withColumns({"e": _ends(F.col("n")), "f": _ends(F.col("n") - 1)})
+    ends = lambda e: [F.xxhash64(F.lit(k), F.col(e), F.expr(f"substring_index(s, ' ', {'-' * k}{e})")) for k in (0, 1)]
     n = F.col("n")
-    ends = F.when(n < LEAST, F.array().cast("array<bigint>"))
-    ends = ends.when((n == LEAST) | (_ends(n) == _ends(n - 1)), F.array(lead(n), trail(n)))
-    ends = ends.otherwise(F.array(lead(n), trail(n), lead(n - 1), trail(n - 1)))
-    return rows.select("doc", "pos", "n", F.xxhash64("w").alias("h"), F.hash("w").alias("h2"), ends.alias("ends"))
+    keys = F.when(n < LEAST, F.array().cast("array<bigint>"))
+    keys = keys.when((n == LEAST) | (F.col("e") == F.col("f")), F.array(*ends("e"))).otherwise(F.array(*ends("e"), *ends("f")))
+    return rows.select("doc", "pos", "n", F.xxhash64("s").alias("h"), F.hash("s").alias("h2"), keys.alias("ends"))
 
 
 def _variants(words: Column) -> Column:
@@ -82,9 +90,10 @@ def _near(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
     placed = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     cand = placed.join(chosen, ["doc", "pos"]).dropDuplicates(["h", "h2"])
-    cand = as_table(cand.select("h", "h2", F.struct("doc", "pos").alias("at"), _line_words(F.col("line")).alias("w")), "candidates")
+    cand = cand.select("h", "h2", F.struct("doc", "pos").alias("at"), F.split(_plain(_bare(F.col("line"))), " ").alias("w"))
+    cand = as_table(cand.withColumn("variants", _variants(F.col("w"))), "candidates")
 
-    keyed = cand.select("h", "h2", "at", F.size("w").alias("n"), F.posexplode(_variants(F.col("w"))).alias("i", "v"))
+    keyed = cand.select("h", "h2", "at", F.size("w").alias("n"), F.posexplode("variants").alias("i", "v"))
     keyed = keyed.select(F.xxhash64(F.when(F.col("i") == 0, F.col("n")).otherwise(F.col("n") - 1), "v").alias("k"), F.col("i").cast("int").alias("i"), "h", "h2", "at")
     by_place = keyed.groupBy("k", "i").agg(F.min("at").alias("same"), F.count("*").alias("c"))
     by_key = by_place.groupBy("k").agg(F.min(F.when(F.col("i") == 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("i") > 0, F.col("same"))).alias("cut"), F.sum("c").alias("c")).where("c > 1")
