@@ -31,6 +31,23 @@ LABELS = {
 }
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once and written once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def one_of(c: Column, words) -> Column:
+    """Membership in a list of plain words, as one pattern instead of one literal a word."""
+    return c.rlike("^(?:" + "|".join(w.replace(".", r"\.") for w in sorted(set(words))) + ")$")
+
+
+def plain_norm(text: str) -> str:
+    """``norm`` of a plan-time string."""
+    import unicodedata
+
+    return "".join(c for c in unicodedata.normalize("NFKD", text.strip().lower()) if not unicodedata.combining(c))
+
+
 def linear_view(c: Column) -> Column:
     """line breaks and tabs as spaces; the length stays."""
     return F.translate(c, "\n\r\t", "   ")

@@ -5,52 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import all_same, digits
+from .text import digits, let
 
 
-def _digit(d: Column, i: int) -> Column:
-    return F.substring(d, i + 1, 1).cast("int")
+def _numbers(c: Column) -> Column:
+    """The digits of a value as an array of numbers."""
+    return F.transform(F.filter(F.split(digits(c), ""), lambda x: x != ""), lambda x: x.cast("int"))
 
 
 def _weighed(d: Column, weights: list[int]) -> Column:
-    total = F.lit(0)
-    for i, w in enumerate(weights):
-        total = total + _digit(d, i) * w
-    return total
+    pairs = F.zip_with(F.slice(d, 1, len(weights)), F.lit(weights), lambda a, w: a * w)
+    return F.aggregate(pairs, F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)).cast("int"))
 
 
 def _eleven(total: Column) -> Column:
     """The check digit of a mod-11 sum: below 2 it is 0."""
-    return F.when(total % 11 < 2, 0).otherwise(11 - total % 11)
+    return let(total % 11, lambda r: F.when(r < 2, 0).otherwise(11 - r))
 
 
-def _long_enough(d: Column, n: int, test: Column) -> Column:
-    return F.coalesce(F.when((F.length(d) == n) & ~all_same(d), test).otherwise(F.lit(False)), F.lit(False))
+def _long_enough(c: Column, n: int, test) -> Column:
+    """``test`` on the numbers of a value of n digits that are not all equal; anything else is invalid."""
+    return F.coalesce(let(_numbers(c), lambda d: (F.size(d) == n) & (F.size(F.array_distinct(d)) > 1) & test(d)), F.lit(False))
 
 
 def cpf_valid(c: Column) -> Column:
     """V1: 11 digits, not all equal, two check digits by weights 10..2 and 11..2."""
-    d = digits(c)
-    digit = lambda n: (_weighed(d, list(range(n + 1, 1, -1))) * 10) % 11 % 10
-    return _long_enough(d, 11, (digit(9) == _digit(d, 9)) & (digit(10) == _digit(d, 10)))
+    digit = lambda d, n: (_weighed(d, list(range(n + 1, 1, -1))) * 10) % 11 % 10
+    return _long_enough(c, 11, lambda d: (digit(d, 9) == F.get(d, 9)) & (digit(d, 10) == F.get(d, 10)))
 
 
 def cnpj_valid(c: Column) -> Column:
     """V2: 14 digits, not all equal, two check digits by weights 5..2, 9..2 and 6 before them."""
-    d = digits(c)
     weights = [*range(5, 1, -1), *range(9, 1, -1)]
-    return _long_enough(d, 14, (_eleven(_weighed(d, weights)) == _digit(d, 12)) & (_eleven(_weighed(d, [6, *weights])) == _digit(d, 13)))
+    return _long_enough(c, 14, lambda d: (_eleven(_weighed(d, weights)) == F.get(d, 12)) & (_eleven(_weighed(d, [6, *weights])) == F.get(d, 13)))
 
 
 def pis_valid(c: Column) -> Column:
     """V3: 11 digits, not all equal, one check digit by weights 3, 2, 9..2."""
-    d = digits(c)
-    return _long_enough(d, 11, _eleven(_weighed(d, [3, 2, *range(9, 1, -1)])) == _digit(d, 10))
+    return _long_enough(c, 11, lambda d: _eleven(_weighed(d, [3, 2, *range(9, 1, -1)])) == F.get(d, 10))
 
 
 def cnj_valid(c: Column) -> Column:
     """V4: 20 digits; 98 minus (the other 18, times 100, modulo 97) is the pair behind the seventh."""
-    d = digits(c)
-    base = F.concat(F.substring(d, 1, 7), F.substring(d, 10, 11)).cast("long")
-    test = 98 - ((base % 97) * 100) % 97 == F.substring(d, 8, 2).cast("int")
-    return F.coalesce(F.when(F.length(d) == 20, test).otherwise(F.lit(False)), F.lit(False))
+
+    def test(d: Column) -> Column:
+        base = F.concat(F.substring(d, 1, 7), F.substring(d, 10, 11)).cast("long")
+        return (F.length(d) == 20) & (98 - ((base % 97) * 100) % 97 == F.substring(d, 8, 2).cast("int"))
+
+    return F.coalesce(let(digits(c), lambda d: F.when(F.length(d) == 20, test(d)).otherwise(F.lit(False))), F.lit(False))

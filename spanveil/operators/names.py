@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import norm, quoted
+from ..functions.text import norm, one_of, quoted
 from .patterns import SPANS, _matches, words_array
 
 # Letters and particles of names, and words that end an extension.
@@ -129,12 +129,12 @@ def clip_institutions(view: Column, spans: Column) -> Column:
     def clipped(s: Column) -> Column:
         t = _inside(view, s)
         words = F.transform(_matches(t, r"(?U)\w+"), lambda w: F.struct(norm(w["m"]).alias("n"), w["a"].alias("a"), (w["a"] + F.length(w["m"])).alias("b")))
-        organ = F.exists(words, lambda w: w["n"].isin(*INSTITUTIONS))
+        organ = F.exists(words, lambda w: one_of(w["n"], INSTITUTIONS))
         need = F.when(organ, 2).otherwise(1)
 
         def step(acc: Column, w: Column) -> Column:
-            stops = w["n"].isin(*INSTITUTIONS) | w["n"].isin(*STATES)
-            bears = ~stops & ~w["n"].isin(*NO_NAMES) & ~w["n"].isin(*PARTICLES) & (F.length(w["n"]) > 1)
+            stops = one_of(w["n"], [*INSTITUTIONS, *STATES])
+            bears = ~one_of(w["n"], [*NO_NAMES, *PARTICLES]) & (F.length(w["n"]) > 1)
             a, n = F.when(acc["a"] < 0, w["a"]).otherwise(acc["a"]), acc["n"] + 1
             better = (n >= need) & (w["b"] - a > acc["y"] - acc["x"])
             grown = F.struct(a.alias("a"), w["b"].alias("b"), n.alias("n"), F.when(better, a).otherwise(acc["x"]).alias("x"), F.when(better, w["b"]).otherwise(acc["y"]).alias("y"))
@@ -142,8 +142,8 @@ def clip_institutions(view: Column, spans: Column) -> Column:
             return F.when(stops, over).when(bears, grown).otherwise(acc)
 
         best = F.aggregate(words, none, step)
-        state = F.array_join(F.transform(words, lambda w: w["n"]), " ").isin(*STATES)
-        return F.when((best["x"] >= 0) & ~state, _span(s, s["start"] + best["x"], s["start"] + best["y"]))
+        state = F.array_join(F.transform(words, lambda w: w["n"]), " ")
+        return F.when((best["x"] >= 0) & ~one_of(state, STATES), _span(s, s["start"] + best["x"], s["start"] + best["y"]))
 
     return F.filter(F.transform(spans, lambda s: F.when(s["type"] == "PERSON", clipped(s)).otherwise(s)), lambda s: s.isNotNull())
 

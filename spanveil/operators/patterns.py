@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import linear_view, norm, token_key
+from ..functions.text import let, linear_view, norm, one_of, plain_norm, token_key
 from ..functions.masks import STREET_TYPES
 from ..functions.validators import cnj_valid, cnpj_valid, cpf_valid, pis_valid
 
@@ -154,12 +154,19 @@ def significant(token: Column, particles: Iterable[str] = _PARTICLES) -> Column:
 
 def cut_labelled_name(text: Column) -> Column:
     """Length of the name before the first word of procedure; null with fewer than two significant words."""
-    tokens = tokens_with_gaps(text)
-    stop = F.array_position(F.transform(tokens, lambda x: F.array_contains(words_array(sorted(set(PROCEDURE_WORDS))), token_key(x["t"]))), True)
+    return let(tokens_with_gaps(text), _name_length)
+
+
+def _name_length(tokens: Column) -> Column:
+    stop = F.array_position(F.transform(tokens, lambda x: one_of(token_key(x["t"]), PROCEDURE_WORDS)), True)
     kept = F.when(stop > 0, F.slice(tokens, F.lit(1), stop.cast("int") - 1)).otherwise(tokens)
-    enough = F.size(F.filter(kept, lambda x: significant(x["t"]))) >= 2
-    last = F.element_at(kept, -1)
-    return F.when(enough, last["a"] + F.length(last["t"]))
+
+
+    def length(kept: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        return F.when(F.size(F.filter(kept, lambda x: significant(x["t"]))) >= 2, last["a"] + F.length(last["t"]))
+
+    return let(kept, length)
 
 
 def _matches(view: Column, rx: str, needs: str = "") -> Column:
@@ -180,11 +187,8 @@ def _matches(view: Column, rx: str, needs: str = "") -> Column:
 def _in_context(view: Column, start: Column, words: tuple[str, ...]) -> Column:
     """Whether one of the five tokens before a hit holds a context word (compared without case and accents)."""
     before = F.split(F.rtrim(F.substr(view, F.greatest(start - 199, F.lit(1)), F.least(start, F.lit(200)))), r"(?U)\s+")
-    near = norm(F.array_join(F.slice(before, F.greatest(F.size(before) - (CONTEXT_TOKENS - 1), F.lit(1)), F.lit(CONTEXT_TOKENS)), " "))
-    out = F.lit(False)
-    for w in words:
-        out = out | near.contains(norm(F.lit(w)))
-    return (start > 0) & out
+    near = lambda b: norm(F.array_join(F.slice(b, F.greatest(F.size(b) - (CONTEXT_TOKENS - 1), F.lit(1)), F.lit(CONTEXT_TOKENS)), " "))
+    return (start > 0) & let(before, near).rlike("|".join(plain_norm(w).replace(".", r"\.") for w in words))
 
 
 def spec_spans(view: Column, spec: PatternSpec, threshold: float = THRESHOLD, context: dict | None = None) -> Column:
@@ -193,7 +197,7 @@ def spec_spans(view: Column, spec: PatternSpec, threshold: float = THRESHOLD, co
 
     def span(x: Column) -> Column:
         m, a = x["m"], x["a"]
-        score = F.lit(spec.score)
+        score = F.lit(spec.score).cast("double")
         if spec.validator is not None:
             score = F.when(spec.validator(m), F.greatest(score, F.lit(spec.boost))).otherwise(F.lit(None) if spec.check_required else score)
         begin, size = a, F.length(m)
