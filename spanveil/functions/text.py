@@ -119,10 +119,10 @@ def boundary_pattern(value: Column, body: Column) -> Column:
 def tolerant_pattern(value: Column) -> Column:
     """A pattern for a value whatever its case, accents and white space."""
     letters = {"a": "aáàâãäå", "e": "eéèêë", "i": "iíìîï", "o": "oóòôõö", "u": "uúùûü", "c": "cç", "n": "nñ"}
-    out = F.regexp_replace(value_key(value), r"([^\p{L}\p{N} ])", r"\\\\$1")
+    out = F.regexp_replace(value_key(value), r"([^\p{L}\p{N} ])", r"\\$1")
     for bare, marked in letters.items():
         out = F.regexp_replace(out, f"(?<!\\\\){bare}", f"[{marked}{marked[1:].upper()}{bare.upper()}]")
-    return F.concat(F.lit("(?iu)"), F.regexp_replace(out, " ", r"\\\\s+"))
+    return F.concat(F.lit("(?iu)"), F.regexp_replace(out, " ", r"\\s+"))
 
 
 def sha_of(c: Column) -> Column:

@@ -338,9 +338,9 @@ def leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.leaks(E.covered(truth.select("doc_id", "type", "start", "end"), found, docs), docs).select("type", "rank", "doc_id", "context")
 
 
-@query("a10_consolidate", """SELECT l_shipmode AS type, count(*)::BIGINT AS occurrences, sum((l_linenumber > 1)::INT)::BIGINT AS hits FROM lineitem GROUP BY ROLLUP (l_shipmode)""")
+@query("a10_consolidate", """SELECT l_returnflag AS type, count(*)::BIGINT AS occurrences, sum((l_linenumber > 1)::INT)::BIGINT AS hits FROM lineitem GROUP BY ROLLUP (l_returnflag)""")
 def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_shipmode").alias("type"), F.lit(1).alias("occurrences"), (F.col("l_linenumber") > 1).cast("int").alias("hits"), F.lit(0).alias("unique_values"), F.lit(0).alias("protected"))
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("type"), F.lit(1).alias("occurrences"), (F.col("l_linenumber") > 1).cast("int").alias("hits"), F.lit(0).alias("unique_values"), F.lit(0).alias("protected"))
     return E.consolidate(rows).select("type", "occurrences", "hits")
 
 
