@@ -8,9 +8,11 @@ mostly occur once are skipped without merging. Postings of one pair name candida
 on whole signatures, and those that reach the match threshold are confirmed on whole sets.
 
 Links are wanted for their components. A posting list of m classes is therefore not turned into m * m pairs:
-all members are compared with one hub; lists whose members are connected by now are finished, the others are
-compared with more hubs a round (only across components) until every member of an unfinished list was a hub. No
-member is dropped and no list is cut, so no link between components is lost.
+all members are compared with one hub, the class with the most common signature; lists whose members are connected
+by now are finished. For the members of the others the shingles that occur in one component only are counted: a link
+to another component shares none of them, which bounds its similarity. Members that the bound parts from all of their
+list leave it, and the rest are compared with more hubs a round (only across components, and where the bound allows a
+link) until every member of an unfinished list was a hub. No list is cut, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -134,6 +136,29 @@ def _confirmed(num: int, den: int):
     return confirmed
 
 
+def _unfinished(lists: DataFrame) -> DataFrame:
+    """Members of lists that hold several components and some class that was no hub yet."""
+    open_ = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(~F.col("hubbed")).alias("more"))
+    return lists.join(open_.where("lo < hi and more").select("token"), "token", "left_semi")
+
+
+def _each(batches):
+    for batch in batches:
+        blobs = batch.column("hashes").to_pylist()
+        sizes = [len(x) // 8 for x in blobs]
+        yield pa.record_batch(
+            [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("rep", "comp")] + [pa.array(np.frombuffer(b"".join(blobs), np.int64))],
+            names=["rep", "comp", "s"],
+        )
+
+
+def _common_sizes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each member (rep, comp): n, the size of its set, and common, how many of its shingles another component has."""
+    each = members.join(sets, "rep").select("rep", "comp", "hashes").mapInArrow(_each, "rep long, comp long, s long")
+    met = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("s", (F.col("lo") < F.col("hi")).alias("met"))
+    return each.join(met, "s").groupBy("rep").agg(F.count("*").alias("n"), F.count_if("met").alias("common"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Components of documents whose shingle sets have den * |both| >= num * |either|.
 
@@ -152,36 +177,53 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     # Postings: of each class the rarest coordinate-value pairs that reach into every set of `least` collisions.
     pairs = classes.select("rep", F.posexplode("sig").alias("c", "v")).select("rep", (F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("token"))
     often = pairs.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    shared = pairs.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ts")).where(F.size("ts") >= least)
-    posted = shared.select("rep", F.explode(F.slice("ts", F.lit(1), F.size("ts") - (least - 1))).alias("t")).select("rep", F.col("t.token").alias("token"))
-    lists = as_table(posted.withColumn("hubbed", F.lit(False)), "postings")
+    shared = pairs.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ts"), F.sum("n").alias("score")).where(F.size("ts") >= least)
+    prefix = F.transform(F.slice("ts", F.lit(1), F.size("ts") - (least - 1)), lambda t: t["token"])
+    wide = as_table(shared.select("rep", "score", prefix.alias("prefix")).join(classes.select("rep", "sig"), "rep"), "prefixes")
+    lists = as_table(wide.select("rep", "score", F.explode("prefix").alias("token"), F.lit(False).alias("hubbed")), "postings")
 
-    chosen = lists.select("rep").distinct()
-    chosen = F.broadcast(chosen) if lists.select("rep").distinct().count() <= BROADCAST_ROWS else chosen
+    chosen = F.broadcast(wide.select("rep")) if wide.count() <= BROADCAST_ROWS else wide.select("rep")
     sets = as_table(source.withColumnRenamed("doc_id", "rep").join(chosen, "rep").dropDuplicates(["rep"]).select("rep", "text").mapInArrow(_sets(words), "rep long, hashes binary"), "sets")
 
     known = None  # (rep, comp) of the classes that have links
-    links = None
+    links = open_sizes = None
     hubs = 1
     while not lists.isEmpty():
         here = lists.withColumn("comp", F.col("rep")) if known is None else lists.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        here = here.select("token", "rep", "hubbed", "comp")
-        open_ = here.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(~F.col("hubbed")).alias("more")).where("lo < hi and more").select("token")
-        here = as_table(here.join(open_, "token", "left_semi"), "lists")
-        hub = here.where("not hubbed").groupBy("token", F.pmod(F.xxhash64("rep"), F.lit(hubs)).alias("h")).agg(F.min(F.struct("rep", "comp")).alias("hub")).select("token", "hub")
-        hub = as_table(hub, "hubs")
-        found = here.join(hub, "token").where("hub.comp <> comp").select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-        of = lambda x, c: classes.select(F.col("rep").alias(x), F.col(c).alias(f"{c}_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-        tried = found.join(of("a", "sig"), "a").join(of("b", "sig"), "b").where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
-        tried = tried.select("a", "b", "sig_a", "sig_b").mapInArrow(_colliding(least), "a long, b long")
+        here = _unfinished(here.select("token", "rep", "score", "hubbed", "comp"))
+        if hubs == 1:
+            here = as_table(here.join(classes.select("rep", "n_shingles"), "rep").withColumnRenamed("n_shingles", "n").withColumn("common", F.col("n")), "lists")
+        else:
+            if open_sizes is None:
+                open_sizes = as_table(_common_sizes(as_table(here.select("rep", "comp").distinct(), "open"), sets), "sizes")
+            here = as_table(here.join(open_sizes, "rep"), "lists")
+            least_n = here.groupBy("token").agg(F.min("n").alias("least_n"))
+            may = f"{den} * common >= {num} * (n + greatest(least_n, common) - common)"
+            here = as_table(_unfinished(here.join(least_n, "token").where(may).drop("least_n")), "lists")
+        central = F.struct((-F.col("score")).alias("score"), "rep", "comp", "n", "common")
+        hub = here.where("not hubbed").groupBy("token", F.pmod(F.xxhash64("rep"), F.lit(hubs)).alias("h")).agg(F.min(central).alias("hub"))
+        hub = as_table(hub.select("token", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("rep", "comp", "n", "common")]), "hubs")
+        # Both bounds: no more shared shingles than either class has outside its component; sizes alone.
+        both = "least(common, hub_common)"
+        may = f"hub_comp <> comp and {den} * {both} >= {num} * (n + hub_n - {both})"
+        if hubs > 1:  # a pair is tried in its first common list only, and where enough coordinates collide
+            own = wide.select("rep", "prefix", "sig")
+            here_, hub_ = here.join(own, "rep"), hub.join(own.select(*[F.col(c).alias(f"hub_{c}") for c in own.columns]), "hub_rep")
+            first = "element_at(filter(prefix, t -> array_contains(hub_prefix, t)), 1) = token"
+            met = here_.join(hub_.withColumnRenamed("token", "hub_token"), F.expr(f"token = hub_token and {may} and {first} and size(filter(zip_with(sig, hub_sig, (x, y) -> x = y), e -> e)) >= {least}"))
+        else:
+            met = here.join(hub, "token").where(may)
+        found = met.select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct()
+        of = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"))
+        tried = found if hubs > 1 else found.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_colliding(least), "a long, b long")
         whole = lambda x: sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"set_{x}"))
         new = as_table(tried.join(whole("a"), "a").join(whole("b"), "b").mapInArrow(_confirmed(num, den), "a long, b long"), "links")
         links = new if links is None else links.unionByName(new)
         if not new.isEmpty():
             found = components(links)
             known = as_table(found.select(F.col("node").alias("rep"), F.col("label").alias("comp")), "known")
-        was = hub.select("token", F.col("hub.rep").alias("rep"), F.lit(True).alias("was"))
-        lists = as_table(here.join(was, ["token", "rep"], "left").select("rep", "token", (F.col("hubbed") | F.coalesce("was", F.lit(False))).alias("hubbed")), "postings")
+        was = hub.select("token", F.col("hub_rep").alias("rep"), F.lit(True).alias("was"))
+        lists = as_table(here.join(was, ["token", "rep"], "left").select("rep", "score", "token", (F.col("hubbed") | F.coalesce("was", F.lit(False))).alias("hubbed")), "postings")
         hubs *= 8
 
     keyed = classes.select("rep", *same)
