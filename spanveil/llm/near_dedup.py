@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import as_table
-from .words import Words, mix, pack, pieces
+from .words import Words, mix, pieces
 
 COORDINATES = 64
 #: A pair of sets at the threshold is missed with at most this probability.
@@ -106,7 +106,7 @@ def _sets(k: int):
             ids = batch.column(0)
             for first, end, body, rows in pieces(batch.column(1)):
                 key, at = shingle_sets(body, rows, k)
-                yield pa.record_batch([ids.slice(first, end - first), pa.array([pack(key[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["rep", "hashes"])
+                yield pa.record_batch([ids.slice(first, end - first), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(key.view(np.int64)))], names=["rep", "hashes"])
 
     return sets
 
@@ -124,8 +124,10 @@ def _confirmed(num: int, den: int):
     def confirmed(batches):
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+            sides = [(c.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(c.value_lengths().to_numpy())]) for c in (batch.column("set_a"), batch.column("set_b"))]
+            (u, i), (v, j) = sides
+            for r in range(batch.num_rows):
+                x, y = u[i[r] : i[r + 1]], v[j[r] : j[r + 1]]
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
@@ -144,10 +146,9 @@ def _unfinished(lists: DataFrame) -> DataFrame:
 
 def _each(batches):
     for batch in batches:
-        blobs = batch.column("hashes").to_pylist()
-        sizes = [len(x) // 8 for x in blobs]
+        sizes = batch.column("hashes").value_lengths().to_numpy()
         yield pa.record_batch(
-            [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("rep", "comp")] + [pa.array(np.frombuffer(b"".join(blobs), np.int64))],
+            [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("rep", "comp")] + [batch.column("hashes").flatten()],
             names=["rep", "comp", "s"],
         )
 
@@ -183,7 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     lists = as_table(wide.select("rep", "score", F.explode("prefix").alias("token"), F.lit(False).alias("hubbed")), "postings")
 
     chosen = F.broadcast(wide.select("rep")) if wide.count() <= BROADCAST_ROWS else wide.select("rep")
-    sets = as_table(source.withColumnRenamed("doc_id", "rep").join(chosen, "rep").dropDuplicates(["rep"]).select("rep", "text").mapInArrow(_sets(words), "rep long, hashes binary"), "sets")
+    sets = as_table(source.withColumnRenamed("doc_id", "rep").join(chosen, "rep").dropDuplicates(["rep"]).select("rep", "text").mapInArrow(_sets(words), "rep long, hashes array<long>"), "sets")
 
     known = None  # (rep, comp) of the classes that have links
     links = open_sizes = None
@@ -206,25 +207,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         # Both bounds: no more shared shingles than either class has outside its component; sizes alone.
         both = "least(common, hub_common)"
         may = f"hub_comp <> comp and {den} * {both} >= {num} * (n + hub_n - {both})"
-        if hubs > 1:  # a pair is tried in its first common list only, and where enough coordinates collide
-            own = wide.select("rep", "prefix", "sig")
+        if hubs > 1:  # a pair is tried in its first common list only, where enough coordinates collide, and confirmed on the spot
+            own = wide.select("rep", "prefix", "sig").join(sets, "rep")
             here_, hub_ = here.join(own, "rep"), hub.join(own.select(*[F.col(c).alias(f"hub_{c}") for c in own.columns]), "hub_rep")
             first = "element_at(filter(prefix, t -> array_contains(hub_prefix, t)), 1) = token"
-            met = here_.join(hub_.withColumnRenamed("token", "hub_token"), F.expr(f"token = hub_token and {may} and {first} and size(filter(zip_with(sig, hub_sig, (x, y) -> x = y), e -> e)) >= {least}"))
+            met = here_.join(hub_.withColumnRenamed("token", "hub_token"), F.expr(f"token = hub_token and {may} and {first} and size(filter(zip_with(sig, hub_sig, (x, y) -> x = y), e -> e)) >= {least} and size(array_intersect(hashes, hub_hashes)) * {den + num} >= {num} * (n + hub_n)"))
         else:
             met = here.join(hub, "token").where(may)
         found = met.select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct()
         of = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"))
-        tried = found if hubs > 1 else found.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_colliding(least), "a long, b long")
+        tried = found.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_colliding(least), "a long, b long")
         whole = lambda x: sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"set_{x}"))
-        new = as_table(tried.join(whole("a"), "a").join(whole("b"), "b").mapInArrow(_confirmed(num, den), "a long, b long"), "links")
+        sure = found if hubs > 1 else tried.join(whole("a"), "a").join(whole("b"), "b").mapInArrow(_confirmed(num, den), "a long, b long")
+        new = as_table(sure, "links")
         links = new if links is None else links.unionByName(new)
         if not new.isEmpty():
             found = components(links)
             known = as_table(found.select(F.col("node").alias("rep"), F.col("label").alias("comp")), "known")
         was = hub.select("token", F.col("hub_rep").alias("rep"), F.lit(True).alias("was"))
         lists = as_table(here.join(was, ["token", "rep"], "left").select("rep", "score", "token", (F.col("hubbed") | F.coalesce("was", F.lit(False))).alias("hubbed")), "postings")
-        hubs *= 8
+        hubs *= 64
 
     keyed = classes.select("rep", *same)
     if known is not None:
