@@ -29,6 +29,8 @@ from .shared import as_table
 from .words import Words, mix, pieces
 
 COORDINATES = 64
+#: Bytes of text that a task signs at one time: signing holds a dozen arrays of eight bytes a byte of text.
+PIECE = 1_500_000
 #: A pair of sets at the threshold is missed with at most this probability.
 MISS = 1e-6
 #: Ids of candidate classes are broadcast up to this many rows (16 MB); beyond it they are joined by shuffle.
@@ -78,7 +80,7 @@ def _sign(k: int):
     def signed(batches):
         for batch in batches:
             ids = batch.column(0)
-            for first, end, body, rows in pieces(batch.column(1)):
+            for first, end, body, rows in pieces(batch.column(1), PIECE):
                 key, at = shingle_sets(body, rows, k)
                 n = np.diff(at)
                 some = np.flatnonzero(n)
@@ -104,7 +106,7 @@ def _sets(k: int):
     def sets(batches):
         for batch in batches:
             ids = batch.column(0)
-            for first, end, body, rows in pieces(batch.column(1)):
+            for first, end, body, rows in pieces(batch.column(1), PIECE):
                 key, at = shingle_sets(body, rows, k)
                 yield pa.record_batch([ids.slice(first, end - first), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(key.view(np.int64)))], names=["rep", "hashes"])
 
