@@ -9,6 +9,13 @@ The field is fitted on the driver, on a bounded sample of labelled rows (``SAMPL
 ``SAMPLE_BYTES`` bytes), spliced so that labels change within a sequence. Prediction runs on the executors over whole
 texts. Long texts are cut into blocks of words whose transfer matrices are combined in order, so that the sums over a
 text are exact while numpy works on all blocks of a piece at once.
+
+``in_learned_language`` rejects what the field does not recognise. The transitions carry a label through any text, so
+posteriors are high in gibberish too; the rule therefore takes each word's own message of the forward-backward pass,
+before neighbours are mixed in. A text's certainty is the mean of these messages' largest label probability, scaled to 0
+for even labels and 1 for sure ones. A text below the field's ``floor`` with less than half of its words in the lexicon is
+in no learned language. The floor is ``FLOOR``, or ``FLOOR_SHARE`` of the median certainty of held-out documents of the
+language with the lowest one, if that is less: a weakly fitted field rejects less, not its own languages.
 """
 
 from __future__ import annotations
@@ -25,6 +32,7 @@ SAMPLE_BYTES = 8000
 MAX_LANGUAGES = 64
 BUCKETS = 1 << 15
 LEXICON_LEAST = 3
+FLOOR, FLOOR_SHARE, FLOOR_ROWS = 0.4, 0.6, 50
 BLOCK = 128
 _TRAIN_LENGTH, _TRAIN_BATCH, _TRAIN_STEPS = 64, 64, 150
 
@@ -102,6 +110,7 @@ class Field:
         self.gram = np.zeros((BUCKETS, n), np.float32)
         self.word = np.zeros((len(lexicon) + 1, n), np.float32)  # the last row is for words outside the lexicon
         self.move = np.eye(n, dtype=np.float64)
+        self.floor = 0.0
 
     def features(self, piece: _Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         word, bucket = _feature_lists(piece.words.body, piece.start, piece.end)
@@ -207,11 +216,39 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> Field:
     return field
 
 
-def label_shares(field: Field, body: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def certainties(field: Field, piece: _Piece) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the mean certainty of its words that have letters, and the share of them in the lexicon (1, 1 without such words)."""
+    n, count = len(field.labels), len(piece.words.count)
+    if n == 1 or not len(piece.back):
+        return np.ones(count), np.ones(count)
+    emit = field.emissions(piece).astype(np.float64)
+    e = np.exp(emit - emit.max(1, keepdims=True))
+    sure = (1 / e.sum(1) - 1 / n) / (1 - 1 / n)
+    row = piece.words.row
+    words = np.bincount(row, piece.lettered, count)
+    mean = lambda x: np.divide(np.bincount(row, x[piece.back] * piece.lettered, count), words, out=np.ones(count), where=words > 0)
+    return mean(sure), mean(np.isin(piece.keys, field.lexicon))
+
+
+def foreign(field: Field, piece: _Piece) -> np.ndarray:
+    """True for the rows in no learned language."""
+    sure, known = certainties(field, piece)
+    return (sure < field.floor) & (known < 0.5)
+
+
+def set_floor(field: Field, texts: list[str], langs: list[str]) -> Field:
+    """Set the floor by labelled documents that the field was not fitted on."""
+    body = np.frombuffer("".join(texts).encode(), np.uint8)
+    sure, _ = certainties(field, _Piece(body, np.r_[0, np.cumsum([len(t.encode()) for t in texts])]))
+    langs = np.array(langs, object)
+    field.floor = min([FLOOR, *(FLOOR_SHARE * float(np.median(sure[langs == c])) for c in set(langs))])
+    return field
+
+
+def label_shares(field: Field, piece: _Piece) -> np.ndarray:
     """For each row the mean label distribution of its words that have letters (zeros without such words)."""
-    piece = _Piece(body, rows)
     n, count = len(field.labels), piece.words.count
-    shares = np.zeros((len(rows) - 1, n))
+    shares = np.zeros((len(count), n))
     if n == 1:
         shares[np.bincount(piece.words.row[piece.lettered], minlength=len(count)) > 0] = 1
         return shares
@@ -280,7 +317,7 @@ def _predict(field: Field):
             names = batch.schema.names
             some = batch.column("__lettered").to_numpy(zero_copy_only=False)
             for first, end, body, rows in pieces(batch.column("__text"), 2_000_000):
-                shares = label_shares(field, body, rows)
+                shares = label_shares(field, _Piece(body, rows))
                 best = shares.argmax(1)
                 score = shares[np.arange(len(best)), best]
                 bare = shares.sum(1) == 0  # letters that no word of the field can hold: the first label, unsure
@@ -293,29 +330,67 @@ def _predict(field: Field):
     return predict
 
 
+def _learned(field: Field):
+    """The rows of batches in a learned language, without their last column, __text."""
+
+    def learned(batches):
+        for batch in batches:
+            own = [foreign(field, _Piece(body, rows)) for _, _, body, rows in pieces(batch.column("__text"), 2_000_000)]
+            if own:
+                yield batch.select(batch.schema.names[:-1]).filter(pa.array(~np.concatenate(own)))
+
+    return learned
+
+
 def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
-def fit_on(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field | None:
-    """Fit on the rows with the smallest hashes among the labelled ones outside the held-out fold; None without any."""
-    labelled = docs.where("lang is not null and doc_id is not null").where(fold() != 2).where(F.octet_length("text").between(1, SAMPLE_BYTES))
+def _sample(labelled: DataFrame, rows: int) -> list:
+    """(text, lang) of the rows with the smallest hashes, so many a language."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
     langs = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(MAX_LANGUAGES).collect())
     ids = chosen.where(F.col("lang").isin(langs)).select("doc_id")
-    sample = labelled.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id", "lang", "text").limit(rows * MAX_LANGUAGES).select("text", "lang").collect()
+    return labelled.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id", "lang", "text").limit(rows * MAX_LANGUAGES).select("text", "lang").collect()
+
+
+def fit_on(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field | None:
+    """Fit on the rows with the smallest hashes among the labelled ones outside the held-out fold; None without any."""
+    documents = docs.where("lang is not null and doc_id is not null").where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    sample = _sample(documents.where(fold() != 2), rows)
     if not sample:
         return None
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    field = fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    check = _sample(documents.where(fold() == 2), FLOOR_ROWS)
+    missing = set(field.labels) - {r["lang"] for r in check}  # for these the fitted rows have to do
+    check = [r for r in check if r["lang"] in field.labels] + [r for r in sample if r["lang"] in missing]
+    return set_floor(field, [r["text"] for r in check], [r["lang"] for r in check])
+
+
+def _fitted(docs: DataFrame) -> Field | None:
+    return fit_on(docs.select(*(F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "long"), ("text", "string"), ("lang", "string"))))) if "lang" in docs.columns else None
+
+
+def in_learned_language(docs: DataFrame, model: Field | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and is in a learned language (the rule is in the module's text).
+
+    The field is fitted on ``docs`` unless ``model`` is given. Where there is none (no usable labelled row), and with one
+    language alone, from which nothing can be told apart, all texts with a letter stay.
+    """
+    text = F.col("text").cast("string")
+    lettered = docs.where(text.rlike(r"\p{L}"))
+    model = model or _fitted(docs)
+    if model is None:
+        return lettered
+    return lettered.select("*", text.alias("__text")).mapInArrow(_learned(model), docs.schema)
 
 
 def with_language(docs: DataFrame, model: Field | None = None) -> DataFrame:
     """``docs`` with held_out, lang_pred and score (see identify_language); columns of these names are replaced."""
     others = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     docs = docs.select(*others)
-    if model is None and "lang" in others:
-        model = fit_on(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    model = model or _fitted(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out")
     if model is None:
         return docs.select("*", held, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))

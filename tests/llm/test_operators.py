@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanveil.llm import chat_format, decontamination, kd_sharding, language_crf, line_dedup, near_dedup, packing, pivot_search, secret_scan, substring_dedup
 
@@ -96,6 +97,20 @@ def test_language(spark, docs, nothing):
     assert language_crf.identify_language(nothing, model).count() == 0
 
 
+def test_language_stage_rejects_unknown_languages(spark):
+    import corpus_pipeline
+
+    words = {"aa": "kato lumi sano veli nuku", "bb": "xorq zyrt wqen pluz vrax"}
+    rows = [(i, " ".join([w] * 6), c) for i, (c, w) in enumerate(list(words.items()) * 40)]
+    rows += [(900, "это совсем другой язык которого никто не учил", None), (901, "lumi veli kato sano", None), (902, "12 34 !", None), (903, None, None), (904, "的一是 不了人 我在有 他这为", None), (905, "kato veli nuku zyrt pluz vrax", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id for r in corpus_pipeline.language_id(spark, table, "").collect()}
+    assert got == set(range(80)) | {901, 905}
+    unlabelled = table.withColumn("lang", F.lit(None).cast("string"))
+    got = {r.doc_id for r in corpus_pipeline.language_id(spark, unlabelled, "").collect()}
+    assert got == set(range(80)) | {900, 901, 904, 905}
+
+
 def test_chats(spark):
     rows = [(1, 0, "User: hello\nAssistant: hi there\nUser: bye?"), (2, None, None), (None, 0, "x")]
     got = [(r.conv_id, r.role_pred) for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, text string")).orderBy("conv_id", "turn", "seg").collect()]
