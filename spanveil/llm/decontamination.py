@@ -2,9 +2,10 @@
 
 A text becomes template tokens: its words without outer punctuation, in lower case, with numbers, units behind numbers
 and names replaced by typed placeholders. Windows of template tokens are hashed and joined with the windows of the
-benchmark. What stood in the placeholders (slots) is compared along each alignment of a document with an item: one
-value of the item must always meet the same value of the document, and the other way round, else the alignment is no
-copy. A document is contaminated where the consistent alignments with one item cover enough of the item's tokens.
+benchmark. What stood in the placeholders (slots) is compared within each pair of windows: one name of the item must
+always meet the same name of the document, and the other way round, else this pair of windows does not count; the windows
+around it do. Numbers and units are not bound by each other: new values may coincide, and equal ones may part. A document
+is contaminated where the windows that it shares with one item cover enough of the item's tokens.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ UNITS = (
 
 _RANDOM = np.random.default_rng(11).integers(1, 2**63, 4, dtype=np.uint64)
 _NUMBER, _UNIT, _NAME = _RANDOM[:3]
+_NAMED = 2  # bit of a name's slot value
 _SOFT = np.zeros(256, bool)  # bytes that belong to a token's core
 _SOFT[48:58] = _SOFT[65:91] = _SOFT[97:123] = True
 _SOFT[0x80:] = True
@@ -86,7 +88,7 @@ def templates(body: np.ndarray, rows: np.ndarray) -> tuple[Words, np.ndarray, np
     capital = capital | (wide & (second >= 0x80) & (second <= 0x9E))
     name = inside & capital & ~number & ~unit
     key = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, core)))
-    value = np.where(number | unit | name, core | np.uint64(1), np.uint64(0))
+    value = np.where(number | unit | name, core & ~np.uint64(3) | np.where(name, np.uint64(_NAMED | 1), np.uint64(1)), np.uint64(0))
     return words, key, value, token
 
 
@@ -147,7 +149,7 @@ def _tokens_of(items: DataFrame) -> DataFrame:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """(doc_id, item_id, covered, n_tokens) of every document and item with a consistent alignment over ``cover`` of the item.
+    """(doc_id, item_id, covered, n_tokens) of every document and item whose shared windows cover ``cover`` of the item.
 
     Items with fewer than ``WINDOW`` template tokens are looked for as one window of their own length, if they have at
     least three, all of them words. Null and empty texts match nothing; rows with a null id take no part; repeated rows
@@ -164,17 +166,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> D
     if keys.count() <= FILTER_KEYS:
         wanted = np.unique(np.array([r["key"] for r in keys.select("key").distinct().collect()], np.int64).view(np.uint64))
     hits = source.mapInArrow(_windows(lengths, wanted), _HITS).dropDuplicates(["doc_id", "pos", "key"])
-    met = hits.join(keys, "key").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    slots = F.filter(F.zip_with("item_slots", "slots", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: p["x"] != 0)
-    met = met.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.max("item_tokens").alias("n_tokens"),
-        F.collect_set(F.struct(F.col("item_pos").alias("a"), F.size("slots").alias("k"))).alias("at"),
-        F.array_distinct(F.flatten(F.collect_set(slots))).alias("pairs"),
-    )
+    met = hits.join(keys, "key")
+    pairs = F.zip_with("item_slots", "slots", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    met = met.withColumn("pairs", F.array_distinct(F.filter(pairs, lambda p: p["x"].bitwiseAND(_NAMED) != 0)))
     distinct = lambda f: F.size(F.array_distinct(F.transform("pairs", lambda p: p[f])))
     met = met.where((distinct("x") == F.size("pairs")) & (distinct("y") == F.size("pairs")))
-    met = met.withColumn("places", F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p["a"], p["a"] + p["k"] - 1)))))
-    met = met.groupBy("doc_id", "item_id").agg(F.max("n_tokens").alias("n_tokens"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"))
+    met = met.groupBy("doc_id", "item_id").agg(F.max("item_tokens").alias("n_tokens"), F.collect_set(F.struct(F.col("item_pos").alias("a"), F.size("slots").alias("k"))).alias("at"))
+    met = met.withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p["a"], p["a"] + p["k"] - 1))))))
     return met.where(F.col("covered") >= F.col("n_tokens") * cover).select("doc_id", "item_id", "covered", "n_tokens")
 
 

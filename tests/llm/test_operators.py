@@ -62,6 +62,22 @@ def test_leaks(spark, docs, nothing):
     assert decontamination.decontaminate(nothing, bench).count() == 0
 
 
+def _leaks(spark, item, *texts):
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.contaminated for r in decontamination.decontaminate(docs, bench).orderBy("doc_id").collect()]
+
+
+def test_leaks_with_conflicting_slots(spark):
+    item = "Tom buys 3 apples and 5 pears today"
+    assert _leaks(spark, item, "Tom buys 4 apples and 4 pears today", "Tom sells 4 apples or 4 pears today") == [True, False]
+    assert _leaks(spark, "each shop sells 2 boxes of 2 pens", "each shop sells 3 boxes of 4 pens") == [True]
+    words = [f"w{chr(97 + i // 5)}{chr(97 + i % 5)}" for i in range(40)]
+    long = " ".join([*words[:10], "Anna", *words[10:14], "Anna", *words[14:], "Anna"])
+    assert _leaks(spark, long, long.replace("Anna", "Bella", 1)) == [True]
+    assert _leaks(spark, "so Anna met Ben when Anna left there", "so Cora met Dan when Cora left there", "so Cora met Dan when Eve left there") == [True, False]
+
+
 def test_best_fit_is_gapless_and_bounded():
     sizes = [700, 300, 24, 512, 512, 1000, 1, 1023, 5]
     seq, off = packing.best_fit(sizes, 1024, open_=2)
