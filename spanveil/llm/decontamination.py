@@ -6,6 +6,9 @@ benchmark. What stood in the placeholders (slots) is compared within each pair o
 always meet the same name of the document, and the other way round, else this pair of windows does not count; the windows
 around it do. Numbers and units are not bound by each other: new values may coincide, and equal ones may part. A document
 is contaminated where the windows that it shares with one item cover enough of the item's tokens.
+
+Beside the templates there is an exact path: windows of the tokens themselves, in lower case, whatever they are. Verbatim
+copies of items of any length match by it, and a verbatim run of ``RUN`` tokens is a leak whatever its share of the item.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from .words import Words, mix, pieces, span_hashes
 
 #: Template tokens of a window, and how many of them have to be words (placeholders alone say nothing).
 WINDOW, LEAST_WORDS = 8, 5
+#: Tokens of a verbatim run that is a leak by itself.
+RUN = 13
 #: Share of an item's tokens that consistent alignments have to cover.
 COVER = 0.5
 #: Window hashes of the benchmark that go to every task as a first filter (16 MB); a larger benchmark is joined by shuffle alone.
@@ -35,7 +40,7 @@ UNITS = (
 ).split()
 
 _RANDOM = np.random.default_rng(11).integers(1, 2**63, 4, dtype=np.uint64)
-_NUMBER, _UNIT, _NAME = _RANDOM[:3]
+_NUMBER, _UNIT, _NAME, _EXACT = _RANDOM
 _NAMED = 2  # bit of a name's slot value
 _SOFT = np.zeros(256, bool)  # bytes that belong to a token's core
 _SOFT[48:58] = _SOFT[65:91] = _SOFT[97:123] = True
@@ -55,8 +60,8 @@ def _unit_keys() -> np.ndarray:
     return np.unique(span_hashes(body, at[:-1], at[1:]))
 
 
-def templates(body: np.ndarray, rows: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of a piece; per token its template hash and its slot value (0 for a plain word); the tokens' word numbers."""
+def templates(body: np.ndarray, rows: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a piece; per token its own hash, template hash and slot value (0 for a plain word); the tokens' word numbers."""
     words = Words(body, rows)
     low = lowered(body)
     soft = np.flatnonzero(_SOFT[body])
@@ -89,7 +94,7 @@ def templates(body: np.ndarray, rows: np.ndarray) -> tuple[Words, np.ndarray, np
     name = inside & capital & ~number & ~unit
     key = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, core)))
     value = np.where(number | unit | name, core & ~np.uint64(3) | np.where(name, np.uint64(_NAMED | 1), np.uint64(1)), np.uint64(0))
-    return words, key, value, token
+    return words, core, key, value, token
 
 
 class _Tokens(Words):
@@ -101,8 +106,35 @@ class _Tokens(Words):
         self.first = np.searchsorted(self.row, np.arange(len(words.rows)))
 
 
-_HITS = "doc_id long, pos int, n_tokens int, key long, slots array<long>"
-_HITS_ARROW = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("n_tokens", pa.int32()), ("key", pa.int64()), ("slots", pa.list_(pa.int64()))])
+_HITS = "doc_id long, pos int, n_tokens int, k int, exact boolean, key long, slots array<long>"
+_HITS_ARROW = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("n_tokens", pa.int32()), ("k", pa.int32()), ("exact", pa.bool_()), ("key", pa.int64()), ("slots", pa.list_(pa.int64()))])
+
+
+def _readings(tokens: _Tokens, core: np.ndarray, key: np.ndarray, value: np.ndarray, k: int):
+    """(exact, first tokens of windows, hashes, slots or None) for each reading of the windows of k tokens.
+
+    A name at the beginning of a window is read as a plain word too: an item's first word has a capital by its place.
+    """
+    whole = np.flatnonzero(tokens.whole(k))
+
+    def hashes(first: np.ndarray, rest: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if k == 1:
+            return mix(first[at])
+        return mix(mix(first[at]) * (_EXACT | np.uint64(1)) + rest[at + 1] + np.uint64(k))
+
+    if k <= WINDOW or k == RUN:
+        yield True, whole, hashes(core, tokens.windows(core, k - 1) if k > 1 else core, whole) ^ _EXACT, None
+    if 3 <= k <= WINDOW:
+        rest = tokens.windows(key, k - 1)
+        plain = np.r_[0, np.cumsum(value == 0)]
+        words = plain[whole + k] - plain[whole]
+        least = min(LEAST_WORDS, k)
+        at = whole[words >= least]
+        yield False, at, hashes(key, rest, at), value[at[:, None] + np.arange(k)[None, :]]
+        at = whole[(words + 1 >= least) & (key[whole] == _NAME)]
+        slots = value[at[:, None] + np.arange(k)[None, :]]
+        slots[:, :1] = 0
+        yield False, at, hashes(core, rest, at), slots
 
 
 def _windows(lengths: tuple[int, ...], wanted: np.ndarray | None):
@@ -110,30 +142,30 @@ def _windows(lengths: tuple[int, ...], wanted: np.ndarray | None):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, _, body, rows in pieces(batch.column(1)):
-                words, key, value, token = templates(body, rows)
+                words, core, key, value, token = templates(body, rows)
                 tokens = _Tokens(words, token)
                 count = np.diff(tokens.first)
-                plain = np.r_[0, np.cumsum(value == 0)]
                 for k in lengths:
-                    h = mix(tokens.windows(key, k) + np.uint64(k))
-                    good = tokens.whole(k)
-                    at = np.flatnonzero(good)
-                    at = at[plain[at + k] - plain[at] >= min(LEAST_WORDS, k)]
-                    if wanted is not None:
-                        if not len(wanted):
+                    for exact, at, h, slots in _readings(tokens, core, key, value, k):
+                        if wanted is not None:
+                            if not len(wanted):
+                                continue
+                            place = np.searchsorted(wanted, h)
+                            place[place == len(wanted)] = 0
+                            found = wanted[place] == h
+                            at, h, slots = at[found], h[found], None if exact else slots[found]
+                        if not len(at):
                             continue
-                        place = np.searchsorted(wanted, h[at])
-                        place[place == len(wanted)] = 0
-                        at = at[wanted[place] == h[at]]
-                    if not len(at):
-                        continue
-                    slots = value[at[:, None] + np.arange(k)[None, :]]
-                    offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * k)
-                    row = tokens.row[at]
-                    yield pa.record_batch(
-                        [pa.array(ids[first + row]), pa.array((at - tokens.first[row]).astype(np.int32)), pa.array(count[row].astype(np.int32)), pa.array(h[at].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(slots.reshape(-1).view(np.int64)))],
-                        schema=_HITS_ARROW,
-                    )
+                        offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * (0 if exact else k))
+                        flat = pa.array([] if exact else slots.reshape(-1).view(np.int64), pa.int64())
+                        row = tokens.row[at]
+                        yield pa.record_batch(
+                            [
+                                pa.array(ids[first + row]), pa.array((at - tokens.first[row]).astype(np.int32)), pa.array(count[row].astype(np.int32)),
+                                pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), exact)), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(offsets, flat),
+                            ],
+                            schema=_HITS_ARROW,
+                        )
 
     return windows
 
@@ -142,7 +174,7 @@ def _tokens_of(items: DataFrame) -> DataFrame:
     def count(batches):
         for batch in batches:
             for first, end, body, rows in pieces(batch.column(1)):
-                words, _, _, token = templates(body, rows)
+                words, *_, token = templates(body, rows)
                 yield pa.record_batch([batch.column(0).slice(first, end - first), pa.array(np.bincount(words.row[token], minlength=end - first).astype(np.int32))], names=["item_id", "n"])
 
     return items.mapInArrow(count, "item_id long, n int")
@@ -151,16 +183,17 @@ def _tokens_of(items: DataFrame) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """(doc_id, item_id, covered, n_tokens) of every document and item whose shared windows cover ``cover`` of the item.
 
-    Items with fewer than ``WINDOW`` template tokens are looked for as one window of their own length, if they have at
-    least three, all of them words. Null and empty texts match nothing; rows with a null id take no part; repeated rows
-    of an id count as one. Other columns are ignored.
+    A verbatim run of ``RUN`` tokens is a leak whatever it covers. Items with fewer than ``WINDOW`` tokens are looked for
+    as one window of their own length: verbatim, and by template if they have at least three tokens and five words (all,
+    if they have fewer). Even an item of a single token matches wherever it stands. Null and empty texts, and texts
+    without a letter or digit, match nothing; rows with a null id take no part; repeated rows of an id count as one. Other
+    columns are ignored.
     """
     as_rows = lambda df, c: df.select(F.col(c).cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
     items, source = as_rows(benchmark, "item_id"), as_rows(docs, "doc_id")
-    sizes = sorted(r["k"] for r in _tokens_of(items).select(F.least("n", F.lit(WINDOW)).alias("k")).where("k >= 3").distinct().collect())
-    lengths = tuple(sizes) or (WINDOW,)
-    keys = items.mapInArrow(_windows(lengths, None), _HITS)
-    keys = keys.where(F.size("slots") == F.least("n_tokens", F.lit(WINDOW)))
+    sizes = {r["n"] for r in _tokens_of(items).select(F.least("n", F.lit(RUN)).alias("n")).where("n >= 1").distinct().collect()}
+    lengths = tuple(sorted({min(n, WINDOW) for n in sizes} | ({RUN} & sizes))) or (WINDOW,)
+    keys = items.mapInArrow(_windows(lengths, None), _HITS).where((F.col("k") == F.least("n_tokens", F.lit(WINDOW))) | (F.col("k") == RUN))
     keys = as_table(keys.select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("n_tokens").alias("item_tokens"), "key", F.col("slots").alias("item_slots")).distinct(), "windows")
     wanted = None
     if keys.count() <= FILTER_KEYS:
@@ -171,9 +204,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> D
     met = met.withColumn("pairs", F.array_distinct(F.filter(pairs, lambda p: p["x"].bitwiseAND(_NAMED) != 0)))
     distinct = lambda f: F.size(F.array_distinct(F.transform("pairs", lambda p: p[f])))
     met = met.where((distinct("x") == F.size("pairs")) & (distinct("y") == F.size("pairs")))
-    met = met.groupBy("doc_id", "item_id").agg(F.max("item_tokens").alias("n_tokens"), F.collect_set(F.struct(F.col("item_pos").alias("a"), F.size("slots").alias("k"))).alias("at"))
+    met = met.groupBy("doc_id", "item_id").agg(F.max("item_tokens").alias("n_tokens"), F.max((F.col("exact") & (F.col("k") == RUN))).alias("run"), F.collect_set(F.struct(F.col("item_pos").alias("a"), "k")).alias("at"))
     met = met.withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p["a"], p["a"] + p["k"] - 1))))))
-    return met.where(F.col("covered") >= F.col("n_tokens") * cover).select("doc_id", "item_id", "covered", "n_tokens")
+    return met.where(F.col("run") | (F.col("covered") >= F.col("n_tokens") * cover)).select("doc_id", "item_id", "covered", "n_tokens")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:

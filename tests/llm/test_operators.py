@@ -78,6 +78,16 @@ def test_leaks_with_conflicting_slots(spark):
     assert _leaks(spark, "so Anna met Ben when Anna left there", "so Cora met Dan when Cora left there", "so Cora met Dan when Eve left there") == [True, False]
 
 
+def test_leaks_short_of_plain_words(spark):
+    assert _leaks(spark, "What is 12 plus 34", "so: what is 12 plus 34?", "what is 13 plus 34") == [True, False]
+    assert _leaks(spark, "Compute 12 + 34 * 5 - 6", "now compute 12 + 34 * 5 - 6 please", "compute 12 + 34") == [True, False]
+    assert _leaks(spark, "Define entropy", "please define entropy.", "entropy define") == [True, False]
+    assert _leaks(spark, "Zymurgy", "about zymurgy", "about yeast") == [True, False]
+    assert _leaks(spark, "Farmers keep 3 goats and 5 grey sheep", "we say Farmers keep 3 goats and 5 grey sheep", "we say Farmers keep 7 goats and 9 grey sheep", "we say Farmers keep 7 goats or 9 grey sheep") == [True, True, False]
+    words = [f"w{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(59)]
+    assert _leaks(spark, " ".join(words), "x " + " ".join(words[20:33]) + " y", " ".join(words[20:32]) + " y", " ".join(words[20:49])) == [True, False, True]
+
+
 def test_best_fit_is_gapless_and_bounded():
     sizes = [700, 300, 24, 512, 512, 1000, 1, 1023, 5]
     seq, off = packing.best_fit(sizes, 1024, open_=2)
