@@ -5,8 +5,8 @@ and trigrams (hashed) and its place in a lexicon of frequent words; between neig
 Forward-backward gives every word its label distribution, in code-switched text too; a document's language is the label
 with the largest share of its words.
 
-The field is fitted on the driver, on a bounded sample of labelled rows (``SAMPLE_ROWS`` a language, none above
-``SAMPLE_BYTES`` bytes), spliced so that labels change within a sequence. Prediction runs on the executors over whole
+The field is fitted on the driver, on a bounded sample of labelled rows (``SAMPLE_ROWS`` a language; of a text
+longer than ``SAMPLE_BYTES`` bytes a span of words of that size), spliced so that labels change within a sequence. Prediction runs on the executors over whole
 texts. Long texts are cut into blocks of words whose transfer matrices are combined in order, so that the sums over a
 text are exact while numpy works on all blocks of a piece at once.
 
@@ -29,7 +29,10 @@ from .words import Words, mix, pieces, span_hashes
 
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 8000
-MAX_LANGUAGES = 64
+#: All sampled text; with many languages the spans get shorter.
+SAMPLE_TOTAL = 32_000_000
+#: With more labelled languages fit_on raises an error: transfer matrices and weights grow with their number.
+MAX_LANGUAGES = 128
 BUCKETS = 1 << 15
 LEXICON_LEAST = 3
 FLOOR, FLOOR_SHARE, FLOOR_ROWS = 0.4, 0.6, 50
@@ -195,10 +198,11 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> Field:
             beta[:, t] /= beta[:, t].sum(1, keepdims=True)
         gamma = alpha * beta
         gamma /= gamma.sum(2, keepdims=True)
-        pair = alpha[:, :-1, :, None] * a[None, None] * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
+        before, behind = alpha[:, :-1].reshape(-1, n), (e[:, 1:] * beta[:, 1:]).reshape(-1, n)
+        before = before / ((before @ a) * behind).sum(1, keepdims=True)
+        pair = a * (before.T @ behind)
         truth = np.eye(n)[y[pick]]
-        move_grad = np.einsum("bti,btj->ij", truth[:, :-1], truth[:, 1:]) - pair.sum((0, 1)) - 1e-2 * field.move
+        move_grad = np.einsum("bti,btj->ij", truth[:, :-1], truth[:, 1:]) - pair - 1e-2 * field.move
         error = np.zeros((len(uniq), n))
         for c in range(n):
             error[:, c] = np.bincount(inner.reshape(-1), (truth - gamma)[:, :, c].reshape(-1), len(uniq))
@@ -271,12 +275,12 @@ def label_shares(field: Field, piece: _Piece) -> np.ndarray:
     lettered[inside] = piece.lettered[at]
     moved = inside[:, :, None]
     # Transfer matrices of the blocks.
-    f = np.broadcast_to(np.eye(n), (total, n, n)).copy()
-    for t in range(BLOCK):
-        live = int(inside[t].sum())
-        if not live:
-            break
-        f = np.where(moved[t][:, :, None], (f @ a) * e[t][:, None, :], f)
+    long = np.flatnonzero(blocks[block_row] > 1)  # a row of one block needs none
+    slot = np.zeros(total, np.int64)
+    slot[long] = np.arange(len(long))
+    f = np.broadcast_to(np.eye(n), (len(long), n, n)).copy()
+    for t in range(BLOCK if len(long) else 0):
+        f = np.where(moved[t][long][:, :, None], (f @ a) * e[t][long][:, None, :], f)
         if t % 4 == 3:
             f /= f.max((1, 2), keepdims=True)
     # What enters a block from the left, and from the right.
@@ -284,11 +288,11 @@ def label_shares(field: Field, piece: _Piece) -> np.ndarray:
     last = blocks[block_row] - 1
     for k in range(1, int(blocks.max())):
         here = np.flatnonzero(block_no == k)
-        v = np.einsum("bi,bij->bj", left[here - 1], f[here - 1])
+        v = np.einsum("bi,bij->bj", left[here - 1], f[slot[here - 1]])
         left[here] = v / v.sum(1, keepdims=True)
     for k in range(int(blocks.max()) - 2, -1, -1):
         here = np.flatnonzero((block_no == k) & (last > k))
-        v = np.einsum("bij,bj->bi", f[here + 1], right[here + 1])
+        v = np.einsum("bij,bj->bi", f[slot[here + 1]], right[here + 1])
         right[here] = v / v.sum(1, keepdims=True)
     alpha = np.empty((BLOCK, total, n))
     v = left
@@ -316,7 +320,7 @@ def _predict(field: Field):
         for batch in batches:
             names = batch.schema.names
             some = batch.column("__lettered").to_numpy(zero_copy_only=False)
-            for first, end, body, rows in pieces(batch.column("__text"), 2_000_000):
+            for first, end, body, rows in pieces(batch.column("__text"), 8_000_000 // max(4, len(field.labels))):
                 shares = label_shares(field, _Piece(body, rows))
                 best = shares.argmax(1)
                 score = shares[np.arange(len(best)), best]
@@ -346,25 +350,36 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
-def _sample(labelled: DataFrame, rows: int) -> list:
-    """(text, lang) of the rows with the smallest hashes, so many a language."""
+def _sample(labelled: DataFrame, rows: int, size: int) -> list:
+    """(text, lang) of the rows with the smallest hashes, so many a language; of long texts a span of words of ``size`` bytes."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
-    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(MAX_LANGUAGES).collect())
-    ids = chosen.where(F.col("lang").isin(langs)).select("doc_id")
-    return labelled.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id", "lang", "text").limit(rows * MAX_LANGUAGES).select("text", "lang").collect()
+    chosen = labelled.select("doc_id", "lang").withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= rows).select("doc_id", "lang").distinct()
+    take = F.greatest(F.floor(F.lit(size) * F.length("text") / F.octet_length("text")), F.lit(1)).cast("int")
+    begin = (F.pmod(F.xxhash64("doc_id"), F.length("text") - take + 1) + 1).cast("int")
+    span = F.substring("text", begin, take)
+    words = F.regexp_replace(span, r"^\S*\s+|\s+\S*$", "")  # without the halves of words at both ends
+    words = F.when(words.rlike(r"\S"), words).otherwise(span)
+    labelled = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").withColumn("text", F.when(F.octet_length("text") > size, words).otherwise(F.col("text")))
+    return labelled.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id", "lang").select("text", "lang").collect()
 
 
 def fit_on(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field | None:
-    """Fit on the rows with the smallest hashes among the labelled ones outside the held-out fold; None without any."""
-    documents = docs.where("lang is not null and doc_id is not null").where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    sample = _sample(documents.where(fold() != 2), rows)
+    """Fit on the rows with the smallest hashes among the labelled ones outside the held-out fold; None without any.
+
+    Every language with a text outside the held-out fold is learned; more than ``MAX_LANGUAGES`` raise a ValueError.
+    """
+    documents = docs.where("lang is not null and doc_id is not null").where(F.octet_length("text") >= 1)
+    many = len(documents.where(fold() != 2).select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if many > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labelled languages")
+    size = min(SAMPLE_BYTES, SAMPLE_TOTAL // (rows * max(many, 1)))
+    sample = _sample(documents.where(fold() != 2), rows, size)
     if not sample:
         return None
     field = fit([r["text"] for r in sample], [r["lang"] for r in sample])
-    check = _sample(documents.where(fold() == 2), FLOOR_ROWS)
+    check = _sample(documents.where(fold() == 2).where(F.col("lang").isin(field.labels)), FLOOR_ROWS, size)
     missing = set(field.labels) - {r["lang"] for r in check}  # for these the fitted rows have to do
-    check = [r for r in check if r["lang"] in field.labels] + [r for r in sample if r["lang"] in missing]
+    check = check + [r for r in sample if r["lang"] in missing]
     return set_floor(field, [r["text"] for r in check], [r["lang"] for r in check])
 
 

@@ -123,6 +123,21 @@ def test_language(spark, docs, nothing):
     assert language_crf.identify_language(nothing, model).count() == 0
 
 
+def test_all_languages_are_learned(spark):
+    from hashlib import sha256
+
+    words = {f"l{i:02d}": [sha256(f"{i} {j}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:7] for j in range(12)] for i in range(66)}
+    rows = [(len(words) * k + i, " ".join(w * 3), c) for k in range(9) for i, (c, w) in enumerate(words.items())]
+    rows += [(1000 + k, " ".join(["mielo", "tarvu", "sinepo", "lokka"] * 600), "long") for k in range(8)]
+    model = language_crf.fit_on(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.labels == sorted([*words, "long"])
+    got = language_crf.identify_language(spark.createDataFrame([(1, "tarvu mielo lokka sinepo tarvu")], "doc_id long, text string"), model).first()
+    assert got.lang_pred == "long"
+    many = spark.range(2000).selectExpr("id as doc_id", "'some text' as text", "cast(id % 300 as string) as lang")
+    with pytest.raises(ValueError):
+        language_crf.fit_on(many)
+
+
 def test_language_stage_rejects_unknown_languages(spark):
     import corpus_pipeline
 
