@@ -41,7 +41,6 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keys = np.zeros(0, np.uint64)
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint16)
