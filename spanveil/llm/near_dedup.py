@@ -8,11 +8,13 @@ mostly occur once are skipped without merging. Postings of one pair name candida
 on whole signatures, and those that reach the match threshold are confirmed on whole sets.
 
 Links are wanted for their components. A posting list of m classes is therefore not turned into m * m pairs:
-all members are compared with one hub, the class with the most common signature; lists whose members are connected
-by now are finished. For the members of the others the shingles that occur in one component only are counted: a link
-to another component shares none of them, which bounds its similarity. Members that the bound parts from all of their
-list leave it, and the rest are compared with more hubs a round (only across components, and where the bound allows a
-link) until every member of an unfinished list was a hub. No list is cut, so no link between components is lost.
+all members are compared with one hub, the class with the most common signature, round after round while long lists
+gain links by it; lists whose members are connected by then are finished. For the members of the others the shingles
+that occur in one component only are counted: a link to another component shares none of them, which bounds its
+similarity. Members that the bound parts from all of their list leave it. Lists that share members are one group by
+now; a group is dealt into blocks of bounded size, and a task compares the signatures of two blocks, confirms on whole
+sets, and keeps one link for each two components that it joins: no pair of classes is a row. No list is cut, so no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -30,11 +32,15 @@ from .words import Words, mix, pieces
 
 COORDINATES = 64
 #: Bytes of text that a task signs at one time: signing holds a dozen arrays of eight bytes a byte of text.
-PIECE = 1_500_000
+PIECE = 1_000_000
 #: A pair of sets at the threshold is missed with at most this probability.
 MISS = 1e-6
 #: Ids of candidate classes are broadcast up to this many rows (16 MB); beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Lists of more classes than this are compared with one hub after the other while that links any.
+HUB_LIST = 4096
+#: Classes, and shingles on average, of a block.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
 
 _SEEDS = np.random.default_rng(97).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -141,9 +147,9 @@ def _confirmed(num: int, den: int):
 
 
 def _unfinished(lists: DataFrame) -> DataFrame:
-    """Members of lists that hold several components and some class that was no hub yet."""
-    open_ = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(~F.col("hubbed")).alias("more"))
-    return lists.join(open_.where("lo < hi and more").select("token"), "token", "left_semi")
+    """Members of lists that hold several components."""
+    open_ = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return lists.join(open_.where("lo < hi").select("token"), "token", "left_semi")
 
 
 def _each(batches):
@@ -162,6 +168,80 @@ def _common_sizes(members: DataFrame, sets: DataFrame) -> DataFrame:
     return each.join(met, "s").groupBy("rep").agg(F.count("*").alias("n"), F.count_if("met").alias("common"))
 
 
+def linked(rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, start: np.ndarray, shingles: np.ndarray, left: np.ndarray, right: np.ndarray, least: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between rows of ``left`` and ``right`` that join two components: enough collisions, and confirmed on whole sets.
+
+    Row r has the sorted distinct shingles[start[r]:start[r + 1]]. A link is left out where earlier ones join its
+    components already, so there are fewer links than components.
+    """
+    size = np.diff(start)
+    number = np.unique(shingles, return_inverse=True)[1]
+    mark = np.zeros(len(shingles), bool)
+    label, found = comp.copy(), []
+    for x in left:
+        y = right[(label[right] != label[x]) & (den * np.minimum(size[right], size[x]) >= num * np.maximum(size[right], size[x]))]
+        y = y[(sig[y] == sig[x]).sum(1) >= least]
+        if not len(y):
+            continue
+        own = number[start[x] : start[x + 1]]
+        mark[own] = True
+        if len(y) > 16:
+            both = np.add.reduceat(mark[number], start[:-1], dtype=np.int64)[y]
+        else:
+            both = np.array([np.count_nonzero(mark[number[start[r] : start[r + 1]]]) for r in y])
+        mark[own] = False
+        for r in y[den * both >= num * (size[x] + size[y] - both)]:
+            if label[r] != label[x]:
+                found.append((int(rep[x]), int(rep[r])))
+                label[label == label[r]] = label[x]
+    return found
+
+
+def _compare(least: int, num: int, den: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(table):
+        table = table.combine_chunks().sort_by([("group", "ascending"), ("rep", "ascending")])
+        group, rep, comp, block = (table.column(c).to_numpy() for c in ("group", "rep", "comp", "block"))
+        first = table.column("i")[0].as_py() if table.num_rows else 0
+        last = table.column("j")[0].as_py() if table.num_rows else 0
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+        sets = table.column("hashes").combine_chunks()
+        at = np.r_[0, np.cumsum(sets.value_lengths().to_numpy())]
+        shingles = sets.flatten().to_numpy()
+        edge = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)] if len(group) else np.zeros(1, int)
+        found = []
+        for a, b in zip(edge[:-1], edge[1:]):
+            rows, one = np.arange(b - a), block[a:b]
+            left, right = (rows, rows) if first == last else (rows[one == first], rows[one == last])
+            found += linked(rep[a:b], comp[a:b], sig[a:b], at[a : b + 1] - at[a], shingles[at[a] : at[b]], left, right, least, num, den)
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=schema)
+
+    return compare
+
+
+def _within_groups(lists: DataFrame, sets: DataFrame, sizes: DataFrame, classes: DataFrame, least: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the components of lists (token, rep, comp) that share members."""
+    star = lists.groupBy("token").agg(F.min("rep").alias("b"))
+    groups = components(lists.join(star, "token").select(F.col("rep").alias("a"), "b")).select(F.col("node").alias("rep"), F.col("label").alias("group"))
+    members = as_table(lists.select("rep", "comp").distinct().join(groups, "rep").join(sizes.select("rep", "n"), "rep"), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    members = members.join(members.groupBy("group").agg(blocks.alias("blocks")), "group")
+    load = members.agg(F.count("*").alias("m"), F.sum("n").alias("n")).first()
+    buckets = load["m"] // BLOCK_ROWS + (load["n"] or 0) // BLOCK_SHINGLES + 1
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = members.select("group", "rep", "comp", "blocks", block.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lone = F.col("blocks") == 1  # groups of one block share tasks
+    home = F.when(lone, F.pmod(F.xxhash64("group"), F.lit(buckets))).otherwise(F.col("group"))
+    dealt = dealt.select("group", "rep", "comp", "block", lone.alias("lone"), home.alias("home"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = dealt.join(classes.select("rep", "sig"), "rep").join(sets, "rep")
+    return rows.groupBy("lone", "home", "i", "j").applyInArrow(_compare(least, num, den), "a long, b long")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return as_table(components(links).select(F.col("node").alias("rep"), F.col("label").alias("comp")), "known")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Components of documents whose shingle sets have den * |both| >= num * |either|.
 
@@ -182,53 +262,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     often = pairs.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     shared = pairs.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ts"), F.sum("n").alias("score")).where(F.size("ts") >= least)
     prefix = F.transform(F.slice("ts", F.lit(1), F.size("ts") - (least - 1)), lambda t: t["token"])
-    wide = as_table(shared.select("rep", "score", prefix.alias("prefix")).join(classes.select("rep", "sig"), "rep"), "prefixes")
-    lists = as_table(wide.select("rep", "score", F.explode("prefix").alias("token"), F.lit(False).alias("hubbed")), "postings")
+    wide = as_table(shared.select("rep", "score", prefix.alias("prefix")), "prefixes")
+    lists = as_table(wide.select("rep", "score", F.explode("prefix").alias("token")).join(classes.select("rep", "n_shingles"), "rep").withColumnRenamed("n_shingles", "n"), "postings")
 
     chosen = F.broadcast(wide.select("rep")) if wide.count() <= BROADCAST_ROWS else wide.select("rep")
     sets = as_table(source.withColumnRenamed("doc_id", "rep").join(chosen, "rep").dropDuplicates(["rep"]).select("rep", "text").mapInArrow(_sets(words), "rep long, hashes array<long>"), "sets")
 
-    known = None  # (rep, comp) of the classes that have links
-    links = open_sizes = None
-    hubs = 1
-    while not lists.isEmpty():
+    links = known = None  # known: (rep, comp) of the classes that have links
+    tried = lists.select("token", "rep").limit(0)  # the hubs of all rounds
+    while True:
         here = lists.withColumn("comp", F.col("rep")) if known is None else lists.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        here = _unfinished(here.select("token", "rep", "score", "hubbed", "comp"))
-        if hubs == 1:
-            here = as_table(here.join(classes.select("rep", "n_shingles"), "rep").withColumnRenamed("n_shingles", "n").withColumn("common", F.col("n")), "lists")
-        else:
-            if open_sizes is None:
-                open_sizes = as_table(_common_sizes(as_table(here.select("rep", "comp").distinct(), "open"), sets), "sizes")
-            here = as_table(here.join(open_sizes, "rep"), "lists")
-            least_n = here.groupBy("token").agg(F.min("n").alias("least_n"))
-            may = f"{den} * common >= {num} * (n + greatest(least_n, common) - common)"
-            here = as_table(_unfinished(here.join(least_n, "token").where(may).drop("least_n")), "lists")
-        central = F.struct((-F.col("score")).alias("score"), "rep", "comp", "n", "common")
-        hub = here.where("not hubbed").groupBy("token", F.pmod(F.xxhash64("rep"), F.lit(hubs)).alias("h")).agg(F.min(central).alias("hub"))
-        hub = as_table(hub.select("token", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("rep", "comp", "n", "common")]), "hubs")
-        # Both bounds: no more shared shingles than either class has outside its component; sizes alone.
-        both = "least(common, hub_common)"
-        may = f"hub_comp <> comp and {den} * {both} >= {num} * (n + hub_n - {both})"
-        if hubs > 1:  # a pair is tried in its first common list only, where enough coordinates collide, and confirmed on the spot
-            own = wide.select("rep", "prefix", "sig").join(sets, "rep")
-            here_, hub_ = here.join(own, "rep"), hub.join(own.select(*[F.col(c).alias(f"hub_{c}") for c in own.columns]), "hub_rep")
-            first = "element_at(filter(prefix, t -> array_contains(hub_prefix, t)), 1) = token"
-            met = here_.join(hub_.withColumnRenamed("token", "hub_token"), F.expr(f"token = hub_token and {may} and {first} and size(filter(zip_with(sig, hub_sig, (x, y) -> x = y), e -> e)) >= {least} and size(array_intersect(hashes, hub_hashes)) * {den + num} >= {num} * (n + hub_n)"))
-        else:
-            met = here.join(hub, "token").where(may)
-        found = met.select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct()
+        here = as_table(_unfinished(here), "lists")
+        longest = here.groupBy("token").count().agg(F.max("count")).first()[0]
+        if longest is None or links is not None and (longest <= HUB_LIST or not gained):
+            break
+        central = F.struct((-F.col("score")).alias("score"), "rep", "comp", "n")
+        hub = here.join(tried, ["token", "rep"], "left_anti").groupBy("token").agg(F.min(central).alias("hub"))
+        hub = as_table(hub.select("token", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("rep", "comp", "n")]), "hubs")
+        met = here.join(hub, "token").where(f"hub_comp <> comp and {den} * least(n, hub_n) >= {num} * greatest(n, hub_n)")
+        pairs = met.select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct()
         of = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"))
-        tried = found.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_colliding(least), "a long, b long")
+        pairs = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_colliding(least), "a long, b long")
         whole = lambda x: sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"set_{x}"))
-        sure = found if hubs > 1 else tried.join(whole("a"), "a").join(whole("b"), "b").mapInArrow(_confirmed(num, den), "a long, b long")
-        new = as_table(sure, "links")
+        new = as_table(pairs.join(whole("a"), "a").join(whole("b"), "b").mapInArrow(_confirmed(num, den), "a long, b long"), "links")
+        gained = not new.isEmpty()
         links = new if links is None else links.unionByName(new)
-        if not new.isEmpty():
-            found = components(links)
-            known = as_table(found.select(F.col("node").alias("rep"), F.col("label").alias("comp")), "known")
-        was = hub.select("token", F.col("hub_rep").alias("rep"), F.lit(True).alias("was"))
-        lists = as_table(here.join(was, ["token", "rep"], "left").select("rep", "score", "token", (F.col("hubbed") | F.coalesce("was", F.lit(False))).alias("hubbed")), "postings")
-        hubs *= 64
+        tried = tried.unionByName(hub.select("token", F.col("hub_rep").alias("rep")))
+        if gained:
+            known = _labels(links)
+
+    if longest is not None:
+        sizes = as_table(_common_sizes(here.select("rep", "comp").distinct(), sets), "sizes")
+        here = as_table(here.drop("n").join(sizes, "rep"), "lists")
+        # No more shared shingles than a class has outside its component.
+        may = f"{den} * common >= {num} * (n + greatest(least_n, common) - common)"
+        here = here.join(here.groupBy("token").agg(F.min("n").alias("least_n")), "token").where(may)
+        here = as_table(_unfinished(here), "lists")
+        if not here.isEmpty():
+            new = as_table(_within_groups(here, sets, sizes, classes, least, num, den), "links")
+            if not new.isEmpty():
+                known = _labels(links.unionByName(new))
 
     keyed = classes.select("rep", *same)
     if known is not None:
