@@ -313,6 +313,12 @@ def label_shares(field: Field, piece: _Piece) -> np.ndarray:
     return np.divide(shares, whole, out=np.zeros_like(shares), where=whole > 0)
 
 
+def _share(field: Field) -> tuple[int, int]:
+    """Bytes and rows of a piece: a row takes ``BLOCK`` places at least, a place some hundred bytes for four labels."""
+    many = max(4, len(field.labels))
+    return 4_000_000 // many, max(16, 12_000 // many)
+
+
 def _predict(field: Field):
     """Append lang_pred and score to batches whose last two columns are __text and __lettered."""
 
@@ -320,7 +326,7 @@ def _predict(field: Field):
         for batch in batches:
             names = batch.schema.names
             some = batch.column("__lettered").to_numpy(zero_copy_only=False)
-            for first, end, body, rows in pieces(batch.column("__text"), 8_000_000 // max(4, len(field.labels))):
+            for first, end, body, rows in pieces(batch.column("__text"), *_share(field)):
                 shares = label_shares(field, _Piece(body, rows))
                 best = shares.argmax(1)
                 score = shares[np.arange(len(best)), best]
@@ -339,7 +345,7 @@ def _learned(field: Field):
 
     def learned(batches):
         for batch in batches:
-            own = [foreign(field, _Piece(body, rows)) for _, _, body, rows in pieces(batch.column("__text"), 2_000_000)]
+            own = [foreign(field, _Piece(body, rows)) for _, _, body, rows in pieces(batch.column("__text"), *_share(field))]
             if own:
                 yield batch.select(batch.schema.names[:-1]).filter(pa.array(~np.concatenate(own)))
 

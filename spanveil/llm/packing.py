@@ -27,23 +27,22 @@ from .words import pieces, span_hashes
 OPEN = 16_384
 #: Rests of a packing group, on average: one task's work, however many documents there are.
 GROUP = 8_000
-#: Encoded parts that a worker keeps (about 16 bytes each and 2 a token).
-KEPT_PARTS = 1_500_000
+#: Encoded parts that a worker keeps (16 bytes each and 2 to 4 a token).
+KEPT_PARTS = 500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
 class _Encoder:
-    """Token ids of text parts by their hashes."""
+    """Token ids of text parts by their hashes, kept in sorted segments of doubling sizes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keys = np.zeros(0, np.uint64)
-        self.starts = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint16)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, start offsets, ids
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -54,28 +53,38 @@ class _Encoder:
 
     def look_up(self, keys: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
         """(start offsets, ids) of sorted distinct keys; ``text_of(i)`` gives the text of key i."""
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        have = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        new = np.flatnonzero(~have)
-        coded = self.encode([text_of(i) for i in new])
-        size = np.zeros(len(keys), np.int64)
-        size[have] = self.starts[at[have] + 1] - self.starts[at[have]]
-        size[new] = [len(x) for x in coded]
+        size, sources, left = np.zeros(len(keys), np.int64), [], np.arange(len(keys))
+        for known, starts, ids in self.kept:
+            at = np.searchsorted(known, keys[left])
+            at[at == len(known)] = 0
+            have = known[at] == keys[left]
+            mine, at = left[have], at[have]
+            size[mine] = starts[at + 1] - starts[at]
+            sources.append((mine, ids, starts[at]))
+            left = left[~have]
+        coded = self.encode([text_of(i) for i in left])
+        size[left] = [len(x) for x in coded]
+        fresh = np.fromiter((t for x in coded for t in x), self.kind, int(size[left].sum()))
+        begin = np.r_[0, np.cumsum(size[left])]
+        sources.append((left, fresh, begin[:-1]))
         starts = np.r_[0, np.cumsum(size)]
-        ids = np.zeros(starts[-1], np.uint16)
-        fresh = np.fromiter((t for x in coded for t in x), np.uint16, int(size[new].sum()))
-        ids[_runs(starts[:-1][new], size[new])] = fresh
-        ids[_runs(starts[:-1][have], size[have])] = self.ids[_runs(self.starts[at[have]], size[have])]
-        if len(new) and len(self.keys) + len(new) <= KEPT_PARTS:
-            order = np.argsort(np.r_[self.keys, keys[new]], kind="stable")
-            sizes = np.r_[np.diff(self.starts), size[new]]
-            begins = np.r_[self.starts[:-1], len(self.ids) + np.r_[0, np.cumsum(size[new])][:-1]]
-            pool = np.r_[self.ids, fresh]
-            self.keys = np.r_[self.keys, keys[new]][order]
-            self.ids = pool[_runs(begins[order], sizes[order])]
-            self.starts = np.r_[0, np.cumsum(sizes[order])]
-        return starts, ids
+        out = np.zeros(starts[-1], self.kind)
+        for mine, ids, first in sources:
+            out[_runs(starts[:-1][mine], size[mine])] = ids[_runs(first, size[mine])]
+        self.keep(keys[left], begin, fresh)
+        return starts, out
+
+    def keep(self, keys: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> None:
+        """Add a sorted segment; smaller ones before it are merged into it."""
+        if not len(keys) or len(keys) + sum(len(k) for k, *_ in self.kept) > KEPT_PARTS:
+            return
+        while self.kept and len(self.kept[-1][0]) <= 2 * len(keys):
+            other, first, more = self.kept.pop()
+            size, begin = np.r_[np.diff(first), np.diff(starts)], np.r_[first[:-1], len(more) + starts[:-1]]
+            order = np.argsort(np.r_[other, keys], kind="stable")
+            keys, ids = np.r_[other, keys][order], np.r_[more, ids][_runs(begin[order], size[order])]
+            starts = np.r_[0, np.cumsum(size[order])]
+        self.kept.append((keys, starts, ids))
 
 
 def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:

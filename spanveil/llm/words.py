@@ -13,7 +13,11 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a task holds as numpy arrays at one time; a longer row is a piece of its own.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
+#: Rows of a piece at most.
+PIECE_ROWS = 1 << 14
+#: Powers that a worker keeps from piece to piece (32 MB a base); those of a longer row are made anew.
+KEPT_POWERS = 1 << 21
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,12 +51,15 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(int(base))
     if have is None or len(have[0]) < n:
         n = max(n, 1 << 16)
+        n = 1 << (n - 1).bit_length() if n <= KEPT_POWERS else n
         out = []
         for b in (base, _inverse(base)):
             a = np.full(n, b, np.uint64)
             a[0] = 1
             out.append(np.cumprod(a, dtype=np.uint64))
-        _POWERS[int(base)] = have = (out[0], out[1])
+        have = (out[0], out[1])
+        if n <= KEPT_POWERS:
+            _POWERS[int(base)] = have
     return have
 
 
@@ -73,13 +80,13 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, row offsets) of runs of whole rows of about ``limit`` bytes."""
+def pieces(column: pa.Array, limit: int = PIECE_BYTES, most: int = PIECE_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, row offsets) of runs of at most ``most`` whole rows of about ``limit`` bytes."""
     body, at = column_bytes(column)
     first, rows = 0, len(at) - 1
     while first < rows:
         end = int(np.searchsorted(at, at[first] + limit, "right")) - 1
-        end = min(rows, max(first + 1, end))
+        end = min(rows, first + most, max(first + 1, end))
         yield first, end, body[at[first] : at[end]], at[first : end + 1] - at[first]
         first = end
 
