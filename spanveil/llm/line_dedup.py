@@ -153,7 +153,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*kept).alias("row"), F.col("doc_id").cast("long").alias("doc"), text.alias("text"))
-    out = rows.join(_small(gone, "1 + size(gone) div 4"), "doc", "left").select("row", "text", F.split("text", "\n").alias("lines"), "gone")
+    out = rows.join(_small(gone, "2 + size(gone)"), "doc", "left").select("row", "text", F.split("text", "\n").alias("lines"), "gone")
     return out.select(
         *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("lines"), F.col("gone"))).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept],
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
