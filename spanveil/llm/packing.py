@@ -5,10 +5,11 @@ between two other characters: no token of the byte-level vocabulary reaches over
 parts are the tokens of the text. Each distinct part of a piece of rows is encoded once, and a bounded table of
 encoded parts lives on in the worker.
 
-Rests of documents are dealt by hash into packing groups of about ``GROUP`` rests. In a group they arrive longest
-first, and each goes to the open sequence with the least free space that still holds it; open sequences are found in a
-bit set keyed by free space. At most ``OPEN`` sequences are open: when one more is needed, the fullest closes. ``OPEN``
-is above ``GROUP``, so a group of the usual size closes none early. Full pieces are sequences of their own.
+Rests of documents are dealt by hash into packing groups of about ``GROUP`` rests, in which they arrive in the order of the
+hash. The packer reads ``AHEAD`` of them at a time and places these longest first, each into the open sequence with the
+least free space that still holds it; open sequences are found in a bit set keyed by free space. At most ``OPEN`` sequences
+are open, whatever the size of the group: when one more is needed, the fullest closes. Full pieces are sequences of their
+own.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from .shared import as_table
 from .words import pieces, span_hashes
 
-#: Sequences that a packing group keeps open.
-OPEN = 16_384
+#: Sequences that a packing group keeps open, and rests that it reads ahead.
+OPEN, AHEAD = 1024, 2048
 #: Rests of a packing group, on average: one task's work, however many documents there are.
 GROUP = 8_000
 #: Encoded parts that a worker keeps (16 bytes each and 2 to 4 a token).
@@ -198,7 +199,9 @@ def best_fit(lengths: list[int], room: int, open_: int = OPEN) -> tuple[list[int
 
 def _pack_group(room: int):
     def pack_group(table):
-        table = table.sort_by([("length", "descending"), ("o", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("o", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        arrival = np.arange(table.num_rows)
+        table = table.take(pa.array(np.lexsort((arrival, -table.column("length").to_numpy(), arrival // AHEAD))))
         group = table.column("group")[0].as_py() if table.num_rows else 0
         sequence, offset = best_fit(table.column("length").to_pylist(), room)
         numbers = pa.array(np.array(sequence, np.int64) + (int(group) + 1 << 32))
