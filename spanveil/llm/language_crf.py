@@ -279,8 +279,10 @@ def label_shares(field: Field, piece: _Piece) -> np.ndarray:
     slot = np.zeros(total, np.int64)
     slot[long] = np.arange(len(long))
     f = np.broadcast_to(np.eye(n), (len(long), n, n)).copy()
+    opens = block_no == 0  # no transition leads to the first word of a row
     for t in range(BLOCK if len(long) else 0):
-        f = np.where(moved[t][long][:, :, None], (f @ a) * e[t][long][:, None, :], f)
+        to = f @ a if t else np.where(opens[long][:, None, None], f, f @ a)
+        f = np.where(moved[t][long][:, :, None], to * e[t][long][:, None, :], f)
         if t % 4 == 3:
             f /= f.max((1, 2), keepdims=True)
     # What enters a block from the left, and from the right.
@@ -297,7 +299,7 @@ def label_shares(field: Field, piece: _Piece) -> np.ndarray:
     alpha = np.empty((BLOCK, total, n))
     v = left
     for t in range(BLOCK):
-        w = (v @ a) * e[t]
+        w = (v @ a if t else np.where(opens[:, None], v, v @ a)) * e[t]
         v = np.where(moved[t], w / w.sum(1, keepdims=True), v)
         alpha[t] = v
     summed = np.zeros((total, n))
@@ -356,9 +358,17 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
-def _sample(labelled: DataFrame, rows: int, size: int) -> list:
-    """(text, lang) of the rows with the smallest hashes, so many a language; of long texts a span of words of ``size`` bytes."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+def _sample(labelled: DataFrame, rows: int, size: int, counts: dict[str, int]) -> list:
+    """(text, lang) of the rows with the smallest hashes, so many a language; of long texts a span of words of ``size`` bytes.
+
+    ``counts`` has the rows of each language. Hashes above four times the sample's share are left out before rows are
+    ordered, so a language of any size brings a few rows to the window.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    share = {c: min(1 << 31, -(-(4 * rows << 31) // max(n, 1))) for c, n in counts.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for c, n in share.items() for x in (c, n)]), F.col("lang"))
+    labelled = labelled.where(place < limit)
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= rows).select("doc_id", "lang").distinct()
     take = F.greatest(F.floor(F.lit(size) * F.length("text") / F.octet_length("text")), F.lit(1)).cast("int")
     begin = (F.pmod(F.xxhash64("doc_id"), F.length("text") - take + 1) + 1).cast("int")
@@ -375,15 +385,16 @@ def fit_on(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field | None:
     Every language with a text outside the held-out fold is learned; more than ``MAX_LANGUAGES`` raise a ValueError.
     """
     documents = docs.where("lang is not null and doc_id is not null").where(F.octet_length("text") >= 1)
-    many = len(documents.where(fold() != 2).select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if many > MAX_LANGUAGES:
+    held = (fold() == 2).cast("int")
+    counts = documents.groupBy("lang").agg(F.sum(1 - held).alias("own"), F.sum(held).alias("held")).where("own > 0").limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labelled languages")
-    size = min(SAMPLE_BYTES, SAMPLE_TOTAL // (rows * max(many, 1)))
-    sample = _sample(documents.where(fold() != 2), rows, size)
-    if not sample:
+    if not counts:
         return None
+    size = min(SAMPLE_BYTES, SAMPLE_TOTAL // (rows * len(counts)))
+    sample = _sample(documents.where(fold() != 2), rows, size, {r["lang"]: r["own"] for r in counts})
     field = fit([r["text"] for r in sample], [r["lang"] for r in sample])
-    check = _sample(documents.where(fold() == 2).where(F.col("lang").isin(field.labels)), FLOOR_ROWS, size)
+    check = _sample(documents.where(fold() == 2), FLOOR_ROWS, size, {r["lang"]: r["held"] for r in counts})
     missing = set(field.labels) - {r["lang"] for r in check}  # for these the fitted rows have to do
     check = check + [r for r in sample if r["lang"] in missing]
     return set_floor(field, [r["text"] for r in check], [r["lang"] for r in check])
