@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width
 from .words import Words, joined, pack, pieces
 
+#: Bytes of text of a chunk, on average; there are as many buckets of hashes as chunks, so that both keep their size.
+CHUNK_BYTES = 8_000_000
+
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("doc", pa.binary()), ("key", pa.binary()), ("check", pa.binary()), ("many", pa.binary())])
 _SENT = "bucket int, chunk int, doc binary, key binary, check binary, many binary"
-_REPLY_ARROW = pa.schema([("chunk", pa.int32()), ("key", pa.binary()), ("least", pa.binary())])
-_REPLY = "chunk int, key binary, least binary"
+_REPLY_ARROW = pa.schema([("chunk", pa.int32()), ("key", pa.binary()), ("check", pa.binary()), ("least", pa.binary())])
+_REPLY = "chunk int, key binary, check binary, least binary"
 
 
 def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
@@ -126,7 +128,7 @@ def _reply_repeats(key, table):
     run = np.diff(np.r_[start, len(order)])
     several = several | np.logical_or.reduceat(b.many[order], start)
     at = order[np.repeat(several, run)]
-    return _by_chunk(b.chunk[at], b.key[at], None)
+    return _by_chunk(b.chunk[at], b.key[at], None, None)
 
 
 def _reply_least(key, table):
@@ -137,15 +139,16 @@ def _reply_least(key, table):
         return _table(_REPLY_ARROW, [])
     least = np.repeat(b.doc[order[start]], np.diff(np.r_[start, len(order)]))
     tell = (b.doc[order] > least) | b.many[order]
-    return _by_chunk(b.chunk[order[tell]], b.key[order[tell]], least[tell])
+    at = order[tell]
+    return _by_chunk(b.chunk[at], b.key[at], b.check[at], least[tell])
 
 
-def _by_chunk(chunk: np.ndarray, keys: np.ndarray, least: np.ndarray | None) -> pa.Table:
+def _by_chunk(chunk: np.ndarray, keys: np.ndarray, checks: np.ndarray | None, least: np.ndarray | None) -> pa.Table:
     order = np.argsort(chunk, kind="stable")
     chunk, keys = chunk[order], keys[order]
-    least = None if least is None else least[order]
     cut = np.flatnonzero(np.diff(chunk)) + 1
-    rows = [(int(chunk[a]), pack(keys[a:b]), b"" if least is None else pack(least[a:b])) for a, b in zip(np.r_[0, cut], np.r_[cut, len(chunk)]) if b > a]
+    part = lambda x, a, b: b"" if x is None else pack(x[order[a:b]])
+    rows = [(int(chunk[a]), pack(keys[a:b]), part(checks, a, b), part(least, a, b)) for a, b in zip(np.r_[0, cut], np.r_[cut, len(chunk)]) if b > a]
     return _table(_REPLY_ARROW, rows)
 
 
@@ -158,6 +161,27 @@ def _place(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return wanted[at] == values, at
 
 
+def _least_of(keys: np.ndarray, checks: np.ndarray, known: np.ndarray, known_checks: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each window (key and check) the doc_id that is known for it, else the largest number; known is sorted by key."""
+    out = np.full(len(keys), np.iinfo(np.int64).max)
+    there, at = _place(keys, known)
+    live = np.flatnonzero(there)
+    at = at[live]
+    while len(live):  # entries of one key stand side by side: almost always there is one
+        good = known_checks[at] == checks[live]
+        out[live[good]] = least[at[good]]
+        live, at = live[~good], at[~good] + 1
+        more = at < len(known)
+        live, at = live[more], at[more]
+        more = known[at] == keys[live]
+        live, at = live[more], at[more]
+    return out
+
+
+def _checks(words: Words, hashes: np.ndarray, width: int) -> np.ndarray:
+    return (words.windows(hashes, width, 1) >> np.uint64(32)).astype(np.uint32)
+
+
 def _full_level(half: int, width: int, buckets: int):
     def send(key, docs_table, replies):
         if not docs_table.num_rows or not replies.num_rows:
@@ -170,7 +194,7 @@ def _full_level(half: int, width: int, buckets: int):
             least = _stand_ins(words.windows(h, half), half, width)
             at = np.flatnonzero(words.whole(width) & _place(least, repeats)[0])
             keys.append(words.windows(h, width)[at])
-            checks.append((words.windows(h, width, 1)[at] >> np.uint64(32)).astype(np.uint32))
+            checks.append(_checks(words, h, width)[at])
             docs.append(chunk.ids[words.row[at] + first])
         keys, checks, docs = (np.concatenate(x) for x in (keys, checks, docs))
         order, start, several = _first_of_each(keys, checks, docs)
@@ -211,18 +235,20 @@ def _remove(width: int, with_text: bool):
         if not docs_table.num_rows:
             return schema.empty_table()
         known = joined(replies.column("key").to_pylist(), np.uint64)
+        known_checks = joined(replies.column("check").to_pylist(), np.uint32)
         least = joined(replies.column("least").to_pylist(), np.int64)
-        order = np.argsort(known)
-        known, least = known[order], least[order]
+        order = np.argsort(known, kind="stable")
+        known, known_checks, least = known[order], known_checks[order], least[order]
         out = []
         chunk = _Chunk(docs_table)
         for first, end, words in chunk:
             ids = chunk.ids[first:end]
             keep = np.ones(len(words.start), bool)
             if len(known) and len(keep):
-                there, at = _place(words.windows(words.hashes(), width), known)
-                gone = np.flatnonzero(there & words.whole(width))
-                gone = gone[ids[words.row[gone]] > least[at[gone]]]
+                h = words.hashes()
+                whole = np.flatnonzero(words.whole(width))
+                first = _least_of(words.windows(h, width)[whole], _checks(words, h, width)[whole], known, known_checks, least)
+                gone = whole[ids[words.row[whole]] > first]
                 cover = np.zeros(len(keep) + 1, np.int64)
                 cover[gone] += 1
                 cover[gone + width] -= 1
@@ -247,13 +273,13 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = False) ->
     space) and, with ``with_text``, these words as ``text``. Words are maximal runs outside space, tab and line
     breaks, as they are. A null or empty text has no words; so has a null doc_id row, which takes part under no
     id and is left out. Repeated rows of one doc_id count as one document. Other columns are ignored. Windows are
-    judged on the input, not on what is left; a repeat inside one document only is none.
+    judged on the input, not on what is left; a repeat inside one document only is none. An empty table gives none.
+    Windows are told apart by 96 bits of hash.
     """
-    spark = docs.sparkSession
-    parts = shuffle_width(spark)
     half = (width + 1) // 2
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    dealt = dealt.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts * 2)).cast("int").alias("chunk"), "doc_id", "text")
+    parts = (dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES + 1
+    dealt = dealt.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("chunk"), "doc_id", "text")
     chunks = dealt.groupBy("chunk")
     halves = chunks.applyInArrow(_half_level(half, width, parts), _SENT).groupBy("bucket").applyInArrow(_reply_repeats, _REPLY)
     fulls = chunks.cogroup(halves.groupBy("chunk")).applyInArrow(_full_level(half, width, parts), _SENT)
