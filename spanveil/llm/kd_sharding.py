@@ -1,7 +1,9 @@
 """Assignment of documents to shards of near-equal bytes by a k-d tree.
 
 Documents with equal texts are one group and stay together, so the tree splits groups. Its dimensions are metadata
-of a group: its first doc_id, and the places of its smallest source and lang in an order of their own. (Length is no
+of a group: its first doc_id, and the places of its smallest source and lang in the order of their bytes (the six bytes
+behind what all values begin with; values that these do not part are one value, and a node of one value is cut along
+another dimension or by hash). (Length is no
 dimension: a leaf of long documents only could not be filled evenly.) A node that stands for m shards is cut along its widest dimension at the weighted quantile m // 2 over m.
 The quantile is found by histograms of all nodes at once: each round counts bytes by (node, bin) on the executors and
 narrows the range to the bin that holds the quantile, until that bin is lighter than the tolerance or holds one
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from .shared import as_table, shuffle_width
 
 BINS = 1024
+#: Rows of a group from which it is looked up by broadcast; and how many such groups are broadcast at most.
+HOT_ROWS, BROADCAST_ROWS = 100_000, 1_000_000
 #: A cut may be off by this share of a leaf's bytes.
 TOLERANCE = 0.002
 _DIMS = ("x0", "x1", "x2")
@@ -50,7 +54,8 @@ def _cuts(groups: DataFrame, ranges: dict[int, tuple[str, int, int]], goals: dic
         high = {n: t[1] for n, t in todo.items()}
         at = groups.where(F.col("node").isin(sorted(todo))).select("node", coordinate.alias("v"), "bytes")
         at = at.where((F.col("v") >= _lookup(low, "long")) & (F.col("v") <= _lookup(high, "long")))
-        rows = at.groupBy("node", F.floor((F.col("v") - _lookup(low, "long")) / _lookup(width, "long")).alias("bin")).agg(F.sum("bytes").alias("w")).collect()
+        at = at.select("node", "v", "bytes", _lookup(low, "long").alias("low"), _lookup(width, "long").alias("width"))
+        rows = at.groupBy("node", F.expr("(v - low) div width").alias("bin")).agg(F.sum("bytes").alias("w")).collect()
         for n in list(todo):
             lo, hi, below = todo[n]
             for b, w in sorted((r["bin"], r["w"]) for r in rows if r["node"] == n):
@@ -69,24 +74,39 @@ def _cuts(groups: DataFrame, ranges: dict[int, tuple[str, int, int]], goals: dic
     return cut
 
 
-def shard_by_tree(docs: DataFrame, shards: int = 40) -> DataFrame:
+def _shared_start(values: list) -> int:
+    """The number of characters that the least and the greatest value, and so all between them, begin with."""
+    low, high = (v or "" for v in values)
+    same = 0
+    while same < min(len(low), len(high)) and low[same] == high[same]:
+        same += 1
+    return same
+
+
+def _place(c: str, start: int) -> Column:
+    """The six bytes behind the first ``start`` characters as a number; 0 for null."""
+    digits = F.rpad(F.substring(F.hex(F.encode(F.substr(F.coalesce(F.col(c), F.lit("")), F.lit(start + 1)), "UTF-8")), 1, 12), 12, "0")
+    return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(0))
+
+
+def shard_by_tree(docs: DataFrame, shards: int = 40, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Assign every row of ``docs`` to one of ``shards`` shards of near-equal bytes (law ``bytes``).
 
     Returns one row per row of ``docs``: doc_id, size (UTF-8 bytes of the text, none where it is null, plus 16),
     text_crc32, law, shard, slot (gapless from 0 in a shard, by hash cell and doc_id) and grown_shard (null under this
     law). Equal texts share a shard; null and empty texts are two groups of their own. A group heavier than a shard's
     share cannot be cut and makes its shard heavier. ``source`` and ``lang`` may be null or absent. Rows with equal
-    or null doc_id are kept, in any order among themselves.
+    or null doc_id are kept, in any order among themselves. Other columns are ignored; an empty table gives no rows.
     """
     text = F.col("text").cast("string")
     extra = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.md5(text.cast("binary")), F.lit("null")).alias("g"), *extra)
     rows = as_table(rows, "rows")
 
-    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.min("doc_id").alias("first"), F.min("source").alias("source"), F.min("lang").alias("lang"))
-    order = lambda c: F.coalesce(F.conv(F.substring(F.hex(F.encode(F.rpad(F.coalesce(c, F.lit("")), 5, " "), "UTF-8")), 1, 10), 16, 10).cast("long"), F.lit(0))
+    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("source").alias("source"), F.min("lang").alias("lang"))
+    ends = rows.agg(*[f(c) for c in ("source", "lang") for f in (F.min, F.max)]).first()
     tie = F.conv(F.substring(F.md5("g"), 1, 10), 16, 10).cast("long")
-    groups = groups.select("g", "bytes", F.coalesce("first", F.lit(-1)).alias("x0"), order(F.col("source")).alias("x1"), order(F.col("lang")).alias("x2"), tie.alias("x3"))
+    groups = groups.select("g", "bytes", "n", F.coalesce("first", F.lit(-1)).alias("x0"), _place("source", _shared_start(ends[:2])).alias("x1"), _place("lang", _shared_start(ends[2:])).alias("x2"), tie.alias("x3"))
     groups = as_table(groups, "groups")
 
     total = groups.agg(F.sum("bytes")).first()[0] or 0
@@ -132,8 +152,14 @@ def shard_by_tree(docs: DataFrame, shards: int = 40) -> DataFrame:
         placed = placed.withColumn("node", F.when(F.col("node").isin(sorted(split)), moved).otherwise(F.col("node")))
         nodes = kids
     shard = _lookup({n: first for n, (first, _) in nodes.items()}, "int")
-    assigned = placed.select("g", shard.alias("shard"))
-    out = rows.join(assigned, "g").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard")
+    assigned = placed.select("g", shard.alias("shard"), "n")
+    # Groups of very many rows are looked up where the rows are; there are at most the rows over ``hot_rows`` of them.
+    hot = as_table(assigned.where(F.col("n") > hot_rows).select("g", F.col("shard").alias("hot")), "hot")
+    dealt = rows.withColumn("hot", F.lit(None).cast("int"))
+    if not hot.isEmpty():
+        dealt = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, "g", "left")
+    cold = dealt.where("hot is null").drop("hot").join(assigned.where(F.col("n") <= hot_rows).select("g", "shard"), "g")
+    out = cold.unionByName(dealt.where("hot is not null").withColumnRenamed("hot", "shard")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard")
     return _numbered(out).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
