@@ -5,7 +5,8 @@ the pieces are segments. The hidden states are the roles; a segment shows its ma
 and how it ends. Transition and emission probabilities are counted over all labelled rows outside the held-out fold.
 Viterbi recovers the roles.
 
-A conversation may be longer than a task should read, so it is cut into chunks of turns. For each chunk the best score
+A conversation may be longer than a task should read, so it is cut into chunks of turns, and turns of very many rows
+(such as null ones) into parts by the hash of their texts and by row. For each chunk the best score
 from every state before it to every state at its end is one small max-plus matrix; the matrices of a conversation are
 combined in order, which fixes the state at each chunk's border, and then every chunk is traced back by itself. The
 result is the one that Viterbi over the whole conversation gives.
@@ -25,6 +26,10 @@ from .shared import as_table
 ROLES = ("system", "user", "assistant")
 #: Turns of a chunk, and segments that a task works on together.
 CHUNK_TURNS, GROUP_ROWS = 1024, 20_000
+#: Rows of a chunk beyond which every turn of it is a chunk of its own, cut into parts of about ``CHUNK_TURNS`` rows.
+CROWDED = 4 * CHUNK_TURNS
+#: What a chunk is known by within its conversation, in order.
+_CHUNK = ["chunk", "own", "part", "run"]
 
 # What a line that opens a segment begins with, by role.
 _SPEAKERS = {
@@ -44,9 +49,11 @@ _DEFAULT_MOVE = ((0.05, 0.9, 0.05), (0.02, 0.08, 0.9), (0.02, 0.9, 0.08))
 
 
 def segments(chats: DataFrame) -> DataFrame:
-    """conv_id, turn, seg, text and the features mark, size, lines, tail of every segment."""
+    """conv_id, turn, tie (hash of the row's text), row (a number of its own), seg, text and the features of every segment."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = chats.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.posexplode(F.split(text, _CUT, -1)).alias("seg", "text"), *([F.col("role").cast("string").alias("role")] if "role" in chats.columns else [F.lit(None).cast("string").alias("role")]))
+    role = F.col("role").cast("string") if "role" in chats.columns else F.lit(None).cast("string")
+    rows = chats.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), role.alias("role"), text.alias("whole"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("conv_id", "turn", "role", "row", F.xxhash64("whole").alias("tie"), F.posexplode(F.split("whole", _CUT, -1)).alias("seg", "text"))
     rows = rows.where("conv_id is not null and (seg = 0 or text <> '')")
     mark = F.lit("none")
     head = F.substring_index("text", "\n", 1)
@@ -56,7 +63,7 @@ def segments(chats: DataFrame) -> DataFrame:
     tail = F.when(trimmed.endswith("?"), "question").when(trimmed.rlike(r"[.!]$"), "stop").otherwise("other")
     size = F.least(F.floor(F.log2(F.length("text") + 1) * 2), F.lit(40)).cast("string")
     lines = F.least(F.size(F.split("text", "\n")), F.lit(8)).cast("string")
-    return rows.select("conv_id", "turn", "seg", "text", "role", mark.alias("mark"), size.alias("size"), lines.alias("lines"), tail.alias("tail"))
+    return rows.select("conv_id", "turn", "tie", "row", "seg", "text", "role", mark.alias("mark"), size.alias("size"), lines.alias("lines"), tail.alias("tail"))
 
 
 _FEATURES = ("mark", "size", "lines", "tail")
@@ -71,7 +78,8 @@ def fit(segs: DataFrame) -> dict:
     known = segs.where(F.col("role").isin(*ROLES)).where(~held_out())
     feature = F.explode(F.map_from_arrays(F.array(*[F.lit(f) for f in _FEATURES]), F.array(*_FEATURES))).alias("f", "v")
     emitted = known.select("role", feature).groupBy("role", "f", "v").count().collect()
-    spots = known.groupBy("conv_id", "turn").agg(F.min_by("role", F.struct("seg", F.xxhash64("text"))).alias("first"), F.max_by("role", F.struct("seg", F.xxhash64("text"))).alias("last"))
+    place = F.struct("tie", "row", "seg")
+    spots = known.groupBy("conv_id", "turn").agg(F.min_by("role", place).alias("first"), F.max_by("role", place).alias("last"))
     after = spots.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("first").alias("next"))
     moved = spots.join(after, ["conv_id", "turn"]).groupBy("last", "next").count().collect()
     begun = spots.groupBy("conv_id").agg(F.min_by("first", "turn").alias("first")).groupBy("first").count().collect()
@@ -115,8 +123,8 @@ def _emissions(pdf: pd.DataFrame, model: dict) -> np.ndarray:
 
 def _sorted(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
     """Rows by chunk and order, with the starts and lengths of the chunks."""
-    pdf = pdf.sort_values(["conv_id", "chunk", "turn", "seg", "tie", "text"], kind="stable").reset_index(drop=True)
-    key = pdf[["conv_id", "chunk"]].to_numpy()
+    pdf = pdf.sort_values(["conv_id", *_CHUNK, "turn", "tie", "row", "seg"], kind="stable").reset_index(drop=True)
+    key = pdf[["conv_id", *_CHUNK]].to_numpy()
     new = np.r_[True, (key[1:] != key[:-1]).any(1)]
     start = np.flatnonzero(new)
     return pdf, start, np.diff(np.r_[start, len(pdf)])
@@ -132,14 +140,14 @@ def _matrices(model: dict):
         for t in range(int(size.max())):
             live = np.flatnonzero(size > t)
             best[live] = (best[live][:, :, :, None] + step[None, None]).max(2) + e[start[live] + t][:, None, :]
-        return pd.DataFrame({"conv_id": pdf["conv_id"].to_numpy()[start], "chunk": pdf["chunk"].to_numpy()[start], "m": list(best.reshape(len(start), -1))})
+        return pdf[["conv_id", *_CHUNK]].iloc[start].assign(m=list(best.reshape(len(start), -1)))
 
     return matrices
 
 
 def _borders(states: int):
     def borders(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["conv_id", "chunk"]).reset_index(drop=True)
+        pdf = pdf.sort_values(["conv_id", *_CHUNK]).reset_index(drop=True)
         m = np.stack(pdf["m"].to_numpy()).reshape(-1, states, states)
         conv = pdf["conv_id"].to_numpy()
         enter, last, before = np.full((len(m), states), -np.inf), np.zeros(len(m), int), np.zeros(len(m), int)
@@ -158,7 +166,7 @@ def _borders(states: int):
                 state = int((enter[i] + m[i][:, state]).argmax())
                 before[i] = state
             a = b
-        return pd.DataFrame({"conv_id": conv, "chunk": pdf["chunk"], "enter": list(enter), "last": last, "before": before})
+        return pdf[["conv_id", *_CHUNK]].assign(enter=list(enter), last=last, before=before)
 
     return borders
 
@@ -168,7 +176,7 @@ def _traced(model: dict):
         if not len(pdf):
             return pd.DataFrame({"conv_id": [], "turn": [], "seg": [], "role_pred": [], "opens": [], "text": []})
         pdf, start, size = _sorted(pdf)
-        border = border.sort_values(["conv_id", "chunk"])
+        border = border.sort_values(["conv_id", *_CHUNK])
         e, step = _emissions(pdf, model), model["step"]
         v = np.stack(border["enter"].to_numpy())
         back = np.zeros((len(pdf), len(step)), int)
@@ -191,26 +199,49 @@ def _traced(model: dict):
     return traced
 
 
+def _chunked(segs: DataFrame) -> DataFrame:
+    """``segs`` with the columns of ``_CHUNK``."""
+    segs = segs.withColumn("chunk", F.floor(F.col("turn") / CHUNK_TURNS).cast("long"))
+    spots = segs.groupBy("conv_id", "chunk", "turn").count()
+    crowded = spots.groupBy("conv_id", "chunk").agg(F.sum("count").alias("rows")).where(F.col("rows") > CROWDED).select("conv_id", "chunk")
+    parts = spots.join(crowded, ["conv_id", "chunk"]).select("conv_id", "turn", F.ceil(F.col("count") / CHUNK_TURNS).cast("long").alias("parts"))
+    parts = as_table(parts, "crowded")
+    if parts.isEmpty():
+        return segs.withColumns({c: F.lit(0).cast("long") for c in _CHUNK[1:]})
+    same = segs.join(parts, ["conv_id", "turn"], "left_semi").groupBy("conv_id", "turn", "tie").count().where(F.col("count") > CHUNK_TURNS)
+    runs = same.select("conv_id", "turn", "tie", F.ceil(F.col("count") / CHUNK_TURNS).cast("long").alias("runs"))  # rows of equal texts
+    segs = segs.join(parts, ["conv_id", "turn"], "left").join(as_table(runs, "runs"), ["conv_id", "turn", "tie"], "left")
+    place = F.shiftrightunsigned("tie", 33)  # 31 bits, made to ascend with the signed hash
+    place = F.when(F.col("tie") < 0, place - (1 << 30)).otherwise(place + (1 << 30))
+    alone = F.col("parts").isNotNull()
+    split = {
+        "own": F.when(alone, F.col("turn")),
+        "part": F.when(alone, F.shiftright(place * F.col("parts"), 31)),
+        "run": F.pmod(F.xxhash64("row"), F.col("runs")),
+    }
+    return segs.withColumns({c: F.coalesce(v.cast("long"), F.lit(0)) for c, v in split.items()}).drop("parts", "runs")
+
+
 def format_chats(chats: DataFrame, model: dict | None = None) -> DataFrame:
     """Recover the role of every segment of every conversation and render it.
 
     ``chats`` has conv_id, turn (order), text and, for fitting, role, which no prediction sees. Returns one row per
     segment: conv_id, turn, seg, role_pred, opens (whether a new turn begins; else the segment goes on with the turn
     before) and rendered (``<|role|>``, the text without its marker, ``<|end|>``, on lines). Rows of one turn are taken in
-    the order of a hash of their text, repeated rows one after the other. A null turn counts as -1, a null text as
-    empty; rows with a null conv_id are left out. Other columns are ignored. Without labelled rows the markers and the
-    usual alternation decide.
+    the order of a hash of their text (of a turn with very many rows: of a part of it), repeated rows one after the other.
+    A null turn counts as -1, a null text as empty; rows with a null conv_id are left out. Other columns are ignored; an
+    empty table gives no rows. Without labelled rows the markers and the usual alternation decide.
     """
-    segs = segments(chats)
+    segs = as_table(segments(chats), "segments")
     model = model or fit(segs)
-    segs = segs.drop("role").withColumn("chunk", F.floor(F.col("turn") / CHUNK_TURNS)).withColumn("tie", F.xxhash64("text"))
+    segs = _chunked(segs.drop("role"))
     groups = math.ceil((segs.count() + 1) / GROUP_ROWS)
     group = lambda *c: F.pmod(F.xxhash64(*c), F.lit(groups)).cast("int").alias("group")
-    dealt = segs.select(group("conv_id", "chunk"), "*")
-    by_chunk = dealt.groupBy("group")
-    matrices = by_chunk.applyInPandas(_matrices(model), "conv_id long, chunk long, m array<double>")
-    borders = matrices.groupBy(group("conv_id")).applyInPandas(_borders(len(ROLES) + 1), "conv_id long, chunk long, enter array<double>, last int, before int")
-    borders = as_table(borders.select(group("conv_id", "chunk"), "*"), "borders")
+    by_chunk = segs.select(group("conv_id", *_CHUNK), "*").groupBy("group")
+    chunk = "conv_id long, " + ", ".join(f"{c} long" for c in _CHUNK)
+    matrices = by_chunk.applyInPandas(_matrices(model), f"{chunk}, m array<double>")
+    borders = matrices.groupBy(group("conv_id")).applyInPandas(_borders(len(ROLES) + 1), f"{chunk}, enter array<double>, last int, before int")
+    borders = as_table(borders.select(group("conv_id", *_CHUNK), "*"), "borders")
     out = by_chunk.cogroup(borders.groupBy("group")).applyInPandas(_traced(model), "conv_id long, turn long, seg int, role_pred string, opens boolean, text string")
     bare = F.regexp_replace("text", r"\A" + _ANY.removeprefix("(?im)^").join(["(?i)", ""]), "")
     return out.select("conv_id", "turn", "seg", "role_pred", "opens", F.concat(F.lit("<|"), "role_pred", F.lit("|>\n"), F.regexp_replace(bare, r"^\s+|\s+$", ""), F.lit("\n<|end|>\n")).alias("rendered"))
