@@ -104,7 +104,6 @@ def template_of(text: str | None) -> list:
         for raw in WORD.findall(line):
             m = re.search(r"[0-9A-Za-z\x80-\U0010ffff%](?:.*[0-9A-Za-z\x80-\U0010ffff%])?", raw)
             if not m:
-                before = raw
                 continue
             core = m[0].lower()
             if re.fullmatch(r"[0-9.,:/+-]*", core) and re.search("[0-9]", core):
@@ -119,3 +118,52 @@ def template_of(text: str | None) -> list:
             out.append((core, kind))
             before = raw
     return out
+
+
+def _readings(tokens: list, k: int):
+    """(first token, key, names at their places, plain words) of every window of k template tokens, in each reading."""
+    mark = {"number": "<n>", "unit": "<u>", "name": "<name>"}
+    for i in range(len(tokens) - k + 1):
+        w = tokens[i : i + k]
+        keys = [mark.get(kind, core) for core, kind in w]
+        names = [core if kind == "name" else None for core, kind in w]
+        plain = sum(kind in ("word", "maybe") for _, kind in w)
+        yield i, ("exact", *(core for core, _ in w)), None, k
+        if k >= 3:
+            if plain >= 2:
+                yield i, tuple(keys), names, plain
+            if w[0][1] == "name" and plain + 1 >= 2:
+                yield i, (w[0][0], *keys[1:]), [None, *names[1:]], plain + 1
+            if w[0][1] == "maybe" and plain - 1 >= 2:
+                yield i, ("<name>", *keys[1:]), [w[0][0], *names[1:]], plain - 1
+
+
+def leaks(docs, items, cover: float = 0.5) -> dict:
+    """doc_id: sorted item_ids that it holds, by the operator's rule spelled out window by window."""
+    out = {doc: [] for doc, _ in docs}
+    for item, text in items:
+        own = template_of(text)
+        n, plain = len(own), sum(kind in ("word", "maybe") for _, kind in own)
+        if not n:
+            continue
+        k = min(n, 8)
+        wanted: dict = {}
+        for i, key, names, words in _readings(own, k):
+            wanted.setdefault(key, []).append((i, names, words))
+        runs = {tuple(c for c, _ in own[i : i + 13]) for i in range(n - 12)}
+        for doc, body in docs:
+            tokens = template_of(body)
+            strong, every, run = set(), {}, any(tuple(c for c, _ in tokens[i : i + 13]) in runs for i in range(len(tokens) - 12))
+            for j, key, names, _ in _readings(tokens, k):
+                for i, theirs, words in wanted.get(key, ()):
+                    pairs = {(a, b) for a, b in zip(theirs or (), names or ()) if a is not None}
+                    if len({a for a, _ in pairs}) != len(pairs) or len({b for _, b in pairs}) != len(pairs):
+                        continue
+                    places = set(range(i, i + k))
+                    every.setdefault(j - i, set()).update(places)
+                    if names is None or words >= min(5, k):
+                        strong |= places
+            whole = plain >= 4 and any(len(x) >= 0.9 * n for x in every.values())
+            if run or whole or (strong and len(strong) >= cover * n):
+                out[doc].append(item)
+    return {d: sorted(set(x)) for d, x in out.items()}
