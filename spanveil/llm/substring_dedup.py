@@ -247,8 +247,8 @@ def _remove(width: int, with_text: bool):
             if len(known) and len(keep):
                 h = words.hashes()
                 whole = np.flatnonzero(words.whole(width))
-                first = _least_of(words.windows(h, width)[whole], _checks(words, h, width)[whole], known, known_checks, least)
-                gone = whole[ids[words.row[whole]] > first]
+                lowest = _least_of(words.windows(h, width)[whole], _checks(words, h, width)[whole], known, known_checks, least)
+                gone = whole[ids[words.row[whole]] > lowest]
                 cover = np.zeros(len(keep) + 1, np.int64)
                 cover[gone] += 1
                 cover[gone + width] -= 1

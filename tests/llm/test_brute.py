@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from spanveil.llm import chat_format, decontamination, kd_sharding, language_crf, near_dedup, packing, secret_scan
+from spanveil.llm import chat_format, decontamination, kd_sharding, language_crf, near_dedup, packing, secret_scan, substring_dedup
 from spanveil.llm.queries import vocabulary
 
 from . import brute
@@ -265,3 +265,31 @@ def test_recall_of_reparameterised_items(spark):
     clean = [(100 + i, " ".join(rng.choice(VOCABULARY) for _ in range(60)) + " 12 kg for 3 usd") for i in range(50)]
     got = {r.doc_id: r["items"].split(",") for r in decontamination.decontaminate(spark.createDataFrame(docs + clean, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
     assert sum(str(i) in got[i] for i, _ in docs) >= 45 and all(got[i] == [""] for i, _ in clean)
+
+
+def test_windows_of_equal_keys_are_told_apart():
+    """A key that two different windows share: the check decides."""
+    u, c = np.uint64, np.uint32
+    known, checks, least = np.array([5, 7, 7, 7, 9], u), np.array([1, 1, 2, 3, 1], c), np.array([10, 20, 30, 40, 50])
+    got = substring_dedup._least_of(np.array([7, 7, 7, 7, 9, 5, 6], u), np.array([2, 3, 1, 4, 2, 1, 1], c), known, checks, least)
+    none = np.iinfo(np.int64).max
+    assert got.tolist() == [30, 40, 20, none, none, 10, none]
+
+
+def test_substrings_in_many_chunks(spark, monkeypatch):
+    """Words covered by a window that starts in a document of a smaller id, with one document a chunk."""
+    import hashlib
+
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 100)
+    rng = random.Random(13)
+    texts = _copies(rng, 40, 60, 3) + [None, "", "a b", "x " * 40, "x " * 5 + "y"]
+    first: dict = {}
+    words = [brute.WORD.findall(t or "") for t in texts]
+    for i, w in enumerate(words):
+        for j in range(len(w) - 12):
+            first.setdefault(tuple(w[j : j + 13]), i)
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame([(i, t, 1, b"") for i, t in enumerate(texts)], "doc_id long, text string, chunk int, key binary"), with_text=True).collect()}
+    for i, w in enumerate(words):
+        gone = {p for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for p in range(j, j + 13)}
+        kept = " ".join(x for p, x in enumerate(w) if p not in gone)
+        assert (got[i].n_words, got[i].n_removed, got[i].text, got[i].kept_sha256) == (len(w), len(gone), kept, hashlib.sha256(kept.encode()).hexdigest())
