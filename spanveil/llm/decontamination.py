@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .language_crf import lowered
 from .shared import as_table
-from .words import Words, mix, pieces, span_hashes
+from .words import Words, mix, pieces, released, span_hashes
 
 #: Template tokens of a window, and how many of them are plain words in one that counts by itself, and in a thin one.
 WINDOW, LEAST_WORDS, THIN_WORDS = 8, 5, 2
@@ -148,7 +148,7 @@ def _readings(tokens: _Tokens, core: np.ndarray, key: np.ndarray, value: np.ndar
 
 def _windows(lengths: tuple[int, ...], wanted: np.ndarray | None):
     def windows(batches):
-        for batch in batches:
+        for batch in released(batches):
             ids = batch.column(0).to_numpy()
             for first, _, body, rows in pieces(batch.column(1)):
                 words, core, key, value, maybe, token = templates(body, rows)
@@ -183,7 +183,7 @@ def _windows(lengths: tuple[int, ...], wanted: np.ndarray | None):
 
 def _tokens_of(items: DataFrame) -> DataFrame:
     def count(batches):
-        for batch in batches:
+        for batch in released(batches):
             for first, end, body, rows in pieces(batch.column(1)):
                 words, *_, token = templates(body, rows)
                 yield pa.record_batch([batch.column(0).slice(first, end - first), pa.array(np.bincount(words.row[token], minlength=end - first).astype(np.int32))], names=["item_id", "n"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import Words, mix, pieces, span_hashes
+from .words import Words, mix, pieces, released, span_hashes
 
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 8000
@@ -318,17 +318,22 @@ def label_shares(field: Field, piece: _Piece) -> np.ndarray:
 def _share(field: Field) -> tuple[int, int]:
     """Bytes and rows of a piece: a row takes ``BLOCK`` places at least, a place some hundred bytes for four labels."""
     many = max(4, len(field.labels))
-    return 4_000_000 // many, max(16, 12_000 // many)
+    return 2_000_000 // many, max(16, 6_000 // many)
 
 
-def _predict(field: Field):
-    """Append lang_pred and score to batches whose last two columns are __text and __lettered."""
+def _texts(batch: pa.RecordBatch, text: str) -> pa.Array:
+    column = batch.column(text)
+    return column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string())
+
+
+def _predict(field: Field, text: str, before: int):
+    """Batches of ``before`` columns and one more, which says whether ``text`` has a letter, with lang_pred and score in its place."""
 
     def predict(batches):
-        for batch in batches:
-            names = batch.schema.names
-            some = batch.column("__lettered").to_numpy(zero_copy_only=False)
-            for first, end, body, rows in pieces(batch.column("__text"), *_share(field)):
+        for batch in released(batches):
+            names = batch.schema.names[:before]
+            some = batch.column(before).to_numpy(zero_copy_only=False)
+            for first, end, body, rows in pieces(_texts(batch, text), *_share(field)):
                 shares = label_shares(field, _Piece(body, rows))
                 best = shares.argmax(1)
                 score = shares[np.arange(len(best)), best]
@@ -336,20 +341,20 @@ def _predict(field: Field):
                 score = np.where(bare, 1.0 / len(field.labels), np.clip(score, 0, 1))
                 there = some[first:end]
                 pred = np.where(there, np.array(field.labels, object)[best], "und")
-                own = [batch.column(n).slice(first, end - first) for n in names[:-2]]
-                yield pa.record_batch([*own, pa.array(pred, pa.string()), pa.array(np.where(there, score, 0.0))], names=[*names[:-2], "lang_pred", "score"])
+                own = [batch.column(i).slice(first, end - first) for i in range(before)]
+                yield pa.record_batch([*own, pa.array(pred, pa.string()), pa.array(np.where(there, score, 0.0))], names=[*names, "lang_pred", "score"])
 
     return predict
 
 
-def _learned(field: Field):
-    """The rows of batches in a learned language, without their last column, __text."""
+def _learned(field: Field, text: str):
+    """The rows of batches whose ``text`` is in a learned language."""
 
     def learned(batches):
-        for batch in batches:
-            own = [foreign(field, _Piece(body, rows)) for _, _, body, rows in pieces(batch.column("__text"), *_share(field))]
+        for batch in released(batches):
+            own = [foreign(field, _Piece(body, rows)) for _, _, body, rows in pieces(_texts(batch, text), *_share(field))]
             if own:
-                yield batch.select(batch.schema.names[:-1]).filter(pa.array(~np.concatenate(own)))
+                yield batch.filter(pa.array(~np.concatenate(own)))
 
     return learned
 
@@ -415,7 +420,7 @@ def in_learned_language(docs: DataFrame, model: Field | None = None) -> DataFram
     model = model or _fitted(docs)
     if model is None:
         return lettered
-    return lettered.select("*", text.alias("__text")).mapInArrow(_learned(model), docs.schema)
+    return lettered.mapInArrow(_learned(model, "text"), docs.schema)
 
 
 def with_language(docs: DataFrame, model: Field | None = None) -> DataFrame:
@@ -427,9 +432,9 @@ def with_language(docs: DataFrame, model: Field | None = None) -> DataFrame:
     if model is None:
         return docs.select("*", held, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     text = F.col("text").cast("string")
-    source = docs.select("*", text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__lettered"))
+    source = docs.select("*", F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = source.mapInArrow(_predict(model), f"{kinds}, lang_pred string, score double")
+    out = source.mapInArrow(_predict(model, "text", len(others)), f"{kinds}, lang_pred string, score double")
     return out.select(*others, held, "lang_pred", "score")
 
 

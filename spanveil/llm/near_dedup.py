@@ -28,11 +28,9 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import as_table
-from .words import Words, mix, pieces
+from .words import Words, mix, pieces, released
 
 COORDINATES = 64
-#: Bytes of text that a task signs at one time: signing holds a dozen arrays of eight bytes a byte of text.
-PIECE = 1_000_000
 #: A pair of sets at the threshold is missed with at most this probability.
 MISS = 1e-6
 #: Ids of candidate classes are broadcast up to this many rows (16 MB); beyond it they are joined by shuffle.
@@ -84,9 +82,9 @@ _SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), (
 
 def _sign(k: int):
     def signed(batches):
-        for batch in batches:
+        for batch in released(batches):
             ids = batch.column(0)
-            for first, end, body, rows in pieces(batch.column(1), PIECE):
+            for first, end, body, rows in pieces(batch.column(1)):
                 key, at = shingle_sets(body, rows, k)
                 n = np.diff(at)
                 some = np.flatnonzero(n)
@@ -110,9 +108,9 @@ def _sign(k: int):
 
 def _sets(k: int):
     def sets(batches):
-        for batch in batches:
+        for batch in released(batches):
             ids = batch.column(0)
-            for first, end, body, rows in pieces(batch.column(1), PIECE):
+            for first, end, body, rows in pieces(batch.column(1)):
                 key, at = shingle_sets(body, rows, k)
                 yield pa.record_batch([ids.slice(first, end - first), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(key.view(np.int64)))], names=["rep", "hashes"])
 
@@ -121,7 +119,7 @@ def _sets(k: int):
 
 def _colliding(least: int):
     def colliding(batches):
-        for batch in batches:
+        for batch in released(batches):
             x, y = (batch.column(c).flatten().to_numpy().reshape(-1, COORDINATES) for c in ("sig_a", "sig_b"))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
@@ -130,7 +128,7 @@ def _colliding(least: int):
 
 def _confirmed(num: int, den: int):
     def confirmed(batches):
-        for batch in batches:
+        for batch in released(batches):
             good = []
             sides = [(c.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(c.value_lengths().to_numpy())]) for c in (batch.column("set_a"), batch.column("set_b"))]
             (u, i), (v, j) = sides
@@ -153,7 +151,7 @@ def _unfinished(lists: DataFrame) -> DataFrame:
 
 
 def _each(batches):
-    for batch in batches:
+    for batch in released(batches):
         sizes = batch.column("hashes").value_lengths().to_numpy()
         yield pa.record_batch(
             [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("rep", "comp")] + [batch.column("hashes").flatten()],

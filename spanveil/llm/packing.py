@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import as_table
-from .words import pieces, span_hashes
+from .words import pieces, released, span_hashes
 
 #: Sequences that a packing group keeps open, and rests that it reads ahead.
 OPEN, AHEAD = 1024, 2048
@@ -145,7 +145,7 @@ def _cut_up(path: str, room: int, end_id: int, with_ids: bool):
 
     def cut_up(batches):
         encoder = _encoder(path)
-        for batch in batches:
+        for batch in released(batches):
             doc_ids = batch.column(0).to_pylist()
             for first, end, body, rows in pieces(batch.column(1)):
                 ids, at = token_ids(encoder, body, rows)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a task holds as numpy arrays at one time; a longer row is a piece of its own.
-PIECE_BYTES = 1_000_000
+PIECE_BYTES = 500_000
 #: Rows of a piece at most.
 PIECE_ROWS = 1 << 14
 #: Powers that a worker keeps from piece to piece (32 MB a base); those of a longer row are made anew.
@@ -91,6 +91,14 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES, most: int = PIECE_ROWS) -
         first = end
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; behind each, a worker gives back what Arrow holds of it, so that idle workers stay small."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 class Words:
     """The words of a piece: maximal runs of bytes outside space, tab, newline, VT, FF and CR."""
 
