@@ -6,14 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.masks import check_policy, mask
-from ..functions.text import label_of, value_key
+from ..functions.text import label_of, let, value_key
 from .fuse import ENTITIES
 
 
+def fenced(docs: DataFrame, column: str) -> DataFrame:
+    """``docs`` with a fence behind ``column``: filters on it are not written into the expression that makes it.
+
+    The column leaves through a generator of one row, which the optimiser moves no filter through. Row-local and
+    deterministic.
+    """
+    others = [c for c in docs.columns if c != column]
+    return docs.select(*others, F.explode(F.array(column)).alias(column)).select(*docs.columns)
+
+
+def _firsts(keys: Column) -> Column:
+    """Of sorted (k, v, i) structs the first of each (k, v)."""
+    return let(F.array_sort(keys), lambda o: F.filter(o, lambda x, j: (j == 0) | (F.get(o, j - 1)["k"] != x["k"]) | (F.get(o, j - 1)["v"] != x["v"])))
+
+
 def numbers(entities: Column) -> Column:
-    """For each entity of a document its number: first appearance of its value among those of its label."""
-    keys = F.transform(entities, lambda e: F.struct(label_of(e["type"]).alias("l"), value_key(e["text"]).alias("v")))
-    return F.transform(keys, lambda k: F.array_position(F.array_distinct(F.filter(keys, lambda x: x["l"] == k["l"])), k).cast("int"))
+    """For each entity of a document its number: first appearance of its value among those of its label.
+
+    Values are sorted once and looked up in a map, so a document with many entities needs no comparison of all with all.
+    """
+    key = lambda x: F.concat_ws("\x01", x["k"], x["v"])
+
+    def numbered(keys: Column) -> Column:
+        appearing = F.array_sort(F.transform(_firsts(keys), lambda x: F.struct(x["k"].alias("k"), x["i"].alias("i"), x["v"].alias("v"))))
+
+        def places(f: Column) -> Column:
+            labels = F.transform(f, lambda x: x["k"])
+            begin = let(labels, lambda ls: let(F.array_distinct(ls), lambda kinds: F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.array_position(ls, k).cast("int")))))
+            return let(begin, lambda m: F.map_from_entries(F.transform(f, lambda x, j: F.struct(key(x), j + 2 - F.element_at(m, x["k"])))))
+
+        return let(let(appearing, places), lambda m: F.transform(keys, lambda x: F.element_at(m, key(x))))
+
+    return let(F.transform(entities, lambda e, i: F.struct(F.coalesce(label_of(e["type"]), F.lit("")).alias("k"), F.coalesce(value_key(e["text"]), F.lit("")).alias("v"), i.alias("i"))), numbered)
 
 
 def masks_of(entities: Column, policy: str) -> Column:
@@ -24,17 +53,24 @@ def masks_of(entities: Column, policy: str) -> Column:
 
 def replaced(text: Column, spans: Column, texts: Column) -> Column:
     """A text with disjoint spans, in order, replaced."""
-    end = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
-    parts = F.transform(spans, lambda s, i: F.concat(F.substr(text, end(i) + 1, s["start"] - end(i)), F.get(texts, i)))
-    last = F.when(F.size(spans) > 0, F.element_at(spans, -1)["end"]).otherwise(0)
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), F.substr(text, last + 1))).otherwise(text)
+    paired = F.zip_with(spans, texts, lambda s, t: F.struct(s["start"].alias("start"), s["end"].alias("end"), t.alias("t")))
+
+    def written(p: Column) -> Column:
+        end = lambda i: F.when(i > 0, F.get(p, i - 1)["end"]).otherwise(0)
+        parts = F.transform(p, lambda x, i: F.concat(F.substr(text, end(i) + 1, x["start"] - end(i)), x["t"]))
+        return F.when(F.size(p) > 0, F.concat(F.array_join(parts, ""), F.substr(text, F.element_at(p, -1)["end"] + 1))).otherwise(text)
+
+    return let(paired, written)
 
 
 def distinct_values(entities: Column) -> Column:
     """Distinct values by type: map."""
-    kinds = F.array_distinct(F.transform(entities, lambda e: e["type"]))
-    count = lambda t: F.size(F.array_distinct(F.transform(F.filter(entities, lambda e: e["type"] == t), lambda e: value_key(e["text"]))))
-    return F.map_from_arrays(kinds, F.transform(kinds, count))
+    keys = F.transform(entities, lambda e: F.struct(e["type"].alias("k"), F.coalesce(value_key(e["text"]), F.lit("")).alias("v"), F.lit(0).alias("i")))
+
+    def counted(types: Column) -> Column:
+        return let(F.array_distinct(types), lambda kinds: F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(types, lambda t: t == k)))))
+
+    return let(F.transform(_firsts(keys), lambda x: x["k"]), counted)
 
 
 def apply_masks(docs: DataFrame, policy: str = "placeholder") -> DataFrame:
@@ -51,17 +87,21 @@ def remask(docs: DataFrame, policy: str = "placeholder") -> tuple[DataFrame, Dat
     """
     check_policy(policy)
     text = F.col("text")
-    e = F.array_sort(F.transform("entities", lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["type"].alias("type"), x["text"].alias("text"), F.coalesce(x["score"], F.lit(1.0)).alias("score"))))
-    docs = docs.withColumn("__e", F.coalesce(e, F.array().cast("array<struct<start:int,end:int,type:string,text:string,score:double>>")))
-    e = F.col("__e")
-    before = lambda i: F.when(i > 0, F.get(e, i - 1)["end"]).otherwise(0)
-    bad = F.exists(F.transform(e, lambda x, i: (x["end"] <= x["start"]) | (x["start"] < before(i)) | (x["end"] > F.length(text)) | x["start"].isNull() | x["end"].isNull()), lambda b: F.coalesce(b, F.lit(True)))
-    other = F.filter(e, lambda x: x["text"].isNotNull() & (F.substr(text, x["start"] + 1, x["end"] - x["start"]) != x["text"]))
-    reason = F.when(text.isNull(), "no text").when(bad, "entities have to be disjoint and inside the text").when(F.size(other) > 0, F.concat(F.lit("an entity declares another text than the one in its place: "), F.element_at(other, 1)["type"]))
-    docs = docs.withColumn("reason", reason)
-    own = F.transform(e, lambda x: F.struct(x["type"].alias("type"), F.substr(text, x["start"] + 1, x["end"] - x["start"]).alias("text"), x["start"].alias("start"), x["end"].alias("end"), F.round(x["score"], 2).alias("score")))
-    good = apply_masks(docs.where("reason is null").withColumn("entities", own), policy)
-    return good.drop("__e", "reason"), docs.where("reason is not null").drop("__e")
+    given = F.array_sort(F.transform("entities", lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["type"].alias("type"), x["text"].alias("text"), F.coalesce(x["score"], F.lit(1.0)).alias("score"))))
+    given = F.coalesce(given, F.array().cast("array<struct<start:int,end:int,type:string,text:string,score:double>>"))
+
+    def judged(e: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(e, i - 1)["end"]).otherwise(0)
+        bad = F.exists(F.transform(e, lambda x, i: (x["end"] <= x["start"]) | (x["start"] < before(i)) | (x["end"] > F.length(text)) | x["start"].isNull() | x["end"].isNull()), lambda b: F.coalesce(b, F.lit(True)))
+        other = F.get(F.filter(e, lambda x: x["text"].isNotNull() & (F.substr(text, x["start"] + 1, x["end"] - x["start"]) != x["text"])), F.lit(0))["type"]
+        reason = F.when(text.isNull(), "no text").when(bad, "entities have to be disjoint and inside the text")
+        reason = reason.when(other.isNotNull(), F.concat(F.lit("an entity declares another text than the one in its place: "), other))
+        own = F.transform(e, lambda x: F.struct(x["type"].alias("type"), F.substr(text, x["start"] + 1, x["end"] - x["start"]).alias("text"), x["start"].alias("start"), x["end"].alias("end"), F.round(x["score"], 2).alias("score")))
+        return F.struct(reason.alias("reason"), own.alias("own"))
+
+    docs = fenced(docs.withColumn("__judged", let(given, judged)), "__judged")
+    good = apply_masks(docs.where("__judged.reason is null").withColumn("entities", F.col("__judged.own")), policy)
+    return good.drop("__judged"), docs.where("__judged.reason is not null").withColumn("reason", F.col("__judged.reason")).drop("__judged")
 
 
 def reject(entities: DataFrame, rejected: DataFrame) -> DataFrame:

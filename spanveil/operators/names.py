@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import norm, one_of, quoted
+from ..functions.text import let, norm, one_of, plain_norm, quoted
 from .patterns import SPANS, _matches, words_array
 
 # Letters and particles of names, and words that end an extension.
@@ -98,22 +98,34 @@ def apply_deny(view: Column, spans: Column, deny: dict[str, Iterable[str]], cont
     if not any(deny.values()):
         return spans
 
-    def terms(kind: Column) -> Column:
-        out = words_array(sorted(set(deny.get("*", ())))).cast("array<string>") if deny.get("*") else F.array().cast("array<string>")
+    every = set(deny.get("*", ()))
+
+    def terms(kind: Column, padded: bool = False) -> Column:
+        """The normalised terms of a type, as literals; with a space on both sides where ``padded``."""
+        write = lambda own: words_array(sorted({f" {t} " if padded else t for t in map(plain_norm, own) if t})).cast("array<string>")
+        out = write(every)
         for t in sorted(set(deny) - {"*"}):
-            own = words_array(sorted(set(deny.get(t, ())) | set(deny.get("*", ())))).cast("array<string>")
-            out = F.when(kind == t, own).otherwise(out)
-        return F.filter(F.transform(out, norm), lambda t: t != "")
+            out = F.when(kind == t, write(set(deny[t]) | every)).otherwise(out)
+        return out
 
     def judged(s: Column) -> Column:
-        n, own = norm(_inside(view, s)), terms(s["type"])
-        holds = (lambda t: n.contains(t)) if containment == "substring" else (lambda t: F.concat(F.lit(" "), F.regexp_replace(n, r"[^\p{L}\p{N}]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), t, F.lit(" "))))
-        gone = F.array_contains(own, n) | (s["type"].isin(*INSTITUTIONAL) & F.exists(own, holds))
-        heads = F.filter(own, lambda t: n.startswith(F.concat(t, F.lit(" "))))
-        cut = F.coalesce(F.array_max(F.transform(heads, lambda t: F.length(t))), F.lit(-1)) + 1
-        tail = F.substr(n, cut + 1)
-        gone = gone | ((cut > 0) & (F.array_contains(own, F.trim(tail)) | (F.length(F.trim(tail)) <= 1)))
-        return F.when(~gone, _span(s, s["start"] + cut, s["end"]))
+        return let(norm(_inside(view, s)), lambda n: kept(s, n))
+
+    def kept(s: Column, n: Column) -> Column:
+        if containment == "substring":
+            holds = F.exists(terms(s["type"]), lambda t: n.contains(t))
+        else:
+            holds = let(F.concat(F.lit(" "), F.regexp_replace(n, r"[^\p{L}\p{N}]+", " "), F.lit(" ")), lambda p: F.exists(terms(s["type"], True), lambda t: p.contains(t)))
+        gone = F.array_contains(terms(s["type"]), n) | (s["type"].isin(*INSTITUTIONAL) & holds)
+        heads = F.filter(terms(s["type"], True), lambda t: F.concat(F.lit(" "), n).startswith(t))
+        cut = F.coalesce(F.array_max(F.transform(heads, lambda t: F.length(t))), F.lit(1)) - 1
+
+        def rest(cut: Column) -> Column:
+            tail = F.trim(F.substr(n, cut + 1))
+            none = gone | ((cut > 0) & (F.array_contains(terms(s["type"]), tail) | (F.length(tail) <= 1)))
+            return F.when(~none, _span(s, s["start"] + cut, s["end"]))
+
+        return let(cut, rest)
 
     return F.filter(F.transform(spans, judged), lambda s: s.isNotNull())
 
@@ -126,37 +138,46 @@ def clip_institutions(view: Column, spans: Column) -> Column:
     """
     none = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("n"), F.lit(-1).alias("x"), F.lit(-1).alias("y"))
 
+    def word(w: Column) -> Column:
+        judged = lambda n: F.struct(n.alias("n"), w["a"].alias("a"), (w["a"] + F.length(w["m"])).alias("b"), one_of(n, [*INSTITUTIONS, *STATES]).alias("stops"), (~one_of(n, [*NO_NAMES, *PARTICLES]) & (F.length(n) > 1)).alias("bears"))
+        return let(norm(w["m"]), judged)
+
     def clipped(s: Column) -> Column:
-        t = _inside(view, s)
-        words = F.transform(_matches(t, r"(?U)\w+"), lambda w: F.struct(norm(w["m"]).alias("n"), w["a"].alias("a"), (w["a"] + F.length(w["m"])).alias("b")))
-        organ = F.exists(words, lambda w: one_of(w["n"], INSTITUTIONS))
-        need = F.when(organ, 2).otherwise(1)
-
-        def step(acc: Column, w: Column) -> Column:
-            stops = one_of(w["n"], [*INSTITUTIONS, *STATES])
-            bears = ~one_of(w["n"], [*NO_NAMES, *PARTICLES]) & (F.length(w["n"]) > 1)
-            a, n = F.when(acc["a"] < 0, w["a"]).otherwise(acc["a"]), acc["n"] + 1
-            better = (n >= need) & (w["b"] - a > acc["y"] - acc["x"])
-            grown = F.struct(a.alias("a"), w["b"].alias("b"), n.alias("n"), F.when(better, a).otherwise(acc["x"]).alias("x"), F.when(better, w["b"]).otherwise(acc["y"]).alias("y"))
-            over = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("n"), acc["x"].alias("x"), acc["y"].alias("y"))
-            return F.when(stops, over).when(bears, grown).otherwise(acc)
-
-        best = F.aggregate(words, none, step)
+        return let(F.transform(_matches(_inside(view, s), r"(?U)\w+"), word), lambda words: shrunk(s, words))
+
+    def shrunk(s: Column, words: Column) -> Column:
+        need = F.when(F.exists(words, lambda w: one_of(w["n"], INSTITUTIONS)), 2).otherwise(1)
+
+        def longest(need: Column) -> Column:
+            def step(acc: Column, w: Column) -> Column:
+                a, n = F.when(acc["a"] < 0, w["a"]).otherwise(acc["a"]), acc["n"] + 1
+                better = (n >= need) & (w["b"] - a > acc["y"] - acc["x"])
+                grown = F.struct(a.alias("a"), w["b"].alias("b"), n.alias("n"), F.when(better, a).otherwise(acc["x"]).alias("x"), F.when(better, w["b"]).otherwise(acc["y"]).alias("y"))
+                over = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("n"), acc["x"].alias("x"), acc["y"].alias("y"))
+                return F.when(w["stops"], over).when(w["bears"], grown).otherwise(acc)
+
+            return F.aggregate(words, none, step)
+
         state = F.array_join(F.transform(words, lambda w: w["n"]), " ")
-        return F.when((best["x"] >= 0) & ~one_of(state, STATES), _span(s, s["start"] + best["x"], s["start"] + best["y"]))
+        return let(let(need, longest), lambda best: F.when((best["x"] >= 0) & ~one_of(state, STATES), _span(s, s["start"] + best["x"], s["start"] + best["y"])))
 
     return F.filter(F.transform(spans, lambda s: F.when(s["type"] == "PERSON", clipped(s)).otherwise(s)), lambda s: s.isNotNull())
 
 
 def name_blocks(name: Column, particles: Iterable[str] = PARTICLES) -> Column:
     """All blocks of two or more words of a name that neither begin nor end with a particle and have two significant words."""
-    tokens = F.filter(F.split(F.regexp_replace(name, r"(?U)\s+", " "), " "), lambda t: t != "")
-    n = F.size(tokens)
-    starts = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    blocks = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.slice(tokens, i, j - i + 1))))
+    words = F.filter(F.split(F.regexp_replace(name, r"(?U)\s+", " "), " "), lambda t: t != "")
     small = lambda t: F.lower(t).isin(*particles)
-    counts = lambda b: F.size(F.filter(b, lambda t: ~norm(t).isin(*particles) & (F.length(t) > 1))) >= 2
-    return F.filter(blocks, lambda b: ~small(F.element_at(b, 1)) & ~small(F.element_at(b, -1)) & counts(b))
+    judged = F.transform(words, lambda t: F.struct(t.alias("t"), small(t).alias("small"), (~norm(t).isin(*particles) & (F.length(t) > 1)).alias("counts")))
+
+    def blocks(tokens: Column) -> Column:
+        n = F.size(tokens)
+        starts = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+        found = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.slice(tokens, i, j - i + 1))))
+        good = F.filter(found, lambda b: ~F.element_at(b, 1)["small"] & ~F.element_at(b, -1)["small"] & (F.size(F.filter(b, lambda t: t["counts"])) >= 2))
+        return F.transform(good, lambda b: F.transform(b, lambda t: t["t"]))
+
+    return let(judged, blocks)
 
 
 def with_name_pattern(docs: DataFrame, text: Column, min_score: float = 0.4) -> DataFrame:

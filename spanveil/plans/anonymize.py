@@ -11,10 +11,10 @@ from ..functions.masks import check_policy
 from ..functions.text import caps_to_title, linear_view
 from ..operators import names
 from ..operators.fuse import fuse_spans
-from ..operators.masking import apply_masks
+from ..operators.masking import apply_masks, fenced
 from ..operators.patterns import REGISTRY, THRESHOLD, detect, with_external_spans
 
-#: A small deny list of institutional terms; load a fuller one with sources.lexicons.load_deny.
+#: A small deny list of institutional terms; load a fuller one with sources.texts.load_terms.
 DENY = {"*": ("ministério público", "poder judiciário", "tribunal de justiça", "defensoria pública", "estado do ceará")}
 
 
@@ -55,8 +55,7 @@ def anonymize(
     out = out.withColumn("__spread", names.clip_institutions(v, F.col("__spread")))
     out = fuse_spans(out.withColumn("spans", F.concat("spans", "__spread")), text)
     # A filter on entities must not be pushed through the steps above, which would write them all into one expression.
-    out = out.withColumn("entities", F.when(F.rand() >= 0, F.col("entities")))
-    return apply_masks(out, policy).drop("__view", "__rx", "__spread", "spans")
+    return apply_masks(fenced(out.drop("__view", "__rx", "__spread", "spans"), "entities"), policy)
 
 
 def anonymize_safe(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
