@@ -61,8 +61,10 @@ def evaluate(docs: DataFrame, gold: DataFrame, detections: DataFrame, threshold:
 def leaks(items: DataFrame, docs: DataFrame, limit: int = 12, width: int = 110) -> DataFrame:
     """A-9, F14: the first ``limit`` uncovered items of each type with the line around them, and how many there are."""
     missed = items.where("not covered")
+    total = missed.groupBy("type").agg(F.count("*").alias("total"))
+    # The rank's limit goes to the partial side of the window: a task hands on ``limit`` items of a type at most.
     order = Window.partitionBy("type").orderBy("doc_id", "start")
-    missed = missed.withColumn("rank", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy("type"))).where(F.col("rank") <= limit)
+    missed = missed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).join(F.broadcast(total), "type")  # one row a type
     rows = missed.join(docs.select("doc_id", "text"), "doc_id")
     line = F.concat(F.substring_index(F.substr("text", F.lit(1), F.col("start")), "\n", -1), F.substring_index(F.substr("text", F.col("start") + 1), "\n", 1))
     return rows.select("type", "rank", "doc_id", "start", "end", F.substring(F.trim(F.regexp_replace(line, r"(?U)\s+", " ")), 1, width).alias("context"), (F.col("total") - limit).alias("more"))
@@ -113,6 +115,19 @@ def summarise_quality(measured: DataFrame) -> DataFrame:
     return out.withColumn("rate", F.when(F.col("words") > 0, F.col("hits") / F.col("words")))
 
 
+def run_payload(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """SNK4: what a run leaves for comparison with another one: per document its characters, its entities in order, and counts by type.
+
+    ``docs`` is (doc_id, text), ``entities`` (doc_id, type, text, start, end, score). Documents without entities have
+    an empty list and an empty map.
+    """
+    item = F.struct("start", "end", "type", "text", "score")
+    counts = entities.groupBy("doc_id", "type").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("counts"))
+    rows = entities.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("entities"))
+    out = docs.select("doc_id", F.length("text").alias("chars")).join(rows, "doc_id", "left").join(counts, "doc_id", "left")
+    return out.withColumns({"entities": F.coalesce("entities", F.array().cast(rows.schema["entities"].dataType)), "counts": F.coalesce("counts", F.create_map().cast("map<string,bigint>"))})
+
+
 def count_by_type(entities: DataFrame, *by: str) -> DataFrame:
     """A-1."""
     return entities.groupBy(*by, "type").agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import digits, norm, sha_of, value_key
+from ..functions.text import digits, let, norm, one_of, sha_of, value_key
 from ..functions.validators import cnj_valid, cnpj_valid, cpf_valid
 from .names import PARTICLES
 from .patterns import _matches, words_array
@@ -139,10 +139,34 @@ def plausible_name(name: Column) -> Column:
     return ~norm(name).isin(*_NOBODY) & (F.size(parts) >= 2) & (vowels >= 2)
 
 
+# Words of proceedings, roles, bodies and forms, and words beside a signature; a name of the truth ends at the first of them.
+STOP_WORDS = (
+    "certifico certidao certidoes vistos designo conforme denuncia mandado oficio cota ministerial pedido diligencias trata considerando inquerito termo "
+    "audiencia ata decisao sentenca despacho peticao laudo exame auto autos prisao flagrante boletim ocorrencia envio publicacao intimacao citacao acordo "
+    "alegacoes memoriais recibo guia carta precatoria aditamento cumprimento requerido requerida requerente acusado acusada vitima testemunha declarante "
+    "denunciado denunciada indiciado indiciada advogado advogada reu re autor autora oficial justica juiz juiza promotor promotora delegado delegada "
+    "escrivao escriva secretaria diretora vara comarca estado poder judiciario tribunal ministerio publico defensoria defensor policia policial militar "
+    "civil delegacia forum cartorio central nome endereco enderecos data hora local processo numero classe assunto cpf rg filiacao naturalidade profissao "
+    "observacoes sem nao informado mm exmo exma meritissimo meritissima em as no na pelo pela por servidor servidora magistrado magistrada analista "
+    "tecnico assessor assessora chefe coordenador coordenadora"
+).split()
+
+
+def _before_stop_word(name: Column) -> Column:
+    tokens = F.transform(F.split(name, " "), lambda t: F.struct(t.alias("t"), one_of(norm(t), STOP_WORDS).alias("stop")))
+
+    def head(ts: Column) -> Column:
+        stop = F.array_position(F.transform(ts, lambda x: x["stop"]), True).cast("int")
+        return F.array_join(F.transform(F.when(stop > 0, F.slice(ts, F.lit(1), stop - 1)).otherwise(ts), lambda x: x["t"]), " ")
+
+    return let(tokens, head)
+
+
 def _clean(name: Column) -> Column:
+    """A name without suffix, cut before the first stop word, without particles at its end."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(name), _SUFFIX, ""), r"(?U)\s+", " "))
     links = "|".join(PARTICLES)
-    return F.regexp_replace(bare, rf"(?iu)(?:\s+(?:{links}))+$", "")
+    return F.regexp_replace(_before_stop_word(bare), rf"(?iu)(?:\s+(?:{links}))+$", "")
 
 
 def gold_names(docs: DataFrame) -> DataFrame:

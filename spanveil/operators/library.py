@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,50 +55,141 @@ def without(index: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 class Library:
-    """Index and content tables under one path; content is encrypted, and without a key nothing is written or read.
+    """Index and content tables under one path; names, case numbers and texts are encrypted, ids and dates are not.
+
+    Rows are written as parts, folders that never change. A version is a small file that lists the parts of the index and
+    of the content; the greatest version is the current one. A change writes its parts, content before index, checks that
+    they can be read with the key, and then creates the next version's file, which fails if another writer was faster. So
+    readers see one version or the next, and an index row never lacks its content. ``vacuum`` removes the parts that the
+    current version does not list, so what was deleted or has expired is gone from the disk.
 
-    A change writes a new version of the tables and then moves the pointer to it: content before index, so an index row
-    never lacks its content. A version is checked to be readable before it is replaced.
+    The key is a row of a table that is broadcast to its use: it is no literal of a plan, and shows in no event log.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str | None):
         if not key or len(key.encode()) not in (16, 24, 32):
             raise ValueError("a key of 16, 24 or 32 bytes is needed")
-        self.spark, self.path, self._key = spark, path.rstrip("/"), key
-
-    def _closed(self, c: str) -> Column:
-        return F.aes_encrypt(F.col(c), F.lit(self._key)).alias(c)
-
-    def _opened(self, c: str) -> Column:
-        return F.try_aes_decrypt(F.col(c), F.lit(self._key)).cast("string").alias(c)
-
-    def append(self, entries: DataFrame, content: DataFrame) -> None:
-        """L1: entries (id, name, cnj, stored_at) and content (id, texto_original, anonymized_text)."""
-        self._check()
-        content.select("id", *[self._closed(c) for c in content.columns if c != "id"]).write.mode("append").parquet(f"{self.path}/content")
-        entries.select("id", self._closed("name"), self._closed("cnj"), "stored_at").write.mode("append").parquet(f"{self.path}/index/v={self._version() + 1}")
-
-    def _versions(self) -> list[int]:
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/index")
-        return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")) if fs.exists(root) else []
-
-    def _version(self) -> int:
-        return max(self._versions(), default=0)
-
-    def _check(self) -> None:
-        """An index that the key does not open must not be written to."""
-        if self._versions() and not self.spark.read.parquet(f"{self.path}/index").where(self._opened("name").isNull() & F.col("name").isNotNull()).isEmpty():
-            raise ValueError("the index cannot be read with this key")
+        self.spark, self.path = spark, path.rstrip("/")
+        self._key = spark.createDataFrame([(key,)], "__key string")
+
+    # --- columns and files
+
+    def _keyed(self, df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(self._key))  # one row
+
+    def _closed(self, df: DataFrame, *plain: str) -> DataFrame:
+        return self._keyed(df).select(*[F.col(c) if c in plain else F.aes_encrypt(F.col(c), F.col("__key")).alias(c) for c in df.columns])
+
+    def _opened(self, df: DataFrame, *plain: str) -> DataFrame:
+        return self._keyed(df).select(*[F.col(c) if c in plain else F.try_aes_decrypt(F.col(c), F.col("__key")).cast("string").alias(c) for c in df.columns])
+
+    def _fs(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def version(self) -> int:
+        """The number of the current version; 0 before the first."""
+        fs, root = self._fs(f"{self.path}/versions")
+        return max((int(s.getPath().getName()) for s in fs.listStatus(root)), default=0) if fs.exists(root) else 0
+
+    def _parts(self, number: int | None = None) -> dict[str, list[str]]:
+        number = self.version() if number is None else number
+        if not number:
+            return {"index": [], "content": []}
+        return json.loads(self.spark.read.text(f"{self.path}/versions/{number}", wholetext=True).first()[0])
+
+    def _commit(self, parts: dict[str, list[str]], after: int) -> None:
+        fs, place = self._fs(f"{self.path}/versions/{after + 1}")
+        out = fs.create(place, False)
+        out.write(bytearray(json.dumps(parts).encode()))
+        out.close()
+
+    def _write(self, kind: str, df: DataFrame) -> str:
+        """A new part, checked to be readable: as many rows, and none that the key does not open."""
+        path = f"{self.path}/{kind}/{uuid.uuid4().hex}"
+        plain = ("id", "stored_at") if kind == "index" else ("id",)
+        self._closed(df, *plain).write.parquet(path)
+        stored = self.spark.read.parquet(path)
+        secret = [c for c in stored.columns if c not in plain]
+        lost = [F.count_if(F.col(c).isNotNull()) for c in secret]
+        if stored.agg(*lost).first() != self._opened(stored, *plain).agg(*lost).first():
+            raise ValueError(f"the new {kind} cannot be read back")
+        return path
+
+    def _check(self, parts: list[str]) -> None:
+        """An index that the key does not open is neither read nor written to; one row a part shows it."""
+        for part in parts:
+            row = self.spark.read.parquet(part).where("name is not null").limit(1)
+            if not self._opened(row, "id", "stored_at").where("name is null").isEmpty():
+                raise ValueError("the index cannot be read with this key")
+
+    def _read(self, kind: str, parts: list[str]) -> DataFrame:
+        if not parts:
+            shape = "id long, name string, cnj string, stored_at timestamp" if kind == "index" else "id long, texto_original string, anonymized_text string"
+            return self.spark.createDataFrame([], shape)
+        return self._opened(self.spark.read.parquet(*parts), *(("id", "stored_at") if kind == "index" else ("id",)))
+
+    # --- changes
+
+    def append(self, entries: DataFrame, content: DataFrame) -> int:
+        """L1: add entries (id, name, cnj, stored_at) and content (id, texto_original, anonymized_text); the new version."""
+        now = self.version()
+        parts = self._parts(now)
+        self._check(parts["index"])
+        added = {"content": self._write("content", content), "index": self._write("index", entries.select("id", "name", "cnj", "stored_at"))}
+        self._commit({k: [*parts[k], added[k]] for k in parts}, now)
+        return now + 1
+
+    def update(self, changes: DataFrame) -> int:
+        """L2: replace name and case number of known ids, keeping their dates; how many rows changed."""
+        now = self.version()
+        parts = self._parts(now)
+        index = self.index()
+        changed = changes.join(index.select("id"), "id", "left_semi").select("id").distinct().count()
+        if changed:
+            self._commit(parts | {"index": [self._write("index", updated(index, changes.withColumn("stored_at", F.lit(None).cast("timestamp")).select(*index.columns)))]}, now)
+        return changed
+
+    def delete(self, ids: DataFrame) -> int:
+        """L3: drop the index rows and the content of these ids; how many index rows went."""
+        return self._rewrite(without(self.index(), ids))
+
+    def retain(self, days: int, now: Column | None = None) -> int:
+        """L4: drop what is older than ``days`` (0 or less: nothing); how many index rows went."""
+        return self._rewrite(kept_after(self.index(), days, F.current_timestamp() if now is None else now)) if days > 0 else 0
+
+    def _rewrite(self, kept: DataFrame) -> int:
+        now = self.version()
+        parts = self._parts(now)
+        before = self.index().count()
+        gone = before - kept.count()
+        if gone:
+            content = self._read("content", parts["content"]).join(kept.select("id").distinct(), "id", "left_semi")
+            self._commit({"content": [self._write("content", content)], "index": [self._write("index", kept)]}, now)
+        return gone
+
+    def vacuum(self) -> int:
+        """Remove the parts that the current version does not list; how many went. Not to be run beside a writer."""
+        listed = {p.rsplit("/", 1)[-1] for parts in self._parts().values() for p in parts}
+        gone = 0
+        for kind in ("index", "content"):
+            fs, root = self._fs(f"{self.path}/{kind}")
+            for s in fs.listStatus(root) if fs.exists(root) else []:
+                if s.getPath().getName() not in listed:
+                    fs.delete(s.getPath(), True)
+                    gone += 1
+        return gone
+
+    # --- reading
 
     def index(self) -> DataFrame:
-        self._check()
-        return self.spark.read.parquet(f"{self.path}/index").select("id", self._opened("name"), self._opened("cnj"), "stored_at")
+        parts = self._parts()["index"]
+        self._check(parts)
+        return self._read("index", parts)
 
     def open(self, ids: DataFrame | None = None) -> DataFrame:
         """Index joined with its content."""
-        content = self.spark.read.parquet(f"{self.path}/content")
-        rows = self.index().join(content.select("id", *[self._opened(c) for c in content.columns if c != "id"]), "id")
+        rows = self.index().join(self._read("content", self._parts()["content"]), "id")
         return rows if ids is None else rows.join(ids.select("id").distinct(), "id", "left_semi")
 
     def open_for_egress(self, ids: DataFrame | None = None) -> DataFrame:

@@ -52,16 +52,33 @@ _EMAIL = r"[A-Za-z0-9._%+-]+@(?:[a-z0-9-]+\.)+[a-z]{2,}"
 
 @query(
     "d15_mask_emails",
-    rf"""WITH m AS (SELECT doc_id, text, list_distinct(regexp_extract_all(text, '{_EMAIL}')) AS v, regexp_extract_all(text, '{_EMAIL}') AS every FROM documents)
-SELECT doc_id, len(every)::INT AS n_entities, len(v)::INT AS n_values,
-  CASE WHEN len(v) > 1 THEN NULL ELSE sha256(regexp_replace(text, '{_EMAIL}', '[EMAIL_1]', 'g')) END AS masked_sha256 FROM m WHERE len(every) > 0""",
+    rf"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS every, regexp_split_to_array(text, '{_EMAIL}') AS parts FROM documents),
+k AS (SELECT *, list_transform(every, lambda x: strip_accents(lower(x))) AS keys FROM m WHERE len(every) > 0),
+f AS (SELECT *, list_filter(keys, lambda x, i: list_position(keys, x) = i) AS firsts FROM k)
+SELECT doc_id, len(every)::INT AS n_entities, len(firsts)::INT AS n_values,
+  sha256(array_to_string(list_transform(range(1, len(every) + 1), lambda i: parts[i] || '[EMAIL_' || list_position(firsts, keys[i]) || ']'), '') || parts[len(every) + 1]) AS masked_sha256 FROM f""",
 )
 def mask_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: e-mails of the documents masked by numbered placeholders; documents with one value carry a digest."""
-    out = anonymize(_read(spark, sf_dir, "documents").select("doc_id", "text"), ["EMAIL_ADDRESS"])
-    rows = out.select("doc_id", F.sha2("anonymized_text", 256).alias("digest"), F.explode_outer("entities").alias("e")).where("e is not null")
-    rows = rows.groupBy("doc_id", "digest").agg(F.count("*").cast("int").alias("n_entities"), F.count_distinct(T.value_key(F.col("e.text"))).cast("int").alias("n_values"))
-    return rows.select("doc_id", "n_entities", "n_values", F.when(F.col("n_values") == 1, F.col("digest")).alias("masked_sha256"))
+    """The flagship: e-mails of the documents masked by numbered placeholders, with the digest of the masked text."""
+    out = anonymize(_read(spark, sf_dir, "documents").select("doc_id", "text"), ["EMAIL_ADDRESS"]).where("size(entities) > 0")
+    values = F.map_values("valores_distintos")
+    return out.select("doc_id", F.size("entities").alias("n_entities"), F.aggregate(values, F.lit(0), lambda n, x: n + x).alias("n_values"), F.sha2("anonymized_text", 256).alias("masked_sha256"))
+
+
+@query("d11_more_entities", f'SELECT doc_id, type, start, "end", text FROM ({legal.MORE_TRUTH}) truth')
+def more_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second layout: CNPJ, RG, address, OAB, NIT, account; a name cut at a word of procedure; a body that is no person."""
+    return entity_rows(anonymize(legal.more_docs(spark, sf_dir))).drop("score")
+
+
+@query("snk4_run_payload", f"""WITH truth AS ({legal.MORE_TRUTH}), n AS (SELECT doc_id, type, count(*) AS n FROM truth GROUP BY ALL)
+SELECT doc_id, (SELECT sum(length(part)) FROM ({legal.MORE_PIECES}) p WHERE p.doc_id = t.doc_id)::INT AS chars, count(*)::INT AS entities,
+  (SELECT string_agg(type || '=' || n, ',' ORDER BY type) FROM n WHERE n.doc_id = t.doc_id) AS counts FROM truth t GROUP BY doc_id""")
+def run_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = legal.more_docs(spark, sf_dir)
+    rows = E.run_payload(docs, entity_rows(anonymize(docs)))
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    return rows.select("doc_id", "chars", F.size("entities").alias("entities"), counts.alias("counts"))
 
 
 @query("d11_entities", _TRUTH + 'SELECT doc_id, type, start, "end", text FROM truth')
@@ -220,10 +237,10 @@ def egress_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.guard_hits(v.select(F.col("k").alias("id"), F.col("case_id").alias("session_id"), text.alias("text")), forbidden)
 
 
-@query("x10_prompts", """WITH d AS (SELECT user_id % 100 AS session_id, string_agg('## Documento ' || r || chr(10) || chr(10) || event_type, chr(10) || chr(10) ORDER BY r) AS p FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 100 ORDER BY event_id) AS r FROM events) GROUP BY 1)
+@query("x10_prompts", """WITH d AS (SELECT user_id AS session_id, string_agg('## Documento ' || r || chr(10) || chr(10) || event_type, chr(10) || chr(10) ORDER BY r) AS p FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) GROUP BY 1)
 SELECT session_id, p AS prompt, ceil(length(p) / 3.2)::BIGINT AS tokens FROM d""")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "events").select((F.col("user_id") % 100).alias("session_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("text"))
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("text"))
     none = rows.where("false").select("session_id", F.col("ord").alias("turn"), F.lit("user").alias("role"), "text")
     return S.assemble_prompts(rows, none)
 
@@ -232,7 +249,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", "text")
     none = turns.where("false").select("session_id", F.col("turn").alias("ord"), "text")
-    return S.assemble_prompts(none, turns).withColumn("prompt", F.col("prompt"))
+    return S.assemble_prompts(none, turns)
 
 
 @query("x12_session_costs", """WITH p AS (SELECT conv_id AS session_id, ceil(length(text) / 3.2)::BIGINT AS tokens FROM conversations)

@@ -76,6 +76,26 @@ FROM (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY pos) AS fin
 """
 
 
+#: A second layout with the other types, values that touch words of procedure, a body that is no person, and overlapping patterns.
+_MORE = [
+    (1, "", "'AUTOR: '"), (2, "PERSON", "person"), (3, "", "' CERTIFICO que a empresa de CNPJ '"), (4, "CNPJ_BR", "cnpj"), (5, "", "' e a carteira de identidade '"),
+    (6, "RG_BR", "rg"), (7, "", "' SSP-CE foram exibidas.' || chr(10) || 'Residente na '"), (8, "ENDERECO_BR", "address"), (9, "", "'; inscrito na OAB/CE nº '"), (10, "OAB_BR", "oab"),
+    (11, "", "' e no PIS '"), (12, "NIT_PIS_PASEP", "nit"), (13, "", "'.' || chr(10) || 'Depósito em '"), (14, "CONTA_BANCARIA", "account"),
+    (15, "", "'.' || chr(10) || 'TESTEMUNHA: Universidade Federal do Ceará.' || chr(10) || 'Em 12/12/2020 o senhor '"), (16, "PERSON", "upper(person)"), (17, "", "' assinou. Total de 123 itens.'"),
+]
+_MORE_VALUES = f"""
+SELECT *, substr(cnpj_raw, 1, 2) || '.' || substr(cnpj_raw, 3, 3) || '.' || substr(cnpj_raw, 6, 3) || '/' || substr(cnpj_raw, 9, 4) || '-' || substr(cnpj_raw, 13, 2) AS cnpj,
+  substr(pis_raw, 1, 3) || '.' || substr(pis_raw, 4, 5) || '.' || substr(pis_raw, 9, 2) || '-' || substr(pis_raw, 11, 1) AS nit,
+  lpad(CAST(k % 90 + 10 AS STRING), 2, '0') || '.' || lpad(CAST((k * 37) % 1000 AS STRING), 3, '0') || '.' || lpad(CAST((k * 91) % 1000 AS STRING), 3, '0') || '-' || CAST(k % 10 AS STRING) AS rg,
+  'Rua ' || {_pick("Ipê|Carnaúba|Oiticica|Juazeiro", "k")} || ' ' || CAST(k % 900 + 10 AS STRING) AS address,
+  CAST(10000 + k % 80000 AS STRING) AS oab, 'Ag ' || CAST(1000 + k % 9000 AS STRING) || ' CC ' || CAST(10000 + k % 80000 AS STRING) || '-' || CAST(k % 10 AS STRING) AS account
+FROM ({VALUES_SQL}) vals
+"""
+_MORE_PIECES = " UNION ALL ".join(f"SELECT k AS doc_id, case_id, {i} AS pos, '{t}' AS type, {sql} AS part FROM ({_MORE_VALUES}) g{i}" for i, t, sql in _MORE)
+_MORE_DOCS = f"SELECT k AS doc_id, case_id, {' || '.join(sql for _, _, sql in _MORE)} AS text FROM ({_MORE_VALUES}) g"
+_MORE_TRUTH = TRUTH_SQL.replace(PIECES_SQL, _MORE_PIECES)
+
+
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace('"end"', "`end`"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
 
@@ -89,6 +109,11 @@ def legal_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, TRUTH_SQL)
 
 
+def more_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the second layout."""
+    return _run(spark, sf_dir, _MORE_DOCS)
+
+
 def legal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, _FORMATTED)
 
@@ -99,3 +124,4 @@ def for_sql(sql: str) -> str:
 
 
 DOCS, TRUTH, VALUES = for_sql(DOCS_SQL), for_sql(TRUTH_SQL), for_sql(_FORMATTED)
+MORE_PIECES, MORE_TRUTH = for_sql(_MORE_PIECES), for_sql(_MORE_TRUTH)
