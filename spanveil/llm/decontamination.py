@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language_crf import lowered
-from .shared import as_table
+from .shared import as_table, small_batches
 from .words import Words, mix, pieces, released, span_hashes
 
 #: Template tokens of a window, and how many of them are plain words in one that counts by itself, and in a thin one.
@@ -200,6 +200,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> D
     without a letter or digit, match nothing; rows with a null id take no part; repeated rows of an id count as one. Other
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
     as_rows = lambda df, c: df.select(F.col(c).cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
     items, source = as_rows(benchmark, "item_id"), as_rows(docs, "doc_id")
     sizes = {r["n"] for r in _tokens_of(items).select(F.least("n", F.lit(RUN)).alias("n")).where("n >= 1").distinct().collect()}

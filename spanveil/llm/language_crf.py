@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .words import Words, mix, pieces, released, span_hashes
 
 SAMPLE_ROWS = 400
@@ -375,7 +376,7 @@ def _sample(labelled: DataFrame, rows: int, size: int, counts: dict[str, int]) -
     labelled = labelled.where(place < limit)
     order = Window.partitionBy("lang").orderBy(place, "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= rows).select("doc_id", "lang").distinct()
-    take = F.greatest(F.floor(F.lit(size) * F.length("text") / F.octet_length("text")), F.lit(1)).cast("int")
+    take = F.greatest(F.floor(F.lit(size).cast("long") * F.length("text") / F.octet_length("text")), F.lit(1)).cast("int")
     begin = (F.pmod(F.xxhash64("doc_id"), F.length("text") - take + 1) + 1).cast("int")
     span = F.substring("text", begin, take)
     words = F.regexp_replace(span, r"^\S*\s+|\s+\S*$", "")  # without the halves of words at both ends
@@ -415,6 +416,7 @@ def in_learned_language(docs: DataFrame, model: Field | None = None) -> DataFram
     The field is fitted on ``docs`` unless ``model`` is given. Where there is none (no usable labelled row), and with one
     language alone, from which nothing can be told apart, all texts with a letter stay.
     """
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     lettered = docs.where(text.rlike(r"\p{L}"))
     model = model or _fitted(docs)
@@ -425,6 +427,7 @@ def in_learned_language(docs: DataFrame, model: Field | None = None) -> DataFram
 
 def with_language(docs: DataFrame, model: Field | None = None) -> DataFrame:
     """``docs`` with held_out, lang_pred and score (see identify_language); columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     docs = docs.select(*others)
     model = model or _fitted(docs)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import as_table
+from .shared import as_table, small_batches
 from .words import Words, mix, pieces, released
 
 COORDINATES = 64
@@ -249,6 +249,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     have no shingle and no link. Rows without doc_id are left out; repeated rows come back as often. Other columns
     are ignored.
     """
+    small_batches(docs.sparkSession)
     least = least_matches(num / den)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     signed = as_table(source.mapInArrow(_sign(words), _SIGNED), "signed")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_table
+from .shared import as_table, small_batches
 from .words import pieces, released, span_hashes
 
 #: Sequences that a packing group keeps open, and rests that it reads ahead.
@@ -219,6 +219,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: i
     ``vocabulary`` is a tokenizers file that executors can read. Repeated rows, and rows with a null doc_id, are
     packed like others. Other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shape = _PIECES + (", ids array<int>" if with_ids else "")
     cut = as_table(source.mapInArrow(_cut_up(vocabulary, room, end_id, with_ids), shape), "pieces")

@@ -37,3 +37,17 @@ def shuffle_width(spark: SparkSession) -> int:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session to Arrow batches of ``BATCH_ROWS`` where it has Spark's default of 10,000.
+
+    Rows are whole texts here, and an executor and its Python workers hold several batches at a time.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
