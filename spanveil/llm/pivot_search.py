@@ -5,6 +5,10 @@ table). For a query q and a row x every pivot p gives |d(q, p) - d(x, p)| <= d(q
 gives an upper bound of the inner product, (|q|^2 + |x|^2 - bound^2) / 2. Candidates are scored exactly in the order of
 that bound until the k-th best score so far is above the bound of all that are left; ties keep going.
 
+The pivot table is written once, beside the vectors. Before any block is searched, every query is scored against the
+sample that the pivots were chosen from: its k-th best score there is a lower bound of its k-th best of all, so a block
+in which no row's upper bound reaches it costs no scoring at all.
+
 Queries and rows are dealt into blocks; a task scores one block of queries against one block of rows, so every query
 meets every row once and no task holds more than two blocks. The best k of each block are merged by rank.
 """
@@ -43,21 +47,21 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def best_of_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int) -> tuple[list, list, list]:
-    """For each query its k best rows of the block (score, then smaller id), itself excluded."""
+def best_of_block(qid, q, q_to_pivots, floor, xid, x, x_to_pivots, k: int) -> tuple[list, list, list]:
+    """For each query its k best rows of the block (score, then smaller id), itself excluded; none below its floor."""
     order = np.argsort(xid, kind="stable")
-    xid, x = xid[order], x[order]
-    to_pivots, square = _distances(x, pivots), (x**2).sum(1)
+    xid, x, x_to_pivots = xid[order], x[order], x_to_pivots[order]
+    square = (x**2).sum(1)
     out_q, out_x, out_s = [], [], []
-    for one, v, pd_ in zip(qid, q, _distances(q, pivots)):
-        bound = np.abs(to_pivots - pd_).max(1)
+    for one, v, pd_, low in zip(qid, q, q_to_pivots, floor):
+        bound = np.abs(x_to_pivots - pd_).max(1)
         # A hair above the rounding error of the square roots keeps the bound safe.
         upper = (square + (v**2).sum() - np.maximum(bound * (1 - 1e-9) - 1e-6, 0) ** 2) / 2 + 1e-3
-        rank = np.argsort(-upper, kind="stable")
+        live = np.flatnonzero(upper >= low)
+        rank = live[np.argsort(-upper[live], kind="stable")]
         best_s, best_i = np.zeros(0, np.float64), np.zeros(0, np.int64)
-        step = STEP
         for a in range(0, len(rank), STEP):
-            part = rank[a : a + step]
+            part = rank[a : a + STEP]
             if len(best_s) == k and best_s[-1] > upper[part[0]]:
                 break
             part = part[xid[part] != one]
@@ -70,12 +74,38 @@ def best_of_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray
     return out_q, out_x, out_s
 
 
-def _search(pivots: np.ndarray, k: int):
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
+def _measured(pivots: np.ndarray):
+    def measured(frames):
+        for f in frames:
+            if len(f):
+                yield f.assign(d=list(_distances(_matrix(f["v"]), pivots)))
+
+    return measured
+
+
+def _floors(ids: np.ndarray, sample: np.ndarray, k: int):
+    """Add to queries the k-th best score among the sample's rows but the query's own; minus infinity with fewer."""
+
+    def floors(frames):
+        for f in frames:
+            if len(f):
+                scores = _matrix(f["v"]) @ sample.T
+                scores[f["vec_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+                low = np.partition(scores, -k, 1)[:, -k] if scores.shape[1] >= k else np.full(len(f), -np.inf)
+                yield f.assign(floor=low)
+
+    return floors
+
+
+def _search(k: int):
     def search(left, right):
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, x = np.stack(left["v"].to_numpy()).astype(np.float64), np.stack(right["v"].to_numpy()).astype(np.float64)
-        a, b, s = best_of_block(left["vec_id"].to_numpy(), q, right["vec_id"].to_numpy(), x, pivots, k)
+        a, b, s = best_of_block(left["vec_id"].to_numpy(), _matrix(left["v"]), _matrix(left["d"]), left["floor"].to_numpy(), right["vec_id"].to_numpy(), _matrix(right["v"]), _matrix(right["d"]), k)
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
 
     return search
@@ -98,15 +128,18 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     found = None
     for dim, n in sorted((r["dim"], r["count"]) for r in rows.groupBy("dim").count().collect()):
         own = rows.where(F.col("dim") == dim)
-        sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("v").collect()
-        pivots = _pivots(np.array([r["v"] for r in sample], np.float64), PIVOTS)
+        sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("vec_id", "v").collect()
+        ids, points = np.array([r["vec_id"] for r in sample]), np.array([r["v"] for r in sample], np.float64)
+        table = "vec_id long, v array<double>, d array<double>"
+        own = as_table(own.select("vec_id", "v").mapInPandas(_measured(_pivots(points, PIVOTS)), table), "pivot_table")
         row_blocks, query_blocks = n // ROW_BLOCK + 1, n // every // QUERY_BLOCK + 1
         in_block = lambda m, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m)).cast("int")
         pair = lambda q, x: (q.cast("long") * row_blocks + x).alias("pair")  # noqa: E731, B023
-        queries = own.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-        left = queries.select("vec_id", "v", in_block(query_blocks, 1).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("x")).select(pair(F.col("q"), F.col("x")), "vec_id", "v")
-        right = own.select("vec_id", "v", in_block(row_blocks, 2).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q")).select(pair(F.col("q"), F.col("x")), "vec_id", "v")
-        part = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(_search(pivots, k), "query_id long, vec_id long, score long")
+        queries = own.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInPandas(_floors(ids, points, k), f"{table}, floor double")
+        copies = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        left = queries.select("*", in_block(query_blocks, 1).alias("q"), copies(row_blocks).alias("x")).select(pair(F.col("q"), F.col("x")), "vec_id", "v", "d", "floor")
+        right = own.select("*", in_block(row_blocks, 2).alias("x"), copies(query_blocks).alias("q")).select(pair(F.col("q"), F.col("x")), "vec_id", "v", "d")
+        part = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from spanveil.llm import chat_format, decontamination, kd_sharding, language_crf, near_dedup, packing, secret_scan, substring_dedup
+from spanveil.llm import chat_format, decontamination, kd_sharding, language_crf, near_dedup, packing, pivot_search, secret_scan, substring_dedup
 from spanveil.llm.queries import vocabulary
 
 from . import brute
@@ -293,3 +293,20 @@ def test_substrings_in_many_chunks(spark, monkeypatch):
         gone = {p for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for p in range(j, j + 13)}
         kept = " ".join(x for p, x in enumerate(w) if p not in gone)
         assert (got[i].n_words, got[i].n_removed, got[i].text, got[i].kept_sha256) == (len(w), len(gone), kept, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_top_k_with_many_blocks(spark, monkeypatch):
+    """Against all inner products, with blocks of few rows, a small sample, ties and repeated vectors."""
+    for name, value in (("ROW_BLOCK", 40), ("QUERY_BLOCK", 3), ("PIVOTS", 5), ("PIVOT_SAMPLE", 30), ("STEP", 7)):
+        monkeypatch.setattr(pivot_search, name, value)
+    rng = np.random.default_rng(14)
+    vectors = np.r_[rng.normal(size=(250, 6)), np.repeat(rng.normal(size=(5, 6)), 30, 0)].astype(np.float32)
+    rows = [(i * 3, v.tolist()) for i, v in enumerate(vectors)] + [(1000, None), (1050, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1100, [1.0, 2.0]), (1150, [1.0, 0.5]), (1200, [3.0])]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in pivot_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5).collect()]
+    whole = {i: np.floor(256 * np.array(v, np.float32).astype(float)) for i, v in rows if v and None not in v}
+    want = []
+    for i, v in whole.items():
+        if i % 50 == 0:
+            scored = sorted((-int(v @ w), j) for j, w in whole.items() if j != i and len(w) == len(v))[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    assert sorted(got) == sorted(want) and len(got) >= 30
