@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LABELS, boundary_pattern, estimate_tokens, label_of, tolerant_pattern, value_key, weight
+from .masking import masks_of
 
 LABEL = r"\[(\p{Lu}+(?:_\p{Lu}+)*)_(\d+)\]"
 #: Values with fewer letters and digits are too weak to look for.
@@ -21,10 +22,8 @@ def labels_in(text: Column) -> Column:
 
 def check_labels(masked: DataFrame) -> DataFrame:
     """(doc_id, reason) for (doc_id, anonymized_text, entities): the placeholders have to be those that the entities give."""
-    keys = F.transform("entities", lambda e: F.struct(label_of(e["type"]).alias("l"), value_key(e["text"]).alias("v")))
-    rows = masked.withColumn("__keys", keys)
-    own = F.transform("__keys", lambda k: F.concat(F.lit("["), k["l"], F.lit("_"), F.array_position(F.array_distinct(F.filter("__keys", lambda x: x["l"] == k["l"])), k).cast("string"), F.lit("]")))
-    rows = rows.select("doc_id", own.alias("own"), labels_in(F.col("anonymized_text")).alias("seen"))
+    own = masks_of(F.col("entities"), "placeholder")
+    rows = masked.select("doc_id", own.alias("own"), labels_in(F.col("anonymized_text")).alias("seen"))
     place = F.array_position(F.zip_with("own", "seen", lambda a, b: ~a.eqNullSafe(b)), True)
     return rows.select("doc_id", F.when(place > 0, F.concat(F.lit("placeholder "), place.cast("string"), F.lit(" does not follow from the entities"))).alias("reason"))
 

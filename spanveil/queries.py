@@ -65,6 +65,13 @@ def mask_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("entities").alias("n_entities"), F.aggregate(values, F.lit(0), lambda n, x: n + x).alias("n_values"), F.sha2("anonymized_text", 256).alias("masked_sha256"))
 
 
+@query("d15_mask_documents")
+def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All types on the given documents: entities by type and the digest of the masked text of every document."""
+    out = anonymize(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("entities").alias("n_entities"), F.to_json("valores_distintos").alias("values_by_type"), F.sha2("anonymized_text", 256).alias("masked_sha256"))
+
+
 @query("d11_more_entities", f'SELECT doc_id, type, start, "end", text FROM ({legal.MORE_TRUTH}) truth')
 def more_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second layout: CNPJ, RG, address, OAB, NIT, account; a name cut at a word of procedure; a body that is no person."""

@@ -105,3 +105,31 @@ def test_numbers_masks_and_payload(spark):
     rows = spark.createDataFrame([(1, "CPF_BR", "b", 1, 2, 0.5), (1, "CPF_BR", "a", 0, 1, 0.5)], "doc_id long, type string, text string, start int, end int, score double")
     got = {r.doc_id: ([x.text for x in r.entities], r.counts, r.chars) for r in evaluate.run_payload(docs, rows).collect()}
     assert got == {1: (["a", "b"], {"CPF_BR": 2}, 3), 2: ([], {}, 0)}
+
+
+def test_placeholders_that_do_not_follow_are_told(spark):
+    shape = "doc_id long, anonymized_text string, entities array<struct<type:string,text:string,start:int,end:int,score:double>>"
+    e = [("PERSON", "Ana Lima", 0, 8, 1.0), ("PERSON", "Rui Paz", 9, 16, 1.0), ("PERSON", "ANA LIMA", 20, 28, 1.0)]
+    rows = [(1, "[PESSOA_1] [PESSOA_2] e [PESSOA_1]", e), (2, "[PESSOA_1] [PESSOA_1] e [PESSOA_1]", e), (3, "[PESSOA_1]", e), (4, "nada [X_1]", [])]
+    got = {r.doc_id: r.reason for r in session.check_labels(spark.createDataFrame(rows, shape)).collect()}
+    assert got[1] is None and got[4] is None and got[2].startswith("placeholder 2 ") and got[3].startswith("placeholder 2 ")
+
+
+def test_whole_detection_on_the_given_documents(spark):
+    """The masked text is the text with the entities' places replaced, for every document of the table."""
+    from spanveil.plans.anonymize import anonymize
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = anonymize(docs).join(docs.withColumnRenamed("text", "given"), "doc_id").collect()
+    assert len(rows) == docs.count() and any(r.entities for r in rows)
+    for r in rows:
+        text, at = [], 0
+        numbers: dict = {}
+        for e in r.entities or []:
+            assert r.given[e.start : e.end] == e.text
+            text.append(r.given[at : e.start])
+            label = {"EMAIL_ADDRESS": "EMAIL", "ENDERECO_BR": "ENDEREÇO"}[e.type]
+            own = numbers.setdefault(label, {})
+            text.append(f"[{label}_{own.setdefault(e.text.lower(), len(own) + 1)}]")
+            at = e.end
+        assert r.anonymized_text == (None if r.given is None else "".join(text) + r.given[at:])
