@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import LABELS, boundary_pattern, estimate_tokens, label_of, tolerant_pattern, value_key, weight
+from ..functions.text import _BARE, _MARKED, LABELS, boundary_pattern, estimate_tokens, label_of, tolerant_pattern, value_key, weight
 from .masking import masks_of
 
 LABEL = r"\[(\p{Lu}+(?:_\p{Lu}+)*)_(\d+)\]"
@@ -113,6 +113,11 @@ def forbidden_values(entities: DataFrame, index: DataFrame, session: str = "sess
     return out.where("value is not null").distinct()
 
 
+def _runs(c: Column) -> Column:
+    """The longest runs of letters and of digits, in lower case and without accents, as a pattern without case sees them."""
+    return F.regexp_extract_all(F.lower(F.translate(c, _MARKED + _MARKED.upper() + "ſıİK", _BARE + _BARE.upper() + "siik")), F.lit(r"\p{L}+|\p{N}+"), F.lit(0))
+
+
 def guard_hits(out: DataFrame, forbidden: DataFrame, session: str = "session_id", exempt: list[str] | None = None) -> DataFrame:
     """(id, type, pos) where an outgoing text holds a forbidden value of its session; the value is never told.
 
@@ -124,8 +129,12 @@ def guard_hits(out: DataFrame, forbidden: DataFrame, session: str = "session_id"
         text = F.replace(text, F.lit(passage), F.lit("\u0000" * len(passage)))
     strong = forbidden.where(weight(F.col("value")) >= LEAST_WEIGHT)
     pattern = boundary_pattern(F.trim("value"), F.regexp_replace(tolerant_pattern(F.col("value")), r"^\(\?iu\)", ""))
-    strong = strong.select(session, "type", F.concat(F.lit("(?iu)"), pattern).alias("__rx")).distinct()
-    met = out.select("id", session, text.alias("__t")).join(strong, session).where("__t rlike __rx")
+    run = F.get(_runs(value_key(F.col("value"))), F.lit(0))
+    strong = strong.select(session, "type", F.concat(F.lit("(?iu)"), pattern).alias("__rx"), run.alias("__run")).distinct()
+    texts = out.select("id", session, text.alias("__t"))
+    # A value begins with a whole run of letters or of digits, so only texts that hold this run are searched for it.
+    held = texts.select("id", session, F.explode(F.array_distinct(_runs(F.col("__t")))).alias("__run"))
+    met = texts.join(held.join(strong, [session, "__run"]).drop("__run"), ["id", session]).where("__t rlike __rx")
     return met.groupBy("id", "type").agg(F.min(F.length(F.split("__t", F.col("__rx"), 2)[0])).cast("int").alias("pos"))
 
 

@@ -133,3 +133,12 @@ def test_whole_detection_on_the_given_documents(spark):
             text.append(f"[{label}_{own.setdefault(e.text.lower(), len(own) + 1)}]")
             at = e.end
         assert r.anonymized_text == (None if r.given is None else "".join(text) + r.given[at:])
+
+
+def test_guard_by_runs_is_the_guard_by_patterns(spark):
+    """A value is found by its first run wherever its pattern matches: glued to the other kind, in other case, between marks."""
+    forbidden = spark.createDataFrame([("s", "CPF_BR", "111.222"), ("s", "PERSON", "José Ássis"), ("s", "PERSON", "Ana"), ("s", "CAMINHO", "/home/ana1/x"), ("s", "PERSON", "K2 Sul"), ("t", "PERSON", "Rui")], "session_id string, type string, value string")
+    texts = ["CPF111.222 x", "1111.222", "jose  assis", "JOSÉ ÁSSIS!", "Fernanda", "ana", "ANA1", "xx/home/ANA1/x", "k2  SUL", "ak2 sul", "Rui", "", None, "JO\u017fÉ A\u017f\u017fis", "(Ana)"]
+    out = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "id long, session_id string, text string")
+    got = {(r.id, r.type) for r in session.guard_hits(out, forbidden).collect()}
+    assert got == {(0, "CPF_BR"), (2, "PERSON"), (3, "PERSON"), (5, "PERSON"), (6, "PERSON"), (7, "CAMINHO"), (7, "PERSON"), (8, "PERSON"), (13, "PERSON"), (14, "PERSON")}
