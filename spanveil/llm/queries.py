@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, kd_sharding, language_crf, line_dedup, near_dedup, packing, pivot_search, secret_scan, substring_dedup
+from . import chat_format, decontamination, kd_sharding, language_crf, line_dedup, near_dedup, packing, pivot_search, secret_scan, substring_dedup, turn_repair
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard_by_tree(_read(spark, sf_dir, "documents"), shards=40)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damage(_read(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_formatting": op8_chat_formatting,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_kd_sharding": op10_kd_sharding,
+        "op12_conversation_repair": op12_conversation_repair,
         "pipeline": pipeline,
     }
 
@@ -119,10 +124,43 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 5
 """
 
+#: The checksum bit by bit; then the cheapest edits, row by row from the last one.
+OP12_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(k, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT) % 20 AS m FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role,
+    CASE m WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN m = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE m <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut FROM o),
+rw AS (SELECT *, blank OR again AS must, cut AND NOT blank AND NOT again AS short FROM f),
+n AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) AS n, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+    count(*) FILTER (WHERE short) AS truncated, count(*) FILTER (WHERE p IS NOT NULL AND p || r NOT IN ('su', 'ua', 'au')) AS illegal FROM rw GROUP BY conv_id),
+-- Costs, edits and lines that remain behind row i - 1, from nothing yet (z), after s, after u and after a.
+b AS (
+  SELECT conv_id, n + 1 AS i, {'c': 0, 'a': '', 't': []::VARCHAR[]} AS z, {'c': 6, 'a': 'II', 't': ['user:', 'assistant:']} AS s, {'c': 3, 'a': 'I', 't': ['assistant:']} AS u, {'c': 0, 'a': '', 't': []::VARCHAR[]} AS a FROM n
+  UNION ALL
+  SELECT conv_id, i, list_min([z, {'c': 3 + u.c, 'a': 'I' || u.a, 't': list_prepend('user:', u.t)}, {'c': 6 + a.c, 'a': 'II' || a.a, 't': list_concat(['user:', 'assistant:'], a.t)}]),
+    list_min([s, {'c': 3 + u.c, 'a': 'I' || u.a, 't': list_prepend('user:', u.t)}, {'c': 6 + a.c, 'a': 'II' || a.a, 't': list_concat(['user:', 'assistant:'], a.t)}]),
+    list_min([u, {'c': 3 + a.c, 'a': 'I' || a.a, 't': list_prepend('assistant:', a.t)}]), list_min([a, {'c': 3 + u.c, 'a': 'I' || u.a, 't': list_prepend('user:', u.t)}])
+  FROM (
+    SELECT b.conv_id, rw.i, list_min([{'c': 4 + z.c, 'a': 'D' || z.a, 't': z.t}, {'c': CASE WHEN must OR r NOT IN ('s', 'u') THEN 999999999 ELSE x END + CASE r WHEN 's' THEN s.c ELSE u.c END, 'a': 'K' || CASE r WHEN 's' THEN s.a ELSE u.a END, 't': list_prepend(role || ':' || text, CASE r WHEN 's' THEN s.t ELSE u.t END)}, {'c': v + u.c, 'a': 'R' || u.a, 't': list_prepend('user:' || text, u.t)}]) AS z,
+      list_min([{'c': 4 + s.c, 'a': 'D' || s.a, 't': s.t}, {'c': CASE WHEN must OR r <> 'u' THEN 999999999 ELSE x END + u.c, 'a': 'K' || u.a, 't': list_prepend(role || ':' || text, u.t)}, {'c': v + u.c, 'a': 'R' || u.a, 't': list_prepend('user:' || text, u.t)}]) AS s,
+      list_min([{'c': 4 + u.c, 'a': 'D' || u.a, 't': u.t}, {'c': CASE WHEN must OR r <> 'a' THEN 999999999 ELSE x END + a.c, 'a': 'K' || a.a, 't': list_prepend(role || ':' || text, a.t)}, {'c': v + a.c, 'a': 'R' || a.a, 't': list_prepend('assistant:' || text, a.t)}]) AS u,
+      list_min([{'c': 4 + a.c, 'a': 'D' || a.a, 't': a.t}, {'c': CASE WHEN must OR r <> 'u' THEN 999999999 ELSE x END + u.c, 'a': 'K' || u.a, 't': list_prepend(role || ':' || text, u.t)}, {'c': v + u.c, 'a': 'R' || u.a, 't': list_prepend('user:' || text, u.t)}]) AS a
+    FROM b JOIN (SELECT *, CASE WHEN short THEN 3 ELSE 0 END AS x, CASE WHEN must THEN 999999999 WHEN short THEN 6 ELSE 3 END AS v FROM rw) rw ON b.conv_id IS NOT DISTINCT FROM rw.conv_id AND rw.i = b.i - 1))
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(z.c, 0)::BIGINT AS cost, coalesce(z.a, '') AS audit, sha256(coalesce(array_to_string(z.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN n ON g.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN b ON g.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1_SQL,
         "op3_line_dedup": OP3_SQL,
         "op9_exact_top_k": OP9_SQL,
+        "op12_conversation_repair": OP12_SQL,
     }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +53,35 @@ def small_batches(spark: SparkSession) -> None:
     """
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def digest_in_order(pieces: DataFrame, key: list[str], order: list[str], value: str, between: str) -> DataFrame:
+    """The key columns and ``sha256`` of the values of a key, in order and joined by ``between``.
+
+    A hash of one long text runs from its begin to its end, so a key is hashed in one task; but rows stream through it,
+    and it holds the state of the hash only. Key columns have no nulls.
+    """
+    many = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            done = []
+            for row in zip(*[batch.column(i).to_pylist() for i in range(many + 1)]):
+                if state is None or row[:many] != now:
+                    if state is not None:
+                        done.append((*now, state.hexdigest()))
+                    now, state = row[:many], hashlib.sha256()
+                else:
+                    state.update(between.encode())
+                state.update(row[many].encode())
+            yield pa.record_batch([pa.array([r[i] for r in done], t.type) for i, t in enumerate(shape)], schema=shape)
+        if state is not None:
+            yield pa.record_batch([pa.array([x], t.type) for x, t in zip((*now, state.hexdigest()), shape)], schema=shape)
+
+    out = pieces.select(*key).schema.add("sha256", "string")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shape = to_arrow_schema(out)
+    ordered = pieces.repartition(*key).sortWithinPartitions(*key, *order).select(*key, value)
+    return ordered.mapInArrow(run, out)
