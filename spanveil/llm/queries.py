@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, kd_sharding, language_crf, line_dedup, near_dedup, packing, pivot_search, secret_scan, substring_dedup, turn_repair
+from . import chat_format, decontamination, kd_sharding, language_crf, line_dedup, near_dedup, packing, pivot_search, rotated_codes, secret_scan, substring_dedup, turn_repair
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damage(_read(spark, sf_dir, "conversations")))
 
 
+def op13_rotated_code_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated_codes.nearest(_read(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_top_k": op9_exact_top_k,
         "op10_kd_sharding": op10_kd_sharding,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_rotated_code_neighbours": op13_rotated_code_neighbours,
         "pipeline": pipeline,
     }
 
