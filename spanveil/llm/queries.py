@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, kd_sharding, language_crf, line_dedup, near_dedup, packing, pivot_search, rotated_codes, secret_scan, substring_dedup, turn_repair
+from . import chat_format, cross_align, decontamination, kd_sharding, language_crf, line_dedup, near_dedup, packing, pivot_search, rotated_codes, secret_scan, substring_dedup, turn_repair
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard_by_tree(_read(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_align.align_tokens(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damage(_read(spark, sf_dir, "conversations")))
 
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_formatting": op8_chat_formatting,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_kd_sharding": op10_kd_sharding,
+        "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
         "op12_conversation_repair": op12_conversation_repair,
         "op13_rotated_code_neighbours": op13_rotated_code_neighbours,
         "pipeline": pipeline,
