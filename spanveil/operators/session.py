@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import _BARE, _MARKED, LABELS, boundary_pattern, estimate_tokens, label_of, tolerant_pattern, value_key, weight
+from ..functions.text import LABELS, estimate_tokens, label_of, value_key, weight
+from . import dictionary
 from .masking import masks_of
 
 LABEL = r"\[(\p{Lu}+(?:_\p{Lu}+)*)_(\d+)\]"
@@ -56,33 +57,36 @@ def with_session_labels(docs: DataFrame, entities: DataFrame, pseudonyms: DataFr
     return out.withColumn("session_text", F.array_join(moved, "")).drop("__map")
 
 
-def close_residuals(texts: DataFrame, pseudonyms: DataFrame, session: str = "session_id") -> DataFrame:
+def close_residuals(texts: DataFrame, pseudonyms: DataFrame, session: str = "session_id", prefer: str = "longest") -> DataFrame:
     """Replace every known value of a session that is left in its texts, whatever its case, accents and white space.
 
-    Longer values come first; existing placeholders and parts of words stay; values below the least weight are not
-    looked for. Adds closed_text, closed (map label to count) and examples (label: spelling).
+    Longer values come first, wherever they stand (``prefer="leftmost"``: the first place decides, then the longer
+    value); existing placeholders and parts of words stay; values below the least weight are not looked for. Adds
+    closed_text, closed (map label to count) and examples (label: spelling). Equal texts of a session are searched once,
+    by joins on tokens (``operators.dictionary``). A null text stays null, with empty maps.
     """
     strong = pseudonyms.where(weight(F.col("norm_value")) >= LEAST_WEIGHT)
-    pattern = boundary_pattern(F.col("norm_value"), F.regexp_replace(tolerant_pattern(F.col("norm_value")), r"^\(\?iu\)", ""))
-    entry = F.struct((-F.length("norm_value")).alias("o"), F.col("norm_value").alias("v"), pattern.alias("rx"), F.concat(F.lit("["), "label", F.lit("_"), F.col("n").cast("string"), F.lit("]")).alias("tag"), F.col("label").alias("label"))
-    known = strong.groupBy(session).agg(F.sort_array(F.collect_list(entry)).alias("__e"))
-    known = known.select(
-        session,
-        F.concat(F.lit("(?iu)" + LABEL + "|"), F.array_join(F.transform("__e", lambda e: e["rx"]), "|")).alias("__rx"),
-        F.map_from_entries(F.transform(F.array_distinct(F.transform("__e", lambda e: e["v"])), lambda v: F.struct(v, F.filter("__e", lambda e: e["v"] == v)[0].alias("e")))).alias("__by"),
-    )
-    out = texts.join(known, session, "left")
-    rx = F.coalesce("__rx", F.lit(LABEL))
-    out = out.withColumn("__m", F.regexp_extract_all("text", rx, F.lit(0))).withColumn("__g", F.split("text", rx, -1))
-    hit = F.transform("__m", lambda m: F.when(~m.rlike("^" + LABEL + "$"), F.struct(m.alias("m"), F.element_at("__by", value_key(m)).alias("e"))))
-    out = out.withColumn("__h", F.when(F.col("__by").isNotNull(), hit).otherwise(F.transform("__m", lambda m: F.lit(None))))
-    put = F.zip_with("__m", "__h", lambda m, h: F.coalesce(h["e"]["tag"], m))
-    joined = F.array_join(F.zip_with("__g", put, lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
-    real = F.filter("__h", lambda h: h["e"].isNotNull())
-    kinds = F.array_distinct(F.transform(real, lambda h: h["e"]["label"]))
-    closed = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(real, lambda h: h["e"]["label"] == k))))
-    examples = F.array_distinct(F.transform(kinds, lambda k: F.concat(k, F.lit(": "), F.filter(real, lambda h: h["e"]["label"] == k)[0]["m"])))
-    return out.withColumn("closed_text", joined).withColumn("closed", closed).withColumn("examples", examples).drop("__rx", "__by", "__m", "__g", "__h")
+    tag = F.concat(F.lit("["), "label", F.lit("_"), F.col("n").cast("string"), F.lit("]"))
+    # A value with several labels is closed by the first of them.
+    terms = strong.groupBy(session, F.col("norm_value").alias("value")).agg(F.min(F.struct("label", tag.alias("tag"))).alias("__b"))
+    terms = terms.select(session, "value", F.col("__b.label").alias("label"), F.col("__b.tag").alias("tag"), F.length("value").alias("length"), F.col("value").alias("rank"))
+    own = texts.select(session, F.md5("text").alias("text_id"), "text").where("text is not null").dropDuplicates([session, "text_id"])
+    found = dictionary.resolved(dictionary.candidates(own, terms, session, protected=LABEL), session, prefer, "length")
+    by_text = found.groupBy(session, "text_id").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "label", "tag"))).alias("__m"))
+    out = texts.withColumn("text_id", F.md5("text")).join(by_text, [session, "text_id"], "left").drop("text_id")
+    out = out.withColumn("__w", F.when(F.col("__m").isNotNull(), dictionary.tokens(F.col("text"), LABEL)))
+    part = lambda a, n: F.array_join(F.slice("__w", a + 1, n), "")
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("__m", i - 1)["pos"] + F.get("__m", i - 1)["n"])
+    cut = F.transform("__m", lambda m, i: F.concat(part(before(i), m["pos"] - before(i)), m["tag"]))
+    tail = before(F.size("__m"))
+    closed = F.array_join(F.concat(cut, F.array(part(tail, F.size("__w") - tail))), "")
+    none = F.array().cast("array<string>")
+    kinds = F.coalesce(F.array_distinct(F.transform("__m", lambda m: m["label"])), none)
+    counts = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter("__m", lambda m: m["label"] == k))))
+    first = lambda k: F.filter("__m", lambda m: m["label"] == k)[0]
+    shown = F.transform(kinds, lambda k: F.concat(k, F.lit(": "), part(first(k)["pos"], first(k)["n"])))
+    out = out.withColumns({"closed_text": F.when(F.col("__m").isNull(), F.col("text")).otherwise(closed), "closed": counts, "examples": shown})
+    return out.drop("__m", "__w")
 
 
 def prepare_turns(turns: DataFrame, spans: DataFrame, session: str = "session_id") -> DataFrame:
@@ -113,29 +117,24 @@ def forbidden_values(entities: DataFrame, index: DataFrame, session: str = "sess
     return out.where("value is not null").distinct()
 
 
-def _runs(c: Column) -> Column:
-    """The longest runs of letters and of digits, in lower case and without accents, as a pattern without case sees them."""
-    return F.regexp_extract_all(F.lower(F.translate(c, _MARKED + _MARKED.upper() + "ſıİK", _BARE + _BARE.upper() + "siik")), F.lit(r"\p{L}+|\p{N}+"), F.lit(0))
-
-
 def guard_hits(out: DataFrame, forbidden: DataFrame, session: str = "session_id", exempt: list[str] | None = None) -> DataFrame:
     """(id, type, pos) where an outgoing text holds a forbidden value of its session; the value is never told.
 
     Compared whatever the case, accents and white space, not inside of words; values below the least weight are not
-    looked for; exempt passages are skipped.
+    looked for; exempt passages are skipped. The search is by joins on tokens (``operators.dictionary``).
     """
     text = F.col("text")
     for passage in exempt or []:
         text = F.replace(text, F.lit(passage), F.lit("\u0000" * len(passage)))
-    strong = forbidden.where(weight(F.col("value")) >= LEAST_WEIGHT)
-    pattern = boundary_pattern(F.trim("value"), F.regexp_replace(tolerant_pattern(F.col("value")), r"^\(\?iu\)", ""))
-    run = F.get(_runs(value_key(F.col("value"))), F.lit(0))
-    strong = strong.select(session, "type", F.concat(F.lit("(?iu)"), pattern).alias("__rx"), run.alias("__run")).distinct()
-    texts = out.select("id", session, text.alias("__t"))
-    # A value begins with a whole run of letters or of digits, so only texts that hold this run are searched for it.
-    held = texts.select("id", session, F.explode(F.array_distinct(_runs(F.col("__t")))).alias("__run"))
-    met = texts.join(held.join(strong, [session, "__run"]).drop("__run"), ["id", session]).where("__t rlike __rx")
-    return met.groupBy("id", "type").agg(F.min(F.length(F.split("__t", F.col("__rx"), 2)[0])).cast("int").alias("pos"))
+    terms = forbidden.where(weight(F.col("value")) >= LEAST_WEIGHT).select(session, "type", value_key(F.col("value")).alias("value")).distinct()
+    texts = out.select(session, F.col("id").alias("text_id"), text.alias("text"))
+    # A value that is forbidden as several types is looked for once.
+    terms = terms.groupBy(session, "value").agg(F.collect_set("type").alias("types"))
+    found = dictionary.candidates(texts, terms, session).select(session, "text_id", "pos", F.explode("types").alias("type"))
+    first = found.groupBy(session, "text_id", "type").agg(F.min("pos").alias("pos"))
+    placed = first.join(texts, [session, "text_id"])
+    pos = F.length(F.array_join(F.slice(dictionary.tokens(F.col("text")), F.lit(1), F.col("pos")), ""))
+    return placed.select(F.col("text_id").alias("id"), "type", pos.cast("int").alias("pos"))
 
 
 def egress_guard(out: DataFrame, forbidden: DataFrame, session: str = "session_id", exempt: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
