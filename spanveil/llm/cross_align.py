@@ -32,7 +32,11 @@ from .words import column_bytes, released, span_hashes
 #: Bytes of a text from which on it is cut into parts; bytes of a fragment; fragments that one step of the tree composes.
 PART_BYTES, FRAGMENT_BYTES, FAN = 1 << 16, 1 << 14, 16
 #: Bytes of text of a block of documents.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
+#: Stretches that a tokenizer gets at one time; its own objects are much larger than the ids.
+ENCODED = 2048
+#: Stretches that the byte-level tokenizer reads as one text; bytes of white space, and those that wide spaces begin with.
+TOGETHER, _UNSAFE = 64, frozenset([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3])
 #: Token pairs of a group that are written out one by one; larger groups go by distinct ids.
 PLAIN_LINKS = 4096
 
@@ -57,6 +61,9 @@ class _Side:
         self.at = np.r_[0, np.cumsum(self.size)]
         self.body = np.frombuffer(b"".join(tokens), np.uint8)
         self.name = [str(i) for i in range(len(tokens))]
+        self.digits = np.array([len(x) for x in self.name], np.int64)
+        self.digits_at = np.r_[0, np.cumsum(self.digits)]
+        self.figures = np.frombuffer("".join(self.name).encode(), np.uint8)
 
     def written(self, ids: np.ndarray) -> np.ndarray:
         return self.body[_runs(self.at[:-1][ids], self.size[ids])]
@@ -73,8 +80,22 @@ def _byte_level(path: str) -> _Side:
     for token, i in vocab.items():
         tokens[i] = token.encode() if token in special else bytes(table[c] for c in token)
     run = getattr(t, "encode_batch_fast", t.encode_batch)
-    # The space before a text is part of what this tokenizer reads.
-    return _Side(tokens, lambda texts: [e.ids for e in run([" " + x for x in texts], add_special_tokens=False)])
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # The space before a text is part of what this tokenizer reads. Stretches that a safe cut may stand between are read together.
+        raw = [x.encode() for x in texts]
+        calm = [bool(x) and x[0] not in _UNSAFE and (x[-1] < 0x80 and x[-1] not in _UNSAFE or len(x) > 1 and 0xC3 <= x[-2] <= 0xDF) for x in raw]
+        order = np.argsort(~np.array(calm, bool), kind="stable")
+        many = sum(calm)
+        lines = [" " + " ".join([texts[i] for i in order[j : min(j + TOGETHER, many)]]) for j in range(0, many, TOGETHER)] + [" " + texts[i] for i in order[many:]]
+        ids = np.array([i for e in run(lines, add_special_tokens=False) for i in e.ids], np.int64)
+        ends = np.cumsum([len(raw[i]) + 1 for i in order])
+        count = np.diff(np.searchsorted(np.cumsum(size[ids]), ends, "right"), prepend=0)
+        place = np.argsort(order)
+        return count[place], ids[_runs((np.cumsum(count) - count)[place], count[place])]
+
+    size = np.array([len(x) for x in tokens], np.int64)
+    return _Side(tokens, encode)
 
 
 def _pieces(path: str) -> _Side:
@@ -82,7 +103,12 @@ def _pieces(path: str) -> _Side:
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     tokens = [bytes([int(p[1:-1], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(m.id_to_piece(i) for i in range(m.get_piece_size()))]
-    return _Side(tokens, lambda texts: m.encode(texts, num_threads=1))
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = m.encode(texts, num_threads=1)
+        return np.array([len(x) for x in coded], np.int64), np.array([i for x in coded for i in x], np.int64)
+
+    return _Side(tokens, encode)
 
 
 _SIDES: dict[tuple[str, str], tuple[_Side, _Side]] = {}
@@ -207,9 +233,12 @@ class _Coded:
         begin = np.r_[0, np.cumsum(self.size)]
         self.ids, self.ends, self.first = [], [], []
         for side in sides:
-            coded = side.encode(texts)
-            count = np.array([len(x) for x in coded], np.int64)
-            ids = np.fromiter((i for x in coded for i in x), np.int64, int(count.sum()))
+            counts, parts = [_EMPTY], [_EMPTY]
+            for i in range(0, len(texts), ENCODED):
+                own, coded = side.encode(texts[i : i + ENCODED])
+                counts.append(own)
+                parts.append(coded)
+            count, ids = np.concatenate(counts), np.concatenate(parts)
             first = np.r_[0, np.cumsum(count)]
             reach = np.r_[0, np.cumsum(side.size[ids])]
             long = reach[first[1:]] - reach[first[:-1]]
@@ -225,7 +254,7 @@ class _Coded:
             # End offsets within the stretch.
             self.ends.append(reach[1:] - np.repeat(reach[first[:-1]], count))
 
-    def groups(self, names: tuple[list[str], list[str]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def groups(self, sides: tuple[_Side, _Side]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per stretch the text of its groups and their number; (offsets, pairs, times) of its links; and its number of links."""
         n = len(self.size)
         at = np.r_[0, np.cumsum(np.where(self.fine, self.size, 0))]
@@ -251,12 +280,25 @@ class _Coded:
         pairs, times, own = np.concatenate(pairs), np.concatenate(times), np.concatenate(own)
         order = np.argsort(own, kind="stable")
         offsets = np.searchsorted(own[order], np.arange(n + 1))
-        texts, (na, nb) = [""] * n, names
-        a, b = ids[0].tolist(), ids[1].tolist()
-        fa, fb = first[0].tolist(), first[1].tolist()
-        for x, w in enumerate(of.tolist()):
-            text = ",".join([na[i] for i in a[fa[x] : fa[x + 1]]]) + "|" + ",".join([nb[i] for i in b[fb[x] : fb[x + 1]]])
-            texts[w] = f"{texts[w]};{text}" if texts[w] else text
+        # The text of all groups: A's numbers, then B's, with the mark that follows each.
+        total = count[0] + count[1]
+        begin = np.cumsum(total) - total
+        place = [begin[g[0]] + np.arange(len(g[0])) - first[0][g[0]], begin[g[1]] + count[0][g[1]] + np.arange(len(g[1])) - first[1][g[1]]]
+        width, source, mark = np.zeros(int(total.sum()), np.int64), np.zeros(int(total.sum()), np.int64), np.full(int(total.sum()), ord(","), np.uint8)
+        shift = 0
+        for side, i, p in zip(sides, ids, place):
+            width[p], source[p] = side.digits[i], side.digits_at[i] + shift
+            shift += len(side.figures)
+        mark[begin + count[0] - 1] = ord("|")
+        mark[begin + total - 1] = ord(";")
+        ends_at = np.cumsum(width + 1)
+        body = np.empty(int(ends_at[-1]) if len(ends_at) else 0, np.uint8)
+        body[ends_at - 1] = mark
+        figures = np.concatenate([side.figures for side in sides])
+        body[_runs(ends_at - 1 - width, width)] = figures[_runs(source, width)]
+        raw = body.tobytes().decode()
+        stop = np.r_[0, np.cumsum(np.bincount(of, weights=np.add.reduceat(width + 1, begin) if len(begin) else None, minlength=n))].astype(np.int64).tolist()
+        texts = [raw[a : b - 1] if b > a else "" for a, b in zip(stop, stop[1:])]
         return texts, number, offsets, pairs[order], times[order], links
 
 
@@ -314,7 +356,7 @@ def _encode(vocabularies: tuple[str, str], groups: bool):
         n = len(bodies)
         texts, which, first = _stretches(body, rows)
         coded = _Coded(texts, sides)
-        names, number_of, offsets, pairs, times, links = coded.groups((sides[0].name, sides[1].name))
+        names, number_of, offsets, pairs, times, links = coded.groups(sides)
         owner = np.repeat(np.arange(n), np.diff(first))
         bad = np.bincount(owner, ~coded.fine[which], minlength=n) > 0
         good = ~bad[owner]
