@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import value_key, wilson_lower
+from ..functions.text import value_key, weight, wilson_lower
+from ..tables import written
+from .intervals import cut_out, merged, overlapping
 
 
 def line_index(docs: DataFrame) -> DataFrame:
@@ -23,23 +25,31 @@ def boilerplate_lines(docs: DataFrame, threshold: int = 20, least: int = 12) ->
 
 
 def covered(gold: DataFrame, detections: DataFrame, docs: DataFrame) -> DataFrame:
-    """A-8, J1: gold (doc_id, type, start, end) with covered: every letter and digit of it lies in some detection."""
-    gold = gold.withColumn("__id", F.struct("doc_id", "type", "start", "end"))
-    texts = gold.join(docs.select("doc_id", "text"), "doc_id").select("*", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("value")).drop("text")
-    spans = detections.select("doc_id", F.col("start").alias("a"), F.col("end").alias("b"))
-    met = gold.select("doc_id", "__id", "start", "end").join(spans, "doc_id").where("a < end and b > start").groupBy("__id").agg(F.collect_set(F.struct("a", "b")).alias("over"))
-    out = texts.join(met, "__id", "left")
-    open_ = F.filter(F.transform(F.split("value", ""), lambda ch, i: F.struct(ch.alias("c"), (F.col("start") + i).alias("p"))), lambda x: ~F.exists(F.coalesce("over", F.array().cast("array<struct<a:int,b:int>>")), lambda s: (s["a"] <= x["p"]) & (x["p"] < s["b"])))
-    return out.withColumn("covered", ~F.exists(open_, lambda x: x["c"].rlike(r"[\p{L}\p{N}]"))).drop("__id", "over")
+    """A-8, J1: gold (doc_id, type, start, end) with value and covered: every letter and digit of it lies in some detection.
+
+    Detections are united to disjoint spans; an item is covered where the letters and digits of its overlaps with them
+    add up to its own.
+    """
+    items = cut_out(gold, docs)
+    parts = overlapping(items, merged(detections.select("doc_id", "start", "end")))
+    from_, to = F.greatest("a", "start"), F.least("b", "end")
+    held = parts.select("doc_id", "type", "start", "end", weight(F.substr("value", from_ - F.col("start") + 1, to - from_)).alias("w"))
+    own = held.groupBy("doc_id", "type", "start", "end").agg(F.sum("w").alias("__w"))
+    # Equal items meet their parts as often as they are there.
+    times = gold.groupBy("doc_id", "type", "start", "end").agg(F.count("*").alias("__n"))
+    own = own.join(times, ["doc_id", "type", "start", "end"]).withColumn("__w", F.col("__w") / F.col("__n"))
+    out = items.join(own.drop("__n"), ["doc_id", "type", "start", "end"], "left")
+    return out.withColumn("covered", F.coalesce("__w", F.lit(0)) == weight(F.col("value"))).drop("__w")
 
 
 def judged(docs: DataFrame, gold: DataFrame, detections: DataFrame, threshold: int = 20) -> DataFrame:
-    """Gold items with covered and boilerplate (the item lies on a boilerplate line)."""
+    """Gold items with covered and boilerplate (the item begins on a boilerplate line)."""
     lines = line_index(docs)
     common = boilerplate_lines(docs, threshold).select("doc_id", "line", F.lit(True).alias("boilerplate"))
-    marked = lines.join(common, ["doc_id", "line"]).select("doc_id", F.col("start").alias("a"), F.col("end").alias("b"))
+    marked = lines.join(common, ["doc_id", "line"]).select("doc_id", "start", "end")
     items = covered(gold, detections, docs)
-    on = items.select("doc_id", "type", "start", "end").join(marked, "doc_id").where("start >= a and start < b").select("doc_id", "type", "start", "end", F.lit(True).alias("boilerplate")).distinct()
+    first = items.select("doc_id", "type", F.col("start").alias("__s"), F.col("end").alias("__e")).distinct().withColumns({"start": F.col("__s"), "end": F.col("__s") + 1})
+    on = overlapping(first, marked).select("doc_id", "type", F.col("__s").alias("start"), F.col("__e").alias("end"), F.lit(True).alias("boilerplate")).distinct()
     return items.join(on, ["doc_id", "type", "start", "end"], "left").withColumn("boilerplate", F.coalesce("boilerplate", F.lit(False)))
 
 
@@ -48,7 +58,7 @@ def evaluate(docs: DataFrame, gold: DataFrame, detections: DataFrame, threshold:
 
     A value is protected in a document where all its occurrences outside boilerplate are covered.
     """
-    items = judged(docs, gold, detections, threshold).withColumn("key", value_key(F.col("value")))
+    items = written(judged(docs, gold, detections, threshold).withColumn("key", value_key(F.col("value"))), "judged")
     by_type = items.groupBy("type").agg(
         F.count_if(~F.col("boilerplate")).alias("occurrences"), F.count_if(~F.col("boilerplate") & F.col("covered")).alias("hits"),
         F.count_if("boilerplate").alias("boilerplate"), F.count_if(F.col("boilerplate") & F.col("covered")).alias("boilerplate_hits"),

@@ -1,8 +1,12 @@
-"""Fusion of overlapping spans into disjoint entities (D11), row by row and as joins and windows."""
+"""Fusion of overlapping spans into disjoint entities (D11), row by row and as a sweep over sorted borders."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from bisect import bisect_left
+from heapq import heappop, heappush
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Types from the weakest to the strongest.
@@ -63,29 +67,100 @@ def fuse_spans(docs: DataFrame, text: Column, spans: str = "spans", priority=PRI
     return out.withColumn("entities", F.transform("__runs", entity)).drop("__in", "__bounds", "__cells", "__runs")
 
 
+def sweep(spans: list[tuple[int, int, int, float]], breaks: list[int]) -> list[tuple[int, int, int, float]]:
+    """Disjoint runs (start, end, rank, score) of spans (start, end, rank, score) by one pass over their sorted borders.
+
+    The active set is a heap by rank; spans that have ended leave it when they come to its top. So a text costs n log n
+    in its spans, however they overlap. Runs end at ``breaks`` (places of line breaks, ascending).
+    """
+    order = sorted(spans)
+    points = sorted({p for s in order for p in s[:2]})
+    active: list[tuple[int, int]] = []
+    runs: list[list[int]] = []
+    i = 0
+    for a, b in zip(points, points[1:]):
+        while i < len(order) and order[i][0] <= a:
+            heappush(active, (-order[i][2], -order[i][1]))
+            i += 1
+        while active and -active[0][1] <= a:
+            heappop(active)
+        if active:
+            rank = -active[0][0]
+            if runs and runs[-1][1] == a and runs[-1][2] == rank:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b, rank])
+    pieces = []
+    for a, b, rank in runs:
+        for k in range(bisect_left(breaks, a), bisect_left(breaks, b)):
+            pieces.append((a, breaks[k], rank))
+            a = breaks[k] + 1
+        pieces.append((a, b, rank))
+    # The best score of the spans of its own rank that a run overlaps: a heap a rank, by score.
+    own: dict[int, list] = {}
+    for s in order:
+        own.setdefault(s[2], []).append(s)
+    heaps: dict[int, list] = {r: [] for r in own}
+    place = dict.fromkeys(own, 0)
+    out = []
+    for a, b, rank in pieces:
+        if b - a < 2:
+            continue
+        heap, line = heaps[rank], own[rank]
+        while place[rank] < len(line) and line[place[rank]][0] < b:
+            heappush(heap, (-line[place[rank]][3], line[place[rank]][1]))
+            place[rank] += 1
+        while heap[0][1] <= a:
+            heappop(heap)
+        out.append((a, b, rank, -heap[0][0]))
+    return out
+
+
 def fuse(spans: DataFrame, docs: DataFrame, priority=PRIORITY) -> DataFrame:
-    """The same on exploded spans (doc_id, start, end, type, score), for documents with too many spans for one row.
+    """The same on exploded spans (doc_id, start, end, type, score), for documents with more spans than a row should hold.
+
+    Spans meet their text by doc_id, and a task sweeps over one document's borders at a time; its work is linear in them
+    but for the sort. ``fuse_spans`` compares each cell with each span, so a caller hands documents with more than
+    ``MANY_SPANS`` over to this form (see ``fuse_any``). Null scores count as 0.
+    """
+    known = {t: i for i, t in enumerate(priority, 1)}
+
+    def swept(key, left, right):
+        import pyarrow as pa
+
+        shape = pa.schema([("doc_id", right.schema.field("doc_id").type), ("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("score", pa.float64())])
+        if not left.num_rows or not right.num_rows or right.column("text")[0].as_py() is None:
+            return shape.empty_table()
+        text = right.column("text")[0].as_py()
+        # Types outside of the order are below all, and their names decide among them.
+        kinds = sorted(set(left.column("type").to_pylist()), key=lambda t: (known.get(t, 0), t))
+        rank = {t: i for i, t in enumerate(kinds)}
+        rows = zip(*(left.column(c).to_pylist() for c in ("start", "end", "type", "score")))
+        inside = [(max(a, 0), min(b, len(text)), rank[t], s or 0.0) for a, b, t, s in rows]
+        found = sweep([s for s in inside if s[0] < s[1]], [m.start() for m in re.finditer("\n", text)])
+        a, b, r, s = zip(*found) if found else ((), (), (), ())
+        return pa.table([pa.array([key[0].as_py()] * len(a), shape.field(0).type), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array([kinds[i] for i in r], pa.string()), pa.array(s, pa.float64())], schema=shape)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = spans.where("type is not null").select(F.col("doc_id").alias("of"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type", F.col("score").cast("double").alias("score"))
+    texts = docs.join(spans.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    out = own.groupBy("of").cogroup(texts.groupBy("doc_id")).applyInArrow(swept, f"doc_id {kind}, start int, end int, type string, score double")
+    return out.select("doc_id", "type", "start", "end", F.round("score", 2).alias("score"))
+
+
+#: Spans of a document from which on it is fused by the sweep.
+MANY_SPANS = 400
+
+
+def fuse_any(docs: DataFrame, spans: str = "spans", priority=PRIORITY, many: int = MANY_SPANS) -> DataFrame:
+    """``fuse_spans`` for documents (doc_id, text, an array of spans) with up to ``many`` spans, the sweep for the others.
 
-    Cells between neighbouring boundaries are joined to the spans of their document over buckets of positions, so the
-    range join has an equality key; islands of equal cells are found with windows by document.
+    Both add the same ``entities``; a document takes one way, whatever the others are. doc_id is unique.
     """
-    size = docs.select("doc_id", F.length("text").alias("__n"))
-    s = spans.join(size, "doc_id").select("doc_id", F.greatest("start", F.lit(0)).alias("start"), F.least("end", "__n").alias("end"), "type", "score").where("start < end")
-    breaks = docs.join(s.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    by_line = Window.partitionBy("doc_id").orderBy("i")
-    breaks = breaks.withColumn("b", (F.sum(F.length("line") + 1).over(by_line) - 1).cast("int")).select("doc_id", "b")
-    broken = breaks.withColumn("cut", F.lit(True))
-    edges = s.select("doc_id", F.col("start").alias("b")).union(s.select("doc_id", "end")).union(breaks).union(breaks.select("doc_id", F.col("b") + 1)).distinct()
-    by_edge = Window.partitionBy("doc_id").orderBy("b")
-    cells = edges.withColumn("e", F.lead("b").over(by_edge)).where("e is not null").join(broken, ["doc_id", "b"], "left").where("cut is null").select("doc_id", "b", "e")
-    bucket = lambda c: F.floor(F.col(c) / 4096)
-    wide = s.withColumn("k", F.explode(F.sequence(bucket("start"), bucket("end"))))
-    over = cells.withColumn("k", bucket("b")).join(wide, ["doc_id", "k"]).where("start <= b and end >= e")
-    best = over.groupBy("doc_id", "b", "e").agg(F.max(F.struct(rank_of(F.col("type"), priority).alias("r"), F.col("type").alias("t"))).alias("best"))
-    best = best.select("doc_id", "b", "e", F.col("best.t").alias("type"))
-    order = Window.partitionBy("doc_id").orderBy("b")
-    new = (F.lag("e").over(order) != F.col("b")) | (F.lag("type").over(order) != F.col("type")) | F.lag("e").over(order).isNull()
-    runs = best.withColumn("run", F.sum(new.cast("int")).over(order)).groupBy("doc_id", "run", "type").agg(F.min("b").alias("start"), F.max("e").alias("end")).where("end - start >= 2").drop("run")
-    runs = runs.withColumn("k", F.explode(F.sequence(bucket("start"), bucket("end"))))
-    own = wide.select("doc_id", "k", "type", F.col("start").alias("s"), F.col("end").alias("f"), "score")
-    return runs.join(own, ["doc_id", "k", "type"]).where("s < end and f > start").groupBy("doc_id", "type", "start", "end").agg(F.round(F.max("score"), 2).alias("score"))
+    few = fuse_spans(docs.where(F.coalesce(F.size(spans), F.lit(0)) <= many), F.col("text"), spans, priority)
+    crowd = docs.where(F.size(spans) > many)
+    rows = crowd.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.end", "s.type", "s.score")
+    runs = fuse(rows, crowd, priority).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "type", "score"))).alias("__r"))
+    entity = F.transform("__r", lambda r: F.struct(r["type"].alias("type"), F.substr("text", r["start"] + 1, r["end"] - r["start"]).alias("text"), r["start"].alias("start"), r["end"].alias("end"), r["score"].alias("score")))
+    swept = crowd.join(runs, "doc_id", "left").withColumn("entities", F.coalesce(entity, F.array().cast(ENTITIES))).drop("__r")
+    return few.unionByName(swept.select(*few.columns))

@@ -180,16 +180,25 @@ def name_blocks(name: Column, particles: Iterable[str] = PARTICLES) -> Column:
     return let(judged, blocks)
 
 
-def with_name_pattern(docs: DataFrame, text: Column, min_score: float = 0.4) -> DataFrame:
-    """Add ``__rx``, one alternation of all blocks of a document's certain names, longest first; null without any."""
-    sure = F.filter("spans", lambda s: (s["type"] == "PERSON") & (s["score"] >= min_score))
-    out = docs.withColumn("__names", F.filter(F.array_distinct(F.transform(sure, lambda s: F.trim(F.regexp_replace(_inside(text, s), r"(?U)\s+", " ")))), lambda n: F.length(n) >= 6))
-    out = out.withColumn("__names", F.array_distinct(F.flatten(F.transform("__names", lambda n: F.transform(name_blocks(n), lambda b: F.array_join(b, " "))))))
+def certain_names(text: Column, spans: Column, min_score: float = 0.4) -> Column:
+    """The distinct names of at least six characters among the spans, with single spaces."""
+    sure = F.filter(spans, lambda s: (s["type"] == "PERSON") & (s["score"] >= min_score))
+    return F.filter(F.array_distinct(F.transform(sure, lambda s: F.trim(F.regexp_replace(_inside(text, s), r"(?U)\s+", " ")))), lambda n: F.length(n) >= 6)
+
+
+def pattern_of(docs: DataFrame, names: str) -> DataFrame:
+    """Add ``__rx``, one alternation of all blocks of the names in a column, longest first; null without any."""
+    out = docs.withColumn("__names", F.array_distinct(F.flatten(F.transform(names, lambda n: F.transform(name_blocks(n), lambda b: F.array_join(b, " "))))))
     out = out.withColumn("__names", F.array_sort(F.transform("__names", lambda b: F.struct((-F.length(b)).alias("n"), b.alias("b")))))
     branches = F.transform("__names", lambda x: F.array_join(F.transform(F.split(x["b"], " "), quoted), r"\s{1,40}"))
     return out.withColumn("__rx", F.when(F.size("__names") > 0, F.concat(F.lit("(?iu)"), F.array_join(branches, "|")))).drop("__names")
 
 
+def with_name_pattern(docs: DataFrame, text: Column, min_score: float = 0.4) -> DataFrame:
+    """Add ``__rx``, one alternation of all blocks of a document's certain names, longest first; null without any."""
+    return pattern_of(docs.withColumn("__sure", certain_names(text, F.col("spans"), min_score)), "__sure").drop("__sure")
+
+
 def with_pattern_spans(docs: DataFrame, text: Column, kind: str, score: float) -> DataFrame:
     """Add ``__spread``, the spans of the matches of the pattern column ``__rx`` in the text; a null pattern has none."""
     rx = F.col("__rx")

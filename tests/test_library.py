@@ -2,15 +2,12 @@
 
 import datetime
 import glob
-import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanveil.operators import evaluate, gold, masking, session
 from spanveil.operators.library import Library
-from spanveil.streaming import pseudonyms
 
 KEY = "0123456789abcdef"
 
@@ -50,48 +47,6 @@ def test_key_is_not_in_the_plan(spark, tmp_path):
     assert KEY not in lib.open()._jdf.queryExecution().toString()
 
 
-def _stream(spark, tmp_path, name, rows, schema, size=2):
-    """A stream of files of ``size`` rows, in order."""
-    folder = tmp_path / name
-    folder.mkdir()
-    for n, i in enumerate(range(0, len(rows), size)):
-        file = folder / f"{n:03}.json"
-        file.write_text("\n".join(json.dumps(r) for r in rows[i : i + size]))
-        os.utime(file, (1_700_000_000 + n, 1_700_000_000 + n))  # files are read in the order of their times
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
-
-
-def _run(stream, tmp_path, name):
-    out = str(tmp_path / f"{name}-out")
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.parquet(out).collect()
-
-
-def test_numbers_of_a_stream_are_those_of_the_batch(spark, tmp_path):
-    rows = [{"session_id": s, "seq": i, "type": t, "text": x} for i, (s, t, x) in enumerate([("a", "PERSON", "Ana Lima"), ("b", "PERSON", "Rui Paz"), ("a", "CPF_BR", "1"), ("a", "PERSON", "ANA  LIMA"), ("a", "PERSON", "Rui Paz"), ("b", "PERSON", "rui paz"), ("a", "CPF_BR", "2")])]
-    schema = "session_id string, seq long, type string, text string"
-    got = {(r.session_id, r.label, r.norm_value, r.n, r.first_value) for r in _run(pseudonyms.stream_pseudonyms(_stream(spark, tmp_path, "p", rows, schema)), tmp_path, "p")}
-    batch = spark.createDataFrame([tuple(r.values()) for r in rows], schema).select("session_id", F.col("seq").alias("ord"), F.col("seq").cast("int").alias("start"), "type", "text")
-    want = {(r.session_id, r.label, r.norm_value, r.n, r.first_value) for r in session.session_pseudonyms(batch).collect()}
-    assert got == want and len(got) == 5
-
-
-def test_chunks_of_a_stream_are_gathered(spark, tmp_path):
-    rows = [{"conv_id": "c", "seq": i, "delta": d} for i, d in enumerate(["oi [PES", "SOA_1]", None, "!"])] + [{"conv_id": "d", "seq": 9, "delta": "x"}]
-    got = sorted((r.conv_id, r.seq, r.text) for r in _run(pseudonyms.stream_accumulated(_stream(spark, tmp_path, "c", rows, "conv_id string, seq long, delta string")), tmp_path, "c"))
-    assert got == [("c", 0, "oi [PES"), ("c", 1, "oi [PESSOA_1]"), ("c", 2, "oi [PESSOA_1]"), ("c", 3, "oi [PESSOA_1]!"), ("d", 9, "x")]
-
-
-def test_bad_documents_of_a_stream_go_to_their_own_sink(spark, tmp_path):
-    rows = [{"doc_id": 1, "text": "fale com a@b.com"}, {"doc_id": 2, "text": " "}, {"doc_id": None, "text": "x"}, {"doc_id": 4, "text": "nada"}]
-    good, bad = [], []
-    stream = _stream(spark, tmp_path, "s", rows, "doc_id long, text string")
-    query = pseudonyms.anonymize_stream_safe(stream, lambda df, n: good.extend(df.collect()), lambda df, n: bad.extend(df.collect()), str(tmp_path / "s-state"), True, entities=["EMAIL_ADDRESS"])
-    query.awaitTermination()
-    assert {r.doc_id: r.anonymized_text for r in good} == {1: "fale com [EMAIL_1]", 4: "nada"} and {r.reason for r in bad} == {"empty text", "no id"}
-
-
 def test_names_of_the_truth_end_at_a_stop_word(spark):
     docs = spark.createDataFrame([(1, "Requerente: Maria Pereira de Lima CERTIFICO que"), (2, "Autor: José Dias Souza Servidor")], "doc_id long, text string")
     assert {(r.doc_id, r.name) for r in gold.gold_names(docs).collect()} == {(1, "Maria Pereira de Lima"), (2, "José Dias Souza")}
