@@ -78,9 +78,9 @@ class _Numbers(StatefulProcessor):
         for state in (self.known, self.counts, self.seen):
             state.clear()
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if self.ttl_ms:
-            now = timer_values.getCurrentProcessingTimeInMs()
+            now = timerValues.getCurrentProcessingTimeInMs()
             # A session that is overdue has ended, whether its timer has fired or not.
             if self.seen.exists() and self.seen.get()[0] + self.ttl_ms <= now:
                 self._forget()
@@ -98,7 +98,7 @@ class _Numbers(StatefulProcessor):
                 new.append((key[0], row.label, row.norm_value, n, row.first_value))
         yield pd.DataFrame(new, columns=["session_id", "label", "norm_value", "n", "first_value"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._forget()
         yield pd.DataFrame([], columns=["session_id", "label", "norm_value", "n", "first_value"])
 
@@ -111,7 +111,8 @@ def stream_pseudonyms(entities: DataFrame, ttl_ms: int | None = None) -> DataFra
 
     Numbers follow arrival; the batch form (operators.session.session_pseudonyms) numbers by document order and
     reconciles them. Values and counters are keyed state (``use_keyed_state``), so a batch touches what it brings, however
-    much a session has. With ``ttl_ms`` a session's numbers go when nothing has arrived for so long.
+    much a session has. With ``ttl_ms`` a session's numbers go when nothing has arrived for so long; such a stream looks
+    at its timers without new rows too, so it has to run by a processing-time trigger (with ``availableNow`` it never ends).
     """
     keyed = entities.select("session_id", "seq", F.col("text").alias("first_value"), label_of(F.col("type")).alias("label"), value_key(F.col("text")).alias("norm_value"))
     return keyed.groupBy("session_id").transformWithStateInPandas(_Numbers(ttl_ms), _OUT, "Append", "ProcessingTime" if ttl_ms else "None")
@@ -142,7 +143,7 @@ class _Buffer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rest = handle.getValueState("rest", "text string, pos long")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         text, pos = self.rest.get() if self.rest.exists() else ("", 0)
         out = []
         for row in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():

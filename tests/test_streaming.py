@@ -65,16 +65,25 @@ def test_numbers_go_on_after_a_restart(spark, tmp_path):
 
 
 def test_numbers_of_a_quiet_session_expire(spark, tmp_path):
-    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder, got = tmp_path / "in", {}
     folder.mkdir()
-    for part, (who, name) in enumerate([("s", "Ana Lima"), ("s", "Rui Paz"), ("s", "Bia Sá")]):
-        if part == 2:
-            time.sleep(9)
-        (folder / f"{part}.json").write_text(json.dumps({"session_id": who, "seq": part, "type": "PERSON", "text": name}))
-        stream = pseudonyms.stream_pseudonyms(spark.readStream.schema(ENTITIES).json(str(folder)), ttl_ms=8_000 if part else 600_000)
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    stream = pseudonyms.stream_pseudonyms(spark.readStream.schema(ENTITIES).json(str(folder)), ttl_ms=12_000)
+    keep = lambda df, n: got.update({r.first_value: r.n for r in df.collect()})
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+    try:
+        for part, name in enumerate(["Ana Lima", "Rui Paz", "Bia Sá"]):
+            if part == 2:
+                time.sleep(16)
+            aside = tmp_path / f"{part}.json"
+            aside.write_text(json.dumps({"session_id": "s", "seq": part, "type": "PERSON", "text": name}))
+            aside.rename(folder / f"{part}.json")
+            until = time.time() + 60
+            while time.time() < until and len(got) == part:
+                time.sleep(0.5)
+    finally:
+        query.stop()
     # Two names in time count on; the third comes after the session has ended.
-    assert {r.first_value: r.n for r in spark.read.parquet(out).collect()} == {"Ana Lima": 1, "Rui Paz": 2, "Bia Sá": 1}
+    assert got == {"Ana Lima": 1, "Rui Paz": 2, "Bia Sá": 1}
 
 
 REPLY = "oi [PESSOA_1], [x] [[CPF_1] e [PESSOA_77]! [ENDEREÇO_2][PESSOA_1 [LOCAL_DE_X_3] [PESSOA"
