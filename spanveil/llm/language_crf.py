@@ -14,7 +14,7 @@ text are exact while numpy works on all blocks of a piece at once.
 posteriors are high in gibberish too; the rule therefore takes each word's own message of the forward-backward pass,
 before neighbours are mixed in. A text's certainty is the mean of these messages' largest label probability, scaled to 0
 for even labels and 1 for sure ones. A text below the field's ``floor`` with less than half of its words in the lexicon is
-in no learned language. The floor is ``FLOOR``, or ``FLOOR_SHARE`` of the median certainty of held-out documents of the
+in no learned language. The floor is ``FLOOR``, or ``FLOOR_SHARE`` of the median certainty of spare documents of the
 language with the lowest one, if that is less: a weakly fitted field rejects less, not its own languages.
 """
 
@@ -37,6 +37,8 @@ MAX_LANGUAGES = 128
 BUCKETS = 1 << 15
 LEXICON_LEAST = 3
 FLOOR, FLOOR_SHARE, FLOOR_ROWS = 0.4, 0.6, 50
+#: Rows of a language from which on a sixteenth of them is kept for the floor.
+SPLIT_ROWS = 64
 BLOCK = 128
 _TRAIN_LENGTH, _TRAIN_BATCH, _TRAIN_STEPS = 64, 64, 150
 
@@ -364,43 +366,52 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
-def _sample(labelled: DataFrame, rows: int, size: int, counts: dict[str, int]) -> list:
-    """(text, lang) of the rows with the smallest hashes, so many a language; of long texts a span of words of ``size`` bytes.
+def _sample(labelled: DataFrame, rows: dict[int, int], size: int, counts: dict[tuple[str, int], int]) -> list:
+    """(text, lang, part) of the rows with the smallest hashes, so many a language and part; of long texts a span of words of ``size`` bytes.
 
-    ``counts`` has the rows of each language. Hashes above four times the sample's share are left out before rows are
-    ordered, so a language of any size brings a few rows to the window.
+    ``rows`` has the rows of a part, ``counts`` those that a language and part have. Hashes above four times the sample's
+    share are left out before rows are ordered, so a language of any size brings a few rows to the window.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    share = {c: min(1 << 31, -(-(4 * rows << 31) // max(n, 1))) for c, n in counts.items()}
-    limit = F.element_at(F.create_map(*[F.lit(x) for c, n in share.items() for x in (c, n)]), F.col("lang"))
+    share = {f"{part}{c}": min(1 << 31, -(-(4 * rows[part] << 31) // max(n, 1))) for (c, part), n in counts.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for c, n in share.items() for x in (c, n)]), F.concat(F.col("part").cast("string"), "lang"))
     labelled = labelled.where(place < limit)
-    order = Window.partitionBy("lang").orderBy(place, "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= rows).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang", "part").orderBy(place, "doc_id")
+    most = F.when(F.col("part") == 0, rows[0]).otherwise(rows[1])
+    chosen = labelled.select("doc_id", "lang", "part").withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= most).select("doc_id", "lang").distinct()
     take = F.greatest(F.floor(F.lit(size).cast("long") * F.length("text") / F.octet_length("text")), F.lit(1)).cast("int")
     begin = (F.pmod(F.xxhash64("doc_id"), F.length("text") - take + 1) + 1).cast("int")
     span = F.substring("text", begin, take)
     words = F.regexp_replace(span, r"^\S*\s+|\s+\S*$", "")  # without the halves of words at both ends
     words = F.when(words.rlike(r"\S"), words).otherwise(span)
     labelled = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").withColumn("text", F.when(F.octet_length("text") > size, words).otherwise(F.col("text")))
-    return labelled.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id", "lang").select("text", "lang").collect()
+    return labelled.groupBy("doc_id", "lang", "part").agg(F.min("text").alias("text")).orderBy("doc_id", "lang").select("text", "lang", "part").collect()
 
 
 def fit_on(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field | None:
     """Fit on the rows with the smallest hashes among the labelled ones outside the held-out fold; None without any.
 
-    Every language with a text outside the held-out fold is learned; more than ``MAX_LANGUAGES`` raise a ValueError.
+    Every language with a text outside the held-out fold is learned; more than ``MAX_LANGUAGES`` raise a ValueError. The
+    floor is set on a sixteenth of the rows outside the held-out fold that the field is not fitted on; languages with few
+    rows are fitted on all of theirs, and these have to do for the floor too. The held-out fold is never looked at.
     """
-    documents = docs.where("lang is not null and doc_id is not null").where(F.octet_length("text") >= 1)
-    held = (fold() == 2).cast("int")
-    counts = documents.groupBy("lang").agg(F.sum(1 - held).alias("own"), F.sum(held).alias("held")).where("own > 0").limit(MAX_LANGUAGES + 1).collect()
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    part = (F.floor(number / 4) % 16 == 0).cast("int").alias("part")
+    outside = docs.where("lang is not null and doc_id is not null").where(F.octet_length("text") >= 1).where(fold() != 2).select("doc_id", "text", "lang", part)
+    counts = outside.groupBy("lang").agg(F.sum(1 - F.col("part")).alias("own"), F.sum("part").alias("spare")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labelled languages")
     if not counts:
         return None
     size = min(SAMPLE_BYTES, SAMPLE_TOTAL // (rows * len(counts)))
-    sample = _sample(documents.where(fold() != 2), rows, size, {r["lang"]: r["own"] for r in counts})
+    small = [r["lang"] for r in counts if r["own"] < SPLIT_ROWS]
+    if small:
+        outside = outside.withColumn("part", F.when(F.col("lang").isin(*small), 0).otherwise(F.col("part")))
+    many = {(r["lang"], 0): r["own"] + (r["spare"] if r["lang"] in small else 0) for r in counts} | {(r["lang"], 1): r["spare"] for r in counts if r["lang"] not in small}
+    found = _sample(outside, {0: rows, 1: FLOOR_ROWS}, size, many)
+    sample = [r for r in found if r["part"] == 0]
     field = fit([r["text"] for r in sample], [r["lang"] for r in sample])
-    check = _sample(documents.where(fold() == 2), FLOOR_ROWS, size, {r["lang"]: r["held"] for r in counts})
+    check = [r for r in found if r["part"] == 1]
     missing = set(field.labels) - {r["lang"] for r in check}  # for these the fitted rows have to do
     check = check + [r for r in sample if r["lang"] in missing]
     return set_floor(field, [r["text"] for r in check], [r["lang"] for r in check])

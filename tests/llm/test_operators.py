@@ -182,3 +182,17 @@ def test_shards(docs, nothing):
         own = sorted(r.slot for r in rows if r.shard == s)
         assert own == list(range(len(own)))
     assert kd_sharding.shard_by_tree(nothing, 3).count() == 0
+
+
+def test_the_held_out_fold_is_never_looked_at(spark):
+    """Other texts and labels in the held-out fold leave the fitted field and its floor as they are."""
+    import zlib
+
+    words = {"aa": "lorem ipsum dolor sit amet", "bb": "zwei drei vier fünf sechs"}
+    rows = [(i, f"{words[lang]} {i}", lang) for i in range(200) for lang in (["aa", "bb"][i % 2],)]
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    other = [(i, "qx qy qz", "cc") if i in held else (i, t, lang) for i, t, lang in rows]
+    one, two = (language_crf.fit_on(spark.createDataFrame(r, "doc_id long, text string, lang string")) for r in (rows, other))
+    assert one.labels == two.labels == ["aa", "bb"] and one.floor == two.floor and len(held) > 20
+    for name, value in vars(one).items():
+        assert str(value) == str(vars(two)[name])
