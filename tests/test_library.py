@@ -41,6 +41,39 @@ def test_library_life_cycle(spark, tmp_path):
         Library(spark, path, "short")
 
 
+def test_a_delete_writes_no_part_again(spark, tmp_path):
+    """Many parts: a change of one id adds a tombstone only; compaction makes one part of them, vacuum removes the bytes."""
+    path = str(tmp_path)
+    lib = Library(spark, path, KEY)
+    for i in range(12):
+        lib.append(*_rows(spark, 10 * i, 10 * i + 1, day=1 + i))
+    parts = lambda: {k: sorted(glob.glob(f"{path}/{k}/*")) for k in ("index", "content")}
+    before = parts()
+    assert lib.delete(spark.createDataFrame([(51,), (7,)], "id long")) == 1 and lib.retain(10, F.lit("2024-01-14").cast("timestamp")) == 6
+    assert parts() == before and len(glob.glob(f"{path}/gone/*")) == 2
+    assert sorted(r.id for r in lib.open().collect()) == [i for i in range(120) if i % 10 < 2 and i >= 30 and i != 51]
+    # An id that comes again is there again; the tombstone reaches the older parts only.
+    lib.append(*_rows(spark, 51, 1))
+    assert {1, 51} < {r.id for r in lib.open().collect()} and lib.open(spark.createDataFrame([(51,)], "id long")).count() == 1
+    assert lib.update(spark.createDataFrame([(51, "novo", "P1"), (40, "outro", None)], "id long, name string, cnj string")) == 2
+    rows = {r.id: (r.name, r.stored_at.day, r.texto_original) for r in lib.open().collect()}
+    assert rows[51] == ("novo", 1, "texto 51") and rows[40] == ("outro", 5, "texto 40") and len(rows) == 19
+    assert lib.compact() > 20 and len(lib._state()["index"]) == len(lib._state()["content"]) == 1 and not lib._state()["gone"]
+    assert {r.id: (r.name, r.stored_at.day, r.texto_original) for r in lib.open().collect()} == rows
+    assert lib.vacuum() > 20 and len(parts()["content"]) == 1 and spark.read.parquet(*parts()["content"]).count() == 19 and not glob.glob(f"{path}/gone/*")
+    assert lib.compact() == 0 and lib.vacuum() == 0
+
+
+def test_two_writers(spark, tmp_path):
+    lib = Library(spark, str(tmp_path), KEY)
+    lib.append(*_rows(spark, 1))
+    state = lib._state()
+    lib.append(*_rows(spark, 2))
+    with pytest.raises(RuntimeError):
+        lib._commit(state, 1)
+    assert lib.version() == 2 and sorted(r.id for r in lib.index().collect()) == [1, 2] and not glob.glob(f"{tmp_path}/versions/.2-*")
+
+
 def test_key_is_not_in_the_plan(spark, tmp_path):
     lib = Library(spark, str(tmp_path), KEY)
     lib.append(*_rows(spark, 1))
