@@ -67,6 +67,33 @@ def value_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(norm(c), r"(?U)\s+", " "))
 
 
+# Endings of Portuguese plurals and what stands for them in the singular, then endings that are dropped.
+_PLURALS = (("oes", "ao"), ("aes", "ao"), ("ais", "al"), ("eis", "el"), ("ois", "ol"), ("res", "r"), ("zes", "z"), ("ns", "m"), ("s", ""))
+_ENDINGS = ("mente", "a", "e", "o")
+
+
+def _stem_rules() -> list[tuple[str, str]]:
+    """(pattern, replacement) in order: a plural, then an adverb's ending, then a last vowel; three letters stay at least."""
+    rules = [(rf"\b([a-z]{{3,}}?){old}\b", rf"{{1}}{new}") for old, new in _PLURALS]
+    return rules + [(rf"\b([a-z]{{3,}}?){old}\b", "{1}") for old in _ENDINGS[:1]] + [(rf"\b([a-z]{{3,}})[{''.join(_ENDINGS[1:])}]\b", "{1}")]
+
+
+def stems(c: Column) -> Column:
+    """The words of a normalised text without the endings of number, gender and adverbs."""
+    for rx, new in _stem_rules():
+        c = F.regexp_replace(c, rx, new.replace("{1}", "$1"))
+    return c
+
+
+def plain_stems(text: str) -> str:
+    """``stems`` of a plan-time string."""
+    import re
+
+    for rx, new in _stem_rules():
+        text = re.sub(rx, new.replace("{1}", r"\1"), text)
+    return text
+
+
 def token_key(c: Column) -> Column:
     """no outer punctuation, no accents, lower case."""
     return F.lower(F.btrim(without_accents(c), F.lit(".,;:()[]")))

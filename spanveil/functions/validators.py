@@ -1,4 +1,4 @@
-"""Check digits as Columns (V1 to V4)."""
+"""Check digits as Columns (V1 to V4, and the card numbers of R15)."""
 
 from __future__ import annotations
 
@@ -53,3 +53,31 @@ def cnj_valid(c: Column) -> Column:
         return (F.length(d) == 20) & (98 - ((base % 97) * 100) % 97 == F.substring(d, 8, 2).cast("int"))
 
     return F.coalesce(let(digits(c), lambda d: F.when(F.length(d) == 20, test(d)).otherwise(F.lit(False))), F.lit(False))
+
+
+def luhn_valid(c: Column) -> Column:
+    """From the right, every second digit counts twice (its own digits added); the sum has to be a multiple of ten."""
+
+    def test(d: Column) -> Column:
+        n = F.size(d)
+        weighed = F.transform(d, lambda x, i: F.when((n - i) % 2 == 1, x).when(x < 5, 2 * x).otherwise(2 * x - 9))
+        return (n > 1) & (F.size(F.array_distinct(d)) > 1) & (F.aggregate(weighed, F.lit(0), lambda acc, x: acc + x) % 10 == 0)
+
+    return F.coalesce(let(_numbers(c), test), F.lit(False))
+
+
+# The numbers that a card number begins with, by issuer, and its lengths.
+CARD_ISSUERS = (("4", (13, 16, 19)), ("5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720", (16,)), ("3[47]", (15,)), ("30[0-5]|3[689]", (14, 16)), ("6011|64[4-9]|65|62|5067|6362|6363", (16, 17, 18, 19)))
+
+
+def card_valid(c: Column) -> Column:
+    """A card number: a known issuer, a length that it uses, and the check digit."""
+
+    def known(d: Column) -> Column:
+        tests = [d.rlike(f"^(?:{begin})") & F.length(d).isin(*sizes) for begin, sizes in CARD_ISSUERS]
+        out = tests[0]
+        for t in tests[1:]:
+            out = out | t
+        return out
+
+    return F.coalesce(let(digits(c), known) & luhn_valid(c), F.lit(False))

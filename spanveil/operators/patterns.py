@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, linear_view, norm, one_of, plain_norm, token_key
+from ..functions.text import let, linear_view, norm, one_of, plain_norm, plain_stems, stems, token_key
 from ..functions.masks import STREET_TYPES
-from ..functions.validators import cnj_valid, cnpj_valid, cpf_valid, pis_valid
+from ..functions.validators import card_valid, cnj_valid, cnpj_valid, cpf_valid, pis_valid
 
 SPANS = "array<struct<start:int,end:int,type:string,score:double>>"
 THRESHOLD = 0.35
@@ -113,6 +113,10 @@ GENERIC: tuple[PatternSpec, ...] = (
     PatternSpec("EMAIL_ADDRESS", "email", r"\b[\w.!#$%&'*+/=?^`{|}~-]{1,64}@\w+(?:[-.]\w+)*\.[a-z]{2,}\b", 0.5, needs="@"),
     PatternSpec("PHONE_NUMBER", "phone_international", r"(?<![\w+])\+\d{1,3}[\s.-]?\(?\d{1,4}\)?(?:[\s.-]?\d{2,4}){2,3}\b", 0.4),
     PatternSpec("IP_ADDRESS", "ipv4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.])", 0.6),
+    PatternSpec(
+        "CREDIT_CARD", "card", r"(?<![\d.,/-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|3\d{3}([ -]?)\d{6}\2\d{4,5})(?![\d/-])",
+        0.3, validator=card_valid, boost=1.0, check_required=True,
+    ),
     PatternSpec("URL", "url", r"\bhttps?://[^\s<>\"']+", 0.5, needs="(?i)https?://"),
 )
 
@@ -185,10 +189,15 @@ def _matches(view: Column, rx: str, needs: str = "") -> Column:
 
 
 def _in_context(view: Column, start: Column, words: tuple[str, ...]) -> Column:
-    """Whether one of the five tokens before a hit holds a context word (compared without case and accents)."""
-    before = F.split(F.rtrim(F.substr(view, F.greatest(start - 199, F.lit(1)), F.least(start, F.lit(200)))), r"(?U)\s+")
-    near = lambda b: norm(F.array_join(F.slice(b, F.greatest(F.size(b) - (CONTEXT_TOKENS - 1), F.lit(1)), F.lit(CONTEXT_TOKENS)), " "))
-    return (start > 0) & let(before, near).rlike("|".join(plain_norm(w).replace(".", r"\.") for w in words))
+    """Whether the five tokens before a hit hold a context word, both without case, accents and endings.
+
+    The tokens are those of the 200 characters before the hit where these hold more than five, else of all before it.
+    """
+    cut = lambda a, n: F.split(F.rtrim(F.substr(view, a, n)), r"(?U)\s+")
+    near = cut(F.greatest(start - 199, F.lit(1)), F.least(start, F.lit(200)))
+    before = let(near, lambda b: F.when((F.size(b) > CONTEXT_TOKENS) | (start <= 200), b).otherwise(cut(F.lit(1), start)))
+    last = lambda b: stems(norm(F.array_join(F.slice(b, F.greatest(F.size(b) - (CONTEXT_TOKENS - 1), F.lit(1)), F.lit(CONTEXT_TOKENS)), " ")))
+    return (start > 0) & let(before, last).rlike("|".join(sorted({plain_stems(plain_norm(w)).replace(".", r"\.") for w in words})))
 
 
 def spec_spans(view: Column, spec: PatternSpec, threshold: float = THRESHOLD, context: dict | None = None) -> Column:

@@ -31,6 +31,43 @@ def load_terms(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("m").alias("type", "terms")).select("type", F.explode("terms").alias("term")).select("type", norm(F.col("term")).alias("term")).where("term <> ''").distinct()
 
 
+def load_context(spark: SparkSession, path: str, most: int = 5000) -> dict[str, tuple[str, ...]]:
+    """SRC10: a JSON object of type to list of context words, as ``detect(context=...)`` takes it."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("type", "words"))
+    rows = raw.select("type", F.explode("words").alias("word")).where(F.trim("word") != "").distinct().orderBy("type", "word").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} context words")
+    return {t: tuple(r["word"] for r in rows if r["type"] == t) for t in sorted({r["type"] for r in rows})}
+
+
+def replace_terms(terms: DataFrame, path: str) -> None:
+    """SNK5: write the whole deny list as a new version beside the old one, and then swap it in.
+
+    ``path`` is a folder of versions; the swap is the rename of a file that names the current one, so a reader has the
+    old list or the new one, never a part.
+    """
+    import uuid
+
+    spark, version = terms.sparkSession, uuid.uuid4().hex
+    terms.select("type", "term").distinct().write.parquet(f"{path}/{version}")
+    places = [spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f".current-{version}", "current")]
+    fs = places[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(places[0], True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(places[0].toUri() if places[0].isAbsolute() and places[0].toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = overwrite
+    context.rename(fs.makeQualified(places[0]), fs.makeQualified(places[1]), options)
+
+
+def current_terms(spark: SparkSession, path: str) -> DataFrame:
+    """The deny list that ``replace_terms`` has put in place last."""
+    version = spark.read.text(f"{path}/current").first()[0]
+    return spark.read.parquet(f"{path}/{version}")
+
+
 def as_lists(terms: DataFrame, most: int = 5000) -> dict[str, list[str]]:
     """Terms as a plan-time dictionary for row-local matching; larger lists are an error: join them instead (deny_exact)."""
     rows = terms.orderBy("type", "term").limit(most + 1).collect()
