@@ -43,11 +43,12 @@ def _salted(df: DataFrame) -> DataFrame:
     return df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def candidates(texts: DataFrame, terms: DataFrame, key: str, value: str = "value", protected: str | None = None) -> DataFrame:
+def candidates(texts: DataFrame, terms: DataFrame, key: str, value: str = "value", protected: str | None = None, apart: bool = False) -> DataFrame:
     """Every place of every term: the key, text_id, ``pos`` (token, from 0), ``n`` (tokens) and the columns of ``terms``.
 
     ``texts`` has the key, text_id and text; ``terms`` the key and ``value``, and may have more columns. Terms of other
-    keys are not looked for; terms without a token are none. Overlapping places are all there.
+    keys are not looked for; terms without a token are none. Overlapping places are all there. With ``apart`` neither a
+    letter nor a digit stands beside a place.
     """
     listed = terms.withColumn("__t", compared(tokens(value_key(F.col(value))))).where(F.size("__t") > 0)
     listed = listed.withColumns({"n": F.size("__t"), "__h": F.xxhash64("__t")})
@@ -58,6 +59,9 @@ def candidates(texts: DataFrame, terms: DataFrame, key: str, value: str = "value
     met = held.join(_salted(first), [key, "__first", "__salt"]).groupBy(key, "text_id").agg(F.map_from_entries(F.collect_list(F.struct("__first", "__n"))).alias("__met"))
     begun = cut.join(met, [key, "text_id"]).select(key, "text_id", "__w", "__met", F.posexplode("__w").alias("pos", "__first"))
     begun = begun.withColumn("n", F.explode(F.element_at("__met", F.col("__first")))).where("pos + n <= size(__w)")
+    if apart:
+        alone = lambda i: ~F.coalesce(F.get("__w", i), F.lit(" ")).rlike(r"^[\p{L}\p{N}]")
+        begun = begun.where((F.col("pos") == 0) | alone(F.col("pos") - 1)).where(alone(F.col("pos") + F.col("n")))
     runs = begun.select(key, "text_id", "pos", F.slice("__w", F.col("pos") + 1, F.col("n")).alias("__r"), salt)
     runs = runs.withColumn("__h", F.xxhash64("__r"))
     found = runs.join(_salted(listed), [key, "__h", "__salt"]).where("__r = __t")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import digits, let, norm, one_of, sha_of, value_key
 from ..functions.validators import cnj_valid, cnpj_valid, cpf_valid
+from . import dictionary
 from .names import PARTICLES
 from .patterns import _matches, words_array
 
@@ -99,24 +100,36 @@ def has_anchor(text: Column, kind: str, start: Column, end: Column) -> Column:
     return F.concat(left, F.lit(" "), F.substr(text, end + 1, F.lit(25))).rlike(_ANCHORS[kind])
 
 
+# What has to stand near a postal code, what must not, and what a telephone number must not touch or end with.
+_NEAR_CEP, _NOT_NEAR_CEP = r"(?iuU)\bCEP\b|rua|avenida|\bav\.|bairro|centro|s[íi]tio|distrito|residente|domiciliad", r"(?iu)fone|tel|cel|whats|contato"
+_LETTER_BEFORE, _YEAR_BEHIND = "[A-Za-z]$", r"(?U)\b(?:19|20)\d{2}$"
+
+
+def _evidence(text: Column, value: Column, pattern: Column, start: Column, end: Column) -> dict[str, tuple[Column, ...]]:
+    """What each type takes as evidence: any one entry is enough. Types without an entry need none."""
+    around = F.substr(text, F.greatest(start - 59, F.lit(1)), F.least(start, F.lit(60)) + (end - start) + 40)
+    before = F.substr(text, F.greatest(start - 2, F.lit(1)), F.least(start, F.lit(3)))
+    named = lambda p: pattern == p
+    anchored = lambda kind: has_anchor(text, kind, start, end)
+    return {
+        "CEP": (named("cep_rotulado"), around.rlike(_NEAR_CEP) & ~around.rlike(_NOT_NEAR_CEP)),
+        "CNJ": (named("cnj_formatado"), cnj_valid(value)),
+        "CNPJ": (anchored("CNPJ"), cnpj_valid(value)),
+        "CPF": (named("cpf_formatado"), anchored("CPF"), cpf_valid(value)),
+        "RG": (F.length(digits(value)).between(5, 14),),
+        "TELEFONE": (~before.rlike(_LETTER_BEFORE) & ~value.rlike(_YEAR_BEHIND),),
+    }
+
+
 def confirm(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidates with enough evidence; doubtful ones are left out."""
     rows = found.join(docs.select("doc_id", F.col("text").alias("__t")), "doc_id")
-    t, c, s, e = F.col("__t"), F.col("text"), F.col("start"), F.col("end")
-    around = F.substr(t, F.greatest(s - 59, F.lit(1)), F.least(s, F.lit(60)) + (e - s) + 40)
-    before = F.substr(t, F.greatest(s - 2, F.lit(1)), F.least(s, F.lit(3)))
-    kind, pattern = F.col("type"), F.col("pattern")
-    cep = (pattern == "cep_rotulado") | (~around.rlike(r"(?iu)fone|tel|cel|whats|contato") & around.rlike(r"(?iuU)\bCEP\b|rua|avenida|\bav\.|bairro|centro|s[íi]tio|distrito|residente|domiciliad"))
-    ok = (
-        F.when(kind == "CPF", (pattern == "cpf_formatado") | cpf_valid(c) | has_anchor(t, "CPF", s, e))
-        .when(kind == "RG", F.length(digits(c)).between(5, 14))
-        .when(kind == "TELEFONE", ~before.rlike("[A-Za-z]$") & ~c.rlike(r"(?U)\b(?:19|20)\d{2}$"))
-        .when(kind == "CNPJ", cnpj_valid(c) | has_anchor(t, "CNPJ", s, e))
-        .when(kind == "CNJ", (pattern == "cnj_formatado") | cnj_valid(c))
-        .when(kind == "CEP", cep)
-        .otherwise(True)
-    )
-    return rows.where(ok).drop("__t")
+    table = _evidence(F.col("__t"), F.col("text"), F.col("pattern"), F.col("start"), F.col("end"))
+    enough = ~F.col("type").isin(*table)
+    for kind, ways in table.items():
+        for way in ways:
+            enough = enough | ((F.col("type") == kind) & way)
+    return rows.where(enough).drop("__t")
 
 
 def first_of_overlapping(found: DataFrame) -> DataFrame:
@@ -190,17 +203,15 @@ def name_variants(names: DataFrame) -> DataFrame:
 
 
 def name_occurrences(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """Where a document's names occur whatever case, accents and white space; longest first, without overlaps."""
-    from ..functions.text import tolerant_pattern
-
-    rx = F.struct((-F.length("variant")).alias("o"), F.col("variant").alias("v"), F.regexp_replace(tolerant_pattern(F.col("variant")), r"^\(\?iu\)", "").alias("rx"))
-    known = name_variants(names).groupBy("doc_id").agg(F.sort_array(F.collect_set(rx)).alias("e"))
-    known = known.select("doc_id", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("e", lambda e: e["rx"]), "|"), F.lit(r")(?![\p{L}\p{N}])")).alias("__rx"))
-    out = docs.join(known, "doc_id").withColumn("spans", F.array())
-    from .names import with_pattern_spans
-
-    rows = with_pattern_spans(out, F.col("text"), "PERSON", 1.0).select("doc_id", "text", F.explode_outer("__spread").alias("s")).where("s is not null")
-    return rows.select("doc_id", "s.start", "s.end", F.lit("PERSON").alias("type"), F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("text"))
+    """Where a document's names occur whatever case, accents and white space; longest first, without overlaps.
+
+    The search is by joins on tokens (``operators.dictionary``) with the document as the key; doc_id is unique.
+    """
+    terms = name_variants(names).select("doc_id", value_key(F.col("variant")).alias("value")).distinct().withColumns({"length": F.length("value"), "rank": F.col("value")})
+    texts = docs.select("doc_id", F.lit(0).alias("text_id"), "text")
+    found = dictionary.resolved(dictionary.candidates(texts, terms, "doc_id", apart=True), "doc_id", "leftmost", "length")
+    rows = dictionary.with_offsets(found, texts, "doc_id")
+    return rows.select("doc_id", "start", "end", F.lit("PERSON").alias("type"), F.col("found").alias("text"))
 
 
 def build_gold(docs: DataFrame, types: Iterable[str] | None = None) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .texts import decode_text
 
 
 def split_pages(docs: DataFrame) -> DataFrame:
@@ -25,6 +26,49 @@ def split_pages(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "p.page_no", "p.start", (F.col("p.start") + F.length("p.text")).cast("int").alias("end"), "p.text").where("text is not null")
 
 
+_SEPARATOR = "\n## P"
+_HEAD = r"^ágina (\d+)[ \t]*\n?"
+
+
+def read_pages(spark: SparkSession, path: str, glob: str = "*.{md,txt}") -> DataFrame:
+    """SRC1, SRC3: the pages of text files of any size: doc_id, name, page_no, start, end, text, as ``split_pages`` cuts them.
+
+    The reader cuts a file at the begin of page markers, so one file is many partitions and no task holds more than its
+    range of bytes and the page that it ends in. Each page is decoded by itself (``decode_text``). Places are put
+    together from the lengths of ranges, a few numbers a file; lines that only look like a marker go back to their page.
+    """
+    raw = spark.read.option("lineSep", _SEPARATOR).option("pathGlobFilter", glob).text(path)
+    rows = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    # The first piece of a file has no separator before it, and may begin with a marker of its own.
+    text = decode_text(F.col("value").cast("binary"))
+    rows = rows.select("file", "block", "i", text.alias("t"))
+    local = Window.partitionBy("file", "block").orderBy("i")
+    rows = rows.withColumns({"n": F.length("t") + len(_SEPARATOR), "first": (F.col("block") == 0) & (F.row_number().over(local) == 1)})
+    marker = F.when(F.col("first"), F.col("t").rlike(r"^## P" + _HEAD[1:])).otherwise(F.col("t").rlike(_HEAD))
+    rows = rows.withColumn("marker", marker)
+    before = local.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"at": F.coalesce(F.sum("n").over(before), F.lit(0)), "page": F.sum(F.col("marker").cast("int")).over(local.rowsBetween(Window.unboundedPreceding, 0))})
+    blocks = rows.groupBy("file", "block").agg(F.sum("n").alias("bn"), F.sum(F.col("marker").cast("int")).alias("bp"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("bn").over(earlier), F.lit(0)).alias("b_at"), F.coalesce(F.sum("bp").over(earlier), F.lit(0)).alias("b_page"), F.sum("bp").over(whole).alias("all"))
+    placed = rows.join(blocks, ["file", "block"])
+    placed = placed.select("file", "all", (F.col("page") + F.col("b_page")).alias("page"), (F.col("at") + F.col("b_at")).alias("at"), "first", "marker", "t")
+    # What stands before the first marker is no page, unless there is no marker at all.
+    piece = F.struct("at", "t", "first")
+    pages = placed.where("page > 0 or all = 0").groupBy("file", "all", "page").agg(F.sort_array(F.collect_list(piece)).alias("p"))
+    joined = F.array_join(F.transform("p", lambda p: p["t"]), _SEPARATOR)
+    start = F.col("p")[0]["at"]
+    head = F.when(F.col("all") == 0, F.lit("")).otherwise(F.regexp_extract("t", r"^(?:## P)?" + _HEAD[1:], 0))
+    # The line break before a marker belongs to the page that it ends.
+    ended = F.when((F.col("page") < F.col("all")) & (F.col("all") > 0), F.concat(joined, F.lit("\n"))).otherwise(joined)
+    out = pages.select("file", "all", start.alias("at"), ended.alias("t")).withColumn("head", head)
+    number = F.when(F.col("all") == 0, F.lit(1)).otherwise(F.regexp_extract("head", r"(\d+)", 1).try_cast("int"))
+    begin = (F.col("at") + F.length("head")).cast("int")
+    body = F.substr("t", F.length("head") + 1)
+    return out.select(F.xxhash64("file").alias("doc_id"), F.element_at(F.split("file", "/"), -1).alias("name"), number.alias("page_no"), begin.alias("start"), (begin + F.length(body)).cast("int").alias("end"), body.alias("text"))
+
+
 def join_pages(pages: DataFrame) -> DataFrame:
     """SRC4: doc_id and one text with a marker before each page, in page order."""
     ordered = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("p"))
