@@ -264,7 +264,7 @@ def with_external_spans(docs: DataFrame, model: DataFrame, labels: dict[str, str
     score = F.col("score").cast("double")
     for t, factor in low.items():
         score = F.when(kind == t, F.col("score") * factor).otherwise(score)
-    own = model.select("doc_id", F.struct(F.col("start").cast("int"), F.col("end").cast("int"), kind.alias("type"), score.alias("score")).alias("s"))
+    own = model.select("doc_id", F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), kind.alias("type"), score.alias("score")).alias("s"))
     own = own.where("s.type is not null and s.start < s.end").groupBy("doc_id").agg(F.collect_list("s").alias("__more"))
     out = docs.join(own, "doc_id", "left")
     return out.withColumn("spans", F.concat("spans", F.coalesce("__more", F.array().cast(SPANS)))).drop("__more")

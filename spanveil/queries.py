@@ -16,9 +16,13 @@ from .operators import library as L
 from .operators import masking as K
 from .operators import patterns as P
 from .operators import session as S
-from .operators.fuse import fuse
-from .plans.anonymize import anonymize, anonymize_safe, batch_summary, entity_rows
+from .operators import dictionary as D
+from .operators import intervals as I
+from .operators import sketches as Z
+from .operators.fuse import PRIORITY, fuse, fuse_any
+from .plans.anonymize import anonymize, anonymize_long, anonymize_safe, batch_summary, entities_by_windows, entity_rows
 from .sources import legal, pages
+from .tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -208,7 +212,7 @@ SELECT doc_id, string_agg(part, '' ORDER BY pos) AS session_text FROM parts GROU
 def session_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = legal.legal_docs(spark, sf_dir)
     masked = anonymize(docs).select("doc_id", F.col("case_id").alias("session_id"), "anonymized_text", "entities")
-    e = _entities(spark, sf_dir)
+    e = written(_entities(spark, sf_dir), "entities")
     return S.with_session_labels(masked.drop("entities"), e, S.session_pseudonyms(e)).select("doc_id", "session_text")
 
 
@@ -370,13 +374,13 @@ def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a11_compare_counts", _TRUTH + "SELECT type, count(*) AS new, count(*) FILTER (WHERE doc_id % 2 = 0 AND type <> 'CEP_BR') AS old FROM truth GROUP BY 1")
 def compare_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = _entities(spark, sf_dir)
+    new = written(_entities(spark, sf_dir), "entities")
     return E.compare_runs(new, new.where("doc_id % 2 = 0 and type <> 'CEP_BR'"))[0]
 
 
 @query("a11_compare_values", _TRUTH + f", p AS (SELECT {_KEY.format('text')} AS value, bool_or(doc_id % 7 = 0) AS old FROM truth WHERE type = 'PERSON' GROUP BY 1) SELECT value, CASE WHEN old THEN 'both' ELSE 'only_new' END AS side FROM p")
 def compare_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = _entities(spark, sf_dir)
+    new = written(_entities(spark, sf_dir), "entities")
     return E.compare_runs(new, new.where("doc_id % 7 = 0"))[1]
 
 
@@ -472,3 +476,121 @@ def case_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("snk1_output_names", "SELECT page_id, regexp_replace(url, '\\.[^./\\\\]+$', '') || '_anonimizado.md' AS name FROM pages")
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", T.output_name(F.col("url"), "md").alias("name"))
+
+
+# --- long texts, dictionaries and sketches over the given documents ----------------------------------------------------
+
+
+@query("d01_windows", """WITH w AS (SELECT doc_id, text, length(text) AS n, CASE WHEN length(text) <= 1200 THEN 1 ELSE ceil((length(text) - 300) / 900.0)::INT END AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT *, unnest(range(0, w)) AS win FROM w)
+SELECT doc_id, win::INT AS win, (win * 900)::INT AS start, least(win * 900 + 1200, n)::INT AS "end", CASE WHEN win = 0 THEN 0 ELSE win * 900 + 150 END::INT AS core_start,
+  CASE WHEN win + 1 = w THEN n ELSE win * 900 + 1050 END::INT AS core_end, sha256(substr(text, win * 900 + 1, 1200)) AS text_sha256 FROM e""")
+def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = I.windows(_read(spark, sf_dir, "documents"))
+    return out.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
+@query("d01_window_emails", rf"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS every, regexp_split_to_array(text, '{_EMAIL}') AS parts FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(every) + 1)) AS i, every, parts FROM m WHERE len(every) > 0)
+SELECT doc_id, (list_sum(list_transform(parts[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(every[1:i - 1], lambda p: length(p))), 0))::INT AS start, every[i] AS text FROM x""")
+def window_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mails of whole documents, each found in the window in whose core it begins."""
+    return entities_by_windows(_read(spark, sf_dir, "documents").select("doc_id", "text"), ["EMAIL_ADDRESS"]).select("doc_id", "start", "text")
+
+
+@query("d15_mask_long", """WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{rx}') AS every, regexp_split_to_array(text, '{rx}') AS parts FROM documents),
+k AS (SELECT *, list_transform(every, lambda x: strip_accents(lower(x))) AS keys FROM m), f AS (SELECT *, list_filter(keys, lambda x, i: list_position(keys, x) = i) AS firsts FROM k)
+SELECT doc_id, len(every)::BIGINT AS n_entities, sha256(CASE WHEN len(every) = 0 THEN text ELSE array_to_string(list_transform(range(1, len(every) + 1), lambda i: parts[i] || '[EMAIL_' || list_position(firsts, keys[i]) || ']'), '') || parts[len(every) + 1] END) AS masked_sha256 FROM f""".replace("{rx}", _EMAIL))
+def mask_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mails of all documents masked by the form for very long texts: windows, joins, and texts put together from parts."""
+    out = anonymize_long(_read(spark, sf_dir, "documents").select("doc_id", "text"), entities=["EMAIL_ADDRESS"])
+    return out.select("doc_id", "n_entities", F.sha2("anonymized_text", 256).alias("masked_sha256"))
+
+
+#: Overlapping spans on every line of the documents: its halves, its middle, a wider one that leaves the line, one of a type outside of the order.
+_LINE_SPANS = """SELECT doc_id, start, start + CAST(floor(n * 0.6) AS INT) AS end_, 'PERSON' AS type, 0.6 AS score FROM l UNION ALL SELECT doc_id, start + CAST(floor(n / 3) AS INT), start + n + 3, 'LOCATION', 0.5 FROM l
+UNION ALL SELECT doc_id, start + CAST(floor(n / 2) AS INT), start + CAST(floor(n * 0.75) AS INT), 'CPF_BR', 0.9 FROM l WHERE n % 2 = 0 UNION ALL SELECT doc_id, start - 2, start + 4, 'OTHER', 0.3 FROM l
+UNION ALL SELECT doc_id, start + 1, start + CAST(floor(n / 4) AS INT), 'PERSON', 0.7 FROM l WHERE n % 3 = 0"""
+
+
+@query("d11_fuse_overlaps", f"""WITH r AS (SELECT doc_id, length(text) AS len, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+l AS (SELECT doc_id, len, length(line)::INT AS n, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1)::INT AS start FROM r),
+s AS (SELECT x.doc_id, greatest(x.start, 0) AS start, least(x.end_, d.len) AS fin, type, score, coalesce(list_position({list(PRIORITY)}, type), 0) AS rank FROM ({_LINE_SPANS}) x JOIN (SELECT DISTINCT doc_id, len FROM l) d USING (doc_id)),
+t AS (SELECT * FROM s WHERE start < fin),
+p AS (SELECT doc_id, unnest(range(start, fin)) AS pos, rank, type FROM t),
+c AS (SELECT doc_id, pos, arg_max(type, rank) AS type FROM p GROUP BY ALL),
+k AS (SELECT c.* FROM c ANTI JOIN (SELECT doc_id, start + n AS pos FROM l) b ON c.doc_id = b.doc_id AND c.pos = b.pos),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, type ORDER BY pos) AS run FROM k),
+e AS (SELECT doc_id, type, min(pos)::INT AS start, (max(pos) + 1)::INT AS fin FROM g GROUP BY doc_id, type, run HAVING count(*) >= 2)
+SELECT e.doc_id, e.type, e.start, e.fin AS "end", round(max(t.score), 2)::DOUBLE AS score FROM e JOIN t ON e.doc_id = t.doc_id AND e.type = t.type AND t.start < e.fin AND t.fin > e.start GROUP BY ALL""")
+def fuse_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both forms of fusion on overlapping spans of all documents: few spans row by row, many by the sweep."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).withColumn("n", F.length("line"))
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).cast("int")).select("doc_id", "n", "start")
+    made = spark.sql(_LINE_SPANS.replace(" FROM l", " FROM {l}"), l=rows)
+    spans = made.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("end_").alias("end"), "type", F.col("score").cast("double").alias("score"))).alias("spans"))
+    return entity_rows(fuse_any(docs.join(spans, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(P.SPANS))), many=60)).drop("text")
+
+
+@query("j05_dictionary", r"""WITH v AS (SELECT DISTINCT lower(p_name) AS value FROM part), q AS (SELECT value, string_split(value, ' ') AS w FROM v),
+d AS (SELECT p_partkey AS doc_id, p_name || ' / ' || upper(p_name) || 'x, ' || p_type AS text FROM part),
+t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+|[0-9]+|\s+|.') AS w FROM d),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+f AS (SELECT x.doc_id, q.value, i FROM x JOIN q ON x.w[i] = q.w[1] AND array_to_string(x.w[i:i + 2 * len(q.w) - 2], '') = q.value)
+SELECT value, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM f GROUP BY 1""")
+def dictionary_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts as a dictionary, looked for in texts about all parts: every place of every value."""
+    part = _read(spark, sf_dir, "part")
+    terms = part.select(F.lit(1).alias("key"), F.lower("p_name").alias("value")).distinct()
+    texts = part.select(F.lit(1).alias("key"), F.col("p_partkey").alias("text_id"), F.concat("p_name", F.lit(" / "), F.upper("p_name"), F.lit("x, "), "p_type").alias("text"))
+    return D.candidates(texts, terms, "key").groupBy("value").agg(F.count("*").alias("n"), F.count_distinct("text_id").alias("n_docs"))
+
+
+@query("x05_known_words", r"""WITH n AS (SELECT lang AS session_id, w AS value, dense_rank() OVER (PARTITION BY lang ORDER BY w)::INT AS n FROM (
+  SELECT DISTINCT lang, lower(regexp_extract(text, '^[A-Za-z]{5,}')) AS w FROM documents) WHERE lang IS NOT NULL AND w <> ''),
+t AS (SELECT doc_id, lang, regexp_extract_all(text, '[\p{L}]+|[\p{N}]+|[^\p{L}\p{N}]') AS w FROM documents),
+m AS (SELECT session_id, map_from_entries(list((value, '[PALAVRA_' || n || ']'))) AS k FROM n GROUP BY 1)
+SELECT doc_id, sha256(array_to_string(list_transform(w, lambda x: coalesce(k[strip_accents(lower(x))], x)), '')) AS closed_sha256 FROM t LEFT JOIN m ON t.lang = m.session_id""")
+def close_known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First words of the documents as values of their language's session, closed in all its documents: few sessions with very frequent tokens."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("session_id"), "text")
+    word = F.lower(F.regexp_extract("text", "^[A-Za-z]{5,}", 0))
+    values = docs.select("session_id", word.alias("norm_value")).where("session_id is not null and norm_value <> ''").distinct()
+    n = F.dense_rank().over(Window.partitionBy("session_id").orderBy("norm_value"))
+    return S.close_residuals(docs, values.select("session_id", F.lit("PALAVRA").alias("label"), "norm_value", n.alias("n"))).select("doc_id", F.sha2("closed_text", 256).alias("closed_sha256"))
+
+
+@query("v05_card_numbers", """WITH b AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '4' WHEN 1 THEN '52' WHEN 2 THEN '37' ELSE '9' END || lpad((o_orderkey * 7919 % 1000000007)::VARCHAR, 10, '0') || lpad((o_custkey % 1000)::VARCHAR, 4, '0') AS d FROM orders),
+s AS (SELECT id, d[1:CASE WHEN id % 4 = 2 THEN 15 WHEN id % 8 = 4 THEN 13 ELSE 16 END] AS d FROM b), c AS (SELECT id, CASE WHEN length(d) < 16 AND id % 4 <> 2 AND id % 8 <> 4 THEN rpad(d, 16, '1') ELSE d END AS d FROM s)
+SELECT id, d AS number, list_sum(list_transform(string_split(d, ''), lambda x, i: CASE WHEN (length(d) - i) % 2 = 0 THEN x::INT WHEN x::INT < 5 THEN 2 * x::INT ELSE 2 * x::INT - 9 END)) % 10 = 0 AS luhn,
+  luhn AND id % 4 <> 3 AS card FROM c""")
+def card_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, key = _read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    begin = F.when(key % 4 == 0, "4").when(key % 4 == 1, "52").when(key % 4 == 2, "37").otherwise("9")
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    size = F.when(key % 4 == 2, 15).when(key % 8 == 4, 13).otherwise(16)
+    number = F.rpad(F.substring(F.concat(begin, pad(key * 7919 % 1_000_000_007, 10), pad(F.col("o_custkey") % 1000, 4)), F.lit(1), size), size, "1")
+    rows = o.select(key.alias("id"), number.alias("number"))
+    return rows.select("id", "number", V.luhn_valid(F.col("number")).alias("luhn"), V.card_valid(F.col("number")).alias("card"))
+
+
+@query("r14_context_scores", """WITH d AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'nos bairros' WHEN 1 THEN 'as ruas' WHEN 2 THEN 'o valor' WHEN 3 THEN 'bairro a b c d e' ELSE 'logradouros sem' END AS head, o_orderkey % 5 IN (0, 1, 4) AS near FROM orders)
+SELECT id, (length(head) + 1)::INT AS start, CASE WHEN near THEN 0.8 ELSE 0.45 END::DOUBLE AS score FROM d""")
+def context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inflected context words lift the score of a postal code; others, and words too far away, do not."""
+    key = F.col("o_orderkey")
+    head = F.when(key % 5 == 0, "nos bairros").when(key % 5 == 1, "as ruas").when(key % 5 == 2, "o valor").when(key % 5 == 3, "bairro a b c d e").otherwise("logradouros sem")
+    docs = _read(spark, sf_dir, "orders").select(key.alias("doc_id"), F.concat(head, F.lit(" "), F.lpad((key % 100_000).cast("string"), 5, "6"), F.lit("-"), F.lpad((key % 1000).cast("string"), 3, "0")).alias("text"))
+    return P.exploded(P.detect(docs, ["CEP_BR"])).select(F.col("doc_id").alias("id"), "start", "score")
+
+
+@query("a02_kept_sketches", """SELECT type, count(*)::BIGINT AS n, count(*) > 0 AS within FROM (SELECT event_type AS type FROM events WHERE event_type IS NOT NULL) GROUP BY 1""")
+def kept_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by event type from sketches kept per day: the united estimate is within five per cent of the count."""
+    e = _read(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), F.col("user_id").cast("string").alias("text"))
+    rows = e.withColumnRenamed("event_type", "type").where("type is not null")
+    kept = Z.distinct_estimates(written(Z.value_sketches(rows, "day"), "sketches"))
+    exact = E.distinct_values(rows).withColumnRenamed("n_values", "exact")
+    return kept.join(exact, "type").select("type", "n", (F.abs(F.col("n_values") - F.col("exact")) <= F.greatest(F.lit(1), F.col("exact") * 0.05)).alias("within"))
