@@ -397,6 +397,19 @@ def gold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.candidates(legal.legal_docs(spark, sf_dir), ["CPF", "CNJ", "EMAIL", "DATA"]).where("pattern <> 'cpf_rotulado'").select("doc_id", "type", "text", "pattern")
 
 
+_GOLD = "CASE type WHEN 'CPF_BR' THEN 'CPF' WHEN 'NUMERO_PROCESSO_CNJ' THEN 'CNJ' WHEN 'PHONE_NUMBER_BR' THEN 'TELEFONE' WHEN 'EMAIL_ADDRESS' THEN 'EMAIL' WHEN 'CEP_BR' THEN 'CEP' ELSE type END"
+
+
+@query("g03_gold_rows", _TRUTH + f""", t AS (SELECT doc_id, {_GOLD} AS type, (start - (type = 'PHONE_NUMBER_BR')::INT)::INT AS start, "end", CASE WHEN type = 'PHONE_NUMBER_BR' THEN '(' || text ELSE text END AS text FROM truth WHERE type <> 'DATE_OF_BIRTH')
+SELECT doc_id, type, start, "end", sha256({_KEY.format("text")}) AS sha256,
+  CASE type WHEN 'PERSON' THEN 'name' WHEN 'CPF' THEN 'regex:cpf_formatado' WHEN 'CNJ' THEN 'regex:cnj_formatado' WHEN 'TELEFONE' THEN 'regex:tel_parenteses' WHEN 'EMAIL' THEN 'regex:email' ELSE 'regex:cep_rotulado' END AS source
+FROM t WHERE NOT (type = 'TELEFONE' AND regexp_matches(text, '-(19|20)[0-9][0-9]$'))""")
+def gold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The truth of documents whose names stand behind a label in small letters, with the names in capitals further down."""
+    docs = legal.legal_docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit("REQUERENTE"), F.lit("Requerente")))
+    return G.build_gold(docs).drop("key")
+
+
 @query("g03_gold")
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.build_gold(legal.legal_docs(spark, sf_dir))
