@@ -22,7 +22,7 @@ from .operators import sketches as Z
 from .operators.fuse import PRIORITY, fuse, fuse_any
 from .plans.anonymize import anonymize, anonymize_long, anonymize_safe, batch_summary, entities_by_windows, entity_rows
 from .sources import legal, pages
-from .tables import written
+from .tables import dealt, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,7 +64,7 @@ SELECT doc_id, len(every)::INT AS n_entities, len(firsts)::INT AS n_values,
 )
 def mask_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: e-mails of the documents masked by numbered placeholders, with the digest of the masked text."""
-    out = anonymize(_read(spark, sf_dir, "documents").select("doc_id", "text"), ["EMAIL_ADDRESS"]).where("size(entities) > 0")
+    out = anonymize(dealt(_read(spark, sf_dir, "documents").select("doc_id", "text")), ["EMAIL_ADDRESS"]).where("size(entities) > 0")
     values = F.map_values("valores_distintos")
     return out.select("doc_id", F.size("entities").alias("n_entities"), F.aggregate(values, F.lit(0), lambda n, x: n + x).alias("n_values"), F.sha2("anonymized_text", 256).alias("masked_sha256"))
 
@@ -72,7 +72,7 @@ def mask_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("d15_mask_documents")
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All types on the given documents: entities by type and the digest of the masked text of every document."""
-    out = anonymize(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = anonymize(dealt(_read(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", F.size("entities").alias("n_entities"), F.to_json("valores_distintos").alias("values_by_type"), F.sha2("anonymized_text", 256).alias("masked_sha256"))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import dealt
+
 
 def _pick(words: str, index: str) -> str:
     return f"split_part('{words}', '|', CAST(({index}) % {len(words.split('|'))} AS INT) + 1)"
@@ -96,13 +98,15 @@ _MORE_DOCS = f"SELECT k AS doc_id, case_id, {' || '.join(sql for _, _, sql in _M
 _MORE_TRUTH = TRUTH_SQL.replace(PIECES_SQL, _MORE_PIECES)
 
 
-def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace('"end"', "`end`"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+def _run(spark: SparkSession, sf_dir: str, sql: str, spread: bool = False) -> DataFrame:
+    """The rows of ``sql``; with ``spread`` the customers' keys are dealt over tasks before texts are made of them."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return spark.sql(sql.replace('"end"', "`end`"), customer=dealt(customer.select("c_custkey"), "c_custkey") if spread else customer)
 
 
 def legal_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, case_id, text: one document per customer; five documents to a case."""
-    return _run(spark, sf_dir, DOCS_SQL)
+    return _run(spark, sf_dir, DOCS_SQL, spread=True)
 
 
 def legal_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +115,7 @@ def legal_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def more_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the second layout."""
-    return _run(spark, sf_dir, _MORE_DOCS)
+    return _run(spark, sf_dir, _MORE_DOCS, spread=True)
 
 
 def legal_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,3 +24,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` over ``spark.sql.shuffle.partitions`` tasks, by the key or evenly, where its files are fewer than the tasks that run at a time.
+
+    Detection costs far more than moving a row, and a file of one row group is one task however many cores are free. Tables
+    of many files keep the splits of their scan: no shuffle.
+    """
+    spark = df.sparkSession
+    if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
