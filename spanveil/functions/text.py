@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +34,21 @@ LABELS = {
 }
 
 
+_MADE: dict[tuple, Column] = {}
+
+
+def made_once(key: Hashable, make: Callable[[], Column]) -> Column:
+    """The Column of ``make()``, kept by its key for later plans of the process.
+
+    Writing the larger expressions takes the driver seconds, and they name columns only, not a table. The key has to tell
+    all that they depend on. Columns belong to the gateway that made them.
+    """
+    at = (id(SparkContext._gateway), key)
+    if at not in _MADE:
+        _MADE[at] = make()
+    return _MADE[at]
+
+
 def let(value: Column, f) -> Column:
     """``f(value)`` with the value computed once and written once."""
     return F.transform(F.array(value), f)[0]

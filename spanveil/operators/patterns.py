@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, linear_view, norm, one_of, plain_norm, plain_stems, stems, token_key
+from ..functions.text import let, linear_view, made_once, norm, one_of, plain_norm, plain_stems, stems, token_key
 from ..functions.masks import STREET_TYPES
 from ..functions.validators import card_valid, cnj_valid, cnpj_valid, cpf_valid, pis_valid
 
@@ -241,7 +241,8 @@ def chosen_specs(entities: Iterable[str] | None, specs: Iterable[PatternSpec]) -
 def detect(docs: DataFrame, entities: Iterable[str] | None = None, specs: Iterable[PatternSpec] = REGISTRY, threshold: float = THRESHOLD, context: dict | None = None) -> DataFrame:
     """Add ``spans`` to (doc_id, text): every pattern hit of the asked types, on the whole text. A null text has none."""
     view = linear_view(F.col("text"))
-    found = [spec_spans(F.col("__view"), s, threshold, context) for s in chosen_specs(entities, specs)]
+    words = None if context is None else tuple(sorted((t, tuple(w)) for t, w in context.items()))
+    found = [made_once((s, threshold, words), lambda s=s: spec_spans(F.col("__view"), s, threshold, context)) for s in chosen_specs(entities, specs)]
     spans = F.concat(*found) if found else F.array()
     out = docs.withColumn("__view", F.coalesce(view, F.lit("")))
     return out.withColumn("spans", spans.cast(SPANS)).drop("__view")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.masks import check_policy
-from ..functions.text import caps_to_title, label_of, linear_view, value_key
+from ..functions.text import caps_to_title, label_of, linear_view, made_once, value_key
 from ..operators import names
 from ..operators.fuse import fuse, fuse_spans
 from ..operators.intervals import cut_out, owned, windows
@@ -55,20 +55,21 @@ def _judged(out: DataFrame, text, deny: dict[str, Iterable[str]], containment: s
     """Spans after extension, deny list, trimming and institutions; adds ``__view``."""
     view = linear_view(text)
     out = out.withColumn("__view", caps_to_title(view) if titled else view)
-    v = F.col("__view")
-    out = out.withColumn("spans", names.extend_persons(v, F.col("spans")))
-    out = out.withColumn("spans", names.apply_deny(v, F.col("spans"), deny, containment))
-    out = out.withColumn("spans", names.trim_spans(v, F.col("spans")))
-    return out.withColumn("spans", names.clip_institutions(v, F.col("spans")))
+    v, s = F.col("__view"), F.col("spans")
+    terms = tuple(sorted((kind, tuple(sorted(own))) for kind, own in deny.items()))
+    out = out.withColumn("spans", made_once("extended", lambda: names.extend_persons(v, s)))
+    out = out.withColumn("spans", made_once(("deny", terms, containment), lambda: names.apply_deny(v, s, deny, containment)))
+    out = out.withColumn("spans", made_once("trimmed", lambda: names.trim_spans(v, s)))
+    return out.withColumn("spans", made_once("clipped", lambda: names.clip_institutions(v, s)))
 
 
 def _spread(out: DataFrame, text) -> DataFrame:
     """Add ``__spread``, the spans of the names in ``__rx`` wherever they stand."""
-    v = F.col("__view")
+    v, s = F.col("__view"), F.col("__spread")
     out = names.with_pattern_spans(out, text, "PERSON", 0.6)
-    out = out.withColumn("__spread", names.extend_persons(v, F.col("__spread")))
-    out = out.withColumn("__spread", names.trim_spans(v, F.col("__spread")))
-    return out.withColumn("__spread", names.clip_institutions(v, F.col("__spread")))
+    out = out.withColumn("__spread", made_once("spread extended", lambda: names.extend_persons(v, s)))
+    out = out.withColumn("__spread", made_once("spread trimmed", lambda: names.trim_spans(v, s)))
+    return out.withColumn("__spread", made_once("spread clipped", lambda: names.clip_institutions(v, s)))
 
 
 def entities_by_windows(
