@@ -48,7 +48,8 @@ def judged(docs: DataFrame, gold: DataFrame, detections: DataFrame, threshold: i
     common = boilerplate_lines(docs, threshold).select("doc_id", "line", F.lit(True).alias("boilerplate"))
     marked = lines.join(common, ["doc_id", "line"]).select("doc_id", "start", "end")
     items = covered(gold, detections, docs)
-    first = items.select("doc_id", "type", F.col("start").alias("__s"), F.col("end").alias("__e")).distinct().withColumns({"start": F.col("__s"), "end": F.col("__s") + 1})
+    # From the gold itself: from the items, the detections would be made once more.
+    first = gold.select("doc_id", "type", F.col("start").alias("__s"), F.col("end").alias("__e")).distinct().withColumns({"start": F.col("__s"), "end": F.col("__s") + 1})
     on = overlapping(first, marked).select("doc_id", "type", F.col("__s").alias("start"), F.col("__e").alias("end"), F.lit(True).alias("boilerplate")).distinct()
     return items.join(on, ["doc_id", "type", "start", "end"], "left").withColumn("boilerplate", F.coalesce("boilerplate", F.lit(False)))
 

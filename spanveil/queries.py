@@ -243,7 +243,7 @@ def rehydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def egress_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third outgoing text holds its session's name in capitals; the others hold it inside of words only."""
     v = legal.legal_values(spark, sf_dir)
-    forbidden = _entities(spark, sf_dir).where("type = 'PERSON'").select("session_id", "type", F.col("text").alias("value")).distinct()
+    forbidden = written(_entities(spark, sf_dir).where("type = 'PERSON'").select("session_id", "type", F.col("text").alias("value")).distinct(), "forbidden")
     text = F.when(F.col("k") % 3 == 0, F.concat(F.lit("Parecer: "), F.upper("person"))).otherwise(F.concat(F.lit("Parecer: x"), "person", F.lit("y")))
     return S.guard_hits(v.select(F.col("k").alias("id"), F.col("case_id").alias("session_id"), text.alias("text")), forbidden)
 
@@ -355,14 +355,14 @@ SELECT g.type, count(*) AS occurrences, count(*) FILTER (WHERE covered) AS hits,
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections lack the postal codes of every third document."""
     docs, truth = legal.legal_docs(spark, sf_dir), legal.legal_truth(spark, sf_dir)
-    found = entity_rows(anonymize(docs)).where("doc_id % 3 <> 0 or type <> 'CEP_BR'")
+    found = written(entity_rows(anonymize(docs)), "found").where("doc_id % 3 <> 0 or type <> 'CEP_BR'")
     return E.evaluate(docs, truth.select("doc_id", "type", "start", "end"), found).select("type", "occurrences", "hits", "boilerplate", "unique_values", "protected")
 
 
 @query("a09_leaks", f"SELECT 'CEP_BR' AS type, row_number() OVER (ORDER BY k)::INT AS rank, k AS doc_id, 'Fone (' || phone || ' e ' || email || ' ; CEP: ' || cep AS context FROM ({legal.VALUES}) v WHERE k % 3 = 0 QUALIFY rank <= 12")
 def leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, truth = legal.legal_docs(spark, sf_dir), legal.legal_truth(spark, sf_dir)
-    found = entity_rows(anonymize(docs)).where("doc_id % 3 <> 0 or type <> 'CEP_BR'")
+    found = written(entity_rows(anonymize(docs)), "found").where("doc_id % 3 <> 0 or type <> 'CEP_BR'")
     return E.leaks(E.covered(truth.select("doc_id", "type", "start", "end"), found, docs), docs).select("type", "rank", "doc_id", "context")
 
 
