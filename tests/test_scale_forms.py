@@ -65,3 +65,27 @@ def test_names_of_the_truth_are_found_by_tokens(spark):
     found = gold.name_occurrences(docs, gold.gold_names(docs)).collect()
     assert sorted((r.start, r.text) for r in found) == [(12, "Maria Pereira de Lima"), (51, "MARIA  PEREIRA\nDE LIMA"), (text.index("xMaria") + 7, "Pereira de Lima"), (len(text) - 15, "Pereira de Lima")]
     assert all(text[r.start : r.end] == r.text for r in found)
+
+
+def test_small_files_are_dealt_over_tasks(spark, tmp_path):
+    from spanveil.tables import dealt
+
+    rows = spark.range(100).withColumnRenamed("id", "doc_id")
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows.repartition(spark.sparkContext.defaultParallelism).write.parquet(str(tmp_path / "many"))
+    one, many = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "many"))
+    spread = dealt(one, "doc_id")
+    used = {r.p for r in spread.selectExpr("spark_partition_id() AS p").distinct().collect()}
+    assert len(used) > 1 and sorted(r.doc_id for r in spread.collect()) == list(range(100))
+    assert dealt(many) is many and dealt(one.where("false")).count() == 0
+
+
+def test_kept_expressions_follow_their_options(spark):
+    from spanveil.operators.patterns import detect
+
+    docs = spark.createDataFrame([(1, "ramal 85 98888-7777 hoje"), (2, None)], "doc_id long, text string")
+    count = lambda **o: {r.doc_id: len(r.spans) for r in detect(docs, ["PHONE_NUMBER_BR"], **o).collect()}
+    scores = lambda **o: [s.score for r in detect(docs, ["PHONE_NUMBER_BR"], **o).where("doc_id = 1").collect() for s in r.spans]
+    plain = scores(context={})
+    assert count() == {1: 1, 2: 0} and count(threshold=1.01) == {1: 0, 2: 0} and count() == {1: 1, 2: 0}
+    assert scores()[0] > plain[0] and scores(context={"PHONE_NUMBER_BR": ("hoje",)}) == plain and scores(context={}) == plain
