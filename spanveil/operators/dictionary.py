@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import _BARE, _MARKED, value_key
+from ..tables import merged_in
 
 #: Shares that a frequent token or term is dealt into.
 SALTS = 8
@@ -56,15 +57,15 @@ def candidates(texts: DataFrame, terms: DataFrame, key: str, value: str = "value
     salt = F.pmod(F.xxhash64("text_id"), F.lit(SALTS)).cast("int").alias("__salt")
     cut = texts.where("text is not null").select(key, "text_id", compared(tokens(F.col("text"), protected), protected).alias("__w"))
     held = cut.select(key, "text_id", F.explode(F.array_distinct("__w")).alias("__first"), salt)
-    met = held.join(_salted(first), [key, "__first", "__salt"]).groupBy(key, "text_id").agg(F.map_from_entries(F.collect_list(F.struct("__first", "__n"))).alias("__met"))
-    begun = cut.join(met, [key, "text_id"]).select(key, "text_id", "__w", "__met", F.posexplode("__w").alias("pos", "__first"))
+    met = held.join(merged_in(_salted(first)), [key, "__first", "__salt"]).groupBy(key, "text_id").agg(F.map_from_entries(F.collect_list(F.struct("__first", "__n"))).alias("__met"))
+    begun = cut.join(merged_in(met), [key, "text_id"]).select(key, "text_id", "__w", "__met", F.posexplode("__w").alias("pos", "__first"))
     begun = begun.withColumn("n", F.explode(F.element_at("__met", F.col("__first")))).where("pos + n <= size(__w)")
     if apart:
         alone = lambda i: ~F.coalesce(F.get("__w", i), F.lit(" ")).rlike(r"^[\p{L}\p{N}]")
         begun = begun.where((F.col("pos") == 0) | alone(F.col("pos") - 1)).where(alone(F.col("pos") + F.col("n")))
     runs = begun.select(key, "text_id", "pos", F.slice("__w", F.col("pos") + 1, F.col("n")).alias("__r"), salt)
     runs = runs.withColumn("__h", F.xxhash64("__r"))
-    found = runs.join(_salted(listed), [key, "__h", "__salt"]).where("__r = __t")
+    found = runs.join(merged_in(_salted(listed)), [key, "__h", "__salt"]).where("__r = __t")
     return found.drop("__r", "__t", "__h", "__salt")
 
 
@@ -104,7 +105,7 @@ def with_offsets(matches: DataFrame, texts: DataFrame, key: str, protected: str
     """Matches that do not overlap, with ``start`` and ``end`` in their text and what stands there (``found``)."""
     kept = [c for c in matches.columns if c not in (key, "text_id")]
     own = matches.groupBy(key, "text_id").agg(F.sort_array(F.collect_list(F.struct("pos", *[c for c in kept if c != "pos"]))).alias("__m"))
-    rows = texts.join(own, [key, "text_id"]).withColumn("__w", tokens(F.col("text"), protected))
+    rows = texts.join(merged_in(own), [key, "text_id"]).withColumn("__w", tokens(F.col("text"), protected))
     before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("__m", i - 1)["pos"] + F.get("__m", i - 1)["n"])
     joined = lambda a, n: F.array_join(F.slice("__w", a + 1, n), "")
     each = F.transform("__m", lambda m, i: F.struct(m.alias("m"), F.length(joined(before(i), m["pos"] - before(i))).alias("gap"), joined(m["pos"], m["n"]).alias("found")))

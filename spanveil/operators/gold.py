@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import digits, let, norm, one_of, sha_of, value_key
 from ..functions.validators import cnj_valid, cnpj_valid, cpf_valid
+from ..tables import merged_in
 from . import dictionary
 from .names import PARTICLES
 from .patterns import _matches, words_array
@@ -123,7 +124,7 @@ def _evidence(text: Column, value: Column, pattern: Column, start: Column, end:
 
 def confirm(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidates with enough evidence; doubtful ones are left out."""
-    rows = found.join(docs.select("doc_id", F.col("text").alias("__t")), "doc_id")
+    rows = found.join(merged_in(docs.select("doc_id", F.col("text").alias("__t"))), "doc_id")
     table = _evidence(F.col("__t"), F.col("text"), F.col("pattern"), F.col("start"), F.col("end"))
     enough = ~F.col("type").isin(*table)
     for kind, ways in table.items():

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import merged_in
+
 #: Characters of a bucket of positions.
 BUCKET = 4096
 
@@ -75,7 +77,7 @@ def cut_out(spans: DataFrame, docs: DataFrame) -> DataFrame:
     pieces = windows(docs.select("doc_id", "text"), 2 * BUCKET, BUCKET).select("doc_id", F.col("win").alias("__w"), F.col("start").alias("__s"), F.col("text").alias("__t"))
     # The window that begins with a span's bucket holds it; the last window reaches to the end of the text.
     last = docs.select("doc_id", F.greatest(F.when(F.length("text") <= 2 * BUCKET, 1).otherwise(F.ceil((F.length("text") - BUCKET) / BUCKET)), F.lit(1)).cast("int").alias("__l"))
-    own = spans.where(short).join(last, "doc_id").withColumn("__w", F.least(F.floor(F.col("start") / BUCKET).cast("int"), F.col("__l") - 1))
-    near = own.join(pieces, ["doc_id", "__w"]).withColumn("value", F.substr("__t", F.col("start") - F.col("__s") + 1, F.col("end") - F.col("start")))
-    far = spans.where(~short).join(docs.select("doc_id", "text"), "doc_id").withColumn("value", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")))
+    own = spans.where(short).join(merged_in(last), "doc_id").withColumn("__w", F.least(F.floor(F.col("start") / BUCKET).cast("int"), F.col("__l") - 1))
+    near = own.join(merged_in(pieces), ["doc_id", "__w"]).withColumn("value", F.substr("__t", F.col("start") - F.col("__s") + 1, F.col("end") - F.col("start")))
+    far = spans.where(~short).join(merged_in(docs.select("doc_id", "text")), "doc_id").withColumn("value", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")))
     return near.select(*spans.columns, "value").unionByName(far.select(*spans.columns, "value"))

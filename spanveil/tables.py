@@ -26,6 +26,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged_in(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that Spark must not broadcast: it is sorted and merged, and so spills.
+
+    Spark takes the size of what is derived from a small file (texts made of keys, tokens of texts, salted copies) for that
+    of the file, and would send all of it through the driver.
+    """
+    return df.hint("merge")
+
+
 def dealt(df: DataFrame, *key: str) -> DataFrame:
     """``df`` over ``spark.sql.shuffle.partitions`` tasks, by the key or evenly, where its files are fewer than the tasks that run at a time.
 
