@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LABELS, estimate_tokens, label_of, value_key, weight
+from ..tables import merged_in
 from . import dictionary
 from .masking import masks_of
 
@@ -47,9 +48,9 @@ def with_session_labels(docs: DataFrame, entities: DataFrame, pseudonyms: DataFr
     local = local.groupBy("doc_id", session, "label", "norm_value").agg(F.min("start").alias("start"))
     local = local.withColumn("m", F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("start")))
     tag = lambda c: F.concat(F.lit("["), "label", F.lit("_"), F.col(c).cast("string"), F.lit("]"))
-    pairs = local.join(pseudonyms, [session, "label", "norm_value"]).select("doc_id", F.struct(tag("m").alias("k"), tag("n").alias("v")).alias("p"))
+    pairs = local.join(merged_in(pseudonyms), [session, "label", "norm_value"]).select("doc_id", F.struct(tag("m").alias("k"), tag("n").alias("v")).alias("p"))
     table = pairs.groupBy("doc_id").agg(F.map_from_entries(F.collect_list("p")).alias("__map"))
-    out = docs.join(table, "doc_id", "left")
+    out = docs.join(merged_in(table), "doc_id", "left")
     text = F.col("anonymized_text")
     found, gaps = F.regexp_extract_all(text, F.lit(LABEL), F.lit(0)), F.split(text, LABEL, -1)
     there = F.coalesce("__map", F.create_map().cast("map<string,string>"))
@@ -73,7 +74,7 @@ def close_residuals(texts: DataFrame, pseudonyms: DataFrame, session: str = "ses
     own = texts.select(session, F.md5("text").alias("text_id"), "text").where("text is not null").dropDuplicates([session, "text_id"])
     found = dictionary.resolved(dictionary.candidates(own, terms, session, protected=LABEL), session, prefer, "length")
     by_text = found.groupBy(session, "text_id").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "label", "tag"))).alias("__m"))
-    out = texts.withColumn("text_id", F.md5("text")).join(by_text, [session, "text_id"], "left").drop("text_id")
+    out = texts.withColumn("text_id", F.md5("text")).join(merged_in(by_text), [session, "text_id"], "left").drop("text_id")
     out = out.withColumn("__w", F.when(F.col("__m").isNotNull(), dictionary.tokens(F.col("text"), LABEL)))
     part = lambda a, n: F.array_join(F.slice("__w", a + 1, n), "")
     before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("__m", i - 1)["pos"] + F.get("__m", i - 1)["n"])
@@ -102,7 +103,7 @@ def rehydrate(texts: DataFrame, pseudonyms: DataFrame, session: str = "session_i
     rows = texts.select("id", session, F.posexplode(both).alias("pos", "p")).select("id", session, "pos", "p.kind", "p.text")
     rows = rows.withColumn("label", F.regexp_extract("text", LABEL, 1)).withColumn("n", F.expr(r"try_cast(regexp_extract(text, '\\[.*_(\\d+)\\]$', 1) AS int)"))
     values = pseudonyms.select(session, "label", "n", F.col("first_value").alias("value"))
-    out = rows.join(values, [session, "label", "n"], "left")
+    out = rows.join(merged_in(values), [session, "label", "n"], "left")
     kind = F.when(F.col("kind") == "text", "text").when(F.col("value").isNull(), "unknown").otherwise("value")
     return out.select("id", "pos", kind.alias("kind"), "text", F.when(F.col("kind") != "text", F.col("value")).alias("value"))
 
@@ -132,7 +133,7 @@ def guard_hits(out: DataFrame, forbidden: DataFrame, session: str = "session_id"
     terms = terms.groupBy(session, "value").agg(F.collect_set("type").alias("types"))
     found = dictionary.candidates(texts, terms, session).select(session, "text_id", "pos", F.explode("types").alias("type"))
     first = found.groupBy(session, "text_id", "type").agg(F.min("pos").alias("pos"))
-    placed = first.join(texts, [session, "text_id"])
+    placed = first.join(merged_in(texts), [session, "text_id"])
     pos = F.length(F.array_join(F.slice(dictionary.tokens(F.col("text")), F.lit(1), F.col("pos")), ""))
     return placed.select(F.col("text_id").alias("id"), "type", pos.cast("int").alias("pos"))
 
