@@ -54,9 +54,20 @@ def let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def trie_pattern(words) -> str:
+    """A pattern of plain words that branches letter by letter, so a match tries the letters of a place, not every word."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [("\\." if c == "." else c) + (trie_pattern(rest) if rest != [""] else "") for c, rest in heads.items() if c]
+    if "" in heads:
+        return f"(?:{'|'.join(parts)})?" if parts else ""
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def one_of(c: Column, words) -> Column:
     """Membership in a list of plain words, as one pattern instead of one literal a word."""
-    return c.rlike("^(?:" + "|".join(w.replace(".", r"\.") for w in sorted(set(words))) + ")$")
+    return c.rlike("^(?:" + trie_pattern(words) + ")$")
 
 
 def plain_norm(text: str) -> str:
@@ -71,6 +82,42 @@ def linear_view(c: Column) -> Column:
     return F.translate(c, "\n\r\t", "   ")
 
 
+#: Marks around matches, and what stands for them where a text holds them itself: all three are of private use, so no pattern tells them apart.
+OPEN, CLOSE, _OTHER = "\ue000", "\ue001", "\ue002"
+
+
+def unmarked(c: Column) -> Column:
+    """A text without marks; the length stays."""
+    return F.translate(c, OPEN + CLOSE, _OTHER * 2)
+
+
+def search_view(c: Column) -> Column:
+    """The linear view without marks, as it is searched."""
+    return F.translate(c, "\n\r\t" + OPEN + CLOSE, "   " + _OTHER * 2)
+
+
+def marked_matches(text: Column, rx: Column | str) -> Column:
+    """All matches of a pattern in a text without marks, with their starts: array of (m, a).
+
+    One pass of the pattern puts marks around its matches, and the text is cut at these: ``split`` by the pattern itself
+    would compile it for every row and search once more.
+    """
+    parts = F.split(F.regexp_replace(text, rx if isinstance(rx, Column) else F.lit(rx), F.lit(f"{OPEN}$0{CLOSE}")), OPEN, -1)
+    kind = "struct<at:int,out:array<struct<m:string,a:int>>>"
+
+    def placed(parts: Column) -> Column:
+        start = F.struct(F.length(parts[0]).alias("at"), F.array().cast("array<struct<m:string,a:int>>").alias("out")).cast(kind)
+
+        def step(acc: Column, x: Column) -> Column:
+            m = F.substring_index(x, CLOSE, 1)
+            return F.struct((acc["at"] + F.length(x) - 1).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(m.alias("m"), acc["at"].alias("a")))).alias("out"))
+
+        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), start, step)["out"]
+
+    none = F.array().cast("array<struct<m:string,a:int>>")
+    return let(parts, lambda p: F.when(F.size(p) > 1, F.filter(placed(p), lambda x: x["m"] != "")).otherwise(none))
+
+
 def without_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, _MARKED + _MARKED.upper(), _BARE + _BARE.upper()), _COMBINING, "")
 
@@ -85,21 +132,20 @@ def value_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(norm(c), r"(?U)\s+", " "))
 
 
-# Endings of Portuguese plurals and what stands for them in the singular, then endings that are dropped.
-_PLURALS = (("oes", "ao"), ("aes", "ao"), ("ais", "al"), ("eis", "el"), ("ois", "ol"), ("res", "r"), ("zes", "z"), ("ns", "m"), ("s", ""))
-_ENDINGS = ("mente", "a", "e", "o")
-
-
 def _stem_rules() -> list[tuple[str, str]]:
-    """(pattern, replacement) in order: a plural, then an adverb's ending, then a last vowel; three letters stay at least."""
-    rules = [(rf"\b([a-z]{{3,}}?){old}\b", rf"{{1}}{new}") for old, new in _PLURALS]
-    return rules + [(rf"\b([a-z]{{3,}}?){old}\b", "{1}") for old in _ENDINGS[:1]] + [(rf"\b([a-z]{{3,}})[{''.join(_ENDINGS[1:])}]\b", "{1}")]
+    """(pattern, replacement) in order: a plural, then an adverb's ending, then a last vowel; three letters stay at least.
+
+    Plurals: -oes and -aes (-ao), -ais, -eis and -ois (-al, -el, -ol), -ns (-m), -res and -zes (-r, -z), -s. A word has one
+    of these endings, so endings of one kind share a pass.
+    """
+    plurals = [(r"\b([a-z]{3,}?)[oa]es\b", "{1}ao"), (r"\b([a-z]{3,}?)([aeo])is\b", "{1}{2}l"), (r"\b([a-z]{3,}?)ns\b", "{1}m"), (r"\b(?:([a-z]{3,}?[rz])es|([a-z]{3,}?)s)\b", "{1}{2}")]
+    return [*plurals, (r"\b([a-z]{3,}?)mente\b", "{1}"), (r"\b([a-z]{3,})[aeo]\b", "{1}")]
 
 
 def stems(c: Column) -> Column:
     """The words of a normalised text without the endings of number, gender and adverbs."""
     for rx, new in _stem_rules():
-        c = F.regexp_replace(c, rx, new.replace("{1}", "$1"))
+        c = F.regexp_replace(c, rx, new.replace("{1}", "$1").replace("{2}", "$2"))
     return c
 
 
@@ -108,7 +154,7 @@ def plain_stems(text: str) -> str:
     import re
 
     for rx, new in _stem_rules():
-        text = re.sub(rx, new.replace("{1}", r"\1"), text)
+        text = re.sub(rx, new.replace("{1}", r"\1").replace("{2}", r"\2"), text)
     return text
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import digits, let, norm, one_of, sha_of, value_key
+from ..functions.text import digits, let, norm, one_of, sha_of, unmarked, value_key
 from ..functions.validators import cnj_valid, cnpj_valid, cpf_valid
 from ..tables import merged_in
 from . import dictionary
@@ -77,9 +77,9 @@ def _candidate_spans(text: Column, kind: str, name: str, before: str, value: str
         bare = F.regexp_replace(core, r"[ .,;:\-\n\t]+$", "")
         left = F.length(F.regexp_extract(bare, r"^[ .,;:\-\n\t]+", 0))
         start = x["a"] + lead + left
-        return F.struct(start.cast("int").alias("start"), (start + F.length(bare) - left).cast("int").alias("end"), F.lit(kind).alias("type"), F.substr(bare, left + 1).alias("text"), F.lit(name).alias("pattern"))
+        return F.struct(start.cast("int").alias("start"), (start + F.length(bare) - left).cast("int").alias("end"), F.lit(kind).alias("type"), F.substr(text, (start + 1).cast("int"), F.length(bare) - left).alias("text"), F.lit(name).alias("pattern"))
 
-    return F.filter(F.transform(_matches(text, whole), span), lambda s: s["end"] > s["start"])
+    return F.filter(F.transform(_matches(unmarked(text), whole), span), lambda s: s["end"] > s["start"])
 
 
 def candidates(docs: DataFrame, types: Iterable[str] | None = None) -> DataFrame:

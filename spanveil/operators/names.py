@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, norm, one_of, plain_norm, quoted
+from ..functions.text import let, marked_matches, norm, one_of, plain_norm, quoted, unmarked
 from .patterns import SPANS, _matches, words_array
 
 # Letters and particles of names, and words that end an extension.
@@ -201,17 +201,6 @@ def with_name_pattern(docs: DataFrame, text: Column, min_score: float = 0.4) ->
 
 def with_pattern_spans(docs: DataFrame, text: Column, kind: str, score: float) -> DataFrame:
     """Add ``__spread``, the spans of the matches of the pattern column ``__rx`` in the text; a null pattern has none."""
-    rx = F.col("__rx")
-    hit = rx.isNotNull() & F.rlike(text, F.coalesce(rx, F.lit("(?!)")))
-    none = F.array().cast("array<string>")
-    out = docs.withColumn("__found", F.when(hit, F.regexp_extract_all(text, F.coalesce(rx, F.lit("(?!)")), F.lit(0))).otherwise(none))
-    out = out.withColumn("__gaps", F.when(hit, F.split(text, F.coalesce(rx, F.lit("(?!)")), -1)).otherwise(none))
-    paired = F.zip_with("__found", F.slice("__gaps", F.lit(1), F.size("__found")), lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        span = F.struct(begin.alias("start"), (begin + x["m"]).alias("end"), F.lit(kind).alias("type"), F.lit(score).cast("double").alias("score"))
-        return F.struct((begin + x["m"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    return out.withColumn("__spread", F.aggregate(paired, start, step)["out"]).drop("__found", "__gaps")
+    found = F.when(F.col("__rx").isNotNull(), marked_matches(unmarked(text), F.col("__rx")))
+    span = lambda x: F.struct(x["a"].alias("start"), (x["a"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("type"), F.lit(score).cast("double").alias("score"))
+    return docs.withColumn("__spread", F.coalesce(F.transform(found, span), F.array()).cast(SPANS))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, linear_view, made_once, norm, one_of, plain_norm, plain_stems, stems, token_key
+from ..functions.text import let, made_once, marked_matches, norm, one_of, plain_norm, plain_stems, search_view, stems, token_key
 from ..functions.masks import STREET_TYPES
 from ..functions.validators import card_valid, cnj_valid, cnpj_valid, cpf_valid, pis_valid
 
@@ -26,7 +26,8 @@ CONTEXT_TOKENS, CONTEXT_GAIN, CONTEXT_FLOOR = 5, 0.35, 0.4
 class PatternSpec:
     """One pattern of one entity type (U1). With ``value`` the span is that part, between ``regex`` and ``after``.
 
-    ``needs`` is a cheap pattern without which a text cannot match: texts without it are not searched.
+    ``needs`` is a cheap pattern without which a text cannot match: texts without it are not searched. ``shape`` is a
+    string that every match holds once its digits are written as 0: it is looked for before the pattern.
     """
 
     type: str
@@ -41,6 +42,7 @@ class PatternSpec:
     context: tuple[str, ...] = ()
     cut_name: bool = False
     needs: str = "[0-9]"
+    shape: str = ""
 
     def whole(self) -> str:
         return "(?iuUsm)" + (self.regex if self.value is None else f"(?:{self.regex})(?:{self.value})(?:{self.after})")
@@ -74,37 +76,37 @@ _ROLES = (
     r"Testemunha|Declarante|Autor|Autora|R[ée]u|Advogado|Advogada"
 )
 REGISTRY: tuple[PatternSpec, ...] = (
-    PatternSpec("CPF_BR", "cpf_fmt", r"(?<!\d)\d{3}\.\d{3}\.\d{3}\s{0,30}-\s{0,30}\d{2}", 0.6, validator=cpf_valid),
+    PatternSpec("CPF_BR", "cpf_fmt", r"(?<!\d)\d{3}\.\d{3}\.\d{3}\s{0,30}-\s{0,30}\d{2}", 0.6, validator=cpf_valid, shape="000.000.000"),
     PatternSpec("CPF_BR", "cpf_espacado", r"(?<![\d.])\d{3}[.\s]\s{0,3}\d{3}[.\s]\s{0,3}\d{3}\s{0,3}-\s{0,3}\d{2}(?!\d)", 0.55, validator=cpf_valid),
     PatternSpec("CPF_BR", "cpf_fmt_ocr", r"\b[\dOoIlSBgq]{3}\.[\dOoIlSBgq]{3}\.[\dOoIlSBgq]{3}-[\dOoIlSBgq]{2}\b", 0.55, validator=cpf_valid),
-    PatternSpec("CPF_BR", "cpf_raw", r"(?<!\d)\d{11}(?!\d)", 0.3, validator=cpf_valid, check_required=True),
-    PatternSpec("CNPJ_BR", "cnpj_fmt", r"\b\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}\b", 0.6, validator=cnpj_valid),
-    PatternSpec("CNPJ_BR", "cnpj_raw", r"(?<!\d)\d{14}(?!\d)", 0.3, validator=cnpj_valid, check_required=True),
+    PatternSpec("CPF_BR", "cpf_raw", r"(?<!\d)\d{11}(?!\d)", 0.3, validator=cpf_valid, check_required=True, shape="00000000000"),
+    PatternSpec("CNPJ_BR", "cnpj_fmt", r"\b\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}\b", 0.6, validator=cnpj_valid, shape="00.000.000/0000-00"),
+    PatternSpec("CNPJ_BR", "cnpj_raw", r"(?<!\d)\d{14}(?!\d)", 0.3, validator=cnpj_valid, check_required=True, shape="00000000000000"),
     PatternSpec(
         "RG_BR", "rg_ancorado",
         r"(?:RG|R\.\s?G\.?|[Rr]egistro\s+[Gg]eral|[Ii]dentidade|[Cc][ée]dula\s+de\s+[Ii]dentidade|[Cc]arteira\s+de\s+[Ii]dentidade)[\s.:n°ºo/-]{0,24}",
         0.85, value=r"\d[\d.\s-]{4,16}[\dXx]", after=r"(?=\s*(?:SSP|SESP|DETRAN|PC|IFP|SDS|[^\d]|$))",
     ),
-    PatternSpec("RG_BR", "rg_com_orgao", "", 0.8, value=r"\d[\d.\s-]{5,16}[\dXx]", after=r"\s*[-/]?\s*(?=(?:SSP|SSPDS|SESP|DETRAN|IFP|SDS)\b)"),
-    PatternSpec("RG_BR", "rg_fmt", r"\b\d{1,2}\.\d{3}\.\d{3}-[\dxX]\b", 0.7),
+    PatternSpec("RG_BR", "rg_com_orgao", "", 0.8, value=r"\d[\d.\s-]{5,16}[\dXx]", after=r"\s*[-/]?\s*(?=(?:SSP|SSPDS|SESP|DETRAN|IFP|SDS)\b)", needs="(?iu)ssp|sesp|detran|ifp|sds"),
+    PatternSpec("RG_BR", "rg_fmt", r"\b\d{1,2}\.\d{3}\.\d{3}-[\dxX]\b", 0.7, shape=".000.000-"),
     PatternSpec("CEP_BR", "cep_ancorado", r"CEP[\s.:nºo°-]{0,6}", 0.9, value=r"\d{2}\.?\s?\d{3}[\s.-]{0,3}\d{3}", after=r"(?!\d)"),
-    PatternSpec("CEP_BR", "cep_livre", r"(?<![\d-])", 0.45, value=r"\d{2}\.?\d{3}-\d{3}", after=r"(?!\d)"),
+    PatternSpec("CEP_BR", "cep_livre", r"(?<![\d-])", 0.45, value=r"\d{2}\.?\d{3}-\d{3}", after=r"(?!\d)", shape="000-000"),
     PatternSpec("ENDERECO_BR", "logradouro", rf"\b(?:{STREET_TYPES})\s+[A-ZÁÀÂÃÉÊÍÓÔÕÚÇ0-9][^\n;]{{2,80}}?(?=\s*(?:;|CEP|[Ff]one|[Tt]el|[Ee]-?mail|$|\.\s+[A-ZÁÉÍÓÚ]))", 0.5, needs=""),
-    PatternSpec("PHONE_NUMBER_BR", "tel_br_intl", r"\+55\s{0,3}\(?\d{2}\)?[\s.-]{0,30}9?\d{4}[\s.-]{0,3}\d{4}\b", 0.85),
-    PatternSpec("PHONE_NUMBER_BR", "tel_br_parenteses", r"\(\d{2}\)[\s.-]{0,30}\d{4,5}[\s.-]{0,3}\d{4}\b", 0.8),
-    PatternSpec("PHONE_NUMBER_BR", "tel_br_hifen", r"\b\d{2}[\s.]{0,3}\d{4,5}[\s.-]{0,3}\d{4}\b", 0.7),
-    PatternSpec("OAB_BR", "oab_estado", r"\bOAB(?![A-Za-zÀ-ÿ])\s*[/\-]?\s*[A-Z]{2}\s*[/\-:]?\s*(?:n\.?[ºo°]?\.?)?\s*", 0.9, value=r"\d[\d.]{2,7}\d", after=r"(?!\d)"),
-    PatternSpec("OAB_BR", "oab_generico", r"\bOAB(?![A-Za-zÀ-ÿ])[/\s]?[A-Z]{2}[/\s]?\d[\d.]{3,7}\b", 0.85),
-    PatternSpec("OAB_BR", "oab_numero_antes", r"\bOAB(?![A-Za-zÀ-ÿ])[\s.:nºo°-]{0,4}", 0.9, value=r"\d[\d.]{2,7}", after=r"\s*/\s*[A-Z]{2}\b"),
-    PatternSpec("DATE_OF_BIRTH", "data_nasc_ancorada", r"(?:nascid[oa]\s+em|nascimento|nasc\.?|dt\.?\s*nasc\.?|data\s+de\s+nascimento)[\s.:nºo°-]{0,8}", 0.85, value=r"\d{2}/\d{2}/\d{4}"),
-    PatternSpec("DATE_OF_BIRTH", "data_nasc", r"\b\d{2}/\d{2}/\d{4}\b", 0.20),
-    PatternSpec("NIT_PIS_PASEP", "nit_fmt", r"\b\d{3}\.\d{5}\.\d{2}-\d\b", 0.6, validator=pis_valid, boost=0.9),
-    PatternSpec("NIT_PIS_PASEP", "nit_raw", r"(?<!\d)\d{11}(?!\d)", 0.3, validator=pis_valid, boost=0.9, check_required=True),
-    PatternSpec("NUMERO_PROCESSO_CNJ", "processo_cnj_fmt", r"(?<!\d)\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}", 0.75, validator=cnj_valid, boost=0.98),
-    PatternSpec("NUMERO_PROCESSO_CNJ", "processo_cnj_raw", r"(?<!\d)\d{20}(?!\d)", 0.3, validator=cnj_valid, boost=0.98, check_required=True),
-    PatternSpec("CONTA_BANCARIA", "conta_ag_cc", r"\b[Aa]g(?:[êe]ncia)?[:\s]*\d{3,5}[\s,\-]*(?:[Cc](?:onta)?[:\s]*|[Cc]{2}[:\s]*|[Cc][Pp][:\s]*)\d{4,12}-?\d?\b", 0.75),
-    PatternSpec("EMAIL_ADDRESS", "email_tld_grudado", "", 0.85, value=r"[A-Za-z0-9._%+-]+@(?:[a-z0-9-]+\.)+[a-z]{2,}", after=r"(?![a-z])", needs="@"),
-    PatternSpec("PERSON", "nome_apos_rotulo", rf"(?:{_ROLES})\s*(?:\([as]\))?\s*:\s*", 0.8, value=_NAME, cut_name=True, needs=":"),
+    PatternSpec("PHONE_NUMBER_BR", "tel_br_intl", r"\+55\s{0,3}\(?\d{2}\)?[\s.-]{0,30}9?\d{4}[\s.-]{0,3}\d{4}\b", 0.85, shape="+00"),
+    PatternSpec("PHONE_NUMBER_BR", "tel_br_parenteses", r"\(\d{2}\)[\s.-]{0,30}\d{4,5}[\s.-]{0,3}\d{4}\b", 0.8, shape="(00)"),
+    PatternSpec("PHONE_NUMBER_BR", "tel_br_hifen", r"\b\d{2}[\s.]{0,3}\d{4,5}[\s.-]{0,3}\d{4}\b", 0.7, shape="0000"),
+    PatternSpec("OAB_BR", "oab_estado", r"\bOAB(?![A-Za-zÀ-ÿ])\s*[/\-]?\s*[A-Z]{2}\s*[/\-:]?\s*(?:n\.?[ºo°]?\.?)?\s*", 0.9, value=r"\d[\d.]{2,7}\d", after=r"(?!\d)", needs="(?i)oab"),
+    PatternSpec("OAB_BR", "oab_generico", r"\bOAB(?![A-Za-zÀ-ÿ])[/\s]?[A-Z]{2}[/\s]?\d[\d.]{3,7}\b", 0.85, needs="(?i)oab"),
+    PatternSpec("OAB_BR", "oab_numero_antes", r"\bOAB(?![A-Za-zÀ-ÿ])[\s.:nºo°-]{0,4}", 0.9, value=r"\d[\d.]{2,7}", after=r"\s*/\s*[A-Z]{2}\b", needs="(?i)oab"),
+    PatternSpec("DATE_OF_BIRTH", "data_nasc_ancorada", r"(?:nascid[oa]\s+em|nascimento|nasc\.?|dt\.?\s*nasc\.?|data\s+de\s+nascimento)[\s.:nºo°-]{0,8}", 0.85, value=r"\d{2}/\d{2}/\d{4}", shape="00/00/0000"),
+    PatternSpec("DATE_OF_BIRTH", "data_nasc", r"\b\d{2}/\d{2}/\d{4}\b", 0.20, shape="00/00/0000"),
+    PatternSpec("NIT_PIS_PASEP", "nit_fmt", r"\b\d{3}\.\d{5}\.\d{2}-\d\b", 0.6, validator=pis_valid, boost=0.9, shape="000.00000.00-0"),
+    PatternSpec("NIT_PIS_PASEP", "nit_raw", r"(?<!\d)\d{11}(?!\d)", 0.3, validator=pis_valid, boost=0.9, check_required=True, shape="00000000000"),
+    PatternSpec("NUMERO_PROCESSO_CNJ", "processo_cnj_fmt", r"(?<!\d)\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}", 0.75, validator=cnj_valid, boost=0.98, shape="0000000-00.0000.0.00.0000"),
+    PatternSpec("NUMERO_PROCESSO_CNJ", "processo_cnj_raw", r"(?<!\d)\d{20}(?!\d)", 0.3, validator=cnj_valid, boost=0.98, check_required=True, shape="00000000000000000000"),
+    PatternSpec("CONTA_BANCARIA", "conta_ag_cc", r"\b[Aa]g(?:[êe]ncia)?[:\s]*\d{3,5}[\s,\-]*(?:[Cc](?:onta)?[:\s]*|[Cc]{2}[:\s]*|[Cc][Pp][:\s]*)\d{4,12}-?\d?\b", 0.75, shape="000"),
+    PatternSpec("EMAIL_ADDRESS", "email_tld_grudado", "", 0.85, value=r"[A-Za-z0-9._%+-]++@(?:[a-z0-9-]+\.)+[a-z]{2,}", after=r"(?![a-z])", needs="@"),
+    PatternSpec("PERSON", "nome_apos_rotulo", rf"(?=[RADIVOTEQ])(?:{_ROLES})\s*(?:\([as]\))?\s*:\s*", 0.8, value=_NAME, cut_name=True, needs=":"),
     PatternSpec("PERSON", "nome_assinatura", r"assinado\s+digitalmente\s+por\s+", 0.8, value=_NAME, cut_name=True, needs="(?i)assinado"),
 )
 
@@ -173,23 +175,23 @@ def _name_length(tokens: Column) -> Column:
     return let(kept, length)
 
 
-def _matches(view: Column, rx: str, needs: str = "") -> Column:
-    """All matches with their starts: array of (m, a)."""
-    found, gaps = F.regexp_extract_all(view, F.lit(rx), F.lit(0)), F.split(view, rx, -1)
-    paired = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,a:int>>").alias("out"))
+def _matches(view: Column, rx: str, needs: str = "", shape: Column | None = None) -> Column:
+    """All matches with their starts: array of (m, a). ``view`` has no marks (``search_view``, ``unmarked``)."""
+    hit = view.rlike(rx)
+    if needs:
+        hit = view.rlike(needs) & hit
+    if shape is not None:
+        hit = shape & hit
+    return F.when(hit, marked_matches(view, rx)).otherwise(F.array().cast("array<struct<m:string,a:int>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["g"])
-        return F.struct((a + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), a.alias("a")))).alias("out"))
 
-    none = F.array().cast("array<struct<m:string,a:int>>")
-    hit = view.rlike(needs) & view.rlike(rx) if needs else view.rlike(rx)
-    return F.when(hit, F.filter(F.aggregate(paired, start, step)["out"], lambda x: x["m"] != "")).otherwise(none)
+def digits_as_zeros(view: Column) -> Column:
+    """A text with every digit, of whatever script, as 0: what the shapes of patterns are looked for in."""
+    return F.regexp_replace(view, r"\p{Nd}", "0")
 
 
-def _in_context(view: Column, start: Column, words: tuple[str, ...]) -> Column:
-    """Whether the five tokens before a hit hold a context word, both without case, accents and endings.
+def _context_before(view: Column, start: Column) -> Column:
+    """The five tokens before a hit, without case, accents and endings.
 
     The tokens are those of the 200 characters before the hit where these hold more than five, else of all before it.
     """
@@ -197,30 +199,80 @@ def _in_context(view: Column, start: Column, words: tuple[str, ...]) -> Column:
     near = cut(F.greatest(start - 199, F.lit(1)), F.least(start, F.lit(200)))
     before = let(near, lambda b: F.when((F.size(b) > CONTEXT_TOKENS) | (start <= 200), b).otherwise(cut(F.lit(1), start)))
     last = lambda b: stems(norm(F.array_join(F.slice(b, F.greatest(F.size(b) - (CONTEXT_TOKENS - 1), F.lit(1)), F.lit(CONTEXT_TOKENS)), " ")))
-    return (start > 0) & let(before, last).rlike("|".join(sorted({plain_stems(plain_norm(w)).replace(".", r"\.") for w in words})))
+    return let(before, last)
 
 
-def spec_spans(view: Column, spec: PatternSpec, threshold: float = THRESHOLD, context: dict | None = None) -> Column:
-    """The spans that one specification finds in a linear view, at or above the threshold."""
-    words = spec.context or (CONTEXT if context is None else context).get(spec.type, ())
+def _context_pattern(words: tuple[str, ...]) -> str:
+    return "|".join(sorted({plain_stems(plain_norm(w)).replace(".", r"\.") for w in words}))
+
+
+def _words_of(spec: PatternSpec, context: dict | None) -> tuple[str, ...]:
+    return tuple(spec.context or (CONTEXT if context is None else context).get(spec.type, ()))
+
+
+_RAW = "array<struct<start:int,end:int,type:string,score:double,pattern:int>>"
+
+
+def _raw_spans(view: Column, zeros: Column, spec: PatternSpec, pattern: int) -> Column:
+    """The spans of one specification before their context is looked at; ``pattern`` tells which context words lift them."""
+
+    def scored(m: Column) -> Column:
+        score = F.lit(spec.score).cast("double")
+        if spec.validator is None:
+            return score
+        return F.when(spec.validator(m), F.lit(max(spec.score, spec.boost)).cast("double")).otherwise(F.lit(None).cast("double") if spec.check_required else score)
+
+    def made(m: Column, begin: Column, size: Column) -> Column:
+        return F.struct(begin.cast("int").alias("start"), (begin + size).cast("int").alias("end"), F.lit(spec.type).alias("type"), scored(m).alias("score"), F.lit(pattern).alias("pattern"))
 
     def span(x: Column) -> Column:
         m, a = x["m"], x["a"]
-        score = F.lit(spec.score).cast("double")
-        if spec.validator is not None:
-            score = F.when(spec.validator(m), F.greatest(score, F.lit(spec.boost))).otherwise(F.lit(None) if spec.check_required else score)
-        begin, size = a, F.length(m)
-        if spec.value is not None:
-            value = F.regexp_extract(m, spec.inner(), 2)
+        if spec.value is None:
+            return made(m, a, F.length(m))
+
+        # The borders are computed once: each use of an expression in a lambda searches the match anew.
+        def placed(value: Column) -> Column:
             begin = F.when(value != "", a + F.length(F.regexp_extract(m, spec.inner(), 1))).otherwise(a)
-            size = F.when(value != "", F.length(value)).otherwise(F.length(m))
-        if spec.cut_name:
-            size = cut_labelled_name(F.substr(view, begin + 1, size))
-        if words:
-            score = F.when(score.isNotNull() & _in_context(view, begin, words), F.least(F.greatest(score + CONTEXT_GAIN, F.lit(CONTEXT_FLOOR)), F.lit(1.0))).otherwise(score)
-        return F.struct(begin.cast("int").alias("start"), (begin + size).cast("int").alias("end"), F.lit(spec.type).alias("type"), score.cast("double").alias("score"))
+            place = F.struct(begin.alias("a"), F.when(value != "", value).otherwise(m).alias("t"))
+            return let(place, lambda p: made(m, p["a"], cut_labelled_name(p["t"]) if spec.cut_name else F.length(p["t"])))
+
+        return let(F.regexp_extract(m, spec.inner(), 2), placed)
+
+    return F.filter(F.transform(_matches(view, spec.whole(), spec.needs, F.contains(zeros, F.lit(spec.shape)) if spec.shape else None), span), lambda s: s["score"].isNotNull() & s["end"].isNotNull()).cast(_RAW)
+
+
+def _lifted(view: Column, raw: Column, patterns: dict[str, int], threshold: float) -> Column:
+    """Spans with the scores that context words give them, at or above the threshold."""
+
+    def lifted(s: Column) -> Column:
+        def near(before: Column) -> Column:
+            out = F.lit(False)
+            for rx, i in patterns.items():
+                out = F.when(s["pattern"] == i, before.rlike(rx)).otherwise(out)
+            return out
+
+        score = s["score"]
+        if patterns:
+            hit = (s["pattern"] >= 0) & (s["start"] > 0) & let(_context_before(view, s["start"]), near)
+            score = F.when(hit, F.least(F.greatest(score + CONTEXT_GAIN, F.lit(CONTEXT_FLOOR)), F.lit(1.0))).otherwise(score)
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), score.cast("double").alias("score"))
 
-    return F.filter(F.transform(_matches(view, spec.whole(), spec.needs), span), lambda s: (s["score"] >= threshold) & s["end"].isNotNull())
+    return F.filter(F.transform(raw, lifted), lambda s: s["score"] >= threshold)
+
+
+def _spans_of(view: Column, zeros: Column, specs: Iterable[PatternSpec], threshold: float, context: dict | None) -> Column:
+    """The spans of all specifications in their order; their context is looked at in one place, so the plan holds it once."""
+    specs, patterns, raw = list(specs), {}, []
+    for s in specs:
+        words = _words_of(s, context)
+        at = patterns.setdefault(_context_pattern(words), len(patterns)) if words else -1
+        raw.append(_raw_spans(view, zeros, s, at))
+    return _lifted(view, F.concat(*raw), patterns, threshold)
+
+
+def spec_spans(view: Column, spec: PatternSpec, threshold: float = THRESHOLD, context: dict | None = None) -> Column:
+    """The spans that one specification finds in a linear view, at or above the threshold."""
+    return _spans_of(view, digits_as_zeros(view), [spec], threshold, context)
 
 
 def supported_entities(specs: Iterable[PatternSpec] = REGISTRY + GENERIC) -> list[str]:
@@ -240,12 +292,11 @@ def chosen_specs(entities: Iterable[str] | None, specs: Iterable[PatternSpec]) -
 
 def detect(docs: DataFrame, entities: Iterable[str] | None = None, specs: Iterable[PatternSpec] = REGISTRY, threshold: float = THRESHOLD, context: dict | None = None) -> DataFrame:
     """Add ``spans`` to (doc_id, text): every pattern hit of the asked types, on the whole text. A null text has none."""
-    view = linear_view(F.col("text"))
-    words = None if context is None else tuple(sorted((t, tuple(w)) for t, w in context.items()))
-    found = [made_once((s, threshold, words), lambda s=s: spec_spans(F.col("__view"), s, threshold, context)) for s in chosen_specs(entities, specs)]
-    spans = F.concat(*found) if found else F.array()
-    out = docs.withColumn("__view", F.coalesce(view, F.lit("")))
-    return out.withColumn("spans", spans.cast(SPANS)).drop("__view")
+    chosen = chosen_specs(entities, specs)
+    spans = made_once((tuple(chosen), threshold, None if context is None else tuple(sorted((t, tuple(w)) for t, w in context.items()))), lambda: _spans_of(F.col("__view"), F.col("__zeros"), chosen, threshold, context)) if chosen else F.array()
+    out = docs.withColumn("__view", F.coalesce(search_view(F.col("text")), F.lit("")))
+    out = out.withColumn("__zeros", digits_as_zeros(F.col("__view")))
+    return out.withColumn("spans", spans.cast(SPANS)).drop("__view", "__zeros")
 
 
 def exploded(docs: DataFrame, column: str = "spans") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.masks import check_policy
-from ..functions.text import caps_to_title, label_of, linear_view, made_once, value_key
+from ..functions.text import caps_to_title, label_of, made_once, search_view, value_key
 from ..operators import names
 from ..operators.fuse import fuse, fuse_spans
 from ..operators.intervals import cut_out, owned, windows
@@ -53,7 +53,7 @@ def anonymize(
 
 def _judged(out: DataFrame, text, deny: dict[str, Iterable[str]], containment: str, titled: bool) -> DataFrame:
     """Spans after extension, deny list, trimming and institutions; adds ``__view``."""
-    view = linear_view(text)
+    view = search_view(text)
     out = out.withColumn("__view", caps_to_title(view) if titled else view)
     v, s = F.col("__view"), F.col("spans")
     terms = tuple(sorted((kind, tuple(sorted(own))) for kind, own in deny.items()))
