@@ -22,12 +22,12 @@ def rank_of(kind: Column, priority=PRIORITY) -> Column:
     return F.coalesce(F.array_position(F.array(*[F.lit(p) for p in priority]), kind), F.lit(0)).cast("int")
 
 
-def fuse_spans(docs: DataFrame, text: Column, spans: str = "spans", priority=PRIORITY) -> DataFrame:
+def fuse_spans(docs: DataFrame, text: Column, spans: str = "spans", priority=PRIORITY, apart: tuple[str, ...] = ()) -> DataFrame:
     """Add ``entities``, the disjoint entities of each row: the stronger type takes the characters, touching pieces of a type are one.
 
     Entities end at line breaks; those of one character go. The score is the best of the spans of the same type that
-    overlap the entity. Types outside the order are below all, and their names decide among them. Each step is a column
-    of its own, so that no expression holds another one twice.
+    overlap the entity. Types outside the order are below all, and their names decide among them. Spans of a type that is
+    ``apart`` begin an entity where they begin, so touching ones stay two. Each step is a column of its own, so that no expression holds another one twice.
     """
     at = lambda a, b, t: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), t.alias("t"))
     clipped = lambda s: F.struct(F.greatest(s["start"], F.lit(0)).alias("start"), F.least(s["end"], F.length(text)).alias("end"), s["type"].alias("type"), s["score"].alias("score"))
@@ -46,6 +46,8 @@ def fuse_spans(docs: DataFrame, text: Column, spans: str = "spans", priority=PRI
     def join(acc: Column, c: Column) -> Column:
         last = F.element_at(acc, -1)
         touches = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] == c["a"]) & (F.try_element_at(acc, F.lit(-1))["t"] == c["t"])
+        if apart:
+            touches = touches & ~(c["t"].isin(*apart) & F.exists(inside, lambda s: (s["type"] == c["t"]) & (s["start"] == c["a"])))
         return F.when(touches, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(at(last["a"], c["b"], c["t"])))).otherwise(F.concat(acc, F.array(c)))
 
     out = out.withColumn("__runs", F.aggregate("__cells", F.array().cast("array<struct<a:int,b:int,t:string>>"), join))
@@ -67,13 +69,15 @@ def fuse_spans(docs: DataFrame, text: Column, spans: str = "spans", priority=PRI
     return out.withColumn("entities", F.transform("__runs", entity)).drop("__in", "__bounds", "__cells", "__runs")
 
 
-def sweep(spans: list[tuple[int, int, int, float]], breaks: list[int]) -> list[tuple[int, int, int, float]]:
+def sweep(spans: list[tuple[int, int, int, float]], breaks: list[int], apart: frozenset[int] = frozenset()) -> list[tuple[int, int, int, float]]:
     """Disjoint runs (start, end, rank, score) of spans (start, end, rank, score) by one pass over their sorted borders.
 
     The active set is a heap by rank; spans that have ended leave it when they come to its top. So a text costs n log n
-    in its spans, however they overlap. Runs end at ``breaks`` (places of line breaks, ascending).
+    in its spans, however they overlap. Runs end at ``breaks`` (places of line breaks, ascending), and where a span of a rank
+    in ``apart`` begins.
     """
     order = sorted(spans)
+    begins = {(s[2], s[0]) for s in order if s[2] in apart}
     points = sorted({p for s in order for p in s[:2]})
     active: list[tuple[int, int]] = []
     runs: list[list[int]] = []
@@ -86,7 +90,7 @@ def sweep(spans: list[tuple[int, int, int, float]], breaks: list[int]) -> list[t
             heappop(active)
         if active:
             rank = -active[0][0]
-            if runs and runs[-1][1] == a and runs[-1][2] == rank:
+            if runs and runs[-1][1] == a and runs[-1][2] == rank and (rank, a) not in begins:
                 runs[-1][1] = b
             else:
                 runs.append([a, b, rank])
@@ -116,7 +120,7 @@ def sweep(spans: list[tuple[int, int, int, float]], breaks: list[int]) -> list[t
     return out
 
 
-def fuse(spans: DataFrame, docs: DataFrame, priority=PRIORITY) -> DataFrame:
+def fuse(spans: DataFrame, docs: DataFrame, priority=PRIORITY, apart: tuple[str, ...] = ()) -> DataFrame:
     """The same on exploded spans (doc_id, start, end, type, score), for documents with more spans than a row should hold.
 
     Spans meet their text by doc_id, and a task sweeps over one document's borders at a time; its work is linear in them
@@ -137,7 +141,7 @@ def fuse(spans: DataFrame, docs: DataFrame, priority=PRIORITY) -> DataFrame:
         rank = {t: i for i, t in enumerate(kinds)}
         rows = zip(*(left.column(c).to_pylist() for c in ("start", "end", "type", "score")))
         inside = [(max(a, 0), min(b, len(text)), rank[t], s or 0.0) for a, b, t, s in rows]
-        found = sweep([s for s in inside if s[0] < s[1]], [m.start() for m in re.finditer("\n", text)])
+        found = sweep([s for s in inside if s[0] < s[1]], [m.start() for m in re.finditer("\n", text)], frozenset(rank[t] for t in apart if t in rank))
         a, b, r, s = zip(*found) if found else ((), (), (), ())
         return pa.table([pa.array([key[0].as_py()] * len(a), shape.field(0).type), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array([kinds[i] for i in r], pa.string()), pa.array(s, pa.float64())], schema=shape)
 

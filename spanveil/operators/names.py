@@ -74,15 +74,16 @@ def extend_persons(view: Column, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.when(s["type"] == "PERSON", extended(view, s)).otherwise(s))
 
 
-def trim_spans(view: Column, spans: Column) -> Column:
-    """Spans begin and end with a letter or digit; shorter than two characters they go."""
+def trim_spans(view: Column, spans: Column, as_found: Iterable[str] = ()) -> Column:
+    """Spans begin and end with a letter or digit, but for types that stay ``as_found``; shorter than two characters they go."""
     edge = r"[^\p{L}\p{Nd}]+"
 
     def trimmed(s: Column) -> Column:
         t = _inside(view, s)
         left = F.length(F.regexp_extract(t, "^" + edge, 0))
         right = F.length(F.regexp_extract(t, edge + "$", 0))
-        return _span(s, s["start"] + left, s["end"] - right)
+        cut = _span(s, s["start"] + left, s["end"] - right)
+        return F.when(s["type"].isin(*as_found), s).otherwise(cut) if as_found else cut
 
     return F.filter(F.transform(spans, trimmed), lambda s: s["end"] - s["start"] >= 2)
 

@@ -27,7 +27,8 @@ class PatternSpec:
     """One pattern of one entity type (U1). With ``value`` the span is that part, between ``regex`` and ``after``.
 
     ``needs`` is a cheap pattern without which a text cannot match: texts without it are not searched. ``shape`` is a
-    string that every match holds once its digits are written as 0: it is looked for before the pattern.
+    string that every match holds once its digits are written as 0: it is looked for before the pattern. An ``exact`` pattern
+    heeds case, and its classes are those of ASCII.
     """
 
     type: str
@@ -43,9 +44,10 @@ class PatternSpec:
     cut_name: bool = False
     needs: str = "[0-9]"
     shape: str = ""
+    exact: bool = False
 
     def whole(self) -> str:
-        return "(?iuUsm)" + (self.regex if self.value is None else f"(?:{self.regex})(?:{self.value})(?:{self.after})")
+        return ("(?sm)" if self.exact else "(?iuUsm)") + (self.regex if self.value is None else f"(?:{self.regex})(?:{self.value})(?:{self.after})")
 
     def inner(self) -> str:
         return rf"(?uUs)^(.*?(?:{self.regex}))({self.value})(?:{self.after})"
@@ -110,6 +112,9 @@ REGISTRY: tuple[PatternSpec, ...] = (
     PatternSpec("PERSON", "nome_assinatura", r"assinado\s+digitalmente\s+por\s+", 0.8, value=_NAME, cut_name=True, needs="(?i)assinado"),
 )
 
+#: E-mails as the plain pattern has them: case counts, and nothing behind them is looked at.
+PLAIN_EMAILS: tuple[PatternSpec, ...] = (PatternSpec("EMAIL_ADDRESS", "email_plain", r"[A-Za-z0-9._%+-]++@(?:[a-z0-9-]+\.)+[a-z]{2,}", 0.85, needs="@", exact=True),)
+
 #: Generic recognisers (R15), of types of their own but for e-mail and phone.
 GENERIC: tuple[PatternSpec, ...] = (
     PatternSpec("EMAIL_ADDRESS", "email", r"\b[\w.!#$%&'*+/=?^`{|}~-]{1,64}@\w+(?:[-.]\w+)*\.[a-z]{2,}\b", 0.5, needs="@"),

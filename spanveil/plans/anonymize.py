@@ -32,11 +32,13 @@ def anonymize(
     titled: bool = False,
     specs=REGISTRY,
     threshold: float = THRESHOLD,
+    as_found: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add entities, anonymized_text, politica_mascara and valores_distintos to (doc_id, text).
 
     Without ``external`` spans the whole plan is row-local: no shuffle, no Python code, usable on streams. The order is
     part of the meaning: institutions leave before names spread through the document, and again after their extension.
+    Types in ``as_found`` keep the borders that their pattern has, also where two of them touch.
     """
     check_policy(policy)
     deny = DENY if deny is None else deny
@@ -44,14 +46,14 @@ def anonymize(
     out = detect(docs, entities, specs, threshold)
     if external is not None:
         out = with_external_spans(out, external, external_labels or {})
-    out = _judged(out, text, deny, containment, titled)
+    out = _judged(out, text, deny, containment, titled, as_found)
     out = _spread(names.with_name_pattern(out, text), text)
-    out = fuse_spans(out.withColumn("spans", F.concat("spans", "__spread")), text)
+    out = fuse_spans(out.withColumn("spans", F.concat("spans", "__spread")), text, apart=as_found)
     # A filter on entities must not be pushed through the steps above, which would write them all into one expression.
     return apply_masks(fenced(out.drop("__view", "__rx", "__spread", "spans"), "entities"), policy)
 
 
-def _judged(out: DataFrame, text, deny: dict[str, Iterable[str]], containment: str, titled: bool) -> DataFrame:
+def _judged(out: DataFrame, text, deny: dict[str, Iterable[str]], containment: str, titled: bool, as_found: tuple[str, ...] = ()) -> DataFrame:
     """Spans after extension, deny list, trimming and institutions; adds ``__view``."""
     view = search_view(text)
     out = out.withColumn("__view", caps_to_title(view) if titled else view)
@@ -59,7 +61,7 @@ def _judged(out: DataFrame, text, deny: dict[str, Iterable[str]], containment: s
     terms = tuple(sorted((kind, tuple(sorted(own))) for kind, own in deny.items()))
     out = out.withColumn("spans", made_once("extended", lambda: names.extend_persons(v, s)))
     out = out.withColumn("spans", made_once(("deny", terms, containment), lambda: names.apply_deny(v, s, deny, containment)))
-    out = out.withColumn("spans", made_once("trimmed", lambda: names.trim_spans(v, s)))
+    out = out.withColumn("spans", made_once(("trimmed", as_found), lambda: names.trim_spans(v, s, as_found)))
     return out.withColumn("spans", made_once("clipped", lambda: names.clip_institutions(v, s)))
 
 
@@ -80,6 +82,7 @@ def entities_by_windows(
     titled: bool = False,
     specs=REGISTRY,
     threshold: float = THRESHOLD,
+    as_found: tuple[str, ...] = (),
     size: int = 8000,
     overlap: int = 2400,
 ) -> DataFrame:
@@ -94,14 +97,14 @@ def entities_by_windows(
     text = F.col("text")
     cut = windows(docs.select("doc_id", "text"), size, overlap).repartition("doc_id", "win")
     # Windows and their spans are read three times.
-    cut = written(_judged(detect(cut, entities, specs, threshold), text, deny, containment, titled), "windows")
+    cut = written(_judged(detect(cut, entities, specs, threshold), text, deny, containment, titled, as_found), "windows")
     cut = cut.withColumn("__own", owned(F.col("spans")))
     local = F.filter("spans", lambda s: (s["start"] + F.col("start") >= F.col("core_start")) & (s["start"] + F.col("start") < F.col("core_end")))
     people = cut.select("doc_id", F.explode(names.certain_names(text, local)).alias("name")).groupBy("doc_id").agg(F.sort_array(F.collect_set("name")).alias("__sure"))
     rx = names.pattern_of(people, "__sure").select("doc_id", "__rx").where("__rx is not null")
     found = _spread(cut.join(rx, "doc_id"), text).select("doc_id", F.explode(owned(F.col("__spread"))).alias("s"))
     rows = cut.select("doc_id", F.explode("__own").alias("s")).unionByName(found).select("doc_id", "s.start", "s.end", "s.type", "s.score")
-    fused = written(fuse(rows, docs), "fused")
+    fused = written(fuse(rows, docs, apart=as_found), "fused")
     return cut_out(fused, docs).select("doc_id", "type", F.col("value").alias("text"), "start", "end", "score")
 
 
