@@ -15,7 +15,8 @@ posteriors are high in gibberish too; the rule therefore takes each word's own m
 before neighbours are mixed in. A text's certainty is the mean of these messages' largest label probability, scaled to 0
 for even labels and 1 for sure ones. A text below the field's ``floor`` with less than half of its words in the lexicon is
 in no learned language. The floor is ``FLOOR``, or ``FLOOR_SHARE`` of the median certainty of spare documents of the
-language with the lowest one, if that is less: a weakly fitted field rejects less, not its own languages.
+language with the lowest one, if that is less: a weakly fitted field rejects less, not its own languages. The language of
+the others is decoded by forward-backward, as in a prediction, and has to have more than an even share of the words.
 """
 
 from __future__ import annotations
@@ -350,14 +351,27 @@ def _predict(field: Field, text: str, before: int):
     return predict
 
 
+def decoded(field: Field, piece: _Piece) -> np.ndarray:
+    """For each row the place of its language among the labels, by forward-backward over its whole text; -1 for rows in none.
+
+    A row is in no learned language where its words' own messages are too weak (``foreign``), or where no more than an even
+    share of its words has the label that the field decodes. A row without a word of the field has the first label.
+    """
+    shares = label_shares(field, piece)
+    best = shares.argmax(1)
+    top, bare = shares.max(1), shares.sum(1) == 0
+    even = (top <= 1 / len(field.labels) + 1e-9) & ~bare & (len(field.labels) > 1)
+    return np.where(foreign(field, piece) | even, -1, best)
+
+
 def _learned(field: Field, text: str):
-    """The rows of batches whose ``text`` is in a learned language."""
+    """The rows of batches whose ``text`` the field decodes to a learned language."""
 
     def learned(batches):
         for batch in released(batches):
-            own = [foreign(field, _Piece(body, rows)) for _, _, body, rows in pieces(_texts(batch, text), *_share(field))]
+            own = [decoded(field, _Piece(body, rows)) for _, _, body, rows in pieces(_texts(batch, text), *_share(field))]
             if own:
-                yield batch.filter(pa.array(~np.concatenate(own)))
+                yield batch.filter(pa.array(np.concatenate(own) >= 0))
 
     return learned
 
