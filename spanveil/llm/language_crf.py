@@ -21,6 +21,8 @@ the others is decoded by forward-backward, as in a prediction, and has to have m
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -107,6 +109,34 @@ class _Piece:
         self.end[blank] = self.start[blank]
 
 
+class _Sample(_Piece):
+    """The same of the texts of a sample, put together from pieces of bounded size: the driver holds no array as long as the sample.
+
+    Of the text only the distinct words are kept.
+    """
+
+    def __init__(self, texts: list[str]):
+        keys, bodies, starts, ends, backs, lettered, counts = [], [], [], [], [], [], []
+        place = number = 0
+        for _, _, body, rows in pieces(pa.array(texts, pa.string())):
+            p = _Piece(body, rows)
+            size = p.end - p.start
+            end = np.cumsum(size)
+            bodies.append(p.words.body[np.arange(int(size.sum())) + np.repeat(p.start - (end - size), size)])
+            starts.append(place + end - size)
+            ends.append(place + end)
+            keys.append(p.keys)
+            backs.append(number + p.back)
+            lettered.append(p.lettered)
+            counts.append(p.words.count)
+            place, number = place + int(size.sum()), number + len(p.keys)
+        whole = lambda arrays, kind: np.concatenate(arrays) if arrays else np.zeros(0, kind)
+        self.keys, one, new = np.unique(whole(keys, np.uint64), return_index=True, return_inverse=True)
+        self.start, self.end = whole(starts, np.int64)[one], whole(ends, np.int64)[one]
+        self.back, self.lettered, count = new[whole(backs, np.int64)], whole(lettered, bool), whole(counts, np.int64)
+        self.words = SimpleNamespace(body=whole(bodies, np.uint8), count=count, first=np.r_[0, np.cumsum(count)], row=np.repeat(np.arange(len(count)), count))
+
+
 class Field:
     """A fitted field."""
 
@@ -161,12 +191,10 @@ def _sequences(piece: _Piece, label_of_row: np.ndarray, rng: np.random.Generator
 def fit(texts: list[str], langs: list[str], seed: int = 5) -> Field:
     """Fit by stochastic gradient on the conditional likelihood of spliced sequences (AdaGrad)."""
     labels = sorted(set(langs))
-    body = np.frombuffer("".join(texts).encode(), np.uint8)
-    rows = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
-    piece = _Piece(body, rows)
+    piece = _Sample(texts)
     counts = np.bincount(piece.back, minlength=len(piece.keys))
     field = Field(labels, piece.keys[(counts >= LEXICON_LEAST) & (piece.keys != 0)])
-    if len(labels) < 2 or not len(piece.words.start):
+    if len(labels) < 2 or not len(piece.back):
         return field
     rng = np.random.default_rng(seed)
     x, y = _sequences(piece, np.array([labels.index(c) for c in langs]), rng)
@@ -246,8 +274,7 @@ def foreign(field: Field, piece: _Piece) -> np.ndarray:
 
 def set_floor(field: Field, texts: list[str], langs: list[str]) -> Field:
     """Set the floor by labelled documents that the field was not fitted on."""
-    body = np.frombuffer("".join(texts).encode(), np.uint8)
-    sure, _ = certainties(field, _Piece(body, np.r_[0, np.cumsum([len(t.encode()) for t in texts])]))
+    sure, _ = certainties(field, _Sample(texts))
     langs = np.array(langs, object)
     field.floor = min([FLOOR, *(FLOOR_SHARE * float(np.median(sure[langs == c])) for c in set(langs))])
     return field
