@@ -29,6 +29,9 @@ class PatternSpec:
     ``needs`` is a cheap pattern without which a text cannot match: texts without it are not searched. ``shape`` is a
     string that every match holds once its digits are written as 0: it is looked for before the pattern. An ``exact`` pattern
     heeds case, and its classes are those of ASCII.
+
+    ``scan`` stands for ``regex``, and ``first`` before it, where a text is searched: they find the same matches and fail sooner
+    at the places in between, of which there are far more.
     """
 
     type: str
@@ -45,9 +48,12 @@ class PatternSpec:
     needs: str = "[0-9]"
     shape: str = ""
     exact: bool = False
+    first: str = ""
+    scan: str = ""
 
     def whole(self) -> str:
-        return ("(?sm)" if self.exact else "(?iuUsm)") + (self.regex if self.value is None else f"(?:{self.regex})(?:{self.value})(?:{self.after})")
+        found = self.scan or self.regex
+        return ("(?sm)" if self.exact else "(?iuUsm)") + self.first + (found if self.value is None else f"(?:{found})(?:{self.value})(?:{self.after})")
 
     def inner(self) -> str:
         return rf"(?uUs)^(.*?(?:{self.regex}))({self.value})(?:{self.after})"
@@ -77,22 +83,27 @@ _ROLES = (
     r"DEFENSORA|QUERELANTE|QUERELADO|Requerente|Requerido|Requerida|Acusado|Acusada|Denunciado|Denunciada|Indiciado|Indiciada|V[íi]tima|"
     r"Testemunha|Declarante|Autor|Autora|R[ée]u|Advogado|Advogada"
 )
+#: The roles whatever their case, letter by letter.
+_ANY_ROLE = (
+    r"a(?:cusad[oa]|utora?|dv(?:ogad[oa])?)|de(?:nunciad[oa]|clarante|poente|fensora?)|exe(?:quente|cutad[oa])|in(?:diciad[oa]|vestigad[oa])|"
+    r"ofendid[oa]|querela(?:nte|do)|r(?:equer(?:ente|id[oa])|[ée]u?)|testemunha|v[íi]tima"
+)
 REGISTRY: tuple[PatternSpec, ...] = (
-    PatternSpec("CPF_BR", "cpf_fmt", r"(?<!\d)\d{3}\.\d{3}\.\d{3}\s{0,30}-\s{0,30}\d{2}", 0.6, validator=cpf_valid, shape="000.000.000"),
-    PatternSpec("CPF_BR", "cpf_espacado", r"(?<![\d.])\d{3}[.\s]\s{0,3}\d{3}[.\s]\s{0,3}\d{3}\s{0,3}-\s{0,3}\d{2}(?!\d)", 0.55, validator=cpf_valid),
-    PatternSpec("CPF_BR", "cpf_fmt_ocr", r"\b[\dOoIlSBgq]{3}\.[\dOoIlSBgq]{3}\.[\dOoIlSBgq]{3}-[\dOoIlSBgq]{2}\b", 0.55, validator=cpf_valid),
+    PatternSpec("CPF_BR", "cpf_fmt", r"(?<!\d)\d{3}\.\d{3}\.\d{3}\s{0,30}-\s{0,30}\d{2}", 0.6, validator=cpf_valid, shape="000.000.000", first=r"(?=\d)"),
+    PatternSpec("CPF_BR", "cpf_espacado", r"(?<![\d.])\d{3}[.\s]\s{0,3}\d{3}[.\s]\s{0,3}\d{3}\s{0,3}-\s{0,3}\d{2}(?!\d)", 0.55, validator=cpf_valid, first=r"(?=\d)"),
+    PatternSpec("CPF_BR", "cpf_fmt_ocr", r"\b[\dOoIlSBgq]{3}\.[\dOoIlSBgq]{3}\.[\dOoIlSBgq]{3}-[\dOoIlSBgq]{2}\b", 0.55, validator=cpf_valid, first=r"(?=[\dOoIlSBgq]{3}\.)"),
     PatternSpec("CPF_BR", "cpf_raw", r"(?<!\d)\d{11}(?!\d)", 0.3, validator=cpf_valid, check_required=True, shape="00000000000"),
     PatternSpec("CNPJ_BR", "cnpj_fmt", r"\b\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}\b", 0.6, validator=cnpj_valid, shape="00.000.000/0000-00"),
     PatternSpec("CNPJ_BR", "cnpj_raw", r"(?<!\d)\d{14}(?!\d)", 0.3, validator=cnpj_valid, check_required=True, shape="00000000000000"),
     PatternSpec(
         "RG_BR", "rg_ancorado",
         r"(?:RG|R\.\s?G\.?|[Rr]egistro\s+[Gg]eral|[Ii]dentidade|[Cc][ée]dula\s+de\s+[Ii]dentidade|[Cc]arteira\s+de\s+[Ii]dentidade)[\s.:n°ºo/-]{0,24}",
-        0.85, value=r"\d[\d.\s-]{4,16}[\dXx]", after=r"(?=\s*(?:SSP|SESP|DETRAN|PC|IFP|SDS|[^\d]|$))",
+        0.85, value=r"\d[\d.\s-]{4,16}[\dXx]", after=r"(?=\s*(?:SSP|SESP|DETRAN|PC|IFP|SDS|[^\d]|$))", first="(?=[RIC])",
     ),
     PatternSpec("RG_BR", "rg_com_orgao", "", 0.8, value=r"\d[\d.\s-]{5,16}[\dXx]", after=r"\s*[-/]?\s*(?=(?:SSP|SSPDS|SESP|DETRAN|IFP|SDS)\b)", needs="(?iu)ssp|sesp|detran|ifp|sds"),
     PatternSpec("RG_BR", "rg_fmt", r"\b\d{1,2}\.\d{3}\.\d{3}-[\dxX]\b", 0.7, shape=".000.000-"),
     PatternSpec("CEP_BR", "cep_ancorado", r"CEP[\s.:nºo°-]{0,6}", 0.9, value=r"\d{2}\.?\s?\d{3}[\s.-]{0,3}\d{3}", after=r"(?!\d)"),
-    PatternSpec("CEP_BR", "cep_livre", r"(?<![\d-])", 0.45, value=r"\d{2}\.?\d{3}-\d{3}", after=r"(?!\d)", shape="000-000"),
+    PatternSpec("CEP_BR", "cep_livre", r"(?<![\d-])", 0.45, value=r"\d{2}\.?\d{3}-\d{3}", after=r"(?!\d)", shape="000-000", first=r"(?=\d)"),
     PatternSpec("ENDERECO_BR", "logradouro", rf"\b(?:{STREET_TYPES})\s+[A-ZÁÀÂÃÉÊÍÓÔÕÚÇ0-9][^\n;]{{2,80}}?(?=\s*(?:;|CEP|[Ff]one|[Tt]el|[Ee]-?mail|$|\.\s+[A-ZÁÉÍÓÚ]))", 0.5, needs=""),
     PatternSpec("PHONE_NUMBER_BR", "tel_br_intl", r"\+55\s{0,3}\(?\d{2}\)?[\s.-]{0,30}9?\d{4}[\s.-]{0,3}\d{4}\b", 0.85, shape="+00"),
     PatternSpec("PHONE_NUMBER_BR", "tel_br_parenteses", r"\(\d{2}\)[\s.-]{0,30}\d{4,5}[\s.-]{0,3}\d{4}\b", 0.8, shape="(00)"),
@@ -100,15 +111,15 @@ REGISTRY: tuple[PatternSpec, ...] = (
     PatternSpec("OAB_BR", "oab_estado", r"\bOAB(?![A-Za-zÀ-ÿ])\s*[/\-]?\s*[A-Z]{2}\s*[/\-:]?\s*(?:n\.?[ºo°]?\.?)?\s*", 0.9, value=r"\d[\d.]{2,7}\d", after=r"(?!\d)", needs="(?i)oab"),
     PatternSpec("OAB_BR", "oab_generico", r"\bOAB(?![A-Za-zÀ-ÿ])[/\s]?[A-Z]{2}[/\s]?\d[\d.]{3,7}\b", 0.85, needs="(?i)oab"),
     PatternSpec("OAB_BR", "oab_numero_antes", r"\bOAB(?![A-Za-zÀ-ÿ])[\s.:nºo°-]{0,4}", 0.9, value=r"\d[\d.]{2,7}", after=r"\s*/\s*[A-Z]{2}\b", needs="(?i)oab"),
-    PatternSpec("DATE_OF_BIRTH", "data_nasc_ancorada", r"(?:nascid[oa]\s+em|nascimento|nasc\.?|dt\.?\s*nasc\.?|data\s+de\s+nascimento)[\s.:nºo°-]{0,8}", 0.85, value=r"\d{2}/\d{2}/\d{4}", shape="00/00/0000"),
-    PatternSpec("DATE_OF_BIRTH", "data_nasc", r"\b\d{2}/\d{2}/\d{4}\b", 0.20, shape="00/00/0000"),
+    PatternSpec("DATE_OF_BIRTH", "data_nasc_ancorada", r"(?:nascid[oa]\s+em|nascimento|nasc\.?|dt\.?\s*nasc\.?|data\s+de\s+nascimento)[\s.:nºo°-]{0,8}", 0.85, value=r"\d{2}/\d{2}/\d{4}", shape="00/00/0000", first="(?=[ND])"),
+    PatternSpec("DATE_OF_BIRTH", "data_nasc", r"\b\d{2}/\d{2}/\d{4}\b", 0.20, shape="00/00/0000", first=r"(?=\d)"),
     PatternSpec("NIT_PIS_PASEP", "nit_fmt", r"\b\d{3}\.\d{5}\.\d{2}-\d\b", 0.6, validator=pis_valid, boost=0.9, shape="000.00000.00-0"),
     PatternSpec("NIT_PIS_PASEP", "nit_raw", r"(?<!\d)\d{11}(?!\d)", 0.3, validator=pis_valid, boost=0.9, check_required=True, shape="00000000000"),
-    PatternSpec("NUMERO_PROCESSO_CNJ", "processo_cnj_fmt", r"(?<!\d)\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}", 0.75, validator=cnj_valid, boost=0.98, shape="0000000-00.0000.0.00.0000"),
+    PatternSpec("NUMERO_PROCESSO_CNJ", "processo_cnj_fmt", r"(?<!\d)\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}", 0.75, validator=cnj_valid, boost=0.98, shape="0000000-00.0000.0.00.0000", first=r"(?=\d)"),
     PatternSpec("NUMERO_PROCESSO_CNJ", "processo_cnj_raw", r"(?<!\d)\d{20}(?!\d)", 0.3, validator=cnj_valid, boost=0.98, check_required=True, shape="00000000000000000000"),
     PatternSpec("CONTA_BANCARIA", "conta_ag_cc", r"\b[Aa]g(?:[êe]ncia)?[:\s]*\d{3,5}[\s,\-]*(?:[Cc](?:onta)?[:\s]*|[Cc]{2}[:\s]*|[Cc][Pp][:\s]*)\d{4,12}-?\d?\b", 0.75, shape="000"),
-    PatternSpec("EMAIL_ADDRESS", "email_tld_grudado", "", 0.85, value=r"[A-Za-z0-9._%+-]++@(?:[a-z0-9-]+\.)+[a-z]{2,}", after=r"(?![a-z])", needs="@"),
-    PatternSpec("PERSON", "nome_apos_rotulo", rf"(?=[RADIVOTEQ])(?:{_ROLES})\s*(?:\([as]\))?\s*:\s*", 0.8, value=_NAME, cut_name=True, needs=":"),
+    PatternSpec("EMAIL_ADDRESS", "email_tld_grudado", "", 0.85, value=r"[A-Za-z0-9._%+-]++@(?:[a-z0-9-]+\.)+[a-z]{2,}", after=r"(?![a-z])", needs="@", scan=r"\G|(?<![A-Za-z0-9._%+-])"),
+    PatternSpec("PERSON", "nome_apos_rotulo", rf"(?=[RADIVOTEQ])(?:{_ROLES})\s*(?:\([as]\))?\s*:\s*", 0.8, value=_NAME, cut_name=True, needs=":", scan=rf"(?=[RADIVOTEQ])(?:{_ANY_ROLE})\s*(?:\([as]\))?\s*:\s*"),
     PatternSpec("PERSON", "nome_assinatura", r"assinado\s+digitalmente\s+por\s+", 0.8, value=_NAME, cut_name=True, needs="(?i)assinado"),
 )
 
