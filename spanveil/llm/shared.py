@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import itertools
 import tempfile
 import uuid
 
@@ -24,11 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables between two collections of the driver's garbage.
+TABLES_HELD = 4
+_written = itertools.count(1)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark drops broadcasts and shuffle files of finished steps only then.
+
+    Left to itself the driver's heap first grows to all it may have in jobs of many small steps.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def as_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if next(_written) % TABLES_HELD == 0:
+        let_go(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
