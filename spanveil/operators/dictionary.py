@@ -40,6 +40,19 @@ def compared(raw: Column, protected: str | None = None) -> Column:
     return F.transform(raw, fold)
 
 
+def compared_text(text: Column, protected: str | None = None) -> Column:
+    """``compared`` of the tokens of a text that is not null.
+
+    A text is folded as a whole before it is cut, which gives the same tokens but where a protected match, a combining
+    mark, or a Greek capital whose small letter depends on its neighbours is in it: only there tokens are folded one by one.
+    """
+    plain = F.regexp_replace(F.lower(F.translate(text, _FROM, _TO)), r"\s+", " ")
+    apart = text.contains("Σ") | plain.rlike(r"\p{M}")
+    if protected is not None:
+        apart = apart | text.rlike(protected)
+    return F.when(apart, compared(tokens(text, protected), protected)).otherwise(tokens(plain))
+
+
 def _salted(df: DataFrame) -> DataFrame:
     return df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
@@ -55,7 +68,7 @@ def candidates(texts: DataFrame, terms: DataFrame, key: str, value: str = "value
     listed = listed.withColumns({"n": F.size("__t"), "__h": F.xxhash64("__t")})
     first = listed.groupBy(key, F.col("__t")[0].alias("__first")).agg(F.sort_array(F.collect_set("n")).alias("__n"))
     salt = F.pmod(F.xxhash64("text_id"), F.lit(SALTS)).cast("int").alias("__salt")
-    cut = texts.where("text is not null").select(key, "text_id", compared(tokens(F.col("text"), protected), protected).alias("__w"))
+    cut = texts.where("text is not null").select(key, "text_id", compared_text(F.col("text"), protected).alias("__w"))
     held = cut.select(key, "text_id", F.explode(F.array_distinct("__w")).alias("__first"), salt)
     met = held.join(merged_in(_salted(first)), [key, "__first", "__salt"]).groupBy(key, "text_id").agg(F.map_from_entries(F.collect_list(F.struct("__first", "__n"))).alias("__met"))
     begun = cut.join(merged_in(met), [key, "text_id"]).select(key, "text_id", "__w", "__met", F.posexplode("__w").alias("pos", "__first"))
