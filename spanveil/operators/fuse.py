@@ -9,6 +9,8 @@ from heapq import heappop, heappush
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 # Types from the weakest to the strongest.
 PRIORITY = (
     "DATE_TIME", "LAW", "CASE_LAW", "ORGANIZATION", "DATE_OF_BIRTH", "LOCATION", "PERSON", "ENDERECO_BR", "CEP_BR", "EMAIL_ADDRESS",
@@ -32,7 +34,12 @@ def fuse_spans(docs: DataFrame, text: Column, spans: str = "spans", priority=PRI
     at = lambda a, b, t: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), t.alias("t"))
     clipped = lambda s: F.struct(F.greatest(s["start"], F.lit(0)).alias("start"), F.least(s["end"], F.length(text)).alias("end"), s["type"].alias("type"), s["score"].alias("score"))
     out = docs.withColumn("__in", F.filter(F.transform(spans, clipped), lambda s: s["start"] < s["end"]))
-    out = out.withColumn("__bounds", F.array_sort(F.array_distinct(F.concat(F.transform("__in", lambda s: s["start"]), F.transform("__in", lambda s: s["end"])))))
+    # Spans that are the same place and type or lie apart are entities as they stand; only the others are cut into cells.
+    out = out.withColumn("__own", F.sort_array(F.array_distinct(F.transform(F.filter("__in", lambda s: s["type"].isNotNull()), lambda s: at(s["start"], s["end"], s["type"])))))
+    own = F.col("__own")
+    out = out.withColumn("__apart", ~F.exists(F.zip_with(own, F.slice(own, F.lit(2), F.size(own)), lambda x, y: F.coalesce(y["a"] <= x["b"], F.lit(False))), lambda x: x))
+    mixed = F.when(F.col("__apart"), F.array().cast("array<int>")).otherwise(F.concat(F.transform("__in", lambda s: s["start"]), F.transform("__in", lambda s: s["end"])))
+    out = out.withColumn("__bounds", F.sort_array(F.array_distinct(mixed)))
     inside, bounds = F.col("__in"), F.col("__bounds")
     out = out.withColumn("__cells", F.zip_with(bounds, F.slice(bounds, F.lit(2), F.size(bounds)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
@@ -50,10 +57,12 @@ def fuse_spans(docs: DataFrame, text: Column, spans: str = "spans", priority=PRI
             touches = touches & ~(c["t"].isin(*apart) & F.exists(inside, lambda s: (s["type"] == c["t"]) & (s["start"] == c["a"])))
         return F.when(touches, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(at(last["a"], c["b"], c["t"])))).otherwise(F.concat(acc, F.array(c)))
 
-    out = out.withColumn("__runs", F.aggregate("__cells", F.array().cast("array<struct<a:int,b:int,t:string>>"), join))
+    out = out.withColumn("__runs", F.when(F.col("__apart"), own).otherwise(F.aggregate("__cells", F.array().cast("array<struct<a:int,b:int,t:string>>"), join)))
 
     def lines(r: Column) -> Column:
-        parts = F.split(F.substr(text, r["a"] + 1, r["b"] - r["a"]), "\n")
+        return let(F.substr(text, r["a"] + 1, r["b"] - r["a"]), lambda t: F.when(t.contains("\n"), broken(r, F.split(t, "\n"))).otherwise(F.array(at(r["a"], r["b"], r["t"]))))
+
+    def broken(r: Column, parts: Column) -> Column:
         return F.aggregate(
             parts,
             F.struct(r["a"].alias("at"), F.array().cast("array<struct<a:int,b:int,t:string>>").alias("out")),
@@ -66,7 +75,7 @@ def fuse_spans(docs: DataFrame, text: Column, spans: str = "spans", priority=PRI
         own = F.filter(inside, lambda s: (s["type"] == r["t"]) & (s["start"] < r["b"]) & (s["end"] > r["a"]))
         return F.struct(r["t"].alias("type"), F.substr(text, r["a"] + 1, r["b"] - r["a"]).alias("text"), r["a"].alias("start"), r["b"].alias("end"), F.round(F.array_max(F.transform(own, lambda s: s["score"])), 2).alias("score"))
 
-    return out.withColumn("entities", F.transform("__runs", entity)).drop("__in", "__bounds", "__cells", "__runs")
+    return out.withColumn("entities", F.transform("__runs", entity)).drop("__in", "__own", "__apart", "__bounds", "__cells", "__runs")
 
 
 def sweep(spans: list[tuple[int, int, int, float]], breaks: list[int], apart: frozenset[int] = frozenset()) -> list[tuple[int, int, int, float]]:

@@ -7,8 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, marked_matches, norm, one_of, plain_norm, quoted, unmarked
-from .patterns import SPANS, _matches, words_array
+from ..functions.text import let, marked_matches, norm, one_of, plain_norm, quoted, trie_pattern, unmarked
+from .patterns import CERTAIN, SPANS, _matches, words_array
 
 # Letters and particles of names, and words that end an extension.
 _UP = "A-ZÁÀÂÃÉÈÊÍÏÓÔÕÖÚÇÑ"
@@ -21,6 +21,8 @@ _ENDS = (
 _STOPPED = rf"(?!(?i:{'|'.join(_ENDS)})(?![{_UP}{_LOW}]))"
 _RIGHT = rf"(?U)^(?:\s+(?:{_LINKS})\s+{_STOPPED}[{_UP}][{_UP}{_LOW}]+)+"
 _LEFT = rf"(?U)(?:[{_UP}][{_UP}{_LOW}]+\s+(?:{_LINKS})\s+)+$"
+#: Whether the 40 characters before a name can end with what ``_LEFT`` ends with.
+_LINKED = rf"(?U)(?:(?:{_LINKS})\s+|\s{{30}})$"
 #: Characters beside a span that an extension looks at.
 REACH = 600
 
@@ -65,8 +67,8 @@ def _inside(view: Column, s: Column) -> Column:
 def extended(view: Column, s: Column) -> Column:
     """D3: a name goes on over particle and capitalised word, to the right and to the left."""
     right = F.regexp_extract(F.substr(view, s["end"] + 1, F.lit(REACH)), _RIGHT, 0)
-    from_ = F.greatest(s["start"] - REACH, F.lit(0))
-    left = F.regexp_extract(F.substr(view, from_ + 1, s["start"] - from_), _LEFT, 0)
+    before = lambda n: F.substr(view, F.greatest(s["start"] - n, F.lit(0)) + 1, F.least(s["start"], F.lit(n)))
+    left = F.when(before(40).rlike(_LINKED), F.regexp_extract(before(REACH), _LEFT, 0)).otherwise("")
     return _span(s, s["start"] - F.length(left), s["end"] + F.length(right))
 
 
@@ -79,11 +81,12 @@ def trim_spans(view: Column, spans: Column, as_found: Iterable[str] = ()) -> Col
     edge = r"[^\p{L}\p{Nd}]+"
 
     def trimmed(s: Column) -> Column:
-        t = _inside(view, s)
+        return let(_inside(view, s), lambda t: F.when(t.rlike(r"^(?s)[\p{L}\p{Nd}](?:.*[\p{L}\p{Nd}])?\z") | s["type"].isin(*as_found), s).otherwise(cut(s, t)))
+
+    def cut(s: Column, t: Column) -> Column:
         left = F.length(F.regexp_extract(t, "^" + edge, 0))
         right = F.length(F.regexp_extract(t, edge + "$", 0))
-        cut = _span(s, s["start"] + left, s["end"] - right)
-        return F.when(s["type"].isin(*as_found), s).otherwise(cut) if as_found else cut
+        return _span(s, s["start"] + left, s["end"] - right)
 
     return F.filter(F.transform(spans, trimmed), lambda s: s["end"] - s["start"] >= 2)
 
@@ -128,7 +131,18 @@ def apply_deny(view: Column, spans: Column, deny: dict[str, Iterable[str]], cont
 
         return let(cut, rest)
 
-    return F.filter(F.transform(spans, judged), lambda s: s.isNotNull())
+    # A span can hold, be or begin with a term only where the text has the term, in its own signs or with spaces for them.
+    every_term = sorted({t for own in deny.values() for t in map(plain_norm, own) if t})
+    if any(c in t for t in every_term for c in "σς"):  # their lower case hangs on what stands beside them
+        return F.filter(F.transform(spans, judged), lambda s: s.isNotNull())
+    held = lambda n: F.exists(words_array(every_term), lambda t: n.contains(t))
+    known = let(norm(view), lambda n: held(n) | held(F.regexp_replace(n, r"[^\p{L}\p{N}]+", " "))) if every_term else F.lit(False)
+    return F.when(known, F.filter(F.transform(spans, judged), lambda s: s.isNotNull())).otherwise(spans)
+
+
+#: A normalised name of letters in which no word ends a block or bears no name, but for particles inside.
+_NO_WORDS = trie_pattern([w for w in [*INSTITUTIONS, *STATES, *NO_NAMES] if " " not in w])
+_WHOLE_BLOCK = rf"^(?!{trie_pattern(STATES)}$)(?!{trie_pattern(PARTICLES)}(?: |$))(?=[a-z]{{2}})(?:(?!{_NO_WORDS} )[a-z]+ )*(?!{_NO_WORDS}$)(?!{trie_pattern(PARTICLES)}$)[a-z]{{2,}}$"
 
 
 def clip_institutions(view: Column, spans: Column) -> Column:
@@ -144,6 +158,11 @@ def clip_institutions(view: Column, spans: Column) -> Column:
         return let(norm(w["m"]), judged)
 
     def clipped(s: Column) -> Column:
+        # Most names are one block, which one pattern tells; only the others are cut into words.
+        whole = let(_inside(view, s), lambda t: let(norm(t), lambda n: (F.length(n) == F.length(t)) & (F.length(t) == s["end"] - s["start"]) & n.rlike(_WHOLE_BLOCK)))
+        return F.when(whole, s).otherwise(cut(s))
+
+    def cut(s: Column) -> Column:
         return let(F.transform(_matches(_inside(view, s), r"(?U)\w+"), word), lambda words: shrunk(s, words))
 
     def shrunk(s: Column, words: Column) -> Column:
@@ -181,7 +200,7 @@ def name_blocks(name: Column, particles: Iterable[str] = PARTICLES) -> Column:
     return let(judged, blocks)
 
 
-def certain_names(text: Column, spans: Column, min_score: float = 0.4) -> Column:
+def certain_names(text: Column, spans: Column, min_score: float = CERTAIN) -> Column:
     """The distinct names of at least six characters among the spans, with single spaces."""
     sure = F.filter(spans, lambda s: (s["type"] == "PERSON") & (s["score"] >= min_score))
     return F.filter(F.array_distinct(F.transform(sure, lambda s: F.trim(F.regexp_replace(_inside(text, s), r"(?U)\s+", " ")))), lambda n: F.length(n) >= 6)
@@ -195,7 +214,7 @@ def pattern_of(docs: DataFrame, names: str) -> DataFrame:
     return out.withColumn("__rx", F.when(F.size("__names") > 0, F.concat(F.lit("(?iu)"), F.array_join(branches, "|")))).drop("__names")
 
 
-def with_name_pattern(docs: DataFrame, text: Column, min_score: float = 0.4) -> DataFrame:
+def with_name_pattern(docs: DataFrame, text: Column, min_score: float = CERTAIN) -> DataFrame:
     """Add ``__rx``, one alternation of all blocks of a document's certain names, longest first; null without any."""
     return pattern_of(docs.withColumn("__sure", certain_names(text, F.col("spans"), min_score)), "__sure").drop("__sure")
 

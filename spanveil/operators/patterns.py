@@ -13,12 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, made_once, marked_matches, norm, one_of, plain_norm, plain_stems, search_view, stems, token_key
-from ..functions.masks import STREET_TYPES
+from ..functions.text import let, made_once, marked_matches, norm, one_of, plain_norm, plain_stems, search_view, stems, token_key, trie_pattern
 from ..functions.validators import card_valid, cnj_valid, cnpj_valid, cpf_valid, pis_valid
 
 SPANS = "array<struct<start:int,end:int,type:string,score:double>>"
 THRESHOLD = 0.35
+#: Score from which on a name is looked for in the rest of its document.
+CERTAIN = 0.4
 CONTEXT_TOKENS, CONTEXT_GAIN, CONTEXT_FLOOR = 5, 0.35, 0.4
 
 
@@ -31,7 +32,8 @@ class PatternSpec:
     heeds case, and its classes are those of ASCII.
 
     ``scan`` stands for ``regex``, and ``first`` before it, where a text is searched: they find the same matches and fail sooner
-    at the places in between, of which there are far more.
+    at the places in between, of which there are far more. A pattern that is ``likely`` where its ``shape`` or ``needs`` is
+    found is not searched for a first hit before all its matches are.
     """
 
     type: str
@@ -51,6 +53,10 @@ class PatternSpec:
     first: str = ""
     scan: str = ""
 
+    @property
+    def likely(self) -> bool:
+        return len(self.shape) >= 10 or self.needs == "@"
+
     def whole(self) -> str:
         found = self.scan or self.regex
         return ("(?sm)" if self.exact else "(?iuUsm)") + self.first + (found if self.value is None else f"(?:{found})(?:{self.value})(?:{self.after})")
@@ -88,6 +94,11 @@ _ANY_ROLE = (
     r"a(?:cusad[oa]|utora?|dv(?:ogad[oa])?)|de(?:nunciad[oa]|clarante|poente|fensora?)|exe(?:quente|cutad[oa])|in(?:diciad[oa]|vestigad[oa])|"
     r"ofendid[oa]|querela(?:nte|do)|r(?:equer(?:ente|id[oa])|[ée]u?)|testemunha|v[íi]tima"
 )
+#: The street types (``STREET_TYPES``) likewise.
+_ANY_STREET = (
+    r"r(?:ua|\.|od(?:ovia|\.))|a(?:v(?:enida|\.)|l(?:ameda|\.)|ssentamento)|trav(?:essa|\.)|estrada|s[íi]tio|distrito|lo(?:calidade|teamento)|"
+    r"conj(?:unto|\.)|p(?:ra[çc]a|ovoado)|vila|fazenda|quadra"
+)
 REGISTRY: tuple[PatternSpec, ...] = (
     PatternSpec("CPF_BR", "cpf_fmt", r"(?<!\d)\d{3}\.\d{3}\.\d{3}\s{0,30}-\s{0,30}\d{2}", 0.6, validator=cpf_valid, shape="000.000.000", first=r"(?=\d)"),
     PatternSpec("CPF_BR", "cpf_espacado", r"(?<![\d.])\d{3}[.\s]\s{0,3}\d{3}[.\s]\s{0,3}\d{3}\s{0,3}-\s{0,3}\d{2}(?!\d)", 0.55, validator=cpf_valid, first=r"(?=\d)"),
@@ -100,14 +111,16 @@ REGISTRY: tuple[PatternSpec, ...] = (
         r"(?:RG|R\.\s?G\.?|[Rr]egistro\s+[Gg]eral|[Ii]dentidade|[Cc][ée]dula\s+de\s+[Ii]dentidade|[Cc]arteira\s+de\s+[Ii]dentidade)[\s.:n°ºo/-]{0,24}",
         0.85, value=r"\d[\d.\s-]{4,16}[\dXx]", after=r"(?=\s*(?:SSP|SESP|DETRAN|PC|IFP|SDS|[^\d]|$))", first="(?=[RIC])",
     ),
-    PatternSpec("RG_BR", "rg_com_orgao", "", 0.8, value=r"\d[\d.\s-]{5,16}[\dXx]", after=r"\s*[-/]?\s*(?=(?:SSP|SSPDS|SESP|DETRAN|IFP|SDS)\b)", needs="(?iu)ssp|sesp|detran|ifp|sds"),
-    PatternSpec("RG_BR", "rg_fmt", r"\b\d{1,2}\.\d{3}\.\d{3}-[\dxX]\b", 0.7, shape=".000.000-"),
+    PatternSpec("RG_BR", "rg_com_orgao", "", 0.8, value=r"\d[\d.\s-]{5,16}[\dXx]", after=r"\s*[-/]?\s*(?=(?:SSP|SSPDS|SESP|DETRAN|IFP|SDS)\b)", needs="(?iu)(?=[sdi])(?:s(?:sp|esp|ds)|detran|ifp)"),
+    PatternSpec("RG_BR", "rg_fmt", r"(?=\d)\b\d{1,2}\.\d{3}\.\d{3}-[\dxX]\b", 0.7, shape=".000.000-"),
     PatternSpec("CEP_BR", "cep_ancorado", r"CEP[\s.:nºo°-]{0,6}", 0.9, value=r"\d{2}\.?\s?\d{3}[\s.-]{0,3}\d{3}", after=r"(?!\d)"),
     PatternSpec("CEP_BR", "cep_livre", r"(?<![\d-])", 0.45, value=r"\d{2}\.?\d{3}-\d{3}", after=r"(?!\d)", shape="000-000", first=r"(?=\d)"),
-    PatternSpec("ENDERECO_BR", "logradouro", rf"\b(?:{STREET_TYPES})\s+[A-ZÁÀÂÃÉÊÍÓÔÕÚÇ0-9][^\n;]{{2,80}}?(?=\s*(?:;|CEP|[Ff]one|[Tt]el|[Ee]-?mail|$|\.\s+[A-ZÁÉÍÓÚ]))", 0.5, needs=""),
+    PatternSpec(
+        "ENDERECO_BR", "logradouro", rf"(?=[RATESDLCPVFQ])\b(?:{_ANY_STREET})\s+[A-ZÁÀÂÃÉÊÍÓÔÕÚÇ0-9][^\n;]{{2,80}}?(?=\s*(?:;|CEP|[Ff]one|[Tt]el|[Ee]-?mail|$|\.\s+[A-ZÁÉÍÓÚ]))", 0.5, needs="",
+    ),
     PatternSpec("PHONE_NUMBER_BR", "tel_br_intl", r"\+55\s{0,3}\(?\d{2}\)?[\s.-]{0,30}9?\d{4}[\s.-]{0,3}\d{4}\b", 0.85, shape="+00"),
     PatternSpec("PHONE_NUMBER_BR", "tel_br_parenteses", r"\(\d{2}\)[\s.-]{0,30}\d{4,5}[\s.-]{0,3}\d{4}\b", 0.8, shape="(00)"),
-    PatternSpec("PHONE_NUMBER_BR", "tel_br_hifen", r"\b\d{2}[\s.]{0,3}\d{4,5}[\s.-]{0,3}\d{4}\b", 0.7, shape="0000"),
+    PatternSpec("PHONE_NUMBER_BR", "tel_br_hifen", r"(?=\d)\b\d{2}[\s.]{0,3}\d{4,5}[\s.-]{0,3}\d{4}\b", 0.7, shape="0000"),
     PatternSpec("OAB_BR", "oab_estado", r"\bOAB(?![A-Za-zÀ-ÿ])\s*[/\-]?\s*[A-Z]{2}\s*[/\-:]?\s*(?:n\.?[ºo°]?\.?)?\s*", 0.9, value=r"\d[\d.]{2,7}\d", after=r"(?!\d)", needs="(?i)oab"),
     PatternSpec("OAB_BR", "oab_generico", r"\bOAB(?![A-Za-zÀ-ÿ])[/\s]?[A-Z]{2}[/\s]?\d[\d.]{3,7}\b", 0.85, needs="(?i)oab"),
     PatternSpec("OAB_BR", "oab_numero_antes", r"\bOAB(?![A-Za-zÀ-ÿ])[\s.:nºo°-]{0,4}", 0.9, value=r"\d[\d.]{2,7}", after=r"\s*/\s*[A-Z]{2}\b", needs="(?i)oab"),
@@ -117,7 +130,7 @@ REGISTRY: tuple[PatternSpec, ...] = (
     PatternSpec("NIT_PIS_PASEP", "nit_raw", r"(?<!\d)\d{11}(?!\d)", 0.3, validator=pis_valid, boost=0.9, check_required=True, shape="00000000000"),
     PatternSpec("NUMERO_PROCESSO_CNJ", "processo_cnj_fmt", r"(?<!\d)\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}", 0.75, validator=cnj_valid, boost=0.98, shape="0000000-00.0000.0.00.0000", first=r"(?=\d)"),
     PatternSpec("NUMERO_PROCESSO_CNJ", "processo_cnj_raw", r"(?<!\d)\d{20}(?!\d)", 0.3, validator=cnj_valid, boost=0.98, check_required=True, shape="00000000000000000000"),
-    PatternSpec("CONTA_BANCARIA", "conta_ag_cc", r"\b[Aa]g(?:[êe]ncia)?[:\s]*\d{3,5}[\s,\-]*(?:[Cc](?:onta)?[:\s]*|[Cc]{2}[:\s]*|[Cc][Pp][:\s]*)\d{4,12}-?\d?\b", 0.75, shape="000"),
+    PatternSpec("CONTA_BANCARIA", "conta_ag_cc", r"(?=[Aa])\b[Aa]g(?:[êe]ncia)?[:\s]*\d{3,5}[\s,\-]*(?:[Cc](?:onta)?[:\s]*|[Cc]{2}[:\s]*|[Cc][Pp][:\s]*)\d{4,12}-?\d?\b", 0.75, shape="000"),
     PatternSpec("EMAIL_ADDRESS", "email_tld_grudado", "", 0.85, value=r"[A-Za-z0-9._%+-]++@(?:[a-z0-9-]+\.)+[a-z]{2,}", after=r"(?![a-z])", needs="@", scan=r"\G|(?<![A-Za-z0-9._%+-])"),
     PatternSpec("PERSON", "nome_apos_rotulo", rf"(?=[RADIVOTEQ])(?:{_ROLES})\s*(?:\([as]\))?\s*:\s*", 0.8, value=_NAME, cut_name=True, needs=":", scan=rf"(?=[RADIVOTEQ])(?:{_ANY_ROLE})\s*(?:\([as]\))?\s*:\s*"),
     PatternSpec("PERSON", "nome_assinatura", r"assinado\s+digitalmente\s+por\s+", 0.8, value=_NAME, cut_name=True, needs="(?i)assinado"),
@@ -174,9 +187,17 @@ def significant(token: Column, particles: Iterable[str] = _PARTICLES) -> Column:
     return ~token_key(token).isin(*particles) & (F.length(token) > 1)
 
 
+#: A normalised name of letters without a word of procedure, whose first and last words are significant.
+_WHOLE_NAME = rf"^(?!(?:{trie_pattern(_PARTICLES)}) )(?=[a-z']{{2}})(?:(?!{trie_pattern(PROCEDURE_WORDS)} )[a-z']+ +)+(?!(?:{trie_pattern([*PROCEDURE_WORDS, *_PARTICLES])})$)[a-z']{{2,}}$"
+
+
 def cut_labelled_name(text: Column) -> Column:
-    """Length of the name before the first word of procedure; null with fewer than two significant words."""
-    return let(tokens_with_gaps(text), _name_length)
+    """Length of the name before the first word of procedure; null with fewer than two significant words.
+
+    Most names are whole as they are found, which one pattern tells; only the others are cut into tokens.
+    """
+    whole = let(norm(text), lambda n: (F.length(n) == F.length(text)) & n.rlike(_WHOLE_NAME))
+    return F.when(whole, F.length(text)).otherwise(let(tokens_with_gaps(text), _name_length))
 
 
 def _name_length(tokens: Column) -> Column:
@@ -191,13 +212,14 @@ def _name_length(tokens: Column) -> Column:
     return let(kept, length)
 
 
-def _matches(view: Column, rx: str, needs: str = "", shape: Column | None = None) -> Column:
+def _matches(view: Column, rx: str, needs: str = "", shape: Column | None = None, likely: bool = False) -> Column:
     """All matches with their starts: array of (m, a). ``view`` has no marks (``search_view``, ``unmarked``)."""
-    hit = view.rlike(rx)
-    if needs:
-        hit = view.rlike(needs) & hit
+    hit = None if likely else view.rlike(rx)
+    if needs and not (likely and shape is not None):
+        held = view.contains(needs) if needs.isalnum() or needs in ("@", ":") else view.rlike(needs)
+        hit = held if hit is None else held & hit
     if shape is not None:
-        hit = shape & hit
+        hit = shape if hit is None else shape & hit
     return F.when(hit, marked_matches(view, rx)).otherwise(F.array().cast("array<struct<m:string,a:int>>"))
 
 
@@ -211,11 +233,12 @@ def _context_before(view: Column, start: Column) -> Column:
 
     The tokens are those of the 200 characters before the hit where these hold more than five, else of all before it.
     """
-    cut = lambda a, n: F.split(F.rtrim(F.substr(view, a, n)), r"(?U)\s+")
-    near = cut(F.greatest(start - 199, F.lit(1)), F.least(start, F.lit(200)))
-    before = let(near, lambda b: F.when((F.size(b) > CONTEXT_TOKENS) | (start <= 200), b).otherwise(cut(F.lit(1), start)))
-    last = lambda b: stems(norm(F.array_join(F.slice(b, F.greatest(F.size(b) - (CONTEXT_TOKENS - 1), F.lit(1)), F.lit(CONTEXT_TOKENS)), " ")))
-    return let(before, last)
+    # Read from the hit backwards, so the pattern is held at its place and ends with the fifth token.
+    back = lambda a, n: F.reverse(F.rtrim(F.substr(view, a, n)))
+    last = lambda b: F.regexp_extract(b, rf"^(?U)\S*+(?:\s++\S*+){{0,{CONTEXT_TOKENS - 1}}}", 0)
+    near = lambda b: let(last(b), lambda t: F.when((start <= 200) | (F.length(t) < F.length(b)), t).otherwise(last(back(F.lit(1), start))))
+    found = let(back(F.greatest(start - 199, F.lit(1)), F.least(start, F.lit(200))), near)
+    return stems(let(F.regexp_replace(F.reverse(found), r"(?U)\s+", " "), norm))
 
 
 def _context_pattern(words: tuple[str, ...]) -> str:
@@ -254,11 +277,14 @@ def _raw_spans(view: Column, zeros: Column, spec: PatternSpec, pattern: int) ->
 
         return let(F.regexp_extract(m, spec.inner(), 2), placed)
 
-    return F.filter(F.transform(_matches(view, spec.whole(), spec.needs, F.contains(zeros, F.lit(spec.shape)) if spec.shape else None), span), lambda s: s["score"].isNotNull() & s["end"].isNotNull()).cast(_RAW)
+    return F.filter(F.transform(_matches(view, spec.whole(), spec.needs, F.contains(zeros, F.lit(spec.shape)) if spec.shape else None, spec.likely), span), lambda s: s["score"].isNotNull() & s["end"].isNotNull()).cast(_RAW)
+
 
+def _lifted(view: Column, raw: Column, patterns: dict[str, int], threshold: float, scores: bool = True) -> Column:
+    """Spans with the scores that context words give them, at or above the threshold.
 
-def _lifted(view: Column, raw: Column, patterns: dict[str, int], threshold: float) -> Column:
-    """Spans with the scores that context words give them, at or above the threshold."""
+    Without ``scores`` a span that is certain by its own score keeps it: its context would only raise it.
+    """
 
     def lifted(s: Column) -> Column:
         def near(before: Column) -> Column:
@@ -269,21 +295,21 @@ def _lifted(view: Column, raw: Column, patterns: dict[str, int], threshold: floa
 
         score = s["score"]
         if patterns:
-            hit = (s["pattern"] >= 0) & (s["start"] > 0) & let(_context_before(view, s["start"]), near)
+            hit = ((score != 1.0) if scores else (score < max(threshold, CERTAIN))) & (s["pattern"] >= 0) & (s["start"] > 0) & let(_context_before(view, s["start"]), near)
             score = F.when(hit, F.least(F.greatest(score + CONTEXT_GAIN, F.lit(CONTEXT_FLOOR)), F.lit(1.0))).otherwise(score)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), score.cast("double").alias("score"))
 
     return F.filter(F.transform(raw, lifted), lambda s: s["score"] >= threshold)
 
 
-def _spans_of(view: Column, zeros: Column, specs: Iterable[PatternSpec], threshold: float, context: dict | None) -> Column:
+def _spans_of(view: Column, zeros: Column, specs: Iterable[PatternSpec], threshold: float, context: dict | None, scores: bool = True) -> Column:
     """The spans of all specifications in their order; their context is looked at in one place, so the plan holds it once."""
     specs, patterns, raw = list(specs), {}, []
     for s in specs:
         words = _words_of(s, context)
         at = patterns.setdefault(_context_pattern(words), len(patterns)) if words else -1
         raw.append(_raw_spans(view, zeros, s, at))
-    return _lifted(view, F.concat(*raw), patterns, threshold)
+    return _lifted(view, F.concat(*raw), patterns, threshold, scores)
 
 
 def spec_spans(view: Column, spec: PatternSpec, threshold: float = THRESHOLD, context: dict | None = None) -> Column:
@@ -306,10 +332,13 @@ def chosen_specs(entities: Iterable[str] | None, specs: Iterable[PatternSpec]) -
     return [s for s in specs if not asked or s.type in asked]
 
 
-def detect(docs: DataFrame, entities: Iterable[str] | None = None, specs: Iterable[PatternSpec] = REGISTRY, threshold: float = THRESHOLD, context: dict | None = None) -> DataFrame:
-    """Add ``spans`` to (doc_id, text): every pattern hit of the asked types, on the whole text. A null text has none."""
+def detect(docs: DataFrame, entities: Iterable[str] | None = None, specs: Iterable[PatternSpec] = REGISTRY, threshold: float = THRESHOLD, context: dict | None = None, scores: bool = True) -> DataFrame:
+    """Add ``spans`` to (doc_id, text): every pattern hit of the asked types, on the whole text. A null text has none.
+
+    Without ``scores`` the same spans are found, but the context of a span is read only where it decides whether the span stays.
+    """
     chosen = chosen_specs(entities, specs)
-    spans = made_once((tuple(chosen), threshold, None if context is None else tuple(sorted((t, tuple(w)) for t, w in context.items()))), lambda: _spans_of(F.col("__view"), F.col("__zeros"), chosen, threshold, context)) if chosen else F.array()
+    spans = made_once((tuple(chosen), threshold, scores, None if context is None else tuple(sorted((t, tuple(w)) for t, w in context.items()))), lambda: _spans_of(F.col("__view"), F.col("__zeros"), chosen, threshold, context, scores)) if chosen else F.array()
     out = docs.withColumn("__view", F.coalesce(search_view(F.col("text")), F.lit("")))
     out = out.withColumn("__zeros", digits_as_zeros(F.col("__view")))
     return out.withColumn("spans", spans.cast(SPANS)).drop("__view", "__zeros")

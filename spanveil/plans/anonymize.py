@@ -33,17 +33,19 @@ def anonymize(
     specs=REGISTRY,
     threshold: float = THRESHOLD,
     as_found: tuple[str, ...] = (),
+    scores: bool = True,
 ) -> DataFrame:
     """Add entities, anonymized_text, politica_mascara and valores_distintos to (doc_id, text).
 
     Without ``external`` spans the whole plan is row-local: no shuffle, no Python code, usable on streams. The order is
     part of the meaning: institutions leave before names spread through the document, and again after their extension.
-    Types in ``as_found`` keep the borders that their pattern has, also where two of them touch.
+    Types in ``as_found`` keep the borders that their pattern has, also where two of them touch. Without ``scores`` the entities
+    are the same, but their scores may lack what context words add.
     """
     check_policy(policy)
     deny = DENY if deny is None else deny
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = detect(docs, entities, specs, threshold)
+    out = detect(docs, entities, specs, threshold, scores=scores)
     if external is not None:
         out = with_external_spans(out, external, external_labels or {})
     out = _judged(out, text, deny, containment, titled, as_found)
