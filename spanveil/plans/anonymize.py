@@ -133,7 +133,8 @@ def anonymize_long(docs: DataFrame, **options) -> DataFrame:
 
 def anonymize_safe(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """(results, failures with a reason): a bad document never sinks the others."""
-    reason = F.when(F.col("doc_id").isNull(), "no id").when(F.col("text").isNull(), "no text").when(F.trim("text") == "", "empty text")
+    # Empty is a text of spaces of any kind (no-break, ideographic and others), as SQL's trim has it; line breaks are a text.
+    reason = F.when(F.col("doc_id").isNull(), "no id").when(F.col("text").isNull(), "no text").when(~F.col("text").rlike(r"[^\p{Zs}]"), "empty text")
     judged = docs.withColumn("reason", reason)
     return anonymize(judged.where("reason is null").drop("reason"), **options), judged.where("reason is not null")
 
