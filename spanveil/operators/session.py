@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import LABELS, estimate_tokens, label_of, value_key, weight
-from ..tables import merged_in
+from ..functions.text import LABELS, estimate_tokens, label_of, let, value_key, weight
+from ..tables import merged_in, written
 from . import dictionary
 from .masking import masks_of
 
@@ -58,36 +58,54 @@ def with_session_labels(docs: DataFrame, entities: DataFrame, pseudonyms: DataFr
     return out.withColumn("session_text", F.array_join(moved, "")).drop("__map")
 
 
-def close_residuals(texts: DataFrame, pseudonyms: DataFrame, session: str = "session_id", prefer: str = "longest") -> DataFrame:
+def close_residuals(texts: DataFrame, pseudonyms: DataFrame, session: str = "session_id", prefer: str = "longest", few: bool = False) -> DataFrame:
     """Replace every known value of a session that is left in its texts, whatever its case, accents and white space.
 
     Longer values come first, wherever they stand (``prefer="leftmost"``: the first place decides, then the longer
     value); existing placeholders and parts of words stay; values below the least weight are not looked for. Adds
     closed_text, closed (map label to count) and examples (label: spelling). Equal texts of a session are searched once,
     by joins on tokens (``operators.dictionary``). A null text stays null, with empty maps.
+
+    With ``few`` the values are written and measured when this is called; up to ``dictionary.MOST_IN_ROW`` bytes of them are
+    looked up in each text by itself, and no text or token is shuffled.
     """
     strong = pseudonyms.where(weight(F.col("norm_value")) >= LEAST_WEIGHT)
     tag = F.concat(F.lit("["), "label", F.lit("_"), F.col("n").cast("string"), F.lit("]"))
     # A value with several labels is closed by the first of them.
     terms = strong.groupBy(session, F.col("norm_value").alias("value")).agg(F.min(F.struct("label", tag.alias("tag"))).alias("__b"))
     terms = terms.select(session, "value", F.col("__b.label").alias("label"), F.col("__b.tag").alias("tag"), F.length("value").alias("length"), F.col("value").alias("rank"))
+    look = None
+    if few:
+        terms = written(terms, "terms")
+        look = dictionary.in_row(terms.drop("length", "rank"), session)
+    if look is not None:
+        table, places = look
+        # Length and rank follow from the value, and are not carried.
+        ranked = lambda x: F.struct(x["pos"], x["n"], x["label"], x["tag"], F.length(x["value"]).alias("length"), x["value"].alias("rank"))
+        own = lambda w: F.transform(places(F.col("__d"), F.col(session), F.col("text"), w, LABEL), ranked)
+        made = let(dictionary.tokens(F.col("text"), LABEL), lambda w: let(F.sort_array(dictionary.resolved_in_row(own(w), prefer, "length")), lambda m: F.struct(*_closed(F.col("text"), w, m))))
+        return dictionary.with_dictionary(texts, table, "__c", made).select(*texts.columns, "__c.*")
     own = texts.select(session, F.md5("text").alias("text_id"), "text").where("text is not null").dropDuplicates([session, "text_id"])
     found = dictionary.resolved(dictionary.candidates(own, terms, session, protected=LABEL), session, prefer, "length")
     by_text = found.groupBy(session, "text_id").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "label", "tag"))).alias("__m"))
     out = texts.withColumn("text_id", F.md5("text")).join(merged_in(by_text), [session, "text_id"], "left").drop("text_id")
     out = out.withColumn("__w", F.when(F.col("__m").isNotNull(), dictionary.tokens(F.col("text"), LABEL)))
-    part = lambda a, n: F.array_join(F.slice("__w", a + 1, n), "")
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("__m", i - 1)["pos"] + F.get("__m", i - 1)["n"])
-    cut = F.transform("__m", lambda m, i: F.concat(part(before(i), m["pos"] - before(i)), m["tag"]))
-    tail = before(F.size("__m"))
-    closed = F.array_join(F.concat(cut, F.array(part(tail, F.size("__w") - tail))), "")
+    return out.select(*texts.columns, *_closed(F.col("text"), F.col("__w"), F.col("__m")))
+
+
+def _closed(text: Column, w: Column, m: Column) -> list[Column]:
+    """closed_text, closed and examples of a text with tokens ``w`` and places ``m`` (pos, n, label, tag), in order; null or none of them: as it is."""
+    part = lambda a, n: F.array_join(F.slice(w, a + 1, n), "")
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(m, i - 1)["pos"] + F.get(m, i - 1)["n"])
+    cut = F.transform(m, lambda x, i: F.concat(part(before(i), x["pos"] - before(i)), x["tag"]))
+    tail = before(F.size(m))
+    closed = F.array_join(F.concat(cut, F.array(part(tail, F.size(w) - tail))), "")
     none = F.array().cast("array<string>")
-    kinds = F.coalesce(F.array_distinct(F.transform("__m", lambda m: m["label"])), none)
-    counts = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter("__m", lambda m: m["label"] == k))))
-    first = lambda k: F.filter("__m", lambda m: m["label"] == k)[0]
+    kinds = F.coalesce(F.array_distinct(F.transform(m, lambda x: x["label"])), none)
+    counts = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(m, lambda x: x["label"] == k))))
+    first = lambda k: F.filter(m, lambda x: x["label"] == k)[0]
     shown = F.transform(kinds, lambda k: F.concat(k, F.lit(": "), part(first(k)["pos"], first(k)["n"])))
-    out = out.withColumns({"closed_text": F.when(F.col("__m").isNull(), F.col("text")).otherwise(closed), "closed": counts, "examples": shown})
-    return out.drop("__m", "__w")
+    return [F.when(F.size(m) > 0, closed).otherwise(text).alias("closed_text"), counts.alias("closed"), shown.alias("examples")]
 
 
 def prepare_turns(turns: DataFrame, spans: DataFrame, session: str = "session_id") -> DataFrame:
